@@ -41,9 +41,11 @@ WINDOW = 16
 AVERAGE_BITS = 10
 SHORTEST, LONGEST = 256, 4096
 SHARD_TOKENS = 8_000_000
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 1_000_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 600_000, 900_000
+REMEMBERED_WORDS, REMEMBERED_PIECES = 450_000, 600_000
+#: Stands between words that are cut into pieces together.
+MARK = " \0 "
 
 STAGED = "doc_id long, row_id long, doc_digest binary, n_tokens long, digests array<binary>, counts array<int>, payloads array<binary>"
 RECORD = "shard int, ordinal long, doc_id long, n_tokens long, doc_digest binary, digests array<binary>, counts array<int>, own array<int>, own_shared array<boolean>, payloads array<binary>, width int"
@@ -118,9 +120,6 @@ class Encoder:
             self.last = np.zeros(self.vocabulary, bool)
             for token, i in self.library.get_vocab().items():
                 self.last[i] = token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
         self.words, self.word_ids = Coded(), Rows()
         self.pieces, self.piece_ids = Coded(), Rows()
 
@@ -144,32 +143,35 @@ class Encoder:
         new, self.words.new = self.words.new, []
         if not new:
             return
-        plain = [w.isascii() or (max(w) < "ƀ" and "İ" not in w) for w in new]
-        cut = [self.pattern.findall(w.lower()) if p and not any(s in w for s in self.special) else None for w, p in zip(new, plain)]
-        code = self.pieces.__getitem__
-        codes = np.array([code(p) for x in cut if x for p in x], np.int64)
+        joined = MARK.join(new)
+        whole = np.zeros(len(new), bool)  # words that go to the library as they are
+        if np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).max(initial=0) >= 0x180 or "İ" in joined or joined.count(MARK) != len(new) - 1 or any(s in joined for s in self.special):
+            whole[:] = [not w.isascii() and (max(w) >= "ƀ" or "İ" in w) or "\0" in w or any(s in w for s in self.special) for w in new]
+            joined = MARK.join("" if x else w for w, x in zip(new, whole.tolist()))
+        found = self.pattern.findall(joined.lower())
+        codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
         self._learn_pieces()
-        ids, lengths = self.piece_ids.take(codes) if len(codes) else (np.empty(0, np.int32), np.empty(0, np.int64))
-        whole = iter(self._library([w for w, x in zip(new, cut) if x is None]))
-        per_piece, at, k = np.concatenate([[0], np.cumsum(lengths)]), 0, 0
-        parts, sizes = [], []
-        for x in cut:
-            if x is None:
-                parts.append(np.array(next(whole), np.int32))
-            else:
-                k += len(x)
-                parts.append(ids[at : per_piece[k]])
-                at = per_piece[k]
-            sizes.append(len(parts[-1]))
-        self.word_ids.add(np.concatenate(parts), np.array(sizes, np.int64))
+        mark = codes == self.pieces["\0"] if len(new) > 1 else np.zeros(len(codes), bool)
+        word = np.cumsum(mark)[~mark]  # of each piece the word that it belongs to
+        ids, lengths = self.piece_ids.take(codes[~mark])
+        sizes = np.bincount(word, weights=lengths, minlength=len(new)).astype(np.int64)
+        if whole.any():
+            each = dict(zip(np.flatnonzero(whole).tolist(), self._library([w for w, x in zip(new, whole.tolist()) if x])))
+            ends = np.cumsum(sizes)
+            ids = np.concatenate([np.array(each[k], np.int32) if k in each else ids[ends[k] - sizes[k] : ends[k]] for k in range(len(new))])
+            for k, x in each.items():
+                sizes[k] = len(x)
+        self.word_ids.add(ids, sizes)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of each text's."""
         if not self.by_word:
             each = self._library(texts)
             return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
-        if len(self.words) > REMEMBERED_WORDS or len(self.pieces) > REMEMBERED_PIECES:
-            self._forget()
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words, self.word_ids = Coded(), Rows()
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces, self.piece_ids = Coded(), Rows()
         code, each = self.words.__getitem__, []
         for text in texts:
             words = text.replace("\n", " ").split(" ")
