@@ -80,11 +80,11 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, refers_to`` of each page whose payload a page with a larger ``page_id`` has too."""
+    """``page_id, digest, refers_to`` (hex SHA-1 of the payload) of each page whose payload a page with a larger ``page_id`` has too."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     seen = cut(pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= least_bytes), "warc-digests")
-    shared = seen.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    return seen.join(shared, ["digest", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    shared = seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    return seen.join(shared, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _writer(folder: str, date: str):
@@ -95,16 +95,22 @@ def _writer(folder: str, date: str):
         system, base = _open(folder)
         # a second attempt of this task writes another file; only files in the manifest are read
         path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        n, out = 0, None
+        n, out, page, known = 0, None, None, {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pylist()
-                if out is None:
-                    system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(path, compression=None)
-                for x in rows:
-                    out.write(warc_record(x["page_id"], x["url"], x["payload"] or b"", x["refers_to"], x["refers_to"] is not None, date))
-                n += len(rows)
+                for x in batch.slice(at, 256).to_pylist():
+                    if x["page_id"] != page:
+                        page, known = x["page_id"], {}
+                    if x["digest"] is not None:  # what a page refers to stands before the page
+                        known[x["digest"]] = x["refers_to"]
+                        continue
+                    if out is None:
+                        system.create_dir(base, recursive=True)
+                        out = system.open_output_stream(path, compression=None)
+                    payload = x["payload"] or b""
+                    first = known.get(hashlib.sha1(payload).hexdigest()) if known else None
+                    out.write(warc_record(page, x["url"], payload, first, first is not None, date))
+                    n += 1
         if out is not None:
             out.close()
             size = system.get_file_info(path).size
@@ -118,23 +124,15 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
     largest ``page_id`` is written as response, the others as revisits of it. Of
-    rows that repeat a response's ``page_id`` each is a response.
+    rows that repeat a response's ``page_id`` each is a response. Payloads are
+    shuffled once, by ranges of ``page_id``, together with what they refer to.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = revisits(pages, least_bytes).withColumnRenamed("page_id", "revisit_id").withColumn("there", F.lit(True))
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    # only a page below its group's largest is in `known`; repeats of a page_id with other payloads are told apart by theirs
-    digest = F.sha1("payload")
-    repeated = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page_id").alias("repeated_id"))
-    if repeated.isEmpty():
-        told = rows.join(known, rows["page_id"] == known["revisit_id"], "left")
-    else:
-        shared = rows.select("page_id", digest.alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", F.col("last").alias("refers_to"))
-        told = rows.withColumn("digest", digest).join(shared, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("refers_to"), F.col("refers_to")))
-    told = told.select("page_id", "url", "payload", "refers_to")
-    files = max(1, -(-pages.count() // ROWS_PER_FILE), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    written = told.repartitionByRange(files, "page_id").sortWithinPartitions("page_id").mapInArrow(_writer(f"{folder}/archives", date), "file string, bytes long, records long")
+    both = rows.unionByName(revisits(pages, least_bytes), allowMissingColumns=True)
+    files = max(-(-pages.count() // ROWS_PER_FILE), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = both.repartitionByRange(files, "page_id").sortWithinPartitions("page_id", F.col("digest").isNull()).mapInArrow(_writer(f"{folder}/archives", date), "file string, bytes long, records long")
     written.write.parquet(f"{folder}/manifest")
     return spark.read.schema("file string, bytes long, records long").parquet(f"{folder}/manifest")
 
