@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ AVERAGE_BITS = 10
 SHORTEST, LONGEST = 256, 4096
 SHARD_TOKENS = 8_000_000
 BATCH_CHARS = 1_000_000
+ENCODED_CHARS = 3_000_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 450_000, 600_000
+REMEMBERED_WORDS, REMEMBERED_PIECES = 250_000, 800_000
 #: Stands between words that are cut into pieces together.
 MARK = " \0 "
 
@@ -163,24 +165,26 @@ class Encoder:
                 sizes[k] = len(x)
         self.word_ids.add(ids, sizes)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and the number of each text's."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) one after another, and the number of each text's."""
         if not self.by_word:
-            each = self._library(texts)
+            each = self._library(texts.to_pylist())
             return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
         if len(self.words) > REMEMBERED_WORDS:
             self.words, self.word_ids = Coded(), Rows()
         if len(self.pieces) > REMEMBERED_PIECES:
             self.pieces, self.piece_ids = Coded(), Rows()
-        code, each = self.words.__getitem__, []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            each.append(np.fromiter(map(code, words), np.int64, len(words)))
+        split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy()
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        codes = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
         self._learn_words()
-        codes = np.concatenate(each)
-        ids, lengths = self.word_ids.take(codes)
-        first = np.cumsum([0, *map(len, each)])[:-1]
-        return ids, np.add.reduceat(lengths, first)
+        if not len(codes):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        ids, lengths = self.word_ids.take(codes[numbered.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, np.diff(ends[bounds - bounds[0]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -252,8 +256,6 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most ``most`` bytes of text, a document at least."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -275,9 +277,8 @@ def _stage(path: str, end_id: int, width: int):
         row = TaskContext.get().partitionId() << 40
         encode, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                bare, n = encode(texts)
+            for part in slices(batch, "text", ENCODED_CHARS):
+                bare, n = encode(pc.fill_null(part.column(1), ""))
                 ends = np.cumsum(n)
                 ids = np.insert(bare, ends, end_id)
                 n = n + 1
@@ -305,19 +306,21 @@ def _record(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _encoders.clear()  # a worker that encoded before has no more use for its memory
         shard, ordinal, known = TaskContext.get().partitionId(), 0, {}
         for batch in batches:
-            rows: list[list] = [[] for _ in types]
-            for x in batch.to_pylist():
-                if x["repeats"] is not None:  # stands just before its document
-                    known = {r["pos"]: r["first"] for r in x["repeats"]}
-                    continue
-                own = [i for i in range(len(x["digests"])) if known.get(i, True)]
-                for column, v in zip(rows, (shard, ordinal, x["doc_id"], x["n_tokens"], x["doc_digest"], x["digests"], x["counts"], own, [i in known for i in own], [x["payloads"][i] for i in own], width)):
-                    column.append(v)
-                ordinal, known = ordinal + 1, {}
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
+            for at in range(0, batch.num_rows, 500):
+                rows: list[list] = [[] for _ in types]
+                for x in batch.slice(at, 500).to_pylist():
+                    if x["repeats"] is not None:  # stands just before its document
+                        known = {r["pos"]: r["first"] for r in x["repeats"]}
+                        continue
+                    own = [i for i in range(len(x["digests"])) if known.get(i, True)]
+                    for column, v in zip(rows, (shard, ordinal, x["doc_id"], x["n_tokens"], x["doc_digest"], x["digests"], x["counts"], own, [i in known for i in own], [x["payloads"][i] for i in own], width)):
+                        column.append(v)
+                    ordinal, known = ordinal + 1, {}
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
 
     return run
 
@@ -356,30 +359,37 @@ def _manifest(records: DataFrame) -> DataFrame:
     return records.select("shard", "ordinal", "n_tokens", "doc_digest").groupBy("shard").applyInPandas(root, "shard int, n_docs long, n_tokens long, merkle_root string")
 
 
-def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's ids from its own chunks and those fetched, checked against the recipe."""
-    import zstandard
+def _restored(summed: bool):
+    """Each document's ids from its own chunks and those fetched, checked against the recipe; or only their checksum."""
+    last = ("ids_crc32", pa.int64()) if summed else ("ids", pa.binary())
+    types = pa.schema([("shard", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("doc_digest", pa.binary()), ("whole", pa.bool_()), last])
 
-    unpack = zstandard.ZstdDecompressor()
-    types = pa.schema([("shard", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("doc_digest", pa.binary()), ("ids", pa.binary()), ("whole", pa.bool_())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            rows: list[list] = [[] for _ in types]
-            for x in batch.slice(at, 500).to_pylist():
-                parts = dict(zip(x["own"], x["payloads"])) | {r["pos"]: r["payload"] for r in x["fetched"] or ()}
-                chunks = [np.frombuffer(unpack.decompress(parts[i]), f"<u{x['width']}").astype("<u4") if i in parts else np.empty(0, "<u4") for i in range(len(x["digests"]))]
-                digests, counts = [chunk_digest(c) for c in chunks], [len(c) for c in chunks]
-                whole = digests == x["digests"] and counts == x["counts"] and sum(counts) == x["n_tokens"]
-                for column, v in zip(rows, (x["shard"], x["ordinal"], x["doc_id"], sum(counts), document_digest(digests, counts), b"".join(c.tobytes() for c in chunks), whole)):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        _encoders.clear()  # a worker that encoded before has no more use for its memory
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows: list[list] = [[] for _ in types]
+                for x in batch.slice(at, 500).to_pylist():
+                    parts = dict(zip(x["own"], x["payloads"])) | {r["pos"]: r["payload"] for r in x["fetched"] or ()}
+                    chunks = [np.frombuffer(unpack.decompress(parts[i]), f"<u{x['width']}").astype("<u4") if i in parts else np.empty(0, "<u4") for i in range(len(x["digests"]))]
+                    digests, counts = [chunk_digest(c) for c in chunks], [len(c) for c in chunks]
+                    whole = digests == x["digests"] and counts == x["counts"] and sum(counts) == x["n_tokens"]
+                    ids = b"".join(c.tobytes() for c in chunks)
+                    for column, v in zip(rows, (x["shard"], x["ordinal"], x["doc_id"], sum(counts), document_digest(digests, counts), whole, zlib.crc32(ids) if summed else ids)):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
 
-RESTORED = "shard int, ordinal long, doc_id long, n_tokens long, doc_digest binary, ids binary, whole boolean"
+    return run
+
+
+RESTORED = "shard int, ordinal long, doc_id long, n_tokens long, doc_digest binary, whole boolean, "
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document: its place, its ids (little-endian 32-bit), and whether all digests hold.
+def read_store(spark: SparkSession, path: str, summed: bool = False) -> DataFrame:
+    """One row a document: its place, its ids (little-endian 32-bit; with ``summed`` their crc32), and whether all digests hold.
 
     Only documents that name a chunk of another document take part in a shuffle,
     and only with the chunks that several recipes name.
@@ -393,14 +403,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     chunks = records.where(F.exists("own_shared", lambda s: s)).select(F.explode(F.arrays_zip("own", "own_shared", "payloads")).alias("c"), "digests").where("c.own_shared").select(F.element_at("digests", F.col("c.own") + 1).alias("digest"), F.col("c.payloads").alias("payload"))
     fetched = wanted.join(chunks, "digest").groupBy("shard", "ordinal").agg(F.collect_list(F.struct("pos", "payload")).alias("fetched"))
     gathered = partial.join(fetched, ["shard", "ordinal"], "left").select(*alone.columns)
-    return alone.mapInArrow(_restored, RESTORED).unionByName(gathered.mapInArrow(_restored, RESTORED))
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
-        keep = [batch.column(c) for c in ("shard", "ordinal", "doc_id", "n_tokens", "doc_digest", "whole")]
-        yield pa.RecordBatch.from_arrays([*keep, crc], names=["shard", "ordinal", "doc_id", "n_tokens", "doc_digest", "whole", "ids_crc32"])
+    schema = RESTORED + ("ids_crc32 long" if summed else "ids binary")
+    return alone.mapInArrow(_restored(summed), schema).unionByName(gathered.mapInArrow(_restored(summed), schema))
 
 
 def digests_of(spark: SparkSession, path: str) -> DataFrame:
@@ -409,7 +413,7 @@ def digests_of(spark: SparkSession, path: str) -> DataFrame:
     ``verified`` holds if every chunk and the recipe match their digests and the
     Merkle root over the document digests as read equals the shard's in the manifest.
     """
-    read = cut(read_store(spark, path).mapInArrow(_summed, "shard int, ordinal long, doc_id long, n_tokens long, doc_digest binary, whole boolean, ids_crc32 long"), "token-read")
+    read = cut(read_store(spark, path, summed=True), "token-read")
     manifest = spark.read.parquet(f"{path}/manifest")
     again = _manifest(read).select("shard", F.col("merkle_root").alias("root_read"))
     shards = manifest.join(again, "shard", "left").select("shard", (F.col("merkle_root") == F.col("root_read")).alias("sealed"), (F.sum("n_tokens").over(W.orderBy("shard")) - F.col("n_tokens")).alias("before"))
