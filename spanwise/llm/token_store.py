@@ -43,9 +43,9 @@ AVERAGE_BITS = 10
 SHORTEST, LONGEST = 256, 4096
 SHARD_TOKENS = 8_000_000
 BATCH_CHARS = 1_000_000
-ENCODED_CHARS = 3_000_000
+ENCODED_CHARS = 8_000_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 250_000, 800_000
+REMEMBERED_WORDS, REMEMBERED_PIECES = 350_000, 700_000
 #: Stands between words that are cut into pieces together.
 MARK = " \0 "
 
