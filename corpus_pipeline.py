@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import token_store
+from spanwise.llm import decontaminate, mixing, quality, simhash, token_store
 from spanwise.llm.queries import tokenizer_path
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the labels of rejected ones go with them."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least doc_id, of each group of near duplicates.
+
+    As the shingles of this pipeline's operator by itself: three words, at most three differing bits.
+    """
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix emits them; every document at least once."""
+    return mixing.mixed(docs, most_repeats=2.0)
+
+
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, stored content-addressed, read back and verified."""
     return token_store.encode_and_verify(docs, tokenizer_path(), end_id=2)
 
 
-STAGES = [("token-ID / binary output", store_tokens)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", store_tokens),
+]
 
 ORACLE_SQL = None
 
