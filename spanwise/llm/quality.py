@@ -130,7 +130,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
             at = np.frombuffer(x["at"], "<i4")
-            total[at] += np.frombuffer(x["total"], "<f4").reshape(len(at), -1)
+            total[at] += np.frombuffer(x["total"], "<f4").reshape(len(at), DIMENSIONS)
             count[at] += np.frombuffer(x["count"], "<i8")
     total[count < LEAST_COUNT] = 0
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
