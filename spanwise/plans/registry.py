@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import temporal
+from . import statistics, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (temporal,):
+for part in (temporal, statistics):
     QUERIES |= part.book.queries
     ORACLES |= part.book.oracles
