@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import statistics, temporal
+from . import decisions, statistics, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (temporal, statistics):
+for part in (temporal, statistics, decisions):
     QUERIES |= part.book.queries
     ORACLES |= part.book.oracles
