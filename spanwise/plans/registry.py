@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, statistics, temporal
+from . import decisions, language, modelling, statistics, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (temporal, statistics, decisions):
+for part in (temporal, statistics, decisions, language, modelling):
     QUERIES |= part.book.queries
     ORACLES |= part.book.oracles
