@@ -48,7 +48,7 @@ def out_of_fold(rows: DataFrame, fold: str, row: str, features: list[str], y: st
     """
     sides = rows.select(row, fold, y, *features).withColumn("__own", F.col(fold)).withColumn("__for", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["__own"] == key[0]
         train, test = pdf[~own].sort_values(row), pdf[own]
         score = np.full(len(test), np.nan)
@@ -80,7 +80,7 @@ def effective_rank(rows: DataFrame, key: str, vector: str) -> DataFrame:
                 x = np.stack(part[vector].to_numpy()).astype(float)
                 yield pd.DataFrame({key: [k], "n": [len(x)], "s": [x.sum(axis=0).tolist()], "g": [(x.T @ x).ravel().tolist()]})
 
-    def rank(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rank(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["n"].sum()
         s, g = np.sum(np.stack(pdf["s"]), axis=0), np.sum(np.stack(pdf["g"]), axis=0)
         centred = g.reshape(len(s), len(s)) - np.outer(s, s) / n
