@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .shared import cut
+from .shared import cut, tidy
 from .token_store import slices
 
 SEED = 42
@@ -189,6 +189,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.unique(bits[deals == k].view(np.uint64))
         root = trie_links(x).roots()
         child = np.flatnonzero(root != np.arange(len(x)))
+        tidy()
         if len(child):
             yield pa.RecordBatch.from_arrays([pa.array(undeal(x[child], k).view(np.int64)), pa.array(undeal(x[root[child]], k).view(np.int64))], names=["a", "b"])
 

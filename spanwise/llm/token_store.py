@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, cut_at, drop, shared_dir
+from .shared import cut, cut_at, drop, shared_dir, tidy
 
 WINDOW = 16
-AVERAGE_BITS = 10
-SHORTEST, LONGEST = 256, 4096
+AVERAGE_BITS = 11
+SHORTEST, LONGEST = 512, 8192
 SHARD_TOKENS = 8_000_000
 BATCH_CHARS = 1_000_000
-ENCODED_CHARS = 8_000_000
+#: Bytes of text whose words are numbered at once, and words that are cut into chunks at once.
+ENCODED_CHARS, CUT_WORDS = 8_000_000, 100_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 350_000, 700_000
+REMEMBERED_WORDS, REMEMBERED_PIECES = 300_000, 700_000
 #: Stands between words that are cut into pieces together.
 MARK = " \0 "
 
@@ -53,17 +55,14 @@ STAGED = "doc_id long, row_id long, doc_digest binary, n_tokens long, digests ar
 RECORD = "shard int, ordinal long, doc_id long, n_tokens long, doc_digest binary, digests array<binary>, counts array<int>, own array<int>, own_shared array<boolean>, payloads array<binary>, width int"
 
 
-class Coded(dict):
-    """Numbers keys in the order of their first lookup and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key):
-        self[key] = code = len(self)
-        self.new.append(key)
-        return code
+def numbered(known: dict[str, int], keys: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The numbers of distinct ``keys``, those not yet ``known`` numbered on, and these."""
+    codes = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+    late = np.flatnonzero(codes < 0)
+    new = [keys[i] for i in late.tolist()]
+    codes[late] = np.arange(len(known), len(known) + len(new))
+    known.update(zip(new, codes[late].tolist()))
+    return codes, new
 
 
 class Rows:
@@ -71,7 +70,7 @@ class Rows:
 
     def __init__(self):
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.length, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.start, self.length, self.n = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), 0
 
     @staticmethod
     def _room(x: np.ndarray, need: int) -> np.ndarray:
@@ -85,12 +84,17 @@ class Rows:
         self.length[self.n : self.n + len(lengths)] = lengths
         self.used, self.n = self.used + len(ids), self.n + len(lengths)
 
+    def keep(self, n: int) -> None:
+        """Drop all rows from the n-th on."""
+        if n < self.n:
+            self.n, self.used = n, int(self.start[n])
+
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these rows one after another, and each row's length."""
         lengths = self.length[codes]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int32)
         at = np.repeat(self.start[codes] - (ends - lengths), lengths)
-        at += np.arange(len(at))
+        at += np.arange(len(at), dtype=np.int32)
         return self.flat[at], lengths
 
 
@@ -107,7 +111,7 @@ class Encoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path) as f:
             said = json.load(f)
@@ -119,20 +123,24 @@ class Encoder:
         if self.by_word:
             self.pattern = regex.compile(split["pattern"]["Regex"])
             self.special = tuple(x["content"] for x in said["added_tokens"])
+            # pieces are cut and lower-cased: the same model without those steps
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.last = np.zeros(self.vocabulary, bool)
             for token, i in self.library.get_vocab().items():
                 self.last[i] = token.endswith("</w>")
-        self.words, self.word_ids = Coded(), Rows()
-        self.pieces, self.piece_ids = Coded(), Rows()
+        self.words, self.word_ids = {}, Rows()
+        self.pieces, self.piece_ids = {}, Rows()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self) -> None:
-        new, self.pieces.new = self.pieces.new, []
+    def _learn_pieces(self, found: list[str]) -> None:
+        _, new = numbered(self.pieces, list(dict.fromkeys(found)))
         if not new:
             return
-        ids = np.array(self._library([" ".join(new)])[0], np.int32)
+        ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(new) and ends[-1] == len(ids):
             lengths = np.diff(ends, prepend=0)
@@ -141,8 +149,7 @@ class Encoder:
             ids, lengths = np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
         self.piece_ids.add(ids, lengths)
 
-    def _learn_words(self) -> None:
-        new, self.words.new = self.words.new, []
+    def _learn_words(self, new: list[str]) -> None:
         if not new:
             return
         joined = MARK.join(new)
@@ -151,8 +158,8 @@ class Encoder:
             whole[:] = [not w.isascii() and (max(w) >= "ƀ" or "İ" in w) or "\0" in w or any(s in w for s in self.special) for w in new]
             joined = MARK.join("" if x else w for w, x in zip(new, whole.tolist()))
         found = self.pattern.findall(joined.lower())
+        self._learn_pieces(found)
         codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
-        self._learn_pieces()
         mark = codes == self.pieces["\0"] if len(new) > 1 else np.zeros(len(codes), bool)
         word = np.cumsum(mark)[~mark]  # of each piece the word that it belongs to
         ids, lengths = self.piece_ids.take(codes[~mark])
@@ -165,26 +172,40 @@ class Encoder:
                 sizes[k] = len(x)
         self.word_ids.add(ids, sizes)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (no nulls) one after another, and the number of each text's."""
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The texts (no nulls) in groups: the first one's index, their ids one after another, the number of each one's."""
         if not self.by_word:
             each = self._library(texts.to_pylist())
-            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+            yield 0, np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+            return
         if len(self.words) > REMEMBERED_WORDS:
-            self.words, self.word_ids = Coded(), Rows()
+            self.words, self.word_ids = {}, Rows()
         if len(self.pieces) > REMEMBERED_PIECES:
-            self.pieces, self.piece_ids = Coded(), Rows()
+            self.pieces, self.piece_ids = {}, Rows()
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy()
-        numbered = split.flatten().dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        codes = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
-        self._learn_words()
-        if not len(codes):
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        ids, lengths = self.word_ids.take(codes[numbered.indices.to_numpy()])
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, np.diff(ends[bounds - bounds[0]])
+        bounds = bounds - bounds[0]
+        coded = split.flatten().dictionary_encode()
+        # words hold no space: joined and split they become Python strings at once
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ") if len(coded) else []
+        words, at = coded.indices.to_numpy(), 0
+        codes = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        late = np.flatnonzero(codes < 0)
+        # a word that stands here only once is not worth remembering
+        often = np.bincount(words, minlength=len(distinct))[late] > 1
+        late, held = np.concatenate([late[often], late[~often]]), self.word_ids.n + int(often.sum())
+        codes[late] = np.arange(self.word_ids.n, self.word_ids.n + len(late))
+        new = [distinct[i] for i in late.tolist()]
+        self.words.update(zip(new, range(self.word_ids.n, held)))
+        self._learn_words(new)
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CUT_WORDS, side="right")) - 1)
+            mine = words[bounds[at] : bounds[to]]
+            ids, lengths = self.word_ids.take(codes[mine]) if len(mine) else (np.empty(0, np.int32), np.empty(0, np.int64))
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            yield at, ids, np.diff(ends[bounds[at : to + 1] - bounds[at]])
+            at = to
+        self.word_ids.keep(held)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -197,27 +218,43 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    """SplitMix64 of each id."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def forget_encoders() -> None:
+    """Free what encoders remember: a worker that has encoded goes on to other work."""
+    if _encoders:
+        import gc
+
+        _encoders.clear()
+        gc.collect()
+        tidy()
+
+
+_salts = np.empty(0, np.uint32)
+
+
+def salts(n: int) -> np.ndarray:
+    """A well-spread 32-bit number for each of the ids below ``n`` at least, by SplitMix64."""
+    global _salts
+    if len(_salts) < n:
+        x = np.arange(1, max(n, 1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        _salts = (x >> np.uint64(32)).astype(np.uint32)
+    return _salts
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
-    """At each place the hash of the ``WINDOW`` ids that end there (fewer at the start)."""
-    h, span = _mixed(ids), 1
+    """At each place a 32-bit hash of the ``WINDOW`` ids that end there (fewer at the start)."""
+    h, span = salts(int(ids.max(initial=0)) + 1)[ids], 1
     while span < WINDOW:
         later = h.copy()
-        later[span:] += h[:-span] * np.uint64(pow(0x5851F42D4C957F2D, span, 1 << 64))
+        later[span:] += h[:-span] * np.uint32(pow(0x5851F42D, span, 1 << 32))
         h, span = later, span * 2
     return h
 
 
 def cut_points(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
     """The chunk ends of each document, relative to its start; the last is its length."""
-    marks = np.flatnonzero((rolling(ids) >> np.uint64(40)) & np.uint64((1 << AVERAGE_BITS) - 1) == 0) + 1
+    marks = np.flatnonzero(rolling(ids) >> np.uint32(32 - AVERAGE_BITS) == 0) + 1
     out, begin = [], 0
     for n in lengths.tolist():
         inside = (marks[np.searchsorted(marks, begin + SHORTEST) : np.searchsorted(marks, begin + n)] - begin).tolist()
@@ -239,7 +276,7 @@ def cut_points(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
 
 
 def chunk_digest(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(np.ascontiguousarray(ids, "<u4"), digest_size=16).digest()
 
 
 def document_digest(digests: list[bytes], counts: list[int]) -> bytes:
@@ -265,6 +302,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Itera
         total += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    tidy()
 
 
 def _stage(path: str, end_id: int, width: int):
@@ -278,24 +316,24 @@ def _stage(path: str, end_id: int, width: int):
         encode, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in slices(batch, "text", ENCODED_CHARS):
-                bare, n = encode(pc.fill_null(part.column(1), ""))
-                ends = np.cumsum(n)
-                ids = np.insert(bare, ends, end_id)
-                n = n + 1
-                rows: list[list] = [[], [], [], [], [], [], []]
-                begin = 0
-                for doc_id, m, cuts in zip(part.column(0).to_pylist(), n.tolist(), cut_points(ids, n)):
-                    digests, counts, payloads, at = [], [], [], 0
-                    for end in cuts:
-                        chunk = ids[begin + at : begin + end]
-                        digests.append(chunk_digest(chunk))
-                        counts.append(end - at)
-                        payloads.append(pack.compress(chunk.astype(f"<u{width}").tobytes()))
-                        at = end
-                    for column, x in zip(rows, (doc_id, row, document_digest(digests, counts), m, digests, counts, payloads)):
-                        column.append(x)
-                    begin, row = begin + m, row + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
+                doc_ids = part.column(0).to_pylist()
+                for first, bare, n in encode(pc.fill_null(part.column(1), "")):
+                    ids = np.insert(bare, np.cumsum(n), end_id)
+                    n = n + 1
+                    rows: list[list] = [[], [], [], [], [], [], []]
+                    begin = 0
+                    for doc_id, m, cuts in zip(doc_ids[first : first + len(n)], n.tolist(), cut_points(ids, n)):
+                        digests, counts, payloads, at = [], [], [], 0
+                        for end in cuts:
+                            chunk = ids[begin + at : begin + end]
+                            digests.append(chunk_digest(chunk))
+                            counts.append(end - at)
+                            payloads.append(pack.compress(chunk.astype(f"<u{width}").tobytes()))
+                            at = end
+                        for column, x in zip(rows, (doc_id, row, document_digest(digests, counts), m, digests, counts, payloads)):
+                            column.append(x)
+                        begin, row = begin + m, row + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
 
     return run
 
@@ -306,21 +344,36 @@ def _record(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        _encoders.clear()  # a worker that encoded before has no more use for its memory
-        shard, ordinal, known = TaskContext.get().partitionId(), 0, {}
+        forget_encoders()
+        shard, ordinal, before = TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows: list[list] = [[] for _ in types]
-                for x in batch.slice(at, 500).to_pylist():
-                    if x["repeats"] is not None:  # stands just before its document
-                        known = {r["pos"]: r["first"] for r in x["repeats"]}
-                        continue
-                    own = [i for i in range(len(x["digests"])) if known.get(i, True)]
-                    for column, v in zip(rows, (shard, ordinal, x["doc_id"], x["n_tokens"], x["doc_digest"], x["digests"], x["counts"], own, [i in known for i in own], [x["payloads"][i] for i in own], width)):
-                        column.append(v)
-                    ordinal, known = ordinal + 1, {}
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
+            # a document's repeated chunks stand in a row just before it, perhaps in the batch before
+            repeats = [*before, *batch.column("repeats").to_pylist()]
+            is_doc = np.array([r is None for r in repeats[len(before) :]], bool)
+            docs = batch.filter(pa.array(is_doc))
+            n = docs.num_rows
+            payloads = docs.column("payloads")
+            bounds = payloads.offsets.to_numpy() - payloads.offsets[0].as_py()
+            owned, shared = np.ones(bounds[-1], bool), np.zeros(bounds[-1], bool)
+            k = 0
+            for i, r in enumerate(repeats):
+                if i >= len(before) and is_doc[i - len(before)]:
+                    k += 1
+                elif r is not None and k < n:
+                    for x in r:
+                        shared[bounds[k] + x["pos"]] = True
+                        owned[bounds[k] + x["pos"]] = x["first"]
+            before = repeats[-1:] if repeats and repeats[-1] is not None else []
+            if not n:
+                continue
+            offsets = pa.array(np.concatenate([[0], np.cumsum(owned)])[bounds].astype(np.int32))
+            place = (np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.int32)
+            keep = pa.array(owned)
+            columns = [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), docs.column("doc_id"), docs.column("n_tokens"), docs.column("doc_digest"), docs.column("digests"), docs.column("counts")]
+            columns += [pa.ListArray.from_arrays(offsets, flat.filter(keep)) for flat in (pa.array(place), pa.array(shared), payloads.flatten())]
+            columns.append(pa.array(np.full(n, width, np.int32)))
+            ordinal += n
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
 
     return run
 
@@ -367,18 +420,22 @@ def _restored(summed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        _encoders.clear()  # a worker that encoded before has no more use for its memory
+        forget_encoders()
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows: list[list] = [[] for _ in types]
-                for x in batch.slice(at, 500).to_pylist():
-                    parts = dict(zip(x["own"], x["payloads"])) | {r["pos"]: r["payload"] for r in x["fetched"] or ()}
-                    chunks = [np.frombuffer(unpack.decompress(parts[i]), f"<u{x['width']}").astype("<u4") if i in parts else np.empty(0, "<u4") for i in range(len(x["digests"]))]
+                part = batch.slice(at, 500)
+                names = ("shard", "ordinal", "doc_id", "n_tokens", "digests", "counts", "own", "payloads", "fetched", "width")
+                for shard, ordinal, doc_id, n, named, sizes, own, payloads, fetched, width in zip(*(part.column(c).to_pylist() for c in names)):
+                    parts = dict(zip(own, payloads))
+                    for r in fetched or ():
+                        parts[r["pos"]] = r["payload"]
+                    chunks = [np.frombuffer(unpack.decompress(parts[i]), f"<u{width}").astype("<u4") if i in parts else np.empty(0, "<u4") for i in range(len(named))]
                     digests, counts = [chunk_digest(c) for c in chunks], [len(c) for c in chunks]
-                    whole = digests == x["digests"] and counts == x["counts"] and sum(counts) == x["n_tokens"]
-                    ids = b"".join(c.tobytes() for c in chunks)
-                    for column, v in zip(rows, (x["shard"], x["ordinal"], x["doc_id"], sum(counts), document_digest(digests, counts), whole, zlib.crc32(ids) if summed else ids)):
+                    whole = digests == named and counts == sizes and sum(counts) == n
+                    ids = chunks[0].data if len(chunks) == 1 else b"".join(c.tobytes() for c in chunks)
+                    for column, v in zip(rows, (shard, ordinal, doc_id, sum(counts), document_digest(digests, counts), whole, zlib.crc32(ids) if summed else bytes(ids))):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, types)], schema=types)
 
