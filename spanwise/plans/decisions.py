@@ -12,7 +12,12 @@ from .base import CURVE, SCORED, Book, curve, r6, scored
 
 book = Book()
 WITH = f"WITH {SCORED}"
-N = F.count(F.lit(1))
+
+
+def rows_count():
+    """The number of rows, as an aggregate; made when asked for, as columns need a session."""
+    return F.count(F.lit(1))
+
 
 REASONS = {"low_score": "s < 0.3", "second_low": "s2 < 0.2", "toxic": "z = 1", "odd_language": "lang NOT IN ('en', 'de', 'fr')"}
 CASE = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in REASONS.items()) + " END"
@@ -29,7 +34,7 @@ def p01(spark, d):
     s = F.when(F.col("doc_id") % 9 == 0, None).when(F.col("lang") == "es", "context").when(F.col("y") == 1, "positive").otherwise("negative")
     p = scored(spark, d).withColumn("supervision", s)
     kept = F.coalesce(F.col("supervision").isin("positive", "negative"), F.lit(False))
-    return p.groupBy(F.coalesce("supervision", F.lit("<unlabelled>")).alias("reason"), kept.alias("kept")).agg(N.alias("n"), F.count_if(F.coalesce(F.col("supervision") == "positive", F.lit(False))).alias("positives"))
+    return p.groupBy(F.coalesce("supervision", F.lit("<unlabelled>")).alias("reason"), kept.alias("kept")).agg(rows_count().alias("n"), F.count_if(F.coalesce(F.col("supervision") == "positive", F.lit(False))).alias("positives"))
 
 
 @book.add("p02_decisive_events", f"WITH {CURVE}, e AS (SELECT i, user_id, CASE WHEN i % 2 = 0 THEN t END AS pred_time, CASE WHEN i % 5 <> 0 THEN t + 1 END AS gt_time, label FROM curve) SELECT i, user_id, coalesce(pred_time, gt_time) AS time FROM e WHERE label IN ('view', 'error') AND coalesce(pred_time, gt_time) IS NOT NULL")
@@ -76,12 +81,12 @@ def p07(spark, d):
 
 @book.add("p08_buckets", "SELECT CASE WHEN n_chars < 300 THEN '<300' WHEN n_chars < 800 THEN '<800' WHEN n_chars < 1500 THEN '<1500' ELSE '1500+' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
 def p08(spark, d):
-    return table(spark, d, "documents").groupBy(sc.bucket(F.col("n_chars"), [300, 800, 1500], ["<300", "<800", "<1500", "1500+"]).alias("bucket")).agg(N.alias("n"))
+    return table(spark, d, "documents").groupBy(sc.bucket(F.col("n_chars"), [300, 800, 1500], ["<300", "<800", "<1500", "1500+"]).alias("bucket")).agg(rows_count().alias("n"))
 
 
 @book.add("p09_stratum_key", "SELECT lang || '|' || source || '|' || CASE WHEN n_chars < 800 THEN 'short' ELSE 'long' END AS stratum, count(*) AS n FROM documents GROUP BY 1")
 def p09(spark, d):
-    return table(spark, d, "documents").groupBy(F.concat_ws("|", "lang", "source", F.when(F.col("n_chars") < 800, "short").otherwise("long")).alias("stratum")).agg(N.alias("n"))
+    return table(spark, d, "documents").groupBy(F.concat_ws("|", "lang", "source", F.when(F.col("n_chars") < 800, "short").otherwise("long")).alias("stratum")).agg(rows_count().alias("n"))
 
 
 KEYS = f"WITH {CURVE}, k AS (SELECT i, 'recording_' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '_' || label || '_t' || CAST(i * 0.5 AS DECIMAL(12, 1)) AS event_key FROM curve)"
@@ -172,7 +177,7 @@ def u06(spark, d):
 
 @book.add("r07_selective_decisions", f"{DECIDED} SELECT family, keep, reject, decision, count(*) AS n FROM dec GROUP BY ALL")
 def r07(spark, d):
-    return decisions(spark, d).groupBy("family", "keep", "reject", "decision").agg(N.alias("n"))
+    return decisions(spark, d).groupBy("family", "keep", "reject", "decision").agg(rows_count().alias("n"))
 
 
 METRICS = f"{DECIDED}, met AS (SELECT family, keep, reject, count(*) FILTER (WHERE decision = 'KEEP') AS kept, count(*) FILTER (WHERE decision = 'KEEP' AND y = 0) AS wrong, count(*) FILTER (WHERE decision IN ('KEEP', 'REJECT')) AS auto, count(*) AS n FROM dec GROUP BY family, keep, reject)"
@@ -180,7 +185,7 @@ METRICS = f"{DECIDED}, met AS (SELECT family, keep, reject, count(*) FILTER (WHE
 
 def policy_metrics(spark, d):
     keep = F.col("decision") == "KEEP"
-    return decisions(spark, d).groupBy("family", "keep", "reject").agg(F.count_if(keep).alias("kept"), F.count_if(keep & (F.col("y") == 0)).alias("wrong"), F.count_if(F.col("decision").isin("KEEP", "REJECT")).alias("auto"), N.alias("n"))
+    return decisions(spark, d).groupBy("family", "keep", "reject").agg(F.count_if(keep).alias("kept"), F.count_if(keep & (F.col("y") == 0)).alias("wrong"), F.count_if(F.col("decision").isin("KEEP", "REJECT")).alias("auto"), rows_count().alias("n"))
 
 
 @book.add("r08_policy_constraints", f"{METRICS} SELECT family, keep, reject, kept >= 10 AND wrong <= floor(kept * (1 - CAST(0.85 AS DOUBLE))) AS frontier, kept >= 10 AND wrong + 1 <= floor(kept * (1 - CAST(0.85 AS DOUBLE))) AS buffered FROM met")
@@ -235,20 +240,20 @@ def r14(spark, d):
 
 @book.add("r15_gate_check", f"{WITH}, g AS (SELECT source, avg(CAST(y AS DOUBLE)) AS v, count(*) AS n, CASE WHEN source IN ('src3', 'src4') THEN NULL ELSE CAST(0.85 AS DOUBLE) END AS target FROM scored GROUP BY source) SELECT source, CASE WHEN target IS NULL THEN 'no_target' WHEN v IS NULL THEN 'no_value' WHEN n < 15 THEN 'too_few' WHEN v < target THEN 'below_target' END AS failure FROM g")
 def r15(spark, d):
-    g = scored(spark, d).groupBy("source").agg(F.avg("y").alias("v"), N.alias("n")).withColumn("target", F.when(~F.col("source").isin("src3", "src4"), F.lit(0.85)))
+    g = scored(spark, d).groupBy("source").agg(F.avg("y").alias("v"), rows_count().alias("n")).withColumn("target", F.when(~F.col("source").isin("src3", "src4"), F.lit(0.85)))
     return g.select("source", rules.gate(F.col("v"), F.col("target"), F.col("n"), 15).alias("failure"))
 
 
 @book.add("r16_certificate_overlap", f"{WITH} SELECT count(*) AS overlap, count(*) = 0 AS valid FROM (SELECT doc_id FROM scored WHERE doc_id % 6 = 0 INTERSECT SELECT doc_id FROM scored WHERE doc_id % 10 = 1) q")
 def r16(spark, d):
     ids = scored(spark, d).select("doc_id")
-    return ids.where("doc_id % 6 = 0").intersect(ids.where("doc_id % 10 = 1")).agg(N.alias("overlap"), (N == 0).alias("valid"))
+    return ids.where("doc_id % 6 = 0").intersect(ids.where("doc_id % 10 = 1")).agg(rows_count().alias("overlap"), (rows_count() == 0).alias("valid"))
 
 
 @book.add("r17_standard_crosstab", f"{WITH} SELECT CASE WHEN s >= 0.5 THEN 'yes' ELSE 'no' END AS old, CASE WHEN s >= 0.6 THEN 'yes' WHEN s >= 0.4 THEN 'maybe' ELSE 'no' END AS new, count(*) AS n FROM scored GROUP BY 1, 2")
 def r17(spark, d):
     s = F.col("s")
-    return scored(spark, d).groupBy(F.when(s >= 0.5, "yes").otherwise("no").alias("old"), F.when(s >= 0.6, "yes").when(s >= 0.4, "maybe").otherwise("no").alias("new")).agg(N.alias("n"))
+    return scored(spark, d).groupBy(F.when(s >= 0.5, "yes").otherwise("no").alias("old"), F.when(s >= 0.6, "yes").when(s >= 0.4, "maybe").otherwise("no").alias("new")).agg(rows_count().alias("n"))
 
 
 @book.add("r18_heldout_verdict", f"{WITH}, p AS (SELECT lang, count(*) AS n, avg(CAST(y AS DOUBLE)) AS p FROM scored WHERE s >= 0.4 GROUP BY lang) SELECT lang, CASE WHEN p >= 0.9 THEN 'A' WHEN p >= 0.8 THEN 'B' ELSE 'C' END AS verdict FROM p")
@@ -273,7 +278,7 @@ def r21(spark, d):
 @book.add("r24_repeat_stability", f"WITH {CURVE} SELECT user_id, count(*) AS draws, CASE WHEN count(*) FILTER (WHERE prob >= 20) = count(*) THEN 'all' WHEN count(*) FILTER (WHERE prob >= 20) = 0 THEN 'none' ELSE 'some' END AS stability FROM curve WHERE label = 'purchase' GROUP BY user_id")
 def r24(spark, d):
     hit = F.count_if(F.col("prob") >= 20)
-    return curve(spark, d).where("label = 'purchase'").groupBy("user_id").agg(N.alias("draws"), F.when(hit == N, "all").when(hit == 0, "none").otherwise("some").alias("stability"))
+    return curve(spark, d).where("label = 'purchase'").groupBy("user_id").agg(rows_count().alias("draws"), F.when(hit == rows_count(), "all").when(hit == 0, "none").otherwise("some").alias("stability"))
 
 
 CLAIMS = f"claims AS (SELECT doc_id, 1 AS rank, CASE WHEN doc_id % 3 = 0 THEN 'UNKNOWN' WHEN y = 1 THEN 'good' ELSE 'bad' END AS v FROM scored UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN s >= 0.5 THEN 'good' ELSE 'bad' END FROM scored UNION ALL SELECT doc_id, 3, CASE WHEN z = 1 THEN 'bad' ELSE 'UNKNOWN' END FROM scored)"
@@ -306,7 +311,7 @@ def u02(spark, d):
 @book.add("u03_symmetric_difference", f"{WITH}, a AS (SELECT lang, y FROM scored WHERE s >= 0.4), b AS (SELECT lang, y FROM scored WHERE s2 >= 0.4) SELECT side, lang, y, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) p UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) q) r GROUP BY ALL")
 def u03(spark, d):
     rows = scored(spark, d)
-    return reconcile.symmetric_difference(rows.where("s >= 0.4").select("lang", "y"), rows.where("s2 >= 0.4").select("lang", "y")).groupBy("side", "lang", "y").agg(N.alias("n"))
+    return reconcile.symmetric_difference(rows.where("s >= 0.4").select("lang", "y"), rows.where("s2 >= 0.4").select("lang", "y")).groupBy("side", "lang", "y").agg(rows_count().alias("n"))
 
 
 @book.add("u05_unanimous_upsert", f"{WITH}, votes AS (SELECT doc_id, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS v FROM scored UNION ALL SELECT doc_id, CASE WHEN s2 >= 0.5 THEN 1 ELSE 0 END FROM scored), c AS (SELECT doc_id, min(v) AS v FROM votes GROUP BY doc_id HAVING min(v) = max(v) AND count(*) >= 2) SELECT doc_id, y AS before, coalesce(v, y) AS y, coalesce(v, y) <> y AS changed FROM scored LEFT JOIN c USING (doc_id)")
@@ -323,7 +328,7 @@ def u07(spark, d):
     p = v.select(F.col("v").alias("a")).crossJoin(v.select(F.col("v").alias("b"))).crossJoin(v.select(F.col("v").alias("c")))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     n = ((a == "yes") & (b != "no")).cast("int") + ((a == "no") & (c == "yes")).cast("int") + (b == "no").cast("int")
-    return p.groupBy(n.alias("n")).agg(N.alias("combinations"))
+    return p.groupBy(n.alias("n")).agg(rows_count().alias("combinations"))
 
 
 @book.add("j01_gold_left_join", f"{WITH}, p AS (SELECT doc_id, s >= 0.5 AS h FROM scored WHERE doc_id % 4 <> 0) SELECT count(*) AS n, count(h) AS answered, round(avg(CASE WHEN h = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM scored LEFT JOIN p USING (doc_id)")
@@ -331,7 +336,7 @@ def j01(spark, d):
     rows = scored(spark, d)
     p = rows.where("doc_id % 4 <> 0").select("doc_id", (F.col("s") >= 0.5).alias("h"))
     right = F.coalesce(F.col("h") == (F.col("y") == 1), F.lit(False))
-    return rows.join(p, "doc_id", "left").agg(N.alias("n"), F.count("h").alias("answered"), r6(F.avg(right.cast("double"))).alias("accuracy"))
+    return rows.join(p, "doc_id", "left").agg(rows_count().alias("n"), F.count("h").alias("answered"), r6(F.avg(right.cast("double"))).alias("accuracy"))
 
 
 @book.add("j03_semi_join_both_classes", f"{WITH}, ok AS (SELECT source FROM scored GROUP BY source HAVING count(DISTINCT y) = 2) SELECT doc_id FROM scored WHERE source IN (SELECT source FROM ok)")
@@ -366,7 +371,7 @@ def j22(spark, d):
 @book.add("j29_leakage_check", f"{WITH} SELECT count(*) AS leaked FROM (SELECT source FROM scored WHERE s < 0.5 INTERSECT SELECT source FROM scored WHERE s >= 0.5) q")
 def j29(spark, d):
     rows = scored(spark, d)
-    return rows.where("s < 0.5").select("source").intersect(rows.where("s >= 0.5").select("source")).agg(N.alias("leaked"))
+    return rows.where("s < 0.5").select("source").intersect(rows.where("s >= 0.5").select("source")).agg(rows_count().alias("leaked"))
 
 
 @book.add("s09_union_conflicts", "WITH u AS (SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END FROM documents) SELECT doc_id, count(DISTINCT lang) AS versions FROM u GROUP BY doc_id HAVING count(DISTINCT lang) > 1")
@@ -377,7 +382,7 @@ def s09(spark, d):
 
 @book.add("l02_most_common", f"{WITH} SELECT lang, count(*) AS n FROM scored GROUP BY lang ORDER BY n DESC, min(doc_id) LIMIT 3")
 def l02(spark, d):
-    return scored(spark, d).groupBy("lang").agg(N.alias("n"), F.min("doc_id").alias("f")).orderBy(F.col("n").desc(), "f").limit(3).select("lang", "n")
+    return scored(spark, d).groupBy("lang").agg(rows_count().alias("n"), F.min("doc_id").alias("f")).orderBy(F.col("n").desc(), "f").limit(3).select("lang", "n")
 
 
 @book.add("l03_round_robin", f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id * 7919 % 1009, doc_id) AS depth FROM scored) SELECT doc_id, source, CAST(depth AS INTEGER) AS depth FROM r WHERE depth <= 4 ORDER BY depth, source LIMIT 50")

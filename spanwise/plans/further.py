@@ -15,7 +15,13 @@ from .temporal import PEAKS, decoded, iou_candidates, peaks
 book = Book()
 WITH = f"WITH {SCORED}"
 TIME = f"WITH {SEGMENTS}, {TRUTH}"
-N = F.count(F.lit(1))
+
+
+def rows_count():
+    """The number of rows, as an aggregate; made when asked for, as columns need a session."""
+    return F.count(F.lit(1))
+
+
 U = ["user_id"]
 
 
@@ -35,7 +41,7 @@ def j17(spark, d):
 def j25(spark, d):
     a = scored(spark, d).select("doc_id", "y")
     b = a.withColumn("y", F.when(F.col("doc_id") % 50 == 0, 1 - F.col("y")).otherwise(F.col("y")))
-    return reconcile.symmetric_difference(a, b).groupBy("side").agg(N.alias("n"))
+    return reconcile.symmetric_difference(a, b).groupBy("side").agg(rows_count().alias("n"))
 
 
 @book.add("j28_shared_events", f"{WITH}, a AS (SELECT doc_id, s FROM scored WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, s2 FROM scored WHERE doc_id % 5 <> 0) SELECT doc_id, s, round(s2, 6) AS s2 FROM a JOIN b USING (doc_id)")
@@ -49,7 +55,7 @@ def a06(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(tx.tokens(F.col("text"))).alias("a"))
     nxt = t.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("h"))
     p = t.join(nxt, "item_id").withColumn("g", F.slice(F.array_sort("a"), F.lit(1), (1 + F.col("item_id") % 4).cast("int"))).where("size(g) >= 2")
-    return p.agg(N.alias("n"), r6(F.avg(F.size(F.array_intersect("g", "h")) / F.size("g"))).alias("recall"))
+    return p.agg(rows_count().alias("n"), r6(F.avg(F.size(F.array_intersect("g", "h")) / F.size("g"))).alias("recall"))
 
 
 @book.add("a09_name_reward", "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM conversations), p AS (SELECT x.conv_id, x.turn, len(list_intersect(x.a, y.a)) / CAST(greatest(len(x.a) + len(y.a) - len(list_intersect(x.a, y.a)), 1) AS DOUBLE) AS sim, y.turn AS o FROM t x JOIN t y ON x.conv_id = y.conv_id), r AS (SELECT conv_id, turn, max(sim) FILTER (WHERE o = turn + 1) AS own, max(sim) FILTER (WHERE o <> turn + 1 AND o <> turn) AS other FROM p GROUP BY conv_id, turn) SELECT conv_id, turn, round(greatest(0, own - 0.5 * coalesce(other, 0)), 6) AS reward FROM r WHERE own IS NOT NULL")
@@ -65,7 +71,7 @@ def a09(spark, d):
 
 @book.add("a44_outlier_recordings", f"WITH {CURVE}, m AS (SELECT user_id, count(*) FILTER (WHERE label = 'error') AS errors, count(*) AS n FROM curve GROUP BY user_id) SELECT user_id, errors, n FROM (SELECT *, row_number() OVER (ORDER BY errors DESC, user_id) AS k FROM m) q WHERE k <= 5")
 def a44(spark, d):
-    m = curve(spark, d).groupBy("user_id").agg(F.count_if(F.col("label") == "error").alias("errors"), N.alias("n"))
+    m = curve(spark, d).groupBy("user_id").agg(F.count_if(F.col("label") == "error").alias("errors"), rows_count().alias("n"))
     return m.orderBy(F.col("errors").desc(), "user_id").limit(5)
 
 
@@ -130,14 +136,14 @@ def w04(spark, d):
 
 @book.add("l01_policy_order", f"{WITH} SELECT source, n, rate FROM (SELECT source, count(*) AS n, round(avg(CAST(y AS DOUBLE)), 6) AS rate, row_number() OVER (ORDER BY count(*) DESC, avg(CAST(y AS DOUBLE)) DESC, source) AS k FROM scored GROUP BY source) q WHERE k = 1")
 def l01(spark, d):
-    g = scored(spark, d).groupBy("source").agg(N.alias("n"), F.avg("y").alias("rate"))
+    g = scored(spark, d).groupBy("source").agg(rows_count().alias("n"), F.avg("y").alias("rate"))
     return g.orderBy(F.col("n").desc(), F.col("rate").desc(), "source").limit(1).select("source", "n", r6("rate").alias("rate"))
 
 
 @book.add("l04_stratified_round_robin", f"{WITH}, z AS (SELECT lang, count(*) AS size FROM scored GROUP BY lang), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 1009, doc_id) AS depth FROM scored) SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY depth, size DESC, lang) AS k FROM r JOIN z USING (lang) WHERE depth <= 12) q WHERE k <= 40")
 def l04(spark, d):
     rows = scored(spark, d)
-    size = rows.groupBy("lang").agg(N.alias("size"))
+    size = rows.groupBy("lang").agg(rows_count().alias("size"))
     depth = F.row_number().over(W.partitionBy("lang").orderBy(sampling.draw("doc_id"), "doc_id"))
     return rows.withColumn("depth", depth).where("depth <= 12").join(size, "lang").orderBy("depth", F.col("size").desc(), "lang").limit(40).select("doc_id", "lang")
 
@@ -181,7 +187,7 @@ def l16(spark, d):
 def l17(spark, d):
     rows = scored(spark, d)
     p = rows.groupBy("lang").agg(F.round(F.avg(1 - F.col("y")), 9).alias("yield"))
-    return rows.join(p, "lang").orderBy(F.col("yield").desc(), sampling.draw("doc_id"), "doc_id").limit(60).groupBy("lang").agg(N.alias("n"), r6(F.sum("yield")).alias("projected"))
+    return rows.join(p, "lang").orderBy(F.col("yield").desc(), sampling.draw("doc_id"), "doc_id").limit(60).groupBy("lang").agg(rows_count().alias("n"), r6(F.sum("yield")).alias("projected"))
 
 
 @book.add("l18_three_arm_sample", f"{WITH}, a AS (SELECT doc_id, 'disagree' AS arm FROM scored WHERE (s >= 0.5) <> (y = 1) AND z = 1), r AS (SELECT doc_id, row_number() OVER (PARTITION BY y ORDER BY doc_id * 7919 % 1009, doc_id) AS k, y FROM scored WHERE doc_id NOT IN (SELECT doc_id FROM a)) SELECT doc_id, arm FROM a UNION ALL SELECT doc_id, CASE WHEN y = 1 THEN 'fresh' ELSE 'control' END FROM r WHERE k <= 8")
@@ -216,7 +222,7 @@ def r13(spark, d):
 @book.add("r19_adoption_gate", f"{WITH}, m AS (SELECT avg(CASE WHEN (s >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN (s2 >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS b, count(*) AS n FROM scored) SELECT n >= 50 AS enough, b >= a - 0.05 AS not_worse, b > a AS better, n >= 50 AND b > a AS adopted FROM m")
 def r19(spark, d):
     ok = lambda k: F.avg(((F.col(k) >= 0.5) == (F.col("y") == 1)).cast("double"))
-    m = scored(spark, d).agg(ok("s").alias("a"), ok("s2").alias("b"), N.alias("n"))
+    m = scored(spark, d).agg(ok("s").alias("a"), ok("s2").alias("b"), rows_count().alias("n"))
     a, b = F.col("a"), F.col("b")
     return m.select((F.col("n") >= 50).alias("enough"), (b >= a - 0.05).alias("not_worse"), (b > a).alias("better"), ((F.col("n") >= 50) & (b > a)).alias("adopted"))
 
@@ -266,11 +272,11 @@ def b13(spark, d):
 @book.add("b14_random_topk_control", f"WITH {CURVE}, {TRUTH}, g AS (SELECT user_id, count(*) AS k FROM truth GROUP BY user_id), r AS (SELECT c.user_id, c.t, row_number() OVER (PARTITION BY c.user_id ORDER BY c.i * 7919 % 1009, c.i) AS q FROM curve c), p AS (SELECT r.user_id, r.t FROM r JOIN g ON r.user_id = g.user_id AND r.q <= g.k) SELECT count(*) AS n, count(*) FILTER (WHERE h) AS hits FROM (SELECT t.user_id, t.g, count(p.t) > 0 AS h FROM truth t LEFT JOIN p ON p.user_id = t.user_id AND abs(p.t - t.u) <= 3600 GROUP BY 1, 2) q")
 def b14(spark, d):
     g = truth(spark, d)
-    k = g.groupBy("user_id").agg(N.alias("k"))
+    k = g.groupBy("user_id").agg(rows_count().alias("k"))
     r = curve(spark, d).withColumn("q", F.row_number().over(W.partitionBy("user_id").orderBy(sampling.draw("i"), "i")))
     p = r.join(k, "user_id").where("q <= k").select("user_id", "t")
     hit = intervals.tolerance_join(g, p, U, "u", "t", HOUR, "left").groupBy("user_id", "g").agg((F.count("t") > 0).alias("h"))
-    return hit.agg(N.alias("n"), F.count_if("h").alias("hits"))
+    return hit.agg(rows_count().alias("n"), F.count_if("h").alias("hits"))
 
 
 @book.add("b15_label_flip_null")
@@ -287,7 +293,7 @@ def b15(spark, d):
 def b05(spark, d):
     rows = scored(spark, d)
     hit = lambda c: ((F.col(c) >= 0.5) == (F.col("y") == 1)).cast("double")
-    sums = rows.groupBy("source").agg(F.sum(hit("s")).alias("a"), F.sum(hit("s2")).alias("c"), N.alias("n"))
+    sums = rows.groupBy("source").agg(F.sum(hit("s")).alias("a"), F.sum(hit("s2")).alias("c"), rows_count().alias("n"))
     return resample.drawn(sums, "source", 100).groupBy("b").agg(r6((F.sum("c") - F.sum("a")) / F.sum("n")).alias("delta"))
 
 
@@ -317,7 +323,7 @@ def u08(spark, d):
     """Items whose word sets overlap by 0.15 or more, joined into groups; candidates share one of their rarer words."""
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(tx.tokens(F.col("text"))).alias("w"))
     words = t.select("item_id", "w", F.explode("w").alias("word"))
-    common = words.groupBy("word").agg(N.alias("df")).where("df BETWEEN 2 AND 20")
+    common = words.groupBy("word").agg(rows_count().alias("df")).where("df BETWEEN 2 AND 20")
     keyed = words.join(common, "word")
     pairs = keyed.select("word", F.col("item_id").alias("a"), F.col("w").alias("wa")).join(keyed.select("word", F.col("item_id").alias("b"), F.col("w").alias("wb")), "word").where("a < b")
     edges = pairs.select("a", "b", tx.jaccard(F.col("wa"), F.col("wb")).alias("j")).where("j >= 0.15").select("a", "b").distinct()
@@ -342,9 +348,9 @@ def a31(spark, d):
     h = (F.col("s2") >= 0.5).cast("long")
     g = scored(spark, d).groupBy("source").agg(F.sum(h * F.col("y")).alias("tp"), F.sum(h).alias("np"), F.sum("y").alias("ng"))
     exact = ((F.col("np") == F.col("ng")) & (F.col("tp") == F.col("ng"))).cast("double")
-    return g.agg(N.alias("n"), r6(F.avg(exact)).alias("exact"), r6(F.avg(F.abs(F.col("np") - F.col("ng")))).alias("cardinality_mae"), r6(2 * F.sum("tp") / (F.sum("np") + F.sum("ng"))).alias("micro_f1"))
+    return g.agg(rows_count().alias("n"), r6(F.avg(exact)).alias("exact"), r6(F.avg(F.abs(F.col("np") - F.col("ng")))).alias("cardinality_mae"), r6(2 * F.sum("tp") / (F.sum("np") + F.sum("ng"))).alias("micro_f1"))
 
 
 @book.add("v02_peak_counts", f"WITH {PEAKS} SELECT user_id, count(*) AS n FROM peaks GROUP BY user_id")
 def v02_counts(spark, d):
-    return peaks(spark, d).groupBy("user_id").agg(N.alias("n"))
+    return peaks(spark, d).groupBy("user_id").agg(rows_count().alias("n"))

@@ -14,7 +14,13 @@ from .base import CURVE, SCORED, TOL, Book, curve, r6, scored, truth
 
 book = Book()
 WITH = f"WITH {SCORED}"
-N = F.count(F.lit(1))
+
+
+def rows_count():
+    """The number of rows, as an aggregate; made when asked for, as columns need a session."""
+    return F.count(F.lit(1))
+
+
 EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, label, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM e)"
 
 
@@ -73,7 +79,7 @@ def w09(spark, d):
 def w11(spark, d):
     top = lambda y: F.max(F.when(F.col("y") == y, F.col("s2")))
     z = F.sum(F.exp("s2"))
-    return scored(spark, d).groupBy("source").agg(r6(top(1) - top(0)).alias("margin"), N.alias("n"), r6(F.log(z) - F.sum(F.exp("s2") * F.col("s2")) / z).alias("entropy"))
+    return scored(spark, d).groupBy("source").agg(r6(top(1) - top(0)).alias("margin"), rows_count().alias("n"), r6(F.log(z) - F.sum(F.exp("s2") * F.col("s2")) / z).alias("entropy"))
 
 
 @book.add("v27_transition_concentration", f"WITH {CURVE}, c AS (SELECT user_id, t, abs(prob - lag(prob) OVER (PARTITION BY user_id ORDER BY t, i)) AS c FROM curve), m AS (SELECT user_id, avg(t) AS mid FROM curve GROUP BY user_id) SELECT user_id, round(sum(CASE WHEN abs(t - mid) <= 259200 THEN c ELSE 0 END) / sum(c), 6) AS share, round(max(c) / quantile_cont(c, 0.5), 4) AS peak_to_median FROM c JOIN m USING (user_id) WHERE c IS NOT NULL GROUP BY user_id")
@@ -119,7 +125,7 @@ def b04(spark, d):
 @book.add("b06_excess_over_null", f"{WITH}, g AS (SELECT source, sum(CASE WHEN s > s2 THEN 1.0 WHEN s = s2 THEN 0.5 ELSE 0 END) AS w, sum(CASE WHEN s > 0.5 THEN 1.0 ELSE 0 END) AS w0, count(*) AS n FROM scored GROUP BY source) SELECT round(CAST(sum(w) / sum(n) AS DOUBLE), 6) AS observed, round(CAST(sum(w0) / sum(n) AS DOUBLE), 6) AS chance, round(CAST((sum(w) - sum(w0)) / sum(n) AS DOUBLE), 6) AS excess FROM g")
 def b06(spark, d):
     win = F.when(F.col("s") > F.col("s2"), 1.0).when(F.col("s") == F.col("s2"), 0.5).otherwise(0.0)
-    g = scored(spark, d).groupBy("source").agg(F.sum(win).alias("w"), F.sum((F.col("s") > 0.5).cast("double")).alias("w0"), N.alias("n"))
+    g = scored(spark, d).groupBy("source").agg(F.sum(win).alias("w"), F.sum((F.col("s") > 0.5).cast("double")).alias("w0"), rows_count().alias("n"))
     return g.agg(r6(F.sum("w") / F.sum("n")).alias("observed"), r6(F.sum("w0") / F.sum("n")).alias("chance"), r6((F.sum("w") - F.sum("w0")) / F.sum("n")).alias("excess"))
 
 
@@ -215,7 +221,7 @@ def v22(spark, d):
 
 @book.add("v26_longest_track", f"WITH {CURVE}, c AS (SELECT user_id, label, count(*) AS n, min(i) AS f FROM curve GROUP BY 1, 2) SELECT user_id, arg_max(label, {{'n': n, 'f': -f}}) AS track, max(n) AS n FROM c GROUP BY user_id")
 def v26(spark, d):
-    c = curve(spark, d).groupBy("user_id", "label").agg(N.alias("n"), F.min("i").alias("f"))
+    c = curve(spark, d).groupBy("user_id", "label").agg(rows_count().alias("n"), F.min("i").alias("f"))
     return c.groupBy("user_id").agg(F.max_by("label", F.struct("n", -F.col("f"))).alias("track"), F.max("n").alias("n"))
 
 

@@ -12,7 +12,11 @@ from .base import SCORED, Book, r6, scored
 
 book = Book()
 WITH = f"WITH {SCORED}"
-N = F.count(F.lit(1))
+
+
+def rows_count():
+    """The number of rows, as an aggregate; made when asked for, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 @book.add("a01_auroc", f"{WITH}, r AS (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2.0 AS r FROM scored) SELECT lang, CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg, round(CAST((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS DOUBLE), 6) AS auroc FROM r GROUP BY lang")
@@ -45,7 +49,7 @@ def decided(spark, d):
 @book.add("a04_confusion_matrix", f"{WITH} SELECT CASE WHEN y = 1 THEN 'keep' ELSE 'drop' END AS gold, CASE WHEN ({PRED}) IS NULL THEN '<none>' WHEN ({PRED}) = 'odd' THEN '<invalid>' ELSE ({PRED}) END AS pred, count(*) AS n FROM scored GROUP BY 1, 2")
 def a04(spark, d):
     shown = F.when(F.col("pred").isNull(), "<none>").when(~F.col("pred").isin("keep", "drop"), "<invalid>").otherwise(F.col("pred"))
-    return decided(spark, d).groupBy("gold", shown.alias("pred")).agg(N.alias("n"))
+    return decided(spark, d).groupBy("gold", shown.alias("pred")).agg(rows_count().alias("n"))
 
 
 SETS = "sets AS (SELECT conv_id, list_sort(list_distinct(list(CASE WHEN turn % 2 = 0 THEN role || (length(text) % 5) END))) AS a, list_sort(list_distinct(list(CASE WHEN turn % 2 = 1 THEN 'user' || (length(text) % 5) END))) AS b FROM conversations GROUP BY conv_id)"
@@ -71,12 +75,12 @@ def a10(spark, d):
 @book.add("a13_time_error", f"{WITH}, e AS (SELECT lang, abs(s - s2) AS e FROM scored) SELECT lang, count(*) AS n, round(avg(e), 6) AS mae, round(list_sort(list(e))[CAST(floor(count(*) / 2) AS BIGINT) + 1], 6) AS upper_median, round(avg(CASE WHEN e <= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS within FROM e GROUP BY lang")
 def a13(spark, d):
     e = scored(spark, d).select("lang", F.abs(F.col("s") - F.col("s2")).alias("e"))
-    return e.groupBy("lang").agg(N.alias("n"), r6(F.avg("e")).alias("mae"), r6(m.upper_median("e")).alias("upper_median"), r6(F.avg((F.col("e") <= 0.25).cast("double"))).alias("within"))
+    return e.groupBy("lang").agg(rows_count().alias("n"), r6(F.avg("e")).alias("mae"), r6(m.upper_median("e")).alias("upper_median"), r6(F.avg((F.col("e") <= 0.25).cast("double"))).alias("within"))
 
 
 @book.add("a14_calibration_buckets", f"{WITH} SELECT CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n, round(avg(CAST(y AS DOUBLE)), 6) AS accuracy FROM scored GROUP BY 1")
 def a14(spark, d):
-    return scored(spark, d).groupBy(sc.bucket(F.col("s"), [0.5, 0.8], ["low", "medium", "high"]).alias("bucket")).agg(N.alias("n"), r6(F.avg("y")).alias("accuracy"))
+    return scored(spark, d).groupBy(sc.bucket(F.col("s"), [0.5, 0.8], ["low", "medium", "high"]).alias("bucket")).agg(rows_count().alias("n"), r6(F.avg("y")).alias("accuracy"))
 
 
 W_SQL = "round((k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round((k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high"
@@ -84,7 +88,7 @@ W_SQL = "round((k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.841
 
 @book.add("a15_wilson", f"{WITH}, c AS (SELECT source, CAST(sum(y) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY source) SELECT source, {W_SQL} FROM c")
 def a15(spark, d):
-    c = scored(spark, d).groupBy("source").agg(F.sum("y").cast("double").alias("k"), N.cast("double").alias("n"))
+    c = scored(spark, d).groupBy("source").agg(F.sum("y").cast("double").alias("k"), rows_count().cast("double").alias("n"))
     lo, hi = sc.wilson(F.col("k"), F.col("n"))
     return c.select("source", r6(lo).alias("low"), r6(hi).alias("high"))
 
@@ -96,7 +100,7 @@ def a16(spark, d):
 
 @book.add("a17_pair_agreement", f"{WITH} SELECT y, z, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM scored GROUP BY y, z")
 def a17(spark, d):
-    c = scored(spark, d).groupBy("y", "z").agg(N.alias("n"))
+    c = scored(spark, d).groupBy("y", "z").agg(rows_count().alias("n"))
     return c.join(F.broadcast(c.agg(F.sum("n").alias("all")))).select("y", "z", "n", r6(F.col("n") / F.col("all")).alias("share"))
 
 
@@ -120,7 +124,7 @@ def a20(spark, d):
 
 @book.add("a21_functional_dependency", f"{WITH} SELECT source, lang, count(DISTINCT y) AS kinds, count(*) AS n FROM scored GROUP BY 1, 2 HAVING count(DISTINCT y) > 1")
 def a21(spark, d):
-    return scored(spark, d).groupBy("source", "lang").agg(F.count_distinct("y").alias("kinds"), N.alias("n")).where("kinds > 1")
+    return scored(spark, d).groupBy("source", "lang").agg(F.count_distinct("y").alias("kinds"), rows_count().alias("n")).where("kinds > 1")
 
 
 @book.add("a22_nested_residual_variance", f"{WITH}, r AS (SELECT s - avg(s) OVER (PARTITION BY lang) AS a, s - avg(s) OVER (PARTITION BY lang, source) AS b, s FROM scored) SELECT round(var_pop(s), 6) AS total, round(var_pop(a), 6) AS within_key, round(var_pop(b), 6) AS within_key_source FROM r")
@@ -131,7 +135,7 @@ def a22(spark, d):
 
 @book.add("a23_between_group_share", f"{WITH}, g AS (SELECT source, count(*) AS n, avg(s) AS a, var_pop(s) AS v FROM scored GROUP BY source HAVING count(*) >= 2), t AS (SELECT sum(n * a) / sum(n) AS mu FROM g) SELECT round(sum(n * (a - mu) * (a - mu)) / (sum(n * (a - mu) * (a - mu)) + sum(n * v)), 6) AS between_share FROM g, t")
 def a23(spark, d):
-    g = scored(spark, d).groupBy("source").agg(N.alias("n"), F.avg("s").alias("a"), F.var_pop("s").alias("v")).where("n >= 2")
+    g = scored(spark, d).groupBy("source").agg(rows_count().alias("n"), F.avg("s").alias("a"), F.var_pop("s").alias("v")).where("n >= 2")
     # sum n (a - mu)^2 = sum n a^2 - (sum n a)^2 / sum n
     between = F.sum(F.col("n") * F.col("a") ** 2) - F.sum(F.col("n") * F.col("a")) ** 2 / F.sum("n")
     return g.agg(r6(between / (between + F.sum(F.col("n") * F.col("v")))).alias("between_share"))
@@ -165,18 +169,18 @@ def w06(spark, d):
 
 @book.add("a26_shift_grouping_sets", f"{WITH} SELECT coalesce(source, '<all>') AS scope, y, count(*) AS n, round(avg(s), 6) AS mean, round(avg(CASE WHEN s < 0.1 OR s > 0.9 THEN 1.0 ELSE 0.0 END), 6) AS outside FROM scored GROUP BY GROUPING SETS ((y), (source, y))")
 def a26(spark, d):
-    out = scored(spark, d).groupingSets([["y"], ["source", "y"]], "source", "y").agg(N.alias("n"), r6(F.avg("s")).alias("mean"), r6(F.avg(((F.col("s") < 0.1) | (F.col("s") > 0.9)).cast("double"))).alias("outside"))
+    out = scored(spark, d).groupingSets([["y"], ["source", "y"]], "source", "y").agg(rows_count().alias("n"), r6(F.avg("s")).alias("mean"), r6(F.avg(((F.col("s") < 0.1) | (F.col("s") > 0.9)).cast("double"))).alias("outside"))
     return out.select(F.coalesce("source", F.lit("<all>")).alias("scope"), "y", "n", "mean", "outside")
 
 
 @book.add("a27_class_support", f"{WITH} SELECT y, count(*) AS n, count(DISTINCT source) AS recordings FROM scored GROUP BY y")
 def a27(spark, d):
-    return scored(spark, d).groupBy("y").agg(N.alias("n"), F.count_distinct("source").alias("recordings"))
+    return scored(spark, d).groupBy("y").agg(rows_count().alias("n"), F.count_distinct("source").alias("recordings"))
 
 
 @book.add("a28_mode_agreement", f"{WITH}, c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM scored GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS k, sum(n) OVER (PARTITION BY source) AS t FROM c) SELECT source, lang AS mode, round(n / CAST(t AS DOUBLE), 6) AS agreement FROM r WHERE k = 1")
 def a28(spark, d):
-    c = scored(spark, d).groupBy("source", "lang").agg(N.alias("n"), F.min("doc_id").alias("f"))
+    c = scored(spark, d).groupBy("source", "lang").agg(rows_count().alias("n"), F.min("doc_id").alias("f"))
     best = F.max_by(F.struct("lang", "n"), F.struct("n", -F.col("f")))
     return c.groupBy("source").agg(best.alias("b"), F.sum("n").alias("t")).select("source", F.col("b.lang").alias("mode"), r6(F.col("b.n") / F.col("t")).alias("agreement"))
 
@@ -196,7 +200,7 @@ def a30(spark, d):
     top = lambda y: F.max(F.when(F.col("y") == y, F.col("s2")))
     g = r.groupBy("source").agg(F.min(F.when(F.col("y") == 1, F.col("k"))).alias("best"), (top(1) - top(0)).alias("margin")).where("best IS NOT NULL AND margin IS NOT NULL")
     at = lambda k: r6(F.avg((F.col("best") <= k).cast("double"))).alias(f"recall_{k}")
-    return g.agg(N.alias("n"), at(1), at(2), at(3), r6(F.avg("margin")).alias("margin"), r6(F.avg((F.col("margin") < 0).cast("double"))).alias("negative"))
+    return g.agg(rows_count().alias("n"), at(1), at(2), at(3), r6(F.avg("margin")).alias("margin"), r6(F.avg((F.col("margin") < 0).cast("double"))).alias("negative"))
 
 
 @book.add("a32_selective_metrics", f"{WITH}, dd AS (SELECT y, z, CASE WHEN s >= 0.6 THEN 'keep' WHEN s <= 0.2 THEN 'reject' ELSE 'review' END AS v FROM scored) SELECT count(*) AS n, round(avg(CASE WHEN v <> 'review' THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN v = 'review' THEN 1.0 ELSE 0.0 END), 6) AS review_rate, count(*) FILTER (WHERE v = 'keep' AND y = 0) AS false_keeps, round(count(*) FILTER (WHERE v = 'keep' AND y = 1) / CAST(count(*) FILTER (WHERE v = 'keep') AS DOUBLE), 6) AS clean_precision, round(count(*) FILTER (WHERE v = 'keep' AND y = 1 AND z = 0) / CAST(count(*) FILTER (WHERE v = 'keep') AS DOUBLE), 6) AS full_precision FROM dd")
@@ -205,7 +209,7 @@ def a32(spark, d):
     rows = scored(spark, d).withColumn("v", v)
     keep = F.col("v") == "keep"
     share = lambda c: r6(F.avg(c.cast("double")))
-    return rows.agg(N.alias("n"), share(F.col("v") != "review").alias("coverage"), share(F.col("v") == "review").alias("review_rate"), F.count_if(keep & (F.col("y") == 0)).alias("false_keeps"), r6(F.count_if(keep & (F.col("y") == 1)) / F.count_if(keep)).alias("clean_precision"), r6(F.count_if(keep & (F.col("y") == 1) & (F.col("z") == 0)) / F.count_if(keep)).alias("full_precision"))
+    return rows.agg(rows_count().alias("n"), share(F.col("v") != "review").alias("coverage"), share(F.col("v") == "review").alias("review_rate"), F.count_if(keep & (F.col("y") == 0)).alias("false_keeps"), r6(F.count_if(keep & (F.col("y") == 1)) / F.count_if(keep)).alias("clean_precision"), r6(F.count_if(keep & (F.col("y") == 1) & (F.col("z") == 0)) / F.count_if(keep)).alias("full_precision"))
 
 
 @book.add("a33_risk_coverage", f"{WITH}, x AS (SELECT y, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE s END AS s FROM scored), th AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS t), c AS (SELECT CAST(t AS DOUBLE) AS threshold, CAST(count(*) FILTER (WHERE s >= t) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE s >= t AND y = 1) AS DOUBLE) AS k, count(*) AS total FROM x, th GROUP BY t) SELECT threshold, CAST(n AS BIGINT) AS kept, round(n / total, 6) AS coverage, round(k / n, 6) AS precision, {W_SQL.replace('AS low', 'AS wilson_low').replace('AS high', 'AS wilson_high')} FROM c")
@@ -242,7 +246,7 @@ def a38(spark, d):
     rows = scored(spark, d)
     # the k-th largest from counts of distinct scores, not from one ordered task over all rows
     k = rows.agg(F.count_if(F.col("s") >= 0.6).alias("k"))
-    counts = rows.groupBy("s2").agg(N.alias("n"))
+    counts = rows.groupBy("s2").agg(rows_count().alias("n"))
     upto = counts.withColumn("n", F.sum("n").over(W.orderBy(F.col("s2").desc())))
     return upto.join(F.broadcast(k), F.col("n") >= F.col("k")).groupBy("k").agg(F.max("s2").alias("threshold"))
 
@@ -261,7 +265,7 @@ def a40(spark, d):
     third = lambda c: sc.bucket(F.col(c), [0.33, 0.66], ["low", "mid", "high"])
     rows = scored(spark, d).withColumn("a", third("s")).withColumn("b", third("s2"))
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("doc_id")))
-    return rows.groupBy("a", "b").agg(N.alias("n"), r6(F.avg("y")).alias("valid_rate"), F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.col("doc_id")))).alias("examples"))
+    return rows.groupBy("a", "b").agg(rows_count().alias("n"), r6(F.avg("y")).alias("valid_rate"), F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.col("doc_id")))).alias("examples"))
 
 
 FOLD = "doc_id % 5"
@@ -278,7 +282,7 @@ def a41(spark, d):
 def a48(spark, d):
     rows = scored(spark, d)
     w = W.partitionBy("source", "lang")
-    g = rows.withColumn("t", F.sum("y").over(w)).withColumn("n", N.over(w))
+    g = rows.withColumn("t", F.sum("y").over(w)).withColumn("n", rows_count().over(w))
     overall = rows.agg(F.avg("y").alias("p"))
     return g.join(F.broadcast(overall)).select("doc_id", r6(F.when(F.col("n") == 1, F.col("p")).otherwise((F.col("t") - F.col("y")) / (F.col("n") - 1))).alias("prior"))
 
@@ -287,7 +291,7 @@ def a48(spark, d):
 def a49(spark, d):
     a, b = F.col("a") > 0, F.col("b") > 0
     g = scored(spark, d).groupBy("source").agg(F.count_if(F.col("lang") == "es").alias("a"), F.count_if(F.col("z") == 1).alias("b")).where(a | b)
-    return g.agg(F.count_if(a).alias("has_a"), F.count_if(b).alias("has_b"), F.count_if(a & b).alias("has_both"), N.alias("has_any"))
+    return g.agg(F.count_if(a).alias("has_a"), F.count_if(b).alias("has_b"), F.count_if(a & b).alias("has_both"), rows_count().alias("has_any"))
 
 
 @book.add("a50_fingerprint", f"{WITH} SELECT source, substr(sha256(array_to_string(list_sort(list_distinct(list(CAST(doc_id AS VARCHAR)))), chr(31)) || chr(31)), 1, 16) AS fingerprint FROM scored GROUP BY source")
@@ -318,7 +322,7 @@ def a51(spark, d):
 @book.add("a52_blocker_margins", f"{FAILS} SELECT CAST(len(fails) AS INTEGER) AS away, count(*) AS n, list_sort(list_distinct(flatten(list(fails)))) AS blockers FROM fails GROUP BY 1")
 def a52(spark, d):
     f = failures(spark, d)
-    n = f.groupBy(F.size("fails").alias("away")).agg(N.alias("n"))
+    n = f.groupBy(F.size("fails").alias("away")).agg(rows_count().alias("n"))
     who = f.select(F.size("fails").alias("away"), F.explode_outer("fails").alias("b")).groupBy("away").agg(F.array_sort(F.collect_set("b")).alias("blockers"))
     return n.join(who, "away")
 
@@ -326,8 +330,8 @@ def a52(spark, d):
 @book.add("a53_reportable_recall", f"{WITH}, p AS (SELECT lang, source, CASE WHEN s2 < 0.7 THEN lang ELSE 'en' END AS h FROM scored), c AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS r, avg(CASE WHEN h = lang THEN 1.0 ELSE 0.0 END) AS recall FROM p GROUP BY lang) SELECT count(*) AS classes, round(avg(recall), 6) AS macro_recall, round(max(n) / CAST(sum(n) AS DOUBLE), 6) AS majority FROM c WHERE n >= 30 AND r >= 5")
 def a53(spark, d):
     h = F.when(F.col("s2") < 0.7, F.col("lang")).otherwise("en")
-    c = scored(spark, d).groupBy("lang").agg(N.alias("n"), F.count_distinct("source").alias("r"), F.avg((h == F.col("lang")).cast("double")).alias("recall")).where("n >= 30 AND r >= 5")
-    return c.agg(N.alias("classes"), r6(F.avg("recall")).alias("macro_recall"), r6(F.max("n") / F.sum("n")).alias("majority"))
+    c = scored(spark, d).groupBy("lang").agg(rows_count().alias("n"), F.count_distinct("source").alias("r"), F.avg((h == F.col("lang")).cast("double")).alias("recall")).where("n >= 30 AND r >= 5")
+    return c.agg(rows_count().alias("classes"), r6(F.avg("recall")).alias("macro_recall"), r6(F.max("n") / F.sum("n")).alias("majority"))
 
 
 @book.add("a55_relabel_impact", f"{WITH}, o AS (SELECT doc_id, y AS old, CASE WHEN doc_id % 11 = 0 THEN 1 - y WHEN doc_id % 13 = 0 THEN NULL ELSE y END AS new FROM scored) SELECT count(*) FILTER (WHERE new IS NULL) AS left_set, count(*) FILTER (WHERE new <> old) AS flipped, round(avg(CAST(old AS DOUBLE)), 6) AS rate_before, round(avg(CAST(new AS DOUBLE)), 6) AS rate_after FROM o")
@@ -348,7 +352,7 @@ def a56(spark, d):
 def a57(spark, d):
     rows = scored(spark, d)
     cut = rows.where("y = 1").agg(F.percentile("s", 0.5).alias("c"))
-    return rows.where("y = 0").join(F.broadcast(cut)).groupBy("lang").agg(N.alias("n"), r6(F.avg((F.col("s") >= F.col("c")).cast("double"))).alias("false_positive_rate"))
+    return rows.where("y = 0").join(F.broadcast(cut)).groupBy("lang").agg(rows_count().alias("n"), r6(F.avg((F.col("s") >= F.col("c")).cast("double"))).alias("false_positive_rate"))
 
 
 PAIRS = f"{WITH}, r AS (SELECT source, y, s, row_number() OVER (PARTITION BY source, y ORDER BY doc_id) AS k FROM scored), p AS (SELECT a.source, a.s AS sa, b.s AS sb FROM r a JOIN r b ON a.source = b.source AND a.k = b.k AND a.y = 1 AND b.y = 0)"
@@ -359,12 +363,12 @@ def a58(spark, d):
     r = scored(spark, d).withColumn("k", F.row_number().over(W.partitionBy("source", "y").orderBy("doc_id")))
     a = r.where("y = 1").select("source", "k", F.col("s").alias("sa"))
     b = r.where("y = 0").select("source", "k", F.col("s").alias("sb"))
-    return a.join(b, ["source", "k"]).agg(N.alias("n"), r6(F.avg(F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0))).alias("win_rate"))
+    return a.join(b, ["source", "k"]).agg(rows_count().alias("n"), r6(F.avg(F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0))).alias("win_rate"))
 
 
 @book.add("j26_within_group_pairs", f"{WITH}, g AS (SELECT source, sum(y) AS p, count(*) - sum(y) AS n FROM scored GROUP BY source) SELECT source, CAST(p * n AS BIGINT) AS pairs FROM g WHERE p * n > 0")
 def j26(spark, d):
-    g = scored(spark, d).groupBy("source").agg((F.sum("y") * (N - F.sum("y"))).alias("pairs"))
+    g = scored(spark, d).groupBy("source").agg((F.sum("y") * (rows_count() - F.sum("y"))).alias("pairs"))
     return g.where("pairs > 0")
 
 
@@ -376,4 +380,4 @@ def j27(spark, d):
 @book.add("a42_vocabulary", "WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT w AS word, count(*) AS n, count(DISTINCT item_id) AS items FROM w GROUP BY w HAVING count(*) >= 3")
 def a42(spark, d):
     w = table(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return w.groupBy("word").agg(N.alias("n"), F.count_distinct("item_id").alias("items")).where("n >= 3")
+    return w.groupBy("word").agg(rows_count().alias("n"), F.count_distinct("item_id").alias("items")).where("n >= 3")
