@@ -225,6 +225,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     found = near_duplicates(docs, shingle)
     groups = cut(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"), F.count(F.lit(1)).alias("n")).where("keep").select(F.col("doc_id").alias("kept_id"), "n"), "simhash-kept")
+    groups = groups.hint("merge")  # grows with the documents: never broadcast
     single = docs.join(groups.where("n = 1"), docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi")
     several = docs.join(groups.where("n > 1"), docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi")
     ranked = several.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))).where("__rank = 1").drop("__rank")

@@ -4,9 +4,9 @@ Layout of a store, all under one folder and all Parquet:
 
 ``records``
     One row a document in ascending ``doc_id`` order: its recipe (digests and id
-    counts of its chunks), and the payload of each chunk that first occurs in it.
+    counts of its chunks), and the payload of each chunk that it owns.
     A chunk's payload is stored once in the whole store, whatever the number of
-    recipes that name it. ``shard`` and ``ordinal`` give the document's place.
+    recipes that name it, with the first of those documents that were staged with it. ``shard`` and ``ordinal`` give the document's place.
 ``manifest``
     One row a shard: its documents, its ids, and the root of the Merkle tree over
     the document digests in order.
@@ -47,7 +47,7 @@ BATCH_CHARS = 1_000_000
 #: Bytes of text whose words are numbered at once, and words that are cut into chunks at once.
 ENCODED_CHARS, CUT_WORDS = 8_000_000, 100_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 300_000, 700_000
+REMEMBERED_WORDS, REMEMBERED_PIECES = 250_000, 600_000
 #: Stands between words that are cut into pieces together.
 MARK = " \0 "
 
@@ -321,14 +321,17 @@ def _stage(path: str, end_id: int, width: int):
                     ids = np.insert(bare, np.cumsum(n), end_id)
                     n = n + 1
                     rows: list[list] = [[], [], [], [], [], [], []]
-                    begin = 0
+                    begin, given = 0, set()
                     for doc_id, m, cuts in zip(doc_ids[first : first + len(n)], n.tolist(), cut_points(ids, n)):
                         digests, counts, payloads, at = [], [], [], 0
                         for end in cuts:
                             chunk = ids[begin + at : begin + end]
-                            digests.append(chunk_digest(chunk))
+                            digest = chunk_digest(chunk)
+                            digests.append(digest)
                             counts.append(end - at)
-                            payloads.append(pack.compress(chunk.astype(f"<u{width}").tobytes()))
+                            # a chunk that this group of texts has given before goes without its payload
+                            payloads.append(None if digest in given else pack.compress(chunk.astype(f"<u{width}").tobytes()))
+                            given.add(digest)
                             at = end
                         for column, x in zip(rows, (doc_id, row, document_digest(digests, counts), m, digests, counts, payloads)):
                             column.append(x)
@@ -386,9 +389,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_t
     total = staged.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
 
-    refs = staged.select("doc_id", "doc_digest", "row_id", F.posexplode("digests").alias("pos", "digest"))
+    given = F.transform("payloads", lambda p: p.isNotNull())
+    refs = staged.select("doc_id", "doc_digest", "row_id", F.posexplode(F.arrays_zip(F.col("digests").alias("digest"), given.alias("given"))).alias("pos", "c")).select("doc_id", "doc_digest", "row_id", "pos", "c.digest", "c.given")
     place = F.struct("doc_id", "doc_digest", "row_id", "pos")
-    several = refs.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = refs.groupBy("digest").agg(F.min(F.when(F.col("given"), place)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeats = (
         refs.join(several, "digest")
         .groupBy("doc_id", "doc_digest", "row_id")
