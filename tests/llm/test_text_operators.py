@@ -209,3 +209,44 @@ def test_decontamination_finds_planted_and_paraphrased(spark):
     assert kept.where("doc_id is null").count() == 1
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.where("item_id > 90")).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 3, 5, 7, 8, 10, 12, 15, 20, 31])
+def test_decontamination_of_short_items_matches_brute_force(spark, words):
+    import numpy as np
+
+    rng = random.Random(words)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 8))) for _ in range(3000)]
+    common = vocabulary[:40]
+    draw = lambda: rng.choice(common if rng.random() < 0.4 else vocabulary)
+    items = [[draw() for _ in range(words)] for _ in range(12)]
+    rows, planted = [], set()
+    for k in range(240):
+        text = [draw() for _ in range(rng.randrange(100, 400))]
+        if k % 2 == 0:
+            item = k // 2 % 12
+            copy = list(items[item])
+            if k % 4 == 0 and words >= 8:  # some of its words are others
+                for i in rng.sample(range(words), words // 4):
+                    copy[i] = rng.choice(vocabulary)
+            else:
+                planted.add((k, item))
+            at = rng.randrange(len(text))
+            text[at:at] = copy
+        rows.append((k, text))
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in rows], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert planted <= got
+    if words >= 8:  # nine tenths of the item in order, in a part about as long
+        n, wide = words, int(1.3 * words)
+        number = {w: i for i, w in enumerate(vocabulary)}
+        for k, text in rows:
+            t = np.array([number[w] for w in text])
+            for i, item in enumerate(items):
+                w = np.array([number[x] for x in item])
+                if (k, i) not in got and np.isin(t, w).sum() >= 0.8 * n:
+                    assert max(decontaminate.common_subsequence(w, t[a : a + wide]) for a in range(0, max(1, len(t) - n + 1), max(1, n // 8))) < 0.9 * n
+    else:
+        joined = {k: f" {' '.join(t)} " for k, t in rows}
+        assert got == {(k, i) for k in joined for i, item in enumerate(items) if f" {' '.join(item)} " in joined[k]}
