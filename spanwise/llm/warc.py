@@ -2,7 +2,8 @@
 
 Every record is a gzip member of its own. The reader's tasks each scan one byte
 range of an archive for the gzip magic. A candidate counts as a member if what it
-inflates to starts with a WARC version line and a readable header block. A task
+inflates to starts with a WARC version line and a readable header block, however
+long. A task
 owns the records whose member starts inside its range and reads the last of them
 past the range's end. Each record is thus read once however the ranges lie.
 
@@ -30,7 +31,7 @@ from .shared import cut, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
-#: A header block longer than this does not count as a record's.
+#: Bytes inflated at once while a header block's end is sought.
 HEADER_BYTES = 1 << 16
 ROWS_PER_FILE = 20_000
 #: The identifier of a page without ``page_id``.
@@ -174,19 +175,25 @@ class Range:
 def starts_record(source: Range, at: int) -> bool:
     """Whether a gzip member with a WARC header block starts here."""
     inflate = zlib.decompressobj(31)
-    got, step = b"", 4096
+    got, step = bytearray(), 4096
     try:
-        while len(got) < HEADER_BYTES and at < source.size and not inflate.eof:
-            raw = source.bytes(at, step)
-            got += inflate.decompress(raw, HEADER_BYTES)
+        while not inflate.eof:
+            raw = inflate.unconsumed_tail
+            if not raw:
+                raw = source.bytes(at, step)
+                at += len(raw)
+            more = inflate.decompress(raw, HEADER_BYTES)
+            if not raw and not more:
+                return False
+            seen = max(0, len(got) - 3)
+            got += more
             if len(got) >= 5 and not got.startswith(b"WARC/"):
                 return False
-            if b"\r\n\r\n" in got:
-                return header_block(got) is not None
-            at += len(raw)
+            if got.find(b"\r\n\r\n", seen) >= 0:
+                return header_block(bytes(got)) is not None
     except zlib.error:
         return False
-    return header_block(got) is not None
+    return False
 
 
 def inflate_member(source: Range, at: int) -> tuple[bytes, int]:
@@ -270,7 +277,14 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back, one row a record."""
+    """Write ``pages`` to archives in the shared folder and read them back, one row a record.
+
+    Fails if the reader does not find as many records as the manifest counts.
+    """
     folder = shared_dir(pages.sparkSession, "warc")
-    records = read_warc(write_warc(pages, folder, least_bytes), split_bytes)
-    return records.mapInArrow(_digested, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean")
+    manifest = write_warc(pages, folder, least_bytes)
+    rows = cut(read_warc(manifest, split_bytes).mapInArrow(_digested, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"), "warc-rows")
+    written, read = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], rows.count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written and {read} read")
+    return rows

@@ -259,6 +259,18 @@ def test_warc_round_trip(spark, split):
     assert all(r.digest_ok for r in rows)
 
 
+def test_warc_keeps_pages_with_long_urls(spark, monkeypatch):
+    rng = random.Random(6)
+    pages = [(i, "http://x/?" + "".join(rng.choice("abcdefghij0123456789") for _ in range(n)), "<p>") for i, n in enumerate((10, 65_000, 65_536, 300_000))]
+    pages += [(10, "data:," + "a" * 5_000_000, "x"), (11, "http://x/11", "y")]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(docs, split_bytes=9000).collect()) == [0, 1, 2, 3, 10, 11]
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda archives, split_bytes: read(archives, split_bytes).where("warc_type = 'revisit' OR http_length > 1"))
+    with pytest.raises(RuntimeError, match="6 records were written and"):
+        warc.round_trip(docs)
+
+
 def test_warc_reader_owns_each_record_once_and_skips_false_magic(spark, tmp_path):
     import gzip
 
