@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .shared import cut, tidy
+from .shared import cut, row_key, tidy
 from .token_store import slices
 
 SEED = 42
@@ -66,12 +66,12 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def _fingerprint(shingle: int):
+def _fingerprint(shingle: int, *more: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprints(part.column(1).to_pylist(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *(part.column(c) for c in more)], names=["doc_id", "fp", *more])
 
     return run
 
@@ -201,6 +201,14 @@ def links(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(_dealt, "k int, bits long").repartition(tasks, "k", F.shiftrightunsigned("bits", 36)).mapInArrow(_joined, "a long, b long")
 
 
+def _named(fps: DataFrame) -> DataFrame:
+    """``fp, label, component_id`` of each distinct fingerprint of ``fps`` (doc_id, fp): its group, and the group's least ``doc_id``."""
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    component = connected(links(classes)).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    labelled = classes.join(component, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row of ``docs``.
 
@@ -211,22 +219,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     component unless all its documents have none. Other columns are ignored.
     """
     fps = cut(fingerprint(docs, shingle), "simhash")
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    component = connected(links(classes)).select(F.col("node").alias("fp"), F.col("component").alias("label"))
-    labelled = classes.join(component, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(_named(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each group of near duplicates, all columns kept.
+    """The row with the smallest ``doc_id``, then text, of each group of near duplicates, all columns kept.
 
-    Of rows that repeat this ``doc_id`` the one with the least text stays.
+    Null ids come last. Every group keeps a row, whatever ids its rows share with
+    other groups.
     """
-    found = near_duplicates(docs, shingle)
-    groups = cut(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"), F.count(F.lit(1)).alias("n")).where("keep").select(F.col("doc_id").alias("kept_id"), "n"), "simhash-kept")
-    groups = groups.hint("merge")  # grows with the documents: never broadcast
-    single = docs.join(groups.where("n = 1"), docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi")
-    several = docs.join(groups.where("n > 1"), docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi")
-    ranked = several.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))).where("__rank = 1").drop("__rank")
-    return single.unionByName(ranked)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
+    fps = cut(keyed.mapInArrow(_fingerprint(shingle, "key"), "doc_id long, fp long, key long"), "simhash")
+    least = fps.join(_named(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
+    least = cut(least, "simhash-kept")
+    tied = least.groupBy("label").agg(F.sum("n").alias("n"), F.min("key").alias("__key"))
+    rows = docs.withColumn("__key", row_key())
+    # both grow with the documents: never broadcast
+    single = rows.join(tied.where("n = 1").select("__key").hint("merge"), "__key", "left_semi").select(*docs.columns)
+    several = least.join(tied.where("n > 1").select("label"), "label").select(F.col("label").alias("__label"), F.col("key").alias("__key"))
+    ranked = rows.join(several.hint("merge"), "__key").withColumn("__rank", F.row_number().over(W.partitionBy("__label").orderBy(F.col("text").asc_nulls_first()))).where("__rank = 1")
+    return single.unionByName(ranked.select(*docs.columns))

@@ -94,6 +94,14 @@ def test_simhash_repeated_and_null_ids(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_group_whatever_its_ids(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "zz yy"), (None, "zz yy"), (None, "qq rr ss"), (2, "a b c d"), (3, "kk ll mm nn"), (3, "oo pp uu vv"), (4, None), (5, "oo pp uu vv")]
+    kept = simhash.one_of_each(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == [(1, "a b c d"), (3, "kk ll mm nn"), (3, "oo pp uu vv"), (4, None), (None, "qq rr ss"), (None, "zz yy")]
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 24))

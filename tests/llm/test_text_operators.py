@@ -250,3 +250,15 @@ def test_decontamination_of_short_items_matches_brute_force(spark, words):
     else:
         joined = {k: f" {' '.join(t)} " for k, t in rows}
         assert got == {(k, i) for k in joined for i, item in enumerate(items) if f" {' '.join(item)} " in joined[k]}
+
+
+def test_clean_judges_rows_with_one_id_or_none_each(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    item = " ".join(words[:20])
+    other = [" ".join(rng.choice(words[20:]) for _ in range(60)) for _ in range(3)]
+    rows = [(None, f"{other[0]} {item}"), (None, other[0]), (7, f"{item} {other[1]}"), (7, other[1]), (8, other[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = decontaminate.clean(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, other[0]), (7, other[1]), (8, other[2]), (None, None)}
