@@ -320,13 +320,18 @@ def m07(spark, d):
 
 @book.add("u08_similar_label_groups")
 def u08(spark, d):
-    """Items whose word sets overlap by 0.15 or more, joined into groups; candidates share one of their rarer words."""
+    """Items whose word sets overlap by 0.15 or more, joined into groups.
+
+    Two sets at a Jaccard of t share a word among all but ceil(t n) - 1 of the rarest
+    of each one's n words; no pair is missed. Sets without words equal each other.
+    """
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(tx.tokens(F.col("text"))).alias("w"))
-    words = t.select("item_id", "w", F.explode("w").alias("word"))
-    common = words.groupBy("word").agg(rows_count().alias("df")).where("df BETWEEN 2 AND 20")
-    keyed = words.join(common, "word")
-    pairs = keyed.select("word", F.col("item_id").alias("a"), F.col("w").alias("wa")).join(keyed.select("word", F.col("item_id").alias("b"), F.col("w").alias("wb")), "word").where("a < b")
-    edges = pairs.select("a", "b", tx.jaccard(F.col("wa"), F.col("wb")).alias("j")).where("j >= 0.15").select("a", "b").distinct()
+    words = t.select("item_id", F.size("w").alias("n"), F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("")))).alias("word"))
+    ranked = words.join(words.groupBy("word").agg(rows_count().alias("df")), "word").withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("df", "word")))
+    keyed = ranked.where(F.col("rank") <= F.col("n") - F.ceil(0.15 * F.col("n") - 1e-9) + 1)
+    pairs = keyed.select("word", F.col("item_id").alias("a"), F.col("n").alias("na")).join(keyed.select("word", F.col("item_id").alias("b"), F.col("n").alias("nb")), "word").where("a < b AND na >= 0.15 * nb - 1e-9 AND nb >= 0.15 * na - 1e-9").select("a", "b").distinct()
+    both = pairs.join(t.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), "a").join(t.select(F.col("item_id").alias("b"), F.col("w").alias("wb")), "b")
+    edges = both.where(tx.jaccard(F.col("wa"), F.col("wb")) >= 0.15).select("a", "b").distinct()
     return graph.linked_groups(t, edges, "item_id")
 
 

@@ -53,3 +53,28 @@ def test_gives_rows(spark, name):
 
 def test_names_of_registry():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def groups_by_brute_force(texts):
+    import re
+
+    sets = {i: set(re.findall("[a-z]+", t.lower())) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                union = sets[a] | sets[b]
+                if (len(sets[a] & sets[b]) / len(union) if union else 1.0) >= 0.15:
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[i]] == root[i] for i in root) and not any(root[a] != root[b] for a in sets for b in sets if (len(sets[a] & sets[b]) >= 0.15 * len(sets[a] | sets[b]))):
+            return root
+    return root
+
+
+def test_similar_groups_of_common_words_only(spark, tmp_path):
+    """Items that share only words which more than twenty items have, as benchmarks grow."""
+    texts = {i: "common words of all " + " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[j]}{'uvwxyzabcd'[i // 10]}" for j in range(4 + i % 6)) for i in range(60)} | {90: "", 91: "1", 92: "alone here"}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.root for r in registry.QUERIES["u08_similar_label_groups"](spark, str(tmp_path)).collect()}
+    assert got == groups_by_brute_force(texts)
+    assert got[59] == 0 and got[91] == 90 and got[92] == 92
