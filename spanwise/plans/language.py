@@ -107,7 +107,7 @@ def f12(spark, d):
 
 @book.add("f13_compound_supervision")
 def f13(spark, d):
-    c = table(spark, d, "conversations").withColumn("label", F.substring("text", 1, 60))
+    c = table(spark, d, "conversations").withColumn("label", F.col("text"))
     nxt = c.withColumn("next_label", F.lead("label").over(W.partitionBy("conv_id").orderBy("turn"))).where("next_label IS NOT NULL")
     a, b = F.col("label"), F.col("next_label")
     made = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("original", F.concat_ws(", then ", a, b)), ("reorder", F.concat_ws(", then ", b, a)), ("drop_claim", a), ("paraphrase", F.concat_ws(" and afterwards ", a, b)))])

@@ -78,3 +78,12 @@ def test_similar_groups_of_common_words_only(spark, tmp_path):
     got = {r.item_id: r.root for r in registry.QUERIES["u08_similar_label_groups"](spark, str(tmp_path)).collect()}
     assert got == groups_by_brute_force(texts)
     assert got[59] == 0 and got[91] == 90 and got[92] == 92
+
+
+def test_compound_targets_hold_whole_turns(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "short " + long), (1, 2, "user", "end")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.turn, r.kind): r.text for r in registry.QUERIES["f13_compound_supervision"](spark, str(tmp_path)).collect()}
+    assert got[0, "original"] == f"{long}, then short {long}" and got[0, "drop_claim"] == long
+    assert got[1, "reorder"] == f"end, then short {long}" and len(got) == 8
