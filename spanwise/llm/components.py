@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import cut_at, drop
@@ -14,25 +14,27 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round hangs every node's larger neighbours, then all its smaller ones, on
     the least it knows of; a path of n nodes takes about log n rounds. Only minima
     are kept of a node's neighbours, so a node with very many costs no more memory.
-    Each round's links are written to the shared folder, which cuts the lineage.
-    Links that are null or lead from a node to itself are ignored; without links
-    the result is empty.
+    The links of each half of a round are written to the shared folder, which cuts
+    the lineage and keeps every plan small. Links that are null or lead from a node
+    to itself are ignored; without links the result is empty.
     """
     spark = links.sparkSession
     stars, path = cut_at(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "components")
     seen = None
     for _ in range(most_rounds):
         # the least neighbour that each node has; what is larger than the node hangs on it
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ways = stars.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
+        large, half = cut_at(stars.join(least, F.col("v") == F.col("hub")).select("u", F.col("m").alias("v")).distinct(), "components")
         # each node and its smaller neighbours hang on the least of these
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        after, new = cut_at(small, "components")
-        now = tuple(after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(20)")), F.bit_xor(F.xxhash64("u", "v"))).first())
+        small = large.join(down, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u > v").distinct()
+        # a task that is run again may count twice: then there is a round more, never one less
+        told = Observation()
+        after, new = cut_at(small.observe(told, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v").cast("decimal(20)")).alias("s")), "components")
         drop(spark, path)
-        stars, path = after, new
+        drop(spark, half)
+        stars, path, now = after, new, tuple(told.get.values())
         if now == seen:
             break
         seen = now

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent (tests on one machine) one temporary folder per
-    application is used in its place.
+    Where the setting is absent a local session uses one temporary folder per
+    application in its place; on a cluster, whose machines do not share one, this
+    is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -55,8 +59,18 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def sent(spark: SparkSession, value):
+    """``value`` broadcast for the actions inside, and gone from driver and executors after them."""
+    held = spark.sparkContext.broadcast(value)
+    try:
+        yield held
+    finally:
+        held.destroy()
+
+
 def tidy() -> None:
-    """Give memory that a Python worker has freed back to the system; workers live on between tasks."""
+    """Give memory that a Python process has freed back to the system; workers live on between tasks."""
     import ctypes
 
     import pyarrow as pa
