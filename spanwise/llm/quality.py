@@ -11,8 +11,9 @@ network has not seen makes its output a probability.
 
 Defined cases: null text is empty; an empty text has a pooled vector of zeros and
 gets the network's score for that; labels that are null or belong to no document
-teach nothing; where one class has no rows every score is that of the other; rows
-that repeat are each answered; other columns are ignored.
+teach nothing; of several texts with one labelled ``doc_id`` the least teaches; where
+one class has no rows every score is that of the other; rows that repeat are each
+answered; a score of exactly 0.7 is predicted 1; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import cut
+from .shared import cut, sent, tidy
 from .token_store import slices
 
 #: Labelled documents that the model is fitted on, by order of a hash of doc_id, half of each class.
@@ -230,17 +231,24 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, fit_docs: int = FIT
     share = F.when(F.col("y") == 1, min(1.0, fit_docs / 2 / found[1])).otherwise(min(1.0, fit_docs / 2 / found[0]))
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     chosen = cut(known.where(uniform <= share), "quality-chosen")
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("double").alias("y"), F.col("doc_id").alias("id")), "quality-sample")  # `chosen` has about fit_docs rows of 12 bytes
+    # `chosen` has about fit_docs rows of 12 bytes; of the texts that a doc_id stands for one teaches
+    found_texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = cut(found_texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("double").alias("y")).select("text", "y", F.col("doc_id").alias("id")), "quality-sample")
     sums = sample.select("text").repartition(4).mapInArrow(_contexts, "at binary, total binary, count binary")
     vectors = sums.repartition(1).mapInArrow(_summed, "vectors binary").collect()[0]["vectors"]
     contexts = np.frombuffer(vectors, "<f4").reshape(BUCKETS, DIMENSIONS)
-    rows = sample.mapInArrow(_pool(spark.sparkContext.broadcast(contexts)), "x binary, y double, id long").orderBy("id", "x").collect()
+    with sent(spark, contexts) as held:
+        rows = sample.mapInArrow(_pool(held), "x binary, y double, id long").collect()  # about fit_docs rows
+    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     if len({r["y"] for r in rows}) < 2:
         return float(rows[0]["y"]) if rows else 0.5
     x, y = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64), np.array([r["y"] for r in rows])
     total = found[0] + found[1]
     weight = np.where(y == 1, found[1] / total / (y == 1).mean(), found[0] / total / (y == 0).mean())
-    return train(x, y, weight, contexts)
+    del rows, vectors
+    net = train(x, y, weight, contexts)
+    tidy()
+    return net
 
 
 def _score(model):
@@ -259,8 +267,8 @@ def _score(model):
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """``doc_id, score`` of every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(sent), "doc_id long, score double")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(held), "doc_id long, score double")
 
 
 def fold(n: int) -> Column:

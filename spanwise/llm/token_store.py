@@ -381,10 +381,22 @@ def _record(width: int):
     return run
 
 
+def _vocabulary(spark: SparkSession, path: str) -> int:
+    """How many ids the tokenizer has, told by a task: the driver holds no tokenizer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)]})
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "n long").first()["n"]
+
+
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``docs`` (doc_id, text) and write the store under ``path``."""
     spark = docs.sparkSession
-    width = 2 if encoder(tokenizer).vocabulary <= 1 << 16 and end_id < 1 << 16 else 4
+    width = 2 if _vocabulary(spark, tokenizer) <= 1 << 16 and end_id < 1 << 16 else 4
     staged, staging = cut_at(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stage(tokenizer, end_id, width), STAGED), "token-stage")
     total = staged.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
