@@ -16,7 +16,9 @@ no task sees a whole source.
 Defined cases: a null source is a source of its own; null text has no tokens, and a
 document without tokens stands in every whole block; a source without any token has
 weight 0 and each of its documents is emitted once, as it costs no budget; rows that
-repeat are separate documents; an empty table gives no rows.
+repeat are separate documents, and those equal in ``doc_id`` and text stand together
+in a block; a budget under which a source is not passed once leaves documents out; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,30 +113,49 @@ def fit(shares: DataFrame, entropy: float | None = None, most_repeats: float | N
     return Mix(exponent, at_entropy, budget, sources)
 
 
-def plan(docs: DataFrame, entropy: float | None = None, most_repeats: float | None = None, budget: float | None = None) -> tuple[DataFrame, Mix]:
-    """Per document row (``row_key, doc_id, source, tokens``) in how many blocks it is emitted: ``blocks``; and the mix.
+def _keyed() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
 
-    A source whose repeats come to a whole number within a millionth has no last,
-    partial block.
+
+def _place(key: Column, block: Column) -> Column:
+    """A document's place in a block of its source, in 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(key, block.cast("long"), F.lit(SEED)), 1)
+
+
+def sources_of(rows: DataFrame, entropy: float | None, most_repeats: float | None, budget: float | None) -> tuple[DataFrame, Mix]:
+    """A row a source: ``of, weight, whole`` (blocks) and ``last``, the place of the last document of the partial block (-1: none); and the mix.
+
+    ``rows`` has ``source, tokens, row_key``. The last place is found among the sums
+    of a source's buckets first, then among the places within that one bucket.
     """
-    rows = cut(docs.select("doc_id", "source", words(F.col("text").cast("string")).alias("tokens"), F.xxhash64("doc_id", "text").alias("row_key")), "mix-rows")
     mix = fit(cut(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources"), entropy, most_repeats, budget)
     whole = F.floor(F.col("repeats") + 1e-6)
     part = F.greatest(F.col("repeats") - whole, F.lit(0.0))
     sources = cut(mix.sources.select(F.col("source").alias("of"), "weight", F.when(F.col("tokens") > 0, whole).otherwise(1).cast("long").alias("whole"), F.when(part > 1e-6, part * F.col("tokens")).otherwise(0.0).alias("rest")), "mix-plan")
-    placed = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of").withColumn("h", F.shiftrightunsigned(F.xxhash64("row_key", "whole", F.lit(SEED)), 1))
-    placed = placed.withColumn("bucket", F.shiftrightunsigned("h", 51).cast("int"))  # the upper 12 of 63 bits
-    # where the last block's tokens run out: first by buckets, then by rows of that one bucket
-    sums = placed.where("rest > 0").groupBy("source", "bucket").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    before = sums.withColumn("before", F.sum("t").over(W.partitionBy("source").orderBy("bucket")) - F.col("t"))
-    cuts = before.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest"))).groupBy("source").agg(F.min(F.struct("bucket", "before")).alias("c")).select(F.col("source").alias("of"), F.col("c.bucket").alias("cut_bucket"), F.col("c.before").alias("cut_before"))
-    cuts = cut(cuts, "mix-cuts")
-    told = placed.join(cuts, placed["source"].eqNullSafe(cuts["of"]), "left").drop("of")
-    edge = told.where(F.col("bucket") == F.col("cut_bucket")).withColumn("so_far", F.col("cut_before") + F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("h", "row_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)))
-    edge = edge.withColumn("extra", (F.coalesce("so_far", "cut_before") < F.col("rest")).cast("long")).drop("so_far")
-    other = told.where(~(F.coalesce(F.col("bucket") == F.col("cut_bucket"), F.lit(False)))).withColumn("extra", (F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)) & (F.col("rest") > 0)).cast("long"))
-    out = edge.unionByName(other).select("row_key", "doc_id", "source", "tokens", "weight", (F.col("whole") + F.col("extra")).alias("blocks"))
-    return out, mix
+    placed = rows.join(sources.where("rest > 0"), rows["source"].eqNullSafe(sources["of"])).withColumn("h", _place(F.col("row_key"), F.col("whole"))).withColumn("bucket", F.shiftrightunsigned("h", 51).cast("int"))  # the upper 12 of 63 bits
+    sums = placed.groupBy("of", "bucket").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+    before = sums.withColumn("before", F.sum("t").over(W.partitionBy("of").orderBy("bucket")) - F.col("t"))
+    edge = cut(before.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest"))).groupBy("of").agg(F.min(F.struct("bucket", "before")).alias("c")).select(F.col("of").alias("cut_of"), F.col("c.bucket").alias("cut_bucket"), F.col("c.before").alias("cut_before")), "mix-cuts")
+    inside = placed.join(edge, placed["of"].eqNullSafe(edge["cut_of"]) & (F.col("bucket") == F.col("cut_bucket"))).groupBy("of", "h").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first("cut_before").alias("cut_before"))
+    so_far = inside.withColumn("so_far", F.col("cut_before") + F.sum("t").over(W.partitionBy("of").orderBy("h")) - F.col("t"))
+    last = so_far.where(F.col("so_far") < F.col("rest")).groupBy("of").agg(F.max("h").alias("last")).select(F.col("of").alias("last_of"), "last")
+    return cut(sources.join(last, sources["of"].eqNullSafe(last["last_of"]), "left").select("of", "weight", "whole", F.coalesce("last", F.lit(-1).cast("long")).alias("last")), "mix-last"), mix
+
+
+def _blocks(key: Column) -> Column:
+    """In how many blocks of its source a document is emitted, beside the columns of :func:`sources_of`."""
+    return F.col("whole") + (_place(key, F.col("whole")) <= F.col("last")).cast("long")
+
+
+def plan(docs: DataFrame, entropy: float | None = None, most_repeats: float | None = None, budget: float | None = None) -> tuple[DataFrame, Mix]:
+    """Per document row (``row_key, doc_id, source, tokens, weight``) in how many blocks it is emitted: ``blocks``; and the mix.
+
+    A source whose repeats come to a whole number within a millionth has no last,
+    partial block.
+    """
+    rows = cut(docs.select("doc_id", "source", words(F.col("text").cast("string")).alias("tokens"), _keyed().alias("row_key")), "mix-rows")
+    sources, mix = sources_of(rows, entropy, most_repeats, budget)
+    return rows.join(sources, rows["source"].eqNullSafe(sources["of"])).select("row_key", "doc_id", "source", "tokens", "weight", _blocks(F.col("row_key")).alias("blocks")), mix
 
 
 def schedule(docs: DataFrame, **limits) -> DataFrame:
@@ -148,9 +169,14 @@ def schedule(docs: DataFrame, **limits) -> DataFrame:
     return each.select("doc_id", "source", "tokens", "weight", "block", F.shiftrightunsigned(F.xxhash64("row_key", "block", F.lit(SEED)), 1).alias("place"))
 
 
-def mixed(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs``, each as often as it is emitted, all columns kept."""
-    planned, _ = plan(docs, **limits)
-    times = planned.where("blocks > 0").groupBy("row_key").agg(F.max("blocks").alias("__blocks")).withColumnRenamed("row_key", "__key")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    return keyed.join(times, "__key").withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__blocks")))).select(*docs.columns)
+def mixed(docs: DataFrame, entropy: float | None = None, most_repeats: float | None = None, budget: float | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as it is emitted, all columns kept.
+
+    A row's blocks follow from its source's row and its own hash: the texts are not shuffled.
+    """
+    rows = cut(docs.select("source", words(F.col("text").cast("string")).alias("tokens"), _keyed().alias("row_key")), "mix-rows")
+    sources, _ = sources_of(rows, entropy, most_repeats, budget)
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("source").alias("__source"), _keyed().alias("__key"))
+    told = keyed.join(sources, keyed["__source"].eqNullSafe(sources["of"])).withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), _blocks(F.col("__key")))))
+    return told.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
