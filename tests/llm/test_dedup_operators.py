@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from spanwise.llm import components, embed_dedup, mixing, simhash, token_store, warc
+from spanwise.llm import components, embed_dedup, mixing, similar, simhash, token_store, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,6 +102,75 @@ def test_simhash_keeps_a_row_of_each_group_whatever_its_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == [(1, "a b c d"), (3, "kk ll mm nn"), (3, "oo pp uu vv"), (4, None), (None, "qq rr ss"), (None, "zz yy")]
 
 
+def plain_shingles(text):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\\x20\\x09-\\x0D]+", text or "")]
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited(rng, words, text, share):
+    return " ".join(rng.choice(words) if rng.random() < share else w for w in text.split())
+
+
+def test_similar_groups_match_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(2000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 150))) for _ in range(150)]
+    texts += [edited(rng, words, texts[k % 50], rng.choice([0.005, 0.01, 0.02, 0.04])) for k in range(250)]
+    texts += [None, "", " \n", "One two", "one  TWO\n", texts[3].upper(), "long " * 40_000, "É é", "é É"]
+    rows = [(i * 3, t, "en", "s", 0) for i, t in enumerate(texts)]
+    sets = [plain_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    want = plain_components(len(texts), near)
+    kept = similar.one_of_each(spark.createDataFrame(rows, DOCS))
+    got = {r.doc_id // 3 for r in kept.collect()}
+    assert set(want) <= got and len(got - set(want)) <= 0.01 * len(near)
+    assert not any(i != j and sets[i] == sets[j] for i in got for j in got)
+    monkeypatch.setattr(similar, "MOST_ROWS", 20)  # every prefix is dealt into blocks
+    again = {r.doc_id // 3 for r in similar.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert again == got
+
+
+def test_similar_keeps_a_row_of_each_group_whatever_its_ids(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "A b c d"), (None, "zz yy"), (None, "zz yy"), (None, "qq rr ss"), (2, "a b c d"), (3, "kk ll mm nn"), (3, "oo pp uu vv"), (4, None), (5, "oo pp uu vv")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    names = {"lang": "label", "source": "key", "n_chars": "text_key"}
+    kept = similar.one_of_each(docs.withColumnsRenamed(names))
+    assert kept.columns == ["doc_id", "text", *names.values()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == [(1, "a b c d"), (3, "kk ll mm nn"), (3, "oo pp uu vv"), (4, None), (None, "qq rr ss"), (None, "zz yy")]
+    assert similar.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_wide_trie_join_links_what_all_pairs_link():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 63, (900, 4), dtype=np.uint64)
+    fp[300:600] = fp[5]
+    for k in range(300, 900):
+        fp[k, rng.integers(0, 4, 9)] ^= np.uint64(1) << rng.integers(0, 60, 9).astype(np.uint64)
+    node = np.sort(rng.integers(0, 3, 900) << 16 | rng.integers(0, 1 << 16, 900) & 0x0F0F)
+    i, j, d = similar.trie_edges(node, fp)
+    far = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(axis=2, dtype=np.int64)
+    ok = (node[:, None] >> 16 == node[None, :] >> 16) & (np.bitwise_count(node[:, None] ^ node[None, :]) <= similar.ERRORS) & (far <= similar.LEVELS[-1])
+    assert (d == far[i, j]).all() and ok[i, j].all()
+    want = plain_components(900, [p for p in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(ok, 1))))])
+    assert plain_components(900, list(zip(i.tolist(), j.tolist()))) == want and len(i) == 900 - len(set(want))
+
+
+def test_wide_fingerprints_count_bits():
+    texts = ["a b c d e f g", "x " * 3000 + " ".join(map(str, range(1200))), "", "one"]
+    key, bounds, _ = similar.shingles(texts)
+    got = similar.fingerprints(key, bounds)
+    for k in range(len(texts)):
+        mine = key[bounds[k] : bounds[k + 1]]
+        for part in range(4):
+            h = similar.tn.mixed(mine ^ np.uint64(0x9E37 + part)).tolist()
+            assert int(got[k, part]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 24))
