@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import decontaminate, mixing, quality, simhash, token_store
+from spanwise.llm import decontaminate, mixing, quality, similar, token_store
 from spanwise.llm.queries import tokenizer_path
 
 
@@ -14,11 +14,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near duplicates.
-
-    As the shingles of this pipeline's operator by itself: three words, at most three differing bits.
-    """
-    return simhash.one_of_each(docs)
+    """One document, that with the least doc_id, of each group linked at a five-word shingle similarity of 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
