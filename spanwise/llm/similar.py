@@ -1,10 +1,10 @@
 """Near duplicates of texts at a Jaccard similarity of 0.8 over five-word shingles, by SimHash.
 
 A text's fingerprint has 256 bits over its distinct shingles. Two texts at the
-threshold differ in 39 bits on average and in more than ``BUDGET`` almost never, too
+threshold differ in 39 bits on average and in more than the last of ``LEVELS`` almost never, too
 many for blocks that agree whole. Each fingerprint is therefore dealt out many
-times, each time by ``PREFIX`` (or more) bits drawn at random, which a partner at
-the threshold shares in about one deal of four. Within a prefix a binary trie over
+times, each time by a prefix of bits drawn at random, which a partner at the
+threshold shares in some of the deals. Within a prefix a binary trie over
 ``BITS`` further bits is joined with itself: node pairs go down together, a pair's
 error grows by one where its sides take different branches, and pairs over
 ``ERRORS`` are pruned, as are pairs whose leaves hang together already. What reaches
@@ -40,16 +40,18 @@ from .token_store import slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 WIDTH = 256
-#: Bits of a prefix at least, bits of the trie below it, and errors that a pair may have in these.
-PREFIX, BITS, ERRORS = 8, 16, 3
-#: Deals for the shortest prefix, and the share of a threshold pair's bits that agree: a longer prefix takes more deals.
+#: Bits of the trie below a prefix, and errors that a pair may have in these.
+BITS, ERRORS = 16, 3
+#: Deals for a prefix of eight bits, and the share of a threshold pair's bits that agree: each further bit takes more deals.
 DEALS, AGREE = 24, 0.8485
 #: Distinct texts that share a prefix, about.
 SHARING = 1000
 #: Differing bits of all 256 that are allowed, from pass to pass.
 LEVELS = (24, 36, 46, 56)
-#: Pairs of leaves that are compared at once, node pairs that are taken down at once, and pairs below which they are compared outright.
-COMPARED, FRONTIER, OUTRIGHT = 1 << 18, 1 << 15, 64
+#: Pairs below which the leaves of two nodes are compared outright, node pairs that are taken down at once, rows and pairs that are compared at once.
+OUTRIGHT, FRONTIER, ROWS, COMPARED = 1 << 14, 1 << 14, 512, 1 << 16
+#: Rows of a prefix all of whose near pairs are held at once, and pairs of several such prefixes.
+SMALL, PAIRS = 1024, 1 << 23
 #: Rows of one prefix that one task joins; more are dealt into blocks, and every two blocks meet.
 MOST_ROWS = 200_000
 SEED = 23
@@ -174,70 +176,111 @@ def forest_edges(forest: Forest, i: np.ndarray, j: np.ndarray, d: np.ndarray) ->
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
-def trie_edges(node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the nearest pairs: places i and j and their differing bits.
-
-    ``node``: sorted, a number for the prefix and then ``BITS`` bits; ``fp``: the
-    fingerprints. Pairs share the prefix, differ in at most ``ERRORS`` of the bits
-    and in at most the last of ``LEVELS`` of all.
-    """
-    forest = Forest(len(node))
-    out: list[tuple] = []
-    group = node >> BITS
-    lo = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(node) else np.empty(0, np.int64)
-    hi = np.append(lo[1:], len(node)) if len(node) else lo
-    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
-    for level in LEVELS:
-        stack = [(0, np.stack([lo[k : k + FRONTIER], hi[k : k + FRONTIER], lo[k : k + FRONTIER], hi[k : k + FRONTIER], np.zeros(len(lo[k : k + FRONTIER]), np.int64)])) for k in range(0, len(lo), FRONTIER)]
-        changes = None
+class Trie:
+    """A trie over the last ``BITS`` bits of sorted ``node``, below a number for the prefix; ``fp``: the fingerprints."""
+
+    def __init__(self, node: np.ndarray, fp: np.ndarray):
+        self.node, self.fp = node, fp
+        self.low = (node & ((1 << BITS) - 1)).astype(np.uint16)
+        self.forest = Forest(len(node))
+        group = node >> BITS
+        self.lo = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(node) else np.empty(0, np.int64)
+        self.hi = np.append(self.lo[1:], len(node)) if len(node) else self.lo
+
+    def near(self, blocks: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs i, j of the leaves of each of two nodes that differ in at most ``ERRORS`` of the bits and ``level`` of all, and in how many."""
+        found, size = [(np.empty(0, np.int64),) * 3], 0
+        left, right = [], []
+
+        def told():
+            i, j = np.concatenate(left), np.concatenate(right)
+            d = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64)
+            found.append((i[d <= level], j[d <= level], d[d <= level]))
+            left.clear()
+            right.clear()
+
+        for a, b, c, e in blocks.T.tolist():
+            for at in range(a, b, ROWS):
+                to = min(at + ROWS, b)
+                hit = np.bitwise_count(self.low[at:to, None] ^ self.low[None, c:e]) <= ERRORS
+                i, j = np.nonzero(hit)
+                i, j = i + at, j + c
+                if a == c:
+                    i, j = i[i < j], j[i < j]
+                left.append(i)
+                right.append(j)
+                size += len(i)
+                if size > COMPARED:
+                    told()
+                    size = 0
+        if left:
+            told()
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def joined(self, lo: np.ndarray, hi: np.ndarray, level: int, prune: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Near pairs among the leaves of each node ``lo`` to ``hi``: node pairs are taken down together.
+
+        With ``prune`` pairs of nodes whose leaves hang together in the forest are left out.
+        """
+        stack = [(0, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]))]
         while stack:
             depth, pairs = stack.pop()
-            if changes is None:
-                root = forest.roots()
+            if prune:
+                root = self.forest.roots()
                 changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
-            a, b, c, e, _ = pairs
-            pairs = pairs[:, ~((changes[b - 1] == changes[a]) & (changes[e - 1] == changes[c]) & (root[a] == root[c]))]
+                a, b, c, e, _ = pairs
+                pairs = pairs[:, ~((changes[b - 1] == changes[a]) & (changes[e - 1] == changes[c]) & (root[a] == root[c]))]
             a, b, c, e, err = pairs
             few = (b - a) * (e - c) <= OUTRIGHT if depth < BITS else np.ones(len(a), bool)
             if few.any():
-                a, b, c, e = a[few], b[few], c[few], e[few]
-                n = (b - a) * (e - c)
-                total = np.concatenate([[0], np.cumsum(n)])
-                for at in range(0, int(total[-1]), COMPARED):
-                    place = np.arange(at, min(at + COMPARED, int(total[-1])))
-                    k = np.searchsorted(total, place, side="right") - 1
-                    place -= total[k]
-                    i, j = a[k] + place // (e - c)[k], c[k] + place % (e - c)[k]
-                    fresh = (i < j) & (np.bitwise_count(node[i] ^ node[j]) <= ERRORS)
-                    i, j = i[fresh], j[fresh]
-                    fresh = root[i] != root[j]
-                    i, j = i[fresh], j[fresh]
-                    d = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
-                    near = d <= level
-                    if near.any():
-                        i, j, d = i[near], j[near], d[near]
-                        took = forest_edges(forest, i, j, d)
-                        out.append((i[took], j[took], d[took]))
-                        root, changes = forest.roots(), None
-            if depth == BITS:
-                continue
+                yield self.near(pairs[:4, few], level)
             a, b, c, e, err = pairs[:, ~few]
             if not len(a):
                 continue
             bit = np.int64(1 << (BITS - 1 - depth))
             keep = ~np.int64((1 << (BITS - depth)) - 1)
-            am = np.clip(np.searchsorted(node, (node[a] & keep) | bit), a, b)
-            cm = np.clip(np.searchsorted(node, (node[c] & keep) | bit), c, e)
+            am = np.clip(np.searchsorted(self.node, (self.node[a] & keep) | bit), a, b)
+            cm = np.clip(np.searchsorted(self.node, (self.node[c] & keep) | bit), c, e)
             other = a != c
             down = np.concatenate([np.stack([a, am, c, cm, err]), np.stack([am, b, cm, e, err]), np.stack([a, am, cm, e, err + 1]), np.stack([am, b, c, cm, err + 1])[:, other]], axis=1)
             down = down[:, (down[1] > down[0]) & (down[3] > down[2]) & (down[4] <= ERRORS)]
             down = down[:, ~((down[0] == down[2]) & (down[1] - down[0] == 1))]  # a leaf with itself
             down = down[:, np.argsort(-down[4], kind="stable")]  # what agrees so far comes off the stack first
             stack += [(depth + 1, down[:, k : k + FRONTIER]) for k in range(0, down.shape[1], FRONTIER)]
-    if not out:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out))
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of a spanning forest of the nearest pairs: places i and j and their differing bits."""
+        size = self.hi - self.lo
+        out = [(np.empty(0, np.int64),) * 3]
+
+        def take(i, j, d):
+            if len(i):
+                took = forest_edges(self.forest, i, j, d)
+                out.append((i[took], j[took], d[took]))
+
+        # few rows to a prefix: all near pairs of several prefixes at once, then their forest
+        small = np.flatnonzero((size > 1) & (size <= SMALL))
+        part = np.cumsum(size[small] ** 2) // PAIRS
+        for mine in np.split(small, np.flatnonzero(np.diff(part)) + 1):
+            take(*(np.concatenate(x) for x in zip(*self.joined(self.lo[mine], self.hi[mine], LEVELS[-1], False), strict=True))) if len(mine) else None
+        # many rows: the nearest first, so that what hangs together is not compared again
+        for lo, hi in zip(self.lo[size > SMALL].tolist(), self.hi[size > SMALL].tolist()):
+            own = Trie(self.node[lo:hi], self.fp[lo:hi])
+            for level in LEVELS:
+                for i, j, d in own.joined(own.lo, own.hi, level, True):
+                    took = forest_edges(own.forest, i, j, d)
+                    out.append((i[took] + lo, j[took] + lo, d[took]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def trie_edges(node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the nearest pairs: places i and j and their differing bits.
+
+    ``node``: sorted, a number for the prefix and then ``BITS`` bits. Pairs share the
+    prefix, differ in at most ``ERRORS`` of the bits and in at most the last of
+    ``LEVELS`` of all.
+    """
+    return Trie(node, fp).edges()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +306,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(classes: DataFrame) -> DataFrame:
     """Links ``a, b, d`` among the distinct texts ``classes`` (``text_key`` and the parts of the fingerprint)."""
     n = classes.count()
-    prefix = max(PREFIX, int(np.ceil(np.log2(max(1, n / SHARING)))))
-    deals = int(np.ceil(DEALS * AGREE ** (PREFIX - prefix)))
+    prefix = int(np.ceil(np.log2(max(1, n / SHARING))))
+    deals = int(np.ceil(DEALS * AGREE ** (8 - prefix)))
     dealt = classes.select("text_key", *PARTS).mapInArrow(_dealt(prefix, deals), DEALT).withColumn("cell", F.lit(0).cast("long"))
     if n > MOST_ROWS:  # else no prefix can have more
         crowded = cut(dealt.groupBy("deal", "prefix").count().where(F.col("count") > MOST_ROWS).select("deal", "prefix", F.ceil(F.col("count") / (MOST_ROWS / 2)).alias("blocks")), "similar-crowded")
