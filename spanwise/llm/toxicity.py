@@ -12,10 +12,16 @@ A document's score is a logistic function of its largest and its summed marginal
 fitted on the labelled documents; the offending offsets are the runs of tokens
 whose marginal is at least one half.
 
+A long chain teaches in pieces of ``PIECE`` tokens, all of them; its marginals are exact
+at any length, as the messages between its pieces are found first.
+
 Defined cases: null text is empty; a text without letters has no spans and the
 score of an empty text; labels that are null or belong to no document teach
-nothing; where one class has no rows every score is that of the other; rows that
-repeat are each answered; other columns are ignored.
+nothing; of several texts with one labelled ``doc_id`` the least teaches; where one
+class has no rows every score is that of the other; where no word tells toxic
+documents from others, or none has a word, every score is the toxic share of the
+labels; rows that repeat are each answered; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import cut
+from .shared import cut, sent, tidy
 from .token_store import slices
 
 #: Labelled documents that the model is fitted on, by order of a hash of doc_id, half of each class.
 FIT_DOCS = 6000
 #: Words and beginnings that may explain toxic documents: at least so many of them, and so large a share of all documents that hold one.
-LEAST_DOCS, LEAST_SHARE, MOST_CANDIDATES = 3, 0.995, 20_000
+LEAST_DOCS, LEAST_SHARE = 3, 0.995
 #: The share of the toxic documents that a listed word must explain first, or further where they have less than so many explanations.
 LEAST_GAIN, FURTHER_GAIN, EXPLANATIONS = 0.002, 0.02, 3
-#: Chains that the field is fitted on.
+#: Pieces of chains that the field is fitted on: half of them with a marked token, half without, each by order of a hash.
 FIT_CHAINS = 30_000
+#: Tokens of a piece that teaches, and of one whose messages are passed on in one go.
+PIECE, RUN = 200, 512
 SPACE = 1 << 17
 ROUNDS, RATE, PENALTY = 120, 0.5, 1e-4
 STOPS = np.array([10, ord("."), ord("!"), ord("?")])
@@ -108,23 +116,74 @@ def features(t: Tokens) -> np.ndarray:
     return out
 
 
+def pieces(chain: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the pieces of at most ``most`` tokens of all chains, and which piece continues a chain."""
+    length = np.diff(np.append(chain, n))
+    count = -(-length // most)
+    place = tn.within(count)
+    start = np.repeat(chain, count) + place * most
+    return start, np.minimum(np.repeat(chain + length, count) - start, most), place > 0
+
+
+def _between(s: np.ndarray, start: np.ndarray, length: np.ndarray, later: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds that come into each piece of a long chain: of the token before it, and those after it for its last token.
+
+    A piece acts on what comes in as one 2 x 2 matrix, a product over its tokens.
+    """
+    before, after = np.zeros(len(start)), np.zeros(len(start))
+    long = np.flatnonzero(later | np.append(later[1:], False))
+    at, n, first = start[long], length[long], ~later[long]
+    step = np.exp(move)
+    product = np.repeat(np.eye(2)[None], len(long), axis=0)
+    for t in range(int(n.max(initial=0))):
+        on = np.flatnonzero((t < n) & ~(first & (t == 0)))
+        own = np.exp(np.clip(s[at[on] + t], -300, 300))
+        p = product[on] @ step
+        p[:, :, 1] *= own[:, None]
+        product[on] = p / p.sum(axis=(1, 2), keepdims=True)
+    v = np.ones(2)
+    for k in range(len(long)):
+        if first[k]:
+            own = float(np.exp(np.clip(s[at[k]], -300, 300)))
+            v = np.array([1.0, own]) / (1 + own)
+        else:
+            before[long[k]] = np.log(max(v[1], 1e-300)) - np.log(max(v[0], 1e-300))
+        v = v @ product[k]
+        v /= v.sum()
+    v = np.ones(2)
+    for k in range(len(long) - 1, -1, -1):
+        if k + 1 == len(long) or first[k + 1]:
+            v = np.ones(2)
+        after[long[k]] = np.log(max(v[1], 1e-300)) - np.log(max(v[0], 1e-300))
+        v = product[k] @ v
+        v /= v.sum()
+    return before, after
+
+
 def marginals(s: np.ndarray, chain: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log odds of tag 1 against 0: all that precedes a token and itself, all that follows it, both.
 
     ``s``: the tokens' own log odds; ``chain``: first token of each; ``move[a, b]``: score of tag b after a.
     """
+
+    def onward(r):
+        return np.logaddexp(move[0, 1], r + move[1, 1]) - np.logaddexp(move[0, 0], r + move[1, 0])
+
     forward, backward = s.copy(), np.zeros(len(s))
-    length = np.diff(np.append(chain, len(s)))
+    start, length, later = pieces(chain, len(s), RUN)
+    if later.any():
+        before, after = _between(s, start, length, later, move)
+        forward[start[later]] += onward(before[later])
+        backward[start + length - 1] = after
     order = np.argsort(-length, kind="stable")
-    start, length = chain[order], length[order]
+    start, length = start[order], length[order]
     active = len(start)
     counts = []
     for t in range(1, int(length[0]) if len(length) else 0):
         active = int(np.searchsorted(-length[:active], -t, side="left"))
         counts.append(active)
         at = start[:active] + t
-        r = forward[at - 1]
-        forward[at] += np.logaddexp(move[0, 1], r + move[1, 1]) - np.logaddexp(move[0, 0], r + move[1, 0])
+        forward[at] += onward(forward[at - 1])
     for t in range(len(counts), 0, -1):
         at = start[: counts[t - 1]] + t
         r = s[at] + backward[at]
@@ -268,7 +327,7 @@ def marked(t: Tokens, listed: np.ndarray) -> np.ndarray:
 
 
 def _chains(listed: np.ndarray, share: float):
-    """Chains with a marked token, and a share of the others by a hash of their words."""
+    """Pieces of chains with a marked token, and a share of the others by a hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,13 +337,15 @@ def _chains(listed: np.ndarray, share: float):
                 y = marked(t, listed) & toxic
                 if not len(y):
                     continue
+                start, length, _ = pieces(t.chain, len(y), PIECE)
+                some = np.add.reduceat(y.astype(np.int64), start) > 0
+                draw = (tn.mixed(np.add.reduceat(t.word, start)) >> np.uint64(11)) / float(1 << 53)
+                keep = np.flatnonzero(some | (draw < share))
+                if not len(keep):
+                    continue
                 slots = features(t)
-                ends = np.append(t.chain[1:], len(y))
-                some = np.add.reduceat(y.astype(np.int64), t.chain) > 0
-                draw = (tn.mixed(np.add.reduceat(t.word, t.chain)) >> np.uint64(11)) / float(1 << 53)
-                keep = np.flatnonzero((ends - t.chain <= 200) & (some | (draw < share)))
-                if len(keep):
-                    yield pa.RecordBatch.from_pydict({"some": some[keep], "order": draw[keep], "slots": [slots[a:b].astype("<i4").tobytes() for a, b in zip(t.chain[keep], ends[keep])], "y": [y[a:b].tobytes() for a, b in zip(t.chain[keep], ends[keep])]})
+                spans = list(zip(start[keep].tolist(), (start + length)[keep].tolist()))
+                yield pa.RecordBatch.from_pydict({"some": some[keep], "order": draw[keep], "slots": [slots[a:b].astype("<i4").tobytes() for a, b in spans], "y": [y[a:b].tobytes() for a, b in spans]})
 
     return run
 
@@ -316,26 +377,37 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, fit_docs: int = FIT
     share = F.when(F.col("y") == 1, min(1.0, fit_docs / 2 / found[1])).otherwise(min(1.0, fit_docs / 2 / found[0]))
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     chosen = cut(known.where(uniform <= share), "toxicity-chosen")
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")  # `chosen` has about fit_docs rows of 12 bytes
+    # `chosen` has about fit_docs rows of 12 bytes; of the texts that a doc_id stands for one teaches
+    one_each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = cut(one_each.groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")
     spread = sample.select("text", "y").mapInArrow(_spread, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    top = spread.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good")))).orderBy(F.col("bad").desc(), "key").limit(MOST_CANDIDATES).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    # words of about fit_docs texts; of these few are candidates
+    top = spread.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good")))).select("key", "bad").collect()
+    keys, weight = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["bad"] for r in top], np.int64)
     order = np.argsort(keys)
-    keys, weight = keys[order], top["bad"].to_numpy()[order]
-    held = [np.frombuffer(r["held"], "<i4") for r in sample.where("y = 1").select("text").mapInArrow(_holds(spark.sparkContext.broadcast(keys)), "held binary").collect()]
+    keys, weight = keys[order], weight[order]
+    prior = found[1] / (found[0] + found[1])
+    with sent(spark, keys) as known_keys:
+        held = [np.frombuffer(r["held"], "<i4") for r in sample.where("y = 1").select("text").mapInArrow(_holds(known_keys), "held binary").collect()]
     listed = explaining(keys, held, weight)
     if not len(listed):
-        return found[1] / (found[0] + found[1])
+        return prior
     rate = min(1.0, FIT_CHAINS / 2 / max(1, sample.count() * 20))
-    rows = sample.select("text", "y").mapInArrow(_chains(listed, rate), "some boolean, order double, slots binary, y binary").orderBy("order", "slots").limit(FIT_CHAINS).collect()
+    chains = cut(sample.select("text", "y").mapInArrow(_chains(listed, rate), "some boolean, order double, slots binary, y binary"), "toxicity-chains")
+    rows = [r for some in (True, False) for r in chains.where(F.col("some") == some).orderBy("order", "slots").limit(FIT_CHAINS // 2).collect()]
+    if not rows:
+        return prior
     slots = [np.frombuffer(r["slots"], "<i4").reshape(-1, 3 + len(BEGINNINGS) + 1) for r in rows]
     y = np.concatenate([np.frombuffer(r["y"], bool) for r in rows]).astype(np.int64)
+    del rows
     field = train(np.concatenate(slots), y, np.cumsum([0, *map(len, slots)])[:-1])
-    seen = sample.select("text", "y").mapInArrow(_measured(spark.sparkContext.broadcast(field)), "largest double, summed double, y int").toPandas()
-    x = np.stack([np.ones(len(seen)), seen["largest"], seen["summed"]], axis=1)
-    truth = seen["y"].to_numpy(np.float64)
+    with sent(spark, field) as known_field:
+        seen = sample.select("text", "y").mapInArrow(_measured(known_field), "largest double, summed double, y int").collect()
+    x = np.array([(1.0, r["largest"], r["summed"]) for r in seen])
+    truth = np.array([r["y"] for r in seen], np.float64)
     total = found[0] + found[1]
     field.scale = logistic(x, truth, np.where(truth == 1, found[1] / total / max(truth.mean(), 1e-9), found[0] / total / max(1 - truth.mean(), 1e-9)))
+    tidy()
     return field
 
 
@@ -373,8 +445,8 @@ def _tag(model):
 
 def tag(docs: DataFrame, model: Field | float) -> DataFrame:
     """``doc_id, score, spans`` of every row of ``docs``; offsets are code points, ends exclusive."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tag(sent), SCORED)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tag(held), SCORED)
 
 
 def fold(n: int) -> Column:
