@@ -92,20 +92,46 @@ def _is(kind: str):
     return lambda span: span["kind"] == kind
 
 
-NO_SPANS = "array<struct<match:string,start:int>>"
+NO_SPANS = "array<struct<match:string,start:int,context:string>>"
+#: Matches whose lengths are summed together.
+BLOCK = 64
 
 
-def placed(text: Column, pattern: str, matches: Column) -> Column:
-    """``array<struct<match, start>>`` of the ``matches`` of ``pattern`` in ``text``."""
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("spans"))
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(pairs: Column) -> Column:
+    """Where each match begins, from the lengths of the matches and of the gaps before them."""
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
-        return F.struct((begin + F.length(x["match"])).alias("at"), F.concat(acc["spans"], F.array(F.struct(x["match"].alias("match"), begin.alias("start")))).alias("spans"))
+        return F.struct((begin + F.length(x["match"])).alias("at"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
+
+    def block(k):
+        return F.aggregate(F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)
+
+    def moved(done):
+        before = F.aggregate(F.slice(done, 1, F.size(done) - 1), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(F.zip_with(done, before, lambda x, n: F.transform(x["starts"], lambda s: s + n)))
+
+    return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), block), moved)
 
+
+def placed(text: Column, pattern: str, matches: Column) -> Column:
+    """``array<struct<match, start, context>>`` of the ``matches`` of ``pattern`` in ``text``; the context ends where the match starts."""
+    between = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(NO_SPANS))
+
+    def spans(p):
+        def context(i):
+            near = [F.right(F.get(p, i - k)[part], F.lit(CONTEXT_CHARS)) for k in (2, 1) for part in ("gap", "match")]
+            return F.right(F.concat_ws("", *near, F.right(F.get(p, i)["gap"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+
+        return let(_starts(p), lambda starts: F.transform(p, lambda x, i: F.struct(x["match"].alias("match"), F.get(starts, i).alias("start"), context(i).alias("context"))))
+
+    return F.when(F.size(matches) > 0, let(pairs, spans)).otherwise(F.array().cast(NO_SPANS))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -123,9 +149,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     def scored(kind):
         def one(x):
-            first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.substring(text, first + 1, x["start"] - first)
-            bonus = F.when(before.rlike(rf"(?i)\b(?:{CONTEXT[kind]})\b"), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+            bonus = F.when(x["context"].rlike(rf"(?i)\b(?:{CONTEXT[kind]})\b"), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), F.least(F.lit(SCORES[kind]) + bonus, F.lit(1.0)).alias("score"))
 
         return F.transform(F.filter(kind, lambda x: confirmed(kind, x["match"])), one)
