@@ -27,11 +27,10 @@ from .token_store import slices
 
 #: Documents of each language that the model is fitted on, by order of a hash of doc_id.
 FIT_DOCS_PER_LANGUAGE = 3000
-#: Most frequent words and n-grams of each length that the model keeps.
-KNOWN_WORDS, KNOWN_NGRAMS, LONGEST = 30_000, 15_000, 5
-LEAST_COUNT = 3
+#: Letters of the longest n-gram, and how often a word or n-gram stands in the sample at least to be known.
+LONGEST, LEAST_COUNT = 5, 3
 SMOOTHING = 0.5
-#: Words whose evidence is taken to be independent; a longer text is no surer.
+#: Words that the evidence of an endless text counts for, as its words do not speak for themselves; a short text's count nearly whole.
 SURE_WORDS = 12
 
 
@@ -77,8 +76,8 @@ def fit(docs: DataFrame, teaches: Column) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) where ``teaches`` holds.
 
     Of each language the documents with the least hashes are read, about
-    ``FIT_DOCS_PER_LANGUAGE``; all counting is distributed, and of the counts only
-    the most frequent ``KNOWN_WORDS`` and ``KNOWN_NGRAMS`` of each length leave it.
+    ``FIT_DOCS_PER_LANGUAGE``; all counting is distributed, and of the counts those
+    of at least ``LEAST_COUNT`` leave it, which the sample bounds.
     """
     rows = docs.where(teaches & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -93,10 +92,10 @@ def fit(docs: DataFrame, teaches: Column) -> Model:
     sizes = {r["n"]: r for r in counts.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(languages))], F.count(F.lit(1)).alias("kinds")).collect()}
     keys, logs = [], []
     for n in range(LONGEST + 1):
-        top = counts.where((F.col("n") == n) & (total >= LEAST_COUNT)).orderBy(total.desc(), "key").limit(KNOWN_NGRAMS if n else KNOWN_WORDS).drop("n").toPandas()
-        k = top["key"].to_numpy(np.int64).view(np.uint64)
+        top = counts.where((F.col("n") == n) & (total >= LEAST_COUNT)).drop("n").toArrow()
+        k = top.column("key").to_numpy().view(np.uint64)
         order = np.argsort(k)
-        c = top.drop(columns="key").to_numpy(np.float64)[order]
+        c = np.stack([top.column(f"c{i}").to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)[order]
         whole = np.array([sizes[n][f"c{i}"] if n in sizes else 0 for i in range(len(languages))], np.float64)
         keys.append(k[order])
         logs.append(np.log((c + SMOOTHING) / (whole + SMOOTHING * (len(k) + 1))))
@@ -139,7 +138,7 @@ def _predict(model):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 mean, n = scores(m, texts)
                 if m.languages:
-                    z = mean * np.minimum(n, SURE_WORDS)[:, None]
+                    z = mean * (n * SURE_WORDS / (n + SURE_WORDS))[:, None]
                     z = np.exp(z - z.max(axis=1, keepdims=True))
                     z /= z.sum(axis=1, keepdims=True)
                     best = z.argmax(axis=1)
