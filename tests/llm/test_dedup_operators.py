@@ -196,6 +196,44 @@ def test_embeddings_that_link_with_nothing(spark):
     assert got == [(0, 3, 5), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 3, 5), (5, 3, 5), (6, 3, 5), (7, 0, 7), (8, 0, 8)]
 
 
+def test_embeddings_of_a_heap_over_many_blocks(spark):
+    """A third of all vectors lie in one heap, twenty times what a leaf wants; its rows are dealt into blocks."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2400, 32))
+    x[:800] = x[0] + 0.25 * rng.normal(size=(800, 32))
+    x[800:1000] = x[1000:1200] + 0.3 * rng.normal(size=(200, 32))
+    rows = [(k, v.tolist(), 0, 1, 2) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, class int, width int")
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(frame, leaf=40, most_rows=150).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = np.triu(u @ u.T >= 0.9, 1)
+    links = hit.sum(axis=0) + hit.sum(axis=1)
+    found = np.array([got[k].n_links for k in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() > 100_000
+    want = plain_components(len(x), list(zip(*map(np.ndarray.tolist, np.nonzero(hit)))))
+    assert np.mean([got[k].component_id == want[k] for k in range(len(x))]) > 0.99
+    assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n, share", [(2000, 0.33), (12_000, 0.33), (40_000, 0.33), (40_000, 0.02)])
+def test_forest_keeps_linked_pairs_together(n, share):
+    """Recall of linked pairs by shared leaves does not fall as a heap grows with the table."""
+    rng = np.random.default_rng(n)
+    x, m = rng.normal(size=(n, 64)), int(n * share)
+    x[:m] = x[0] + 0.25 * rng.normal(size=(m, 64))
+    k = (n - m) // 4
+    x[m : m + k] = x[m + k : m + 2 * k] + rng.uniform(0.1, 0.45, size=(k, 1)) * rng.normal(size=(k, 64))
+    x = embed_dedup.unit(x)
+    depth = int(np.ceil(np.log2(n / embed_dedup.LEAF)))
+    held = [set() for _ in range(n)]
+    for t in range(embed_dedup.trees_for(depth)):
+        for r, path in zip(*map(np.ndarray.tolist, embed_dedup.leaves(embed_dedup.grow(x[rng.permutation(n)[:8000]], depth, t), x))):
+            held[r].add((t, path))
+    pairs = [*zip(rng.integers(0, m, 2000).tolist(), rng.integers(0, m, 2000).tolist()), *zip(range(m, m + k), range(m + k, m + 2 * k))]
+    together = [bool(held[i] & held[j]) for i, j in pairs if x[i] @ x[j] >= 0.9]
+    assert len(together) > 1000 and np.mean(together) > 0.99
+
+
 def sources(spark, sizes):
     rng = random.Random(2)
     rows, k = [], 0

@@ -111,6 +111,75 @@ def test_toxicity_of_odd_rows(spark, corpus):
     assert {r.score for r in toxicity.classify(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_of_long_lines_without_stops(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        text = prose(EN, 260, rng)
+        if k % 2:
+            at = rng.randrange(len(text.split()))
+            text = " ".join(text.split()[:at] + ["idiot", "scum"] + text.split()[at:])
+        rows.append((k, text, "en", "s", len(text)))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == 60 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_toxicity_with_nothing_to_learn_from(spark, corpus):
+    docs, labels = corpus
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+    got = toxicity.classify(docs.selectExpr("doc_id", "'123 456' text", "lang", "source", "n_chars"), labels).collect()
+    taught = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0]
+    assert {r.score for r in got} == {sum(r.toxic for r in taught) / len(taught)}
+
+
+def test_one_labelled_id_with_many_texts_teaches_once(spark, corpus):
+    docs, labels = corpus
+    many = docs.where("doc_id = 1").crossJoin(spark.range(300)).selectExpr("doc_id", "concat(text, ' x', id) text", "lang", "source", "n_chars")
+    assert quality.classify(docs.unionByName(many), labels).count() == toxicity.classify(docs.unionByName(many), labels).count() == 540
+
+
+def test_marginals_of_long_chains_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, chain = 5000, np.array([0, 3, 1900, 1901, 4700])
+    s, move = 3 * rng.normal(size=n), rng.normal(size=(2, 2))
+    forward, backward, _ = toxicity.marginals(s, chain, move)
+    f, b = s.copy(), np.zeros(n)
+    onward = lambda r: np.logaddexp(move[0, 1], r + move[1, 1]) - np.logaddexp(move[0, 0], r + move[1, 0])
+    for t in range(1, n):
+        if t not in chain:
+            f[t] += onward(f[t - 1])
+    for t in range(n - 2, -1, -1):
+        if t + 1 not in chain:
+            r = s[t + 1] + b[t + 1]
+            b[t] = np.logaddexp(move[1, 0], move[1, 1] + r) - np.logaddexp(move[0, 0], move[0, 1] + r)
+    assert np.allclose(forward, f) and np.allclose(backward, b)
+
+
+def test_columns_with_the_names_used_inside(spark, corpus):
+    docs, labels = corpus
+    names = {"lang": "label", "source": "score", "n_chars": "key"}
+    odd = docs.withColumns({c: docs["n_chars"] for c in ("fp", "digest", "payload", "row_key", "code", "email", "__text", "spans", "weight")}).withColumnsRenamed(names)
+    for f in (lambda d: toxicity.classify(d, labels), lambda d: quality.classify(d, labels), lambda d: pii.digest(pii.find_pii(d))):
+        assert f(odd).exceptAll(f(docs)).count() == 0
+    assert langid.identify(odd.withColumnRenamed("label", "lang")).exceptAll(langid.identify(docs)).count() == 0
+
+
+def test_pii_of_a_text_with_very_many_spans(spark):
+    import time
+
+    rng = random.Random(2)
+    text = "".join(f"mail u{k}@example{rng.randrange(99)}.org, " + "é" * rng.randrange(4) for k in range(40_000))
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    began = time.monotonic()
+    row = pii.digest(pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert row.n_email == 40_000 and row.spans == ",".join(want)
+    assert time.monotonic() - began < 60
+
+
 def test_marginals_match_enumeration():
     import itertools
 
