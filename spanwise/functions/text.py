@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How a decoded segment is written in free text, and the words between its times.
-SEGMENT = r"(?s)<seg>\s*<name>(.*?)</name>\s*<span>\s*([0-9.]+)\s*(?:to|-|–|—)\s*([0-9.]+)\s*</span>\s*</seg>"
+# How a decoded segment is written in free text, the words or dashes between its times, and what a whole completion is.
+SEGMENT = r"(?is)<seg>\s*<name>(.*?)</name>\s*<span>\s*(\d+\.?\d*)\s*(?:to|[-–—])\s*(\d+\.?\d*)\s*</span>\s*</seg>"
+COMPLETION = r"(?s)^\s*<think>.*?</think>\s*<segments>.*?</segments>\s*$"
 # What joins the clauses of a label.
 CLAUSE = r"\s*(?:,|;|\band then\b|\bthen\b|\band\b)\s*"
 
@@ -96,11 +97,11 @@ def parsed_segments(s: Column) -> Column:
 
 
 def format_reward(s: Column) -> Column:
-    """1 for nothing but segments in order with end after start, one half for some segment, else 0."""
+    """1 for a completion (thought, then segments) whose segments start in order and end after they start, 1/2 for another with segments, else 0."""
     segs = parsed_segments(s)
-    whole = F.trim(F.regexp_replace(s, SEGMENT, "")) == ""
-    ordered = F.forall(segs, lambda x: x["end"] > x["start"]) & (F.transform(segs, lambda x: x["start"]) == F.array_sort(F.transform(segs, lambda x: x["start"])))
-    return F.when(F.size(segs) == 0, 0.0).when(whole & ordered, 1.0).otherwise(0.5)
+    starts = F.transform(segs, lambda x: x["start"])
+    ordered = F.forall(segs, lambda x: x["end"] > x["start"]) & (starts == F.array_sort(starts))
+    return F.when(~s.rlike(COMPLETION) | (F.size(segs) == 0), 0.0).when(ordered, 1.0).otherwise(0.5)
 
 
 def reply_object(s: Column) -> Column:

@@ -49,15 +49,21 @@ def best_within(left: DataFrame, right: DataFrame, keys: list[str], t: str, u: s
     return pairs.groupBy(*keys, *row, t).agg(F.max(score).alias("best_score"), F.min_by(F.col(u), F.struct(-F.col(score), F.col(u))).alias("best_t"))
 
 
-def containing(points: DataFrame, segments: DataFrame, keys: list[str], t: str, start: str, end: str, row: list[str], columns: list[str], width: float) -> DataFrame:
-    """The first segment, by start, that holds each point, both ends included; null columns if none does.
+def containing_all(points: DataFrame, segments: DataFrame, keys: list[str], t: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
+    """Each point with every segment that holds it, both ends included.
 
     ``width``: size of the buckets; a segment is in as many as it reaches into.
     """
     p = points.withColumn("__left", F.floor(F.col(t) / width))
-    s = segments.select(*[F.col(k).alias(f"__{k}") for k in keys], start, end, *columns).withColumn("__right", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    others = [c for c in segments.columns if c not in keys]
+    s = segments.select(*[F.col(k).alias(f"__{k}") for k in keys], *others).withColumn("__right", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__left") == F.col("__right"), F.col(t) >= F.col(start), F.col(t) <= F.col(end)]
-    joined = p.join(s, on, "left")
+    return p.join(s, on, how).drop("__left", "__right", *[f"__{k}" for k in keys])
+
+
+def containing(points: DataFrame, segments: DataFrame, keys: list[str], t: str, start: str, end: str, row: list[str], columns: list[str], width: float) -> DataFrame:
+    """The first segment, by start, that holds each point, both ends included; null columns if none does."""
+    joined = containing_all(points.select(*keys, *row, t), segments.select(*keys, start, end, *[c for c in columns if c not in (start, end)]), keys, t, start, end, width, "left")
     first = F.min_by(F.struct(*columns), F.struct(start, end))
     return joined.groupBy(*keys, *row, t).agg(first.alias("__s")).select(*keys, *row, t, *[F.col(f"__s.{c}").alias(c) for c in columns])
 
@@ -109,10 +115,13 @@ def neighbour_bounds(points: DataFrame, edges: DataFrame, keys: list[str], t: st
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, keys: list[str], t: str, u: str, row: list[str], exact: float, loose: float, ratio: float) -> DataFrame:
-    """Right time for each left row: within ``exact``, or within ``loose`` if the next nearest is over ``ratio`` times as far."""
-    pairs = left.join(right, keys).withColumn("__d", F.abs(F.col(t) - F.col(u)))
-    near = pairs.withColumn("__r", F.row_number().over(W.partitionBy(*keys, *row).orderBy("__d", u))).where("__r <= 2")
+    """Right time for each left row: within ``exact``, or within ``loose`` if the next nearest is over ``ratio`` times as far.
+
+    Times on the right beyond ``loose`` times ``ratio`` change nothing: only those within are joined.
+    """
+    reach = max(exact, loose, loose * ratio)
+    near = tolerance_join(left.select(*keys, *row, t), right.select(*keys, u), keys, t, u, reach).withColumn("__d", F.abs(F.col(t) - F.col(u)))
+    near = near.withColumn("__r", F.row_number().over(W.partitionBy(*keys, *row, t).orderBy("__d", u))).where("__r <= 2")
     one = near.groupBy(*keys, *row, t).agg(F.min(F.when(F.col("__r") == 1, F.col("__d"))).alias("d1"), F.min(F.when(F.col("__r") == 2, F.col("__d"))).alias("d2"), F.min(F.when(F.col("__r") == 1, F.col(u))).alias("match"))
     ok = (F.col("d1") <= exact) | ((F.col("d1") <= loose) & (F.col("d2").isNull() | (F.col("d2") > ratio * F.col("d1"))))
     return one.where(ok).select(*keys, *row, t, "match", "d1")
-

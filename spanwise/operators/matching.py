@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def window_by(keys: list[str], *order: str) -> WindowSpec:
+    return W.partitionBy(*keys).orderBy(*order)
+
+
 def greedy_pairs(candidates: DataFrame, keys: list[str], score: str, i: str, j: str) -> DataFrame:
     """Pairs taken by falling score, then falling i and j, each side used once.
 
@@ -52,3 +57,20 @@ def match_at(pred: DataFrame, truth: DataFrame, keys: list[str], t: str, tol: fl
     recall = F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")).otherwise(0.0)
     out = out.withColumn("precision", precision).withColumn("recall", recall)
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def nearest_without_replacement(left: Column, right: Column) -> Column:
+    """Each of ``left`` (array of struct<score, id>), in order, takes the unused one of ``right`` with the nearest score; ties to the lower id.
+
+    An array of struct<left, right, gap>; what finds nothing left is not in it. Both
+    arrays are those of one stratum.
+    """
+    none = F.array().cast("array<struct<left:bigint,right:bigint,gap:double>>")
+    start = F.struct(right.alias("rest"), none.alias("pairs"))
+
+    def step(acc, x):
+        near = F.array_min(F.transform(acc["rest"], lambda r: F.struct(F.abs(r["score"] - x["score"]).alias("gap"), r["id"].alias("id"))))
+        pair = F.struct(x["id"].cast("long").alias("left"), near["id"].cast("long").alias("right"), near["gap"].cast("double").alias("gap"))
+        return F.struct(F.filter(acc["rest"], lambda r: ~r["id"].eqNullSafe(near["id"])).alias("rest"), F.when(near.isNotNull(), F.concat(acc["pairs"], F.array(pair))).otherwise(acc["pairs"]).alias("pairs"))
+
+    return F.aggregate(left, start, step, lambda acc: acc["pairs"])

@@ -132,10 +132,35 @@ def s13(spark, d):
     return rendered(spark, d).select("l_orderkey", F.explode(segs).alias("s")).groupBy("l_orderkey").agg(rows_count().alias("n"), F.sum("s.start").alias("starts"))
 
 
-@book.add("a08_format_reward")
+SEG_SQL = r"(?is)<seg>\s*<name>(.*?)</name>\s*<span>\s*(\d+\.?\d*)\s*(?:to|[-–—])\s*(\d+\.?\d*)\s*</span>\s*</seg>"
+VARIED = """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey, l_suppkey, '<' || CASE WHEN l_orderkey % 2 = 0 THEN 'seg' ELSE 'SEG' END || '> <name> ' || l_returnflag || '</name><span>' || CAST(l_linenumber AS VARCHAR) || '.5' || ['to', '-', '–', '—'][1 + l_linenumber % 4] || ' ' || CAST(l_linenumber + 1 AS VARCHAR) || CASE WHEN l_orderkey % 11 = 0 AND l_linenumber = 2 THEN '.2.3' ELSE '' END || '</span></' || CASE WHEN l_orderkey % 2 = 0 THEN 'seg' ELSE 'SEG' END || '>' AS seg FROM lineitem),
+t AS (SELECT k, string_agg(seg, chr(10) ORDER BY CASE WHEN k % 3 = 0 THEN -n ELSE n END, l_partkey, l_suppkey) AS segs FROM s GROUP BY k),
+c AS (SELECT k, CASE WHEN k % 5 = 0 THEN '<segments>' || segs || '</segments>' WHEN k % 7 = 0 THEN '<think>none</think><segments></segments>' WHEN k % 13 = 0 THEN 'so: <think>x</think><segments>' || segs || '</segments>' ELSE ' <think>' || chr(10) || 'plan' || chr(10) || '</think>' || chr(10) || '<segments>' || segs || '</segments> ' END AS text FROM t)"""
+
+
+def varied(spark, d):
+    """A completion an order, in many spellings: tags in capitals, four separators, malformed times, out of order, parts missing."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    tag = F.when(k % 2 == 0, "seg").otherwise("SEG")
+    between = F.get(F.array(*[F.lit(x) for x in ("to", "-", "–", "—")]), (n % 4).cast("int"))
+    seg = F.concat(F.lit("<"), tag, F.lit("> <name> "), "l_returnflag", F.lit("</name><span>"), n.cast("string"), F.lit(".5"), between, F.lit(" "), (n + 1).cast("string"), F.when((k % 11 == 0) & (n == 2), ".2.3").otherwise(""), F.lit("</span></"), tag, F.lit(">"))
+    li = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.when(k % 3 == 0, -n).otherwise(n).alias("at"), "l_partkey", "l_suppkey", seg.alias("seg")).alias("x"))
+    segs = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["seg"]), "\n")
+    t = li.groupBy("l_orderkey").agg(segs.alias("segs"))
+    inner = F.concat(F.lit("<segments>"), "segs", F.lit("</segments>"))
+    text = F.when(k % 5 == 0, inner).when(k % 7 == 0, "<think>none</think><segments></segments>").when(k % 13 == 0, F.concat(F.lit("so: <think>x</think>"), inner)).otherwise(F.concat(F.lit(" <think>\nplan\n</think>\n"), inner, F.lit(" ")))
+    return t.select("l_orderkey", text.alias("text"))
+
+
+@book.add("s13_parse_variants", f"{VARIED}, p AS (SELECT k, regexp_extract_all(text, '{SEG_SQL}', 1) AS names, list_transform(regexp_extract_all(text, '{SEG_SQL}', 2), lambda x: CAST(x AS DOUBLE)) AS starts, list_transform(regexp_extract_all(text, '{SEG_SQL}', 3), lambda x: CAST(x AS DOUBLE)) AS ends FROM c) SELECT k AS l_orderkey, list_transform(names, lambda x: trim(x)) AS names, starts, ends FROM p")
+def s13_variants(spark, d):
+    segs = tx.parsed_segments(F.col("text"))
+    return varied(spark, d).select("l_orderkey", F.transform(segs, lambda x: x["label"]).alias("names"), F.transform(segs, lambda x: x["start"]).alias("starts"), F.transform(segs, lambda x: x["end"]).alias("ends"))
+
+
+@book.add("a08_format_reward", f"{VARIED}, p AS (SELECT k, regexp_matches(text, '(?s)^\\s*<think>.*?</think>\\s*<segments>.*?</segments>\\s*$') AS whole, list_transform(regexp_extract_all(text, '{SEG_SQL}', 2), lambda x: CAST(x AS DOUBLE)) AS starts, list_transform(regexp_extract_all(text, '{SEG_SQL}', 3), lambda x: CAST(x AS DOUBLE)) AS ends FROM c) SELECT k AS l_orderkey, CASE WHEN NOT whole OR len(starts) = 0 THEN 0.0 WHEN starts = list_sort(starts) AND len(list_filter(list_zip(starts, ends), lambda z: z[2] <= z[1])) = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS reward FROM p")
 def a08(spark, d):
-    odd = F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("well "), "text")).when(F.col("l_orderkey") % 7 == 0, F.lit("none")).otherwise(F.col("text"))
-    return rendered(spark, d).select("l_orderkey", tx.format_reward(odd).alias("reward"))
+    return varied(spark, d).select("l_orderkey", tx.format_reward(F.col("text")).alias("reward"))
 
 
 @book.add("s14_reply_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -157,12 +182,12 @@ def s16(spark, d):
     return bench(spark, d).select("item_id", F.size(p["actions"]).alias("actions"), F.size(p["bad"]).alias("bad"))
 
 
-PAIRED = f"WITH t AS (SELECT item_id, list_distinct({TOK}) AS a FROM benchmark), p AS (SELECT x.item_id, list_slice(list_sort(x.a), 1, 6) AS g, list_slice(list_sort(y.a), 1, 6) AS h FROM t x JOIN t y ON y.item_id = x.item_id + 1), s AS (SELECT item_id, len(list_filter(g, lambda v: NOT list_contains(h, v))) AS m, len(list_filter(h, lambda v: NOT list_contains(g, v))) AS e, len(list_intersect(g, h)) AS b FROM p)"
+PAIRED = f"WITH t AS (SELECT item_id, list_distinct({TOK}) AS a FROM benchmark), p AS (SELECT x.item_id, x.a AS g, y.a AS h FROM t x JOIN t y ON y.item_id = x.item_id + 1), s AS (SELECT item_id, len(list_filter(g, lambda v: NOT list_contains(h, v))) AS m, len(list_filter(h, lambda v: NOT list_contains(g, v))) AS e, len(list_intersect(g, h)) AS b FROM p)"
 
 
 @book.add("f16_set_errors", f"{PAIRED} SELECT item_id, CASE WHEN m = 0 AND e = 0 THEN 'exact' WHEN e = 0 THEN 'omission' WHEN m = 0 THEN 'over' WHEN b > 0 THEN 'partial' ELSE 'substitution' END AS error FROM s")
 def f16(spark, d):
-    t = bench(spark, d).select("item_id", F.slice(F.array_sort(F.array_distinct(tx.tokens(F.col("text")))), 1, 6).alias("g"))
+    t = bench(spark, d).select("item_id", F.array_distinct(tx.tokens(F.col("text"))).alias("g"))
     nxt = t.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h"))
     return t.join(nxt, "item_id").select("item_id", tx.set_error(F.col("g"), F.col("h")).alias("error"))
 

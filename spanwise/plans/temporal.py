@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from ..operators import intervals, matching, signal
+from ..operators import intervals, matching, segmentation, signal
 from .base import CURVE, GAP, HOUR, SEGMENTS, TOL, TRUTH, Book, curve, r6, segments, truth
 
 book = Book()
@@ -124,9 +124,10 @@ def j12(spark, d):
     return intervals.adjacent(segments(spark, d), U, "s", "e", "label", 1.0, 12 * HOUR).select("user_id", "seg", "label", "next_label")
 
 
-@book.add("j13_interval_distance", f"{WITH} SELECT g.user_id, g.g, s.seg, round(greatest(s.s - g.u, g.u - s.e, 0), 6) AS distance, round(CASE WHEN g.u < s.s THEN g.u - s.s WHEN g.u > s.e THEN g.u - s.e ELSE 0 END, 6) AS signed FROM truth g JOIN segments s ON s.user_id = g.user_id AND s.seg % 10 = 0")
+@book.add("j13_interval_distance", f"{WITH} SELECT g.user_id, g.g, s.seg, round(greatest(s.s - g.u, g.u - s.e, 0), 6) AS distance, round(CASE WHEN g.u < s.s THEN g.u - s.s WHEN g.u > s.e THEN g.u - s.e ELSE 0 END, 6) AS signed FROM truth g JOIN segments s ON s.user_id = g.user_id")
 def j13(spark, d):
-    pairs = truth(spark, d).join(segments(spark, d).where("seg % 10 = 0"), "user_id")
+    # all pairs are the result; the nearest segment of each time is j08 and j09
+    pairs = truth(spark, d).join(segments(spark, d), "user_id")
     u, s, e = F.col("u"), F.col("s"), F.col("e")
     return pairs.select("user_id", "g", "seg", r6(sc.interval_distance(u, s, e)).alias("distance"), r6(sc.signed_distance(u, s, e)).alias("signed"))
 
@@ -137,12 +138,18 @@ def j14(spark, d):
     return intervals.associate(truth(spark, d), clicks, U, "u", "t", ["g"], 24 * HOUR, TOL).select("user_id", "g", "i", F.col("rank").cast("long").alias("rank"), "status")
 
 
+def predicted(spark, d):
+    """Predicted segments: views, three hours longer."""
+    return segments(spark, d).where("label = 'view'").select("user_id", F.col("seg").alias("p"), "s", (F.col("e") + 3 * HOUR).alias("e"))
+
+
+def annotated(spark, d):
+    """True segments: clicks, from three hours before."""
+    return segments(spark, d).where("label = 'click'").select("user_id", F.col("seg").alias("g"), (F.col("s") - 3 * HOUR).alias("gs"), F.col("e").alias("ge"))
+
+
 def iou_candidates(spark, d):
-    a = segments(spark, d).where("label = 'view'").select("user_id", F.col("seg").alias("p"), "s", (F.col("e") + 3 * HOUR).alias("e"))
-    b = segments(spark, d).where("label = 'click'").select("user_id", F.col("seg").alias("g"), (F.col("s") - 3 * HOUR).alias("gs"), F.col("e").alias("ge"))
-    # one recording's segments of two labels, at most a day long and a few dozen each
-    pairs = a.join(b, (a["user_id"] == b["user_id"]) & (b["gs"] <= a["e"]) & (b["ge"] >= a["s"])).drop(b["user_id"])
-    return pairs.withColumn("iou", F.round(sc.iou_hull(F.col("s"), F.col("e"), F.col("gs"), F.col("ge")), 9))
+    return segmentation.candidates(predicted(spark, d), annotated(spark, d), U)
 
 
 IOU = f"""{WITH}, c AS (SELECT a.user_id, a.seg AS p, b.seg AS g, round(greatest(least(a.e + 10800, b.e) - greatest(a.s, b.s - 10800), 0) / (greatest(a.e + 10800, b.e) - least(a.s, b.s - 10800)), 9) AS iou FROM segments a JOIN segments b ON a.user_id = b.user_id AND a.label = 'view' AND b.label = 'click' AND b.s - 10800 <= a.e + 10800 AND b.e >= a.s)"""
@@ -306,6 +313,22 @@ def a07(spark, d):
     return n.join(tp, "user_id", "left").select("user_id", "n_pred", "n_gt", hits.alias("tp"), r6(sc.safe_ratio(2 * hits, F.col("n_pred") + F.col("n_gt"))).alias("f1"))
 
 
+MATCHES = f"""{IOU}, l AS (SELECT user_id, list({{'s': -iou, 'i': -p, 'j': -g}} ORDER BY -iou, -p, -g) AS c FROM c WHERE iou > 0.1 GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.i = x[1].i OR k.j = x[1].j)) = 0 THEN list_concat(acc, x) ELSE acc END) AS k FROM l), m AS (SELECT user_id, -k.i AS p, -k.j AS g, -k.s AS iou FROM (SELECT user_id, unnest(k) AS k FROM f) q),
+pr AS (SELECT user_id, seg AS p, s, e + 10800 AS e FROM segments WHERE label = 'view'), gt AS (SELECT user_id, seg AS g, s - 10800 AS gs, e AS ge FROM segments WHERE label = 'click'), dur AS (SELECT user_id, max(t) - min(t) AS d FROM curve GROUP BY user_id),
+sc AS (SELECT user_id, count(*) FILTER (WHERE iou >= 0.3) AS t3, count(*) FILTER (WHERE iou >= 0.5) AS t5, count(*) FILTER (WHERE iou >= 0.7) AS t7, avg(iou) AS mi, sum(iou * greatest((1 - abs(gs - s) / d) * (1 - abs(ge - e) / d), 0)) AS comp FROM m JOIN pr USING (user_id, p) JOIN gt USING (user_id, g) JOIN dur USING (user_id) GROUP BY user_id),
+n AS (SELECT user_id, count(*) FILTER (WHERE label = 'view') AS np, count(*) FILTER (WHERE label = 'click') AS ng FROM segments WHERE label IN ('view', 'click') GROUP BY user_id), win AS (SELECT user_id, min(gs) AS t0, max(ge) AS t1 FROM gt GROUP BY user_id),
+cl AS (SELECT user_id, greatest(s, t0) AS s, least(e, t1) AS e FROM pr JOIN win USING (user_id) WHERE least(e, t1) > greatest(s, t0)), rm AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM cl), cov AS (SELECT user_id, sum(greatest(e - greatest(s, coalesce(q, s)), 0)) AS covered FROM rm GROUP BY user_id),
+ov AS (SELECT user_id, sum(greatest(e - nx, 0)) AS over, sum(e - s) AS total FROM (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, e) AS nx FROM pr) q GROUP BY user_id),
+x AS (SELECT n.user_id, np, ng, np > 0 AND ng > 0 AS ok, coalesce(t3, 0) AS t3, coalesce(t5, 0) AS t5, coalesce(t7, 0) AS t7, coalesce(mi, 0) AS mi, coalesce(comp, 0) AS comp, least(coalesce(covered, 0) / greatest(t1 - t0, 1e-6), 1) AS cv, least(coalesce(over, 0) / CASE WHEN total <> 0 THEN total ELSE 1e-6 END, 1) AS ol, greatest(1 - abs(np - ng) / CAST(nullif(ng, 0) AS DOUBLE), 0) AS ca FROM n LEFT JOIN sc USING (user_id) LEFT JOIN win USING (user_id) LEFT JOIN cov USING (user_id) LEFT JOIN ov USING (user_id))"""
+
+
+@book.add("a07_segment_metrics", f"{MATCHES} SELECT user_id, np AS n_pred, ng AS n_gt, " + ", ".join(f"round(CASE WHEN ok THEN {v} ELSE 0 END, 6)::DOUBLE AS {k}" for k, v in {"f1_30": "2 * t3 / CAST(np + ng AS DOUBLE)", "f1_50": "2 * t5 / CAST(np + ng AS DOUBLE)", "f1_70": "2 * t7 / CAST(np + ng AS DOUBLE)", "mean_iou": "mi", "boundary": "comp / ng", "coverage": "cv", "overlap": "ol", "count_acc": "ca", "iou_reward": "comp / greatest(np, ng)", "seq_reward": "0.4 * cv + 0.3 * (1 - ol) + 0.3 * ca"}.items()) + " FROM x")
+def a07_metrics(spark, d):
+    span = curve(spark, d).groupBy("user_id").agg((F.max("t") - F.min("t")).alias("duration"))
+    out = segmentation.metrics(predicted(spark, d), annotated(spark, d), U, span)
+    return out.select("user_id", "n_pred", "n_gt", *[r6(c).alias(c) for c in out.columns[3:]])
+
+
 @book.add("a45_recall_by_budget", f"WITH {PEAKS}, {TRUTH}, budgets AS (SELECT unnest([1, 3, 5, 10]) AS budget), cut AS (SELECT user_id, budget, list_slice(kept, 1, budget) AS ks FROM folded, budgets), pred AS (SELECT user_id, budget, k.t AS t FROM (SELECT user_id, budget, unnest(ks) AS k FROM cut) x), hit AS (SELECT b.budget, g.user_id, g.g, count(p.t) > 0 AS h FROM truth g CROSS JOIN budgets b LEFT JOIN pred p ON p.user_id = g.user_id AND p.budget = b.budget AND abs(p.t - g.u) <= {TOL} GROUP BY b.budget, g.user_id, g.g) SELECT budget, count(*) AS n_gt, round(avg(CASE WHEN h THEN 1.0 ELSE 0.0 END), 6) AS recall FROM hit GROUP BY budget")
 def a45(spark, d):
     budgets = spark.createDataFrame([(b,) for b in (1, 3, 5, 10)], "budget int")  # a stated list of four
