@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 def linked_groups(items: DataFrame, links: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
     """``key, root``: the least key that links (a, b) lead to, an item without links its own.
@@ -15,15 +15,12 @@ def linked_groups(items: DataFrame, links: DataFrame, key: str, most_rounds: int
     own, its neighbours' and its root's. Rounds are checkpointed to the folder that
     ``spark.checkpoint.dir`` names.
     """
-    spark = items.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    both = links.select(F.col("a").alias(key), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias(key), F.col("a").alias("other"))).distinct().checkpoint()
-    label = items.select(key, F.col(key).alias("root")).checkpoint()
+    both = settled(links.select(F.col("a").alias(key), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias(key), F.col("a").alias("other"))).distinct())
+    label = settled(items.select(key, F.col(key).alias("root")))
     for _ in range(most_rounds):
         near = both.join(label.select(F.col(key).alias("other"), "root"), "other").groupBy(key).agg(F.min("root").alias("near"))
         jump = label.select(F.col(key).alias("root"), F.col("root").alias("jump"))
-        after = label.join(near, key, "left").join(jump, "root", "left").select(key, F.least("root", F.coalesce("near", "root"), F.coalesce("jump", "root")).alias("root")).checkpoint()
+        after = settled(label.join(near, key, "left").join(jump, "root", "left").select(key, F.least("root", F.coalesce("near", "root"), F.coalesce("jump", "root")).alias("root")))
         changed = after.join(label.select(key, F.col("root").alias("was")), key).where("root <> was").limit(1).count()
         label = after
         if not changed:

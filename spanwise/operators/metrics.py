@@ -23,21 +23,59 @@ def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     return wins.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), (F.sum("__w") / F.when(F.sum("pos") * F.sum("neg") > 0, F.sum("pos") * F.sum("neg"))).alias("auroc"))
 
 
+#: Ranges that a score's values are dealt into where one order runs over all of them.
+RANGES = 64
+
+
+def in_ranges(rows: DataFrame, x: str, **sums: str) -> DataFrame:
+    """``rows`` with ``__range``, one of about ``RANGES`` ranges of ``x`` with like numbers of rows, and the sums over all lower (``*_below``) and higher (``*_above``) ranges.
+
+    A window then orders a range only. Bounds and range sums are one row each.
+    """
+    bounds = rows.agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))
+    placed = rows.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda b: b < F.col(x)))).drop("__bounds")
+    totals = placed.groupBy("__range").agg(*[F.sum(c).alias(c) for c in sums.values()]).agg(F.collect_list(F.struct("__range", *sums.values())).alias("__totals"))
+    out = placed.join(F.broadcast(totals))
+
+    def other(c: str, lower: bool) -> Column:
+        mine = F.filter("__totals", lambda t: (t["__range"] < F.col("__range")) if lower else (t["__range"] > F.col("__range")))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc + t[c].cast("long"))
+
+    return out.withColumns({f"{name}_{side}": other(c, side == "below") for name, c in sums.items() for side in ("below", "above")}).drop("__totals")
+
+
+def _curve(rows: DataFrame, keys: list[str], score: str, y: str, descending: bool = True) -> DataFrame:
+    """Per distinct score its own sums ``pos, all`` and those at it or beyond, ``tp, n``."""
+    counts = by_value(rows, keys, score, pos=(F.col(y) == 1).cast("long"), all=F.lit(1).cast("long"))
+    order = F.col(score).desc() if descending else F.col(score)
+    if keys:
+        w = W.partitionBy(*keys).orderBy(order)
+        return counts.withColumns({"tp": F.sum("pos").over(w), "n": F.sum("all").over(w)})
+    w, side = W.partitionBy("__range").orderBy(order), "above" if descending else "below"
+    return in_ranges(counts, score, pos="pos", all="all").select(score, "pos", "all", (F.sum("pos").over(w) + F.col(f"pos_{side}")).alias("tp"), (F.sum("all").over(w) + F.col(f"all_{side}")).alias("n"))
+
+
 def cumulative(rows: DataFrame, keys: list[str], score: str, y: str, descending: bool = True) -> DataFrame:
     """Per distinct score how many rows, and of them positives, are at it or beyond: ``n, tp, fp``."""
-    counts = by_value(rows, keys, score, pos=(F.col(y) == 1).cast("long"), all=F.lit(1).cast("long"))
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc() if descending else F.col(score))
-    return counts.select(*keys, score, F.sum("pos").over(w).alias("tp"), F.sum("all").over(w).alias("n")).withColumn("fp", F.col("n") - F.col("tp"))
+    return _curve(rows, keys, score, y, descending).drop("pos", "all").withColumn("fp", F.col("n") - F.col("tp"))
+
+
+def _with_before(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
+    """The curve with the sums before each score (``tp_before, n_before``) and all positives (``all_tp``)."""
+    curve = _curve(rows, keys, score, y)
+    if keys:
+        curve = curve.withColumn("all_tp", F.max("tp").over(W.partitionBy(*keys)))
+    else:
+        curve = curve.join(F.broadcast(curve.agg(F.max("tp").alias("all_tp"))))  # one row
+    return curve.withColumns({"tp_before": F.col("tp") - F.col("pos"), "n_before": F.col("n") - F.col("all")})
 
 
 def pr_auc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     """Area under precision over recall by trapezoids from (0, 1), a step for each distinct score."""
-    curve = cumulative(rows, keys, score, y)
-    total = F.max("tp").over(W.partitionBy(*keys))
-    points = curve.withColumn("recall", F.col("tp") / F.when(total > 0, total)).withColumn("precision", F.col("tp") / F.col("n"))
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc())
-    area = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return points.withColumn("__a", area).groupBy(*keys).agg(F.sum("__a").alias("pr_auc"))
+    precision = F.col("tp") / F.col("n")
+    before = F.when(F.col("n_before") > 0, F.col("tp_before") / F.col("n_before")).otherwise(1.0)
+    area = F.col("pos") / F.when(F.col("all_tp") > 0, F.col("all_tp")) * (precision + before) / 2
+    return _with_before(rows, keys, score, y).withColumn("__a", area).groupBy(*keys).agg(F.sum("__a").alias("pr_auc"))
 
 
 def prf(pos_gold: Column, pos_pred: Column) -> list[Column]:
@@ -51,12 +89,10 @@ def prf(pos_gold: Column, pos_pred: Column) -> list[Column]:
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa over rows that both annotators decided; null where chance agreement is 1."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n").over(W.partitionBy())
     left = both.groupBy(a).agg(F.sum("n").alias("na")).withColumnRenamed(a, "v")
     right = both.groupBy(b).agg(F.sum("n").alias("nb")).withColumnRenamed(b, "v")
     total = both.agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
     chance = left.join(right, "v").agg(F.sum(F.col("na") * F.col("nb")).alias("cross"))
-    del n
     po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
     return total.join(chance).select("n", po.alias("observed"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
@@ -88,11 +124,6 @@ def entropies(rows: DataFrame, a: str, b: str) -> DataFrame:
     return ha.join(hb).join(hab).select("h_a", (F.col("h_ab") - F.col("h_b")).alias("h_a_given_b"), (F.col("h_a") + F.col("h_b") - F.col("h_ab")).alias("mutual_information"))
 
 
-def upper_median(x: str) -> Column:
-    """The element at half the count, of values in order; not interpolated."""
-    return F.try_element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
-
-
 def risk_coverage(rows: DataFrame, thresholds: list[float], score: str, good: str) -> DataFrame:
     """Per threshold: kept, coverage over all rows, those without a score included, precision and its interval."""
     grid = rows.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
@@ -113,9 +144,14 @@ def threshold_for(rows: DataFrame, score: str, y: str, target: float, least: int
 
 def best_f1(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     """The best F1 over cuts "score > observed score", the lowest such cut of ties."""
-    curve = cumulative(rows, keys, score, y)
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc())
-    total = F.max("tp").over(W.partitionBy(*keys))
-    above = curve.withColumn("__tp", F.coalesce(F.lag("tp").over(w), F.lit(0))).withColumn("__n", F.coalesce(F.lag("n").over(w), F.lit(0))).withColumn("__all", total)
-    f1 = safe_ratio(2 * F.col("__tp"), F.col("__n") + F.col("__all"))
+    above = _with_before(rows, keys, score, y)
+    f1 = safe_ratio(2 * F.col("tp_before"), F.col("n_before") + F.col("all_tp"))
     return above.withColumn("f1", f1).groupBy(*keys).agg(F.max("f1").alias("best_f1"), F.max_by(F.col(score), F.struct(F.round("f1", 9), -F.col(score))).alias("tau"))
+
+
+def upper_median(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Per group the element at half the count (``n, upper_median``), of values in order, not interpolated: from counts of distinct values."""
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(*keys).orderBy(x)
+    at = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy(*keys)))
+    return at.where((F.col("upto") > F.floor(F.col("all") / 2))).groupBy(*keys).agg(F.max("all").alias("n"), F.min(x).alias("upper_median"))

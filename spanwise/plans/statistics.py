@@ -75,7 +75,9 @@ def a10(spark, d):
 @book.add("a13_time_error", f"{WITH}, e AS (SELECT lang, abs(s - s2) AS e FROM scored) SELECT lang, count(*) AS n, round(avg(e), 6) AS mae, round(list_sort(list(e))[CAST(floor(count(*) / 2) AS BIGINT) + 1], 6) AS upper_median, round(avg(CASE WHEN e <= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS within FROM e GROUP BY lang")
 def a13(spark, d):
     e = scored(spark, d).select("lang", F.abs(F.col("s") - F.col("s2")).alias("e"))
-    return e.groupBy("lang").agg(rows_count().alias("n"), r6(F.avg("e")).alias("mae"), r6(m.upper_median("e")).alias("upper_median"), r6(F.avg((F.col("e") <= 0.25).cast("double"))).alias("within"))
+    middle = m.upper_median(e, ["lang"], "e").select(F.col("lang").alias("of"), r6("upper_median").alias("upper_median"))
+    means = e.groupBy("lang").agg(rows_count().alias("n"), r6(F.avg("e")).alias("mae"), r6(F.avg((F.col("e") <= 0.25).cast("double"))).alias("within"))
+    return means.join(middle, means["lang"].eqNullSafe(middle["of"])).drop("of")
 
 
 @book.add("a14_calibration_buckets", f"{WITH} SELECT CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n, round(avg(CAST(y AS DOUBLE)), 6) AS accuracy FROM scored GROUP BY 1")

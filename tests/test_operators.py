@@ -89,7 +89,20 @@ def test_buffered_threshold(spark):
 
 
 def test_upper_median_is_not_interpolated(spark):
-    assert frame(spark, [(x,) for x in (4.0, 1.0, 3.0, 2.0)], "x double").agg(metrics.upper_median("x").alias("v")).first().v == 3.0
+    rows = [("a", x) for x in (4.0, 1.0, 3.0, 2.0)] + [("b", 5.0), ("b", 5.0), ("b", 7.0), ("b", None), (None, 9.0)]
+    got = metrics.upper_median(frame(spark, rows, "k string, x double"), ["k"], "x").collect()
+    assert {r.k: (r.n, r.upper_median) for r in got} == {"a": (4, 3.0), "b": (3, 5.0), None: (1, 9.0)}
+
+
+def test_sums_over_ranges_are_those_of_one_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(np.round(rng.normal(), 2)) if i % 9 else 0.5, int(rng.random() < 0.4)) for i in range(3000)]
+    for descending in (True, False):
+        got = {r.s: (r.tp, r.n) for r in metrics.cumulative(frame(spark, rows, "s double, y int"), [], "s", "y", descending).collect()}
+        for s in {s for s, _ in rows}:
+            mine = [y for v, y in rows if (v >= s if descending else v <= s)]
+            assert got[s] == (sum(mine), len(mine))
+    assert metrics.cumulative(frame(spark, [], "s double, y int"), [], "s", "y").count() == 0
 
 
 def test_rules_fail_closed(spark):
@@ -111,7 +124,7 @@ def test_consensus_first_seen_wins_ties(spark):
 def test_text(spark):
     segs = "<seg><name>cut </name><span>0 to 2.5</span></seg><seg><name>peel</name><span>2.5 – 4</span></seg>"
     assert [tuple(x) for x in one(spark, tx.parsed_segments(F.lit(segs)))] == [("cut", 0.0, 2.5), ("peel", 2.5, 4.0)]
-    assert [one(spark, tx.format_reward(F.lit(s))) for s in (segs, "x" + segs, "none")] == [1.0, 0.5, 0.0]
+    assert [one(spark, tx.format_reward(F.lit(s))) for s in (f"<think>t</think><segments>{segs}</segments>", segs, "none")] == [1.0, 0.0, 0.0]
     assert one(spark, tx.reply_object(F.lit('Sure\n```json\n{"a": {"b": 1}}\n```'))) == '{"a": {"b": 1}}'
     assert one(spark, tx.swap_word(F.lit("Pick the Cup, the cup"), "cup", "bowl")) == "Pick the Bowl, the cup"
     assert one(spark, tx.swap_word(F.lit("cupboard"), "cup", "bowl")) is None
@@ -160,6 +173,87 @@ def test_permutations_keep_the_base_rate(spark):
     assert [r.n for r in got] == [7] * 5
 
 
+def plain_logistic(x, y, l2=1.0):
+    """The minimum of the same objective by many small steps."""
+    n, pos = len(y), y.sum()
+    weight = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos)))
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(20_000):
+        err = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.5 * (x.T @ err / n + l2 / n * w), b - 0.5 * err.mean()
+    return w, b
+
+
+def test_out_of_fold_is_a_fit_on_the_other_folds(spark):
+    rng = np.random.default_rng(5)
+    x, fold = rng.normal(size=(90, 3)), np.arange(90) % 3
+    y = (x[:, 0] + 0.7 * rng.normal(size=90) > 0).astype(float)
+    x[::7, 1] = np.nan
+    rows = [(i, int(fold[i]), int(y[i]), *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(90)]
+    f = frame(spark, rows, "id long, fold int, y int, a double, b double, c double")
+    got = {r.id: r.score for r in models.out_of_fold(f, "fold", "id", ["a", "b", "c"], "y", 3).collect()}
+    for k in range(3):
+        a, t = x[fold != k], y[fold != k]
+        mean = np.nanmean(a, axis=0)
+        filled = np.where(np.isnan(x), mean, x)
+        spread = filled[fold != k].std(axis=0) + 1e-8
+        w, b = plain_logistic((filled[fold != k] - mean) / spread, t)
+        want = 1 / (1 + np.exp(-((filled[fold == k] - mean) / spread @ w + b)))
+        assert np.allclose([got[i] for i in np.flatnonzero(fold == k)], want, atol=1e-5)
+
+
+def test_nested_thresholds_come_from_inner_folds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, (i // 6) % 2, int(i % 2), float(i % 2 + 0.2 * rng.normal())) for i in range(240)]
+    f = frame(spark, rows, "id long, fold int, inner int, y int, a double")
+    got = models.nested(f, "fold", "inner", "id", ["a"], "y", 3, 2, 0.9).collect()
+    assert len(got) == 3 and all(r.n == 80 and r.kept >= 30 and r.right >= 0.9 * r.kept for r in got)
+    noise = models.nested(f.withColumn("a", F.rand(1)), "fold", "inner", "id", ["a"], "y", 3, 2, 0.99).collect()
+    assert all(r.kept == 0 and r.threshold is None for r in noise)
+
+
+def test_randomized_axes_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 12)) * np.array([9, 5, 3] + [0.3] * 9)
+    mean, v = models.randomized_pca(frame(spark, [(r.tolist(),) for r in x], "v array<double>"), "v", 3)
+    want_mean, want = models.pca(x, 3)
+    assert np.allclose(mean, want_mean) and np.allclose(np.abs(v @ want.T), np.eye(3), atol=1e-4)
+
+
+def test_binomial_by_enumeration():
+    from math import comb
+
+    for n in (0, 1, 2, 7, 10, 31):
+        p = [comb(n, i) / 2**n for i in range(n + 1)]
+        for k in range(n + 1):
+            assert models.binomial_two_sided(k, n) == pytest.approx(min(1.0, sum(q for q in p if q <= p[k] * (1 + 1e-9))))
+    assert models.binomial_two_sided(499_000, 1_000_000) == pytest.approx(0.0457, abs=5e-4)
+
+
+def test_nearest_without_replacement(spark):
+    side = lambda rows: F.array(*[F.struct(F.lit(float(s)).alias("score"), F.lit(i).cast("long").alias("id")) for i, s in rows])
+    left, right = [(1, 0.5), (2, 0.5), (3, 0.9), (4, 0.1)], [(10, 0.6), (11, 0.4), (12, 0.95)]
+    got = [(p["left"], p["right"]) for p in one(spark, matching.nearest_without_replacement(side(left), side(right)))]
+    free, want = dict(right), []
+    for i, s in left:
+        if free:
+            best = min(free, key=lambda r: (round(abs(free[r] - s), 12), r))
+            want.append((i, best))
+            free.pop(best)
+    assert got == want
+
+
+def test_joint_rules_one_by_one(spark):
+    base = dict(reset="OBSERVED_ABSENT", morphology="NO_TRANSITION", confidence=0.9, continuity="continuous", view="clear", nearby=5.0, left_supports_right=0.8, right_supports_left=0.8, same_label=False, only_turned=False)
+    cases = [({}, "AUTO_REJECT_CANDIDATE", []), ({"reset": "OBSERVED_PRESENT", "only_turned": True}, "KEEP_BOUNDARY", []), ({"only_turned": True}, "REVIEW", ["direction_change_is_not_boundary"]), ({"reset": "NOT_OBSERVABLE"}, "REVIEW", ["unseen_reset_is_not_absent_reset"]), ({"view": "poor"}, "REVIEW", ["unobservable_is_not_no_boundary"]), ({"view": None}, "REVIEW", ["unobservable_is_not_no_boundary"]), ({"same_label": True, "right_supports_left": 0.1}, "REVIEW", ["same_label_is_not_same_instance"]), ({"nearby": 0.2}, "REVIEW", []), ({"nearby": None}, "AUTO_REJECT_CANDIDATE", []), ({"confidence": 0.1}, "REVIEW", []), ({"left_supports_right": None}, "REVIEW", [])]
+    action, blocked = rules.joint_action({"strong": 0.4, "nearby": 1.0, "support": 0.3}, ["clear"])
+    schema = "reset string, morphology string, confidence double, continuity string, view string, nearby double, left_supports_right double, right_supports_left double, same_label boolean, only_turned boolean"
+    for change, want, hard in cases:
+        row = base | change
+        got = frame(spark, [tuple(row.values())], schema).select(action.alias("a"), blocked.alias("b")).first()
+        assert (got.a, got.b) == (want, hard), change
+
+
 def test_out_of_fold_scores_separate(spark):
     rng = np.random.default_rng(0)
     rows = [(i, i % 4, int(i % 2), float(i % 2 + 0.3 * rng.normal()), float(rng.normal())) for i in range(120)]
