@@ -44,3 +44,10 @@ def block(a: Column, size: int, k: int) -> Column:
 
 def linear(x: Column, weights: list[float], bias: float) -> Column:
     return dot(x, F.array(*[F.lit(float(w)) for w in weights])) + bias
+
+
+def without_blocks(v: Column, blocks: dict[str, tuple[int, int]], dropped: list[str]) -> Column:
+    """A vector without the named column blocks (from, to); an unknown name is an error."""
+    if set(dropped) - set(blocks):
+        raise ValueError(f"unknown blocks: {sorted(set(dropped) - set(blocks))}")
+    return F.concat(*[F.slice(v, a + 1, b - a) for name, (a, b) in blocks.items() if name not in dropped])

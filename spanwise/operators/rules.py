@@ -83,3 +83,99 @@ def consensus(votes: Column) -> tuple[Column, Column]:
     counted = F.transform(F.array_distinct(seen), lambda v: F.struct((-F.size(F.filter(seen, lambda x: x == v))).alias("n"), F.array_position(seen, v).alias("at"), v.alias("v")))
     best = F.array_min(counted)
     return best["v"], F.when(F.size(seen) > 0, -best["n"] / F.size(votes)).otherwise(0.0)
+
+
+def argmax(scores: Column, order: list[str]) -> Column:
+    """The key of a map's largest value; of ties the first in ``order``. Null for a null or empty map."""
+    place = F.array(*[F.lit(x) for x in order])
+    ranked = F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), F.array_position(place, e["key"]).alias("at"), e["key"].alias("k")))
+    return F.array_min(ranked)["k"]
+
+
+def structural_veto(mode: Column, top: Column, never: list[str], full: Rules) -> Column:
+    """Why automation is not permitted at all, null if it is.
+
+    full: no class of ``never`` and none of the further rules; morphology_only: the
+    class alone, where a missing one is a reason; none: nothing.
+    """
+    by_class = F.when(top.isNull(), "no morphology").when(top.isin(*never), F.concat(top, F.lit(" is never automatic")))
+    return F.when(mode == "morphology_only", by_class).when(mode == "full", F.coalesce(by_class, first_reason(full)))
+
+
+def ontology_action(orders: dict[str, list[str]], never: list[str], required: dict[str, list[str]], actions: dict[str, dict]) -> dict[str, Column]:
+    """``action, blocked_action, blocked_by`` from the maps ``morphology`` and ``relation``, ``offset``, ``subtype`` and required fields.
+
+    What blocks comes first: a class that is never automatic, a required field that
+    is missing or has another value than those allowed. Then the first action whose
+    classes, confidences, offset and subtype fit is taken; one that is switched off
+    goes to review and is recorded as blocked.
+    """
+    top = {k: argmax(F.col(k), v) for k, v in orders.items()}
+    sure = {k: F.element_at(F.col(k), top[k]) for k in orders}
+    blocks: Rules = [("never_automatic", top["morphology"].isin(*never))]
+    for field, allowed in required.items():
+        blocks += [(f"{field}_missing", F.col(field).isNull()), (f"{field}_blocks", ~F.col(field).isin(*allowed))]
+
+    def fits(spec: dict) -> Column:
+        ok = top["morphology"].isin(*spec["morphology"]) & top["relation"].isin(*spec["relation"])
+        for k in orders:
+            ok &= sure[k] >= spec["min_confidence"]
+        if "max_offset" in spec:
+            ok &= F.abs(F.coalesce("offset", F.lit(0.0))) <= spec["max_offset"]
+        if spec.get("forbid"):
+            ok &= ~F.coalesce(F.col("subtype").isin(*spec["forbid"]), F.lit(False))
+        return F.coalesce(ok, F.lit(False))
+
+    chosen = first_reason([(name, fits(spec)) for name, spec in actions.items()])
+    blocked = first_reason(blocks)
+    off = [name for name, spec in actions.items() if not spec.get("enabled", True)]
+    taken = F.when(blocked.isNull(), chosen)
+    is_off = taken.isin(*off) if off else F.lit(False)
+    return {"action": F.when(taken.isNull() | is_off, "REVIEW").otherwise(taken), "blocked_action": F.when(is_off, taken), "blocked_by": blocked}
+
+
+def joint_action(least: dict[str, float], views: list[str]) -> tuple[Column, Column]:
+    """Boundary and semantic evidence joined: the action, and the hard rules that forbid a reject.
+
+    A reset that was observed keeps the boundary, whatever else is known. A reject
+    wants all of: a strong absence of a transition, continuity, a reset observed to
+    be absent (not merely unseen), an allowed view, no transition nearby, and support
+    of the labels both ways; no hard rule may hold.
+    """
+    c = F.col
+    supported = (c("left_supports_right") >= least["support"]) & (c("right_supports_left") >= least["support"])
+    hard = all_reasons([
+        ("direction_change_is_not_boundary", c("only_turned")),
+        ("unseen_reset_is_not_absent_reset", c("reset") == "NOT_OBSERVABLE"),
+        ("unobservable_is_not_no_boundary", ~F.coalesce(c("view").isin(*views), F.lit(False))),
+        ("same_label_is_not_same_instance", c("same_label") & ~F.coalesce(supported, F.lit(False))),
+    ])
+    met = (c("morphology") == "NO_TRANSITION") & (c("confidence") >= least["strong"]) & (c("continuity") == "continuous") & (c("reset") == "OBSERVED_ABSENT") & c("view").isin(*views) & (c("nearby").isNull() | (c("nearby") >= least["nearby"])) & supported
+    kept = F.coalesce(c("reset") == "OBSERVED_PRESENT", F.lit(False))
+    action = F.when(kept, "KEEP_BOUNDARY").when(F.coalesce(met, F.lit(False)) & (F.size(hard) == 0), "AUTO_REJECT_CANDIDATE").otherwise("REVIEW")
+    return action, F.when(kept, F.array().cast("array<string>")).otherwise(hard)
+
+
+def adoption_checks(limits: dict[str, float], low: Column) -> list[Column]:
+    """The seven checks of a candidate scorer (``net, harms, gain, worst, fp, fp_base``) and both readings of them.
+
+    strict takes the stated limit on false positives, relative that of the scorer in use.
+    """
+    c = F.col
+    checks = {
+        "net_rescues": c("net") >= limits["net"],
+        "harms": c("harms") <= limits["harms"],
+        "gain": c("gain") >= limits["gain"],
+        "worst_fold": c("worst") >= -limits["worst"],
+        "fp_absolute": c("fp") <= limits["fp"],
+        "fp_relative": c("fp") <= c("fp_base") + 1e-9,
+        "interval_above_zero": low > 0,
+    }
+
+    def all_but(name: str) -> Column:
+        out = F.lit(True)
+        for k, v in checks.items():
+            out = out if k == name else out & v
+        return out
+
+    return [*(v.alias(k) for k, v in checks.items()), all_but("fp_relative").alias("strict"), all_but("fp_absolute").alias("relative")]

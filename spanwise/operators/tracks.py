@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.scalar import box_iou
 
 
 def _iou(a, b) -> float:
@@ -106,3 +110,62 @@ def trajectory_features(rows: DataFrame, key: str, t: str, x: str, y: str, floor
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, t, x, y).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, reversals long, stops long, straightness double, periodicity double, band double")
+
+
+def two_per_frame(rows: DataFrame, key: str, t: str) -> DataFrame:
+    """The first two boxes of each frame by id, with their place ``k`` and the frame's number ``f`` in the recording."""
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy(key, t).orderBy("box_id")))
+    return first.withColumn("f", F.dense_rank().over(W.partitionBy(key).orderBy(t))).where("k <= 2")
+
+
+def link_cost(p: dict[str, Column], q: dict[str, Column], label_penalty: float = 0.5) -> Column:
+    """Distance of two boxes' centres in mean diagonals, less their IoU, plus a penalty for unlike labels."""
+
+    def diagonal(b):
+        return F.sqrt((b["x1"] - b["x0"]) ** 2 + (b["y1"] - b["y0"]) ** 2)
+
+    scale = (diagonal(p) + diagonal(q)) / 2
+    apart = F.sqrt(((p["x0"] + p["x1"] - q["x0"] - q["x1"]) / 2) ** 2 + ((p["y0"] + p["y1"] - q["y0"] - q["y1"]) / 2) ** 2)
+    return apart / F.when(scale > 1e-6, scale).otherwise(1.0) - box_iou(p, q) + F.when(p["label"] != q["label"], label_penalty).otherwise(0.0)
+
+
+def least_cost_links(rows: DataFrame, key: str, t: str, most_cost: float) -> DataFrame:
+    """``key, a, z, cost``: boxes of a frame linked with those of the next at the least total cost, at most two a frame.
+
+    Two by two there are two ways, straight and crossed; else the cheapest single
+    link is taken. A link over ``most_cost`` is dropped: its box starts a track.
+    """
+    two = two_per_frame(rows, key, t)
+    names = ("box_id", "label", "x0", "y0", "x1", "y1")
+    p = two.select(key, "f", F.col("k").alias("pk"), *[F.col(n).alias(f"p_{n}") for n in names])
+    q = two.select(key, (F.col("f") - 1).alias("f"), F.col("k").alias("qk"), *[F.col(n).alias(f"q_{n}") for n in names])
+    side = lambda s: {n: F.col(f"{s}_{n}") for n in names}
+    c = p.join(q, [key, "f"]).withColumn("cost", link_cost(side("p"), side("q")))
+    w = W.partitionBy(key, "f")
+    same = F.col("pk") == F.col("qk")
+    c = c.withColumns({"np": F.max("pk").over(w), "nq": F.max("qk").over(w), "straight": F.round(F.sum(F.when(same, F.col("cost"))).over(w), 9), "crossed": F.round(F.sum(F.when(~same, F.col("cost"))).over(w), 9), "best": F.row_number().over(w.orderBy(F.round("cost", 9), "pk", "qk"))})
+    chosen = F.when((F.col("np") == 2) & (F.col("nq") == 2), same == (F.col("straight") <= F.col("crossed"))).otherwise(F.col("best") == 1)
+    return c.where(chosen & (F.col("cost") <= most_cost)).select(key, F.col("p_box_id").alias("a"), F.col("q_box_id").alias("z"), "cost")
+
+
+def two_track_features(rows: DataFrame, key: str, t: str, at: float) -> DataFrame:
+    """Per recording of two tracks: ``presence_changes, distance_change`` (medians from ``at`` on and before), ``synchrony``.
+
+    Distances are in the boxes' mean diagonals. Synchrony, one less the spread of the
+    steps over their mean size, wants six frames with both; a missing distance is the mean.
+    """
+    two = two_per_frame(rows, key, t)
+    centre = {"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2, "size": F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)}
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    d = F.sqrt((of(1, "cx") - of(2, "cx")) ** 2 + (of(1, "cy") - of(2, "cy")) ** 2) / F.greatest(F.avg("size"), F.lit(1e-6))
+    frames = two.withColumns(centre).groupBy(key, t).agg(d.alias("d"))
+    every, order = W.partitionBy(key), W.partitionBy(key).orderBy(t)
+    filled = frames.withColumns({"n": F.count("d").over(every), "x": F.coalesce("d", F.avg("d").over(every))})
+    steps = filled.withColumns({"dd": F.col("x") - F.lag("x").over(order), "flip": F.col("d").isNull() != F.lag(F.col("d").isNull()).over(order)})
+    late = F.col(t) >= at
+    mean = F.avg(F.abs("dd"))
+    return steps.groupBy(key).agg(
+        F.count_if("flip").alias("presence_changes"),
+        F.abs(F.percentile(F.when(late, F.col("d")), 0.5) - F.percentile(F.when(~late, F.col("d")), 0.5)).alias("distance_change"),
+        F.when((F.max("n") >= 6) & (mean > 0), 1 - F.stddev_pop("dd") / (mean + 1e-9)).alias("synchrony"),
+    )

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, further, language, modelling, statistics, temporal
+from . import audits, decisions, further, language, modelling, statistics, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (temporal, statistics, decisions, language, modelling, further):
+for part in (temporal, statistics, decisions, language, modelling, further, audits):
     QUERIES |= part.book.queries
     ORACLES |= part.book.oracles
