@@ -48,6 +48,8 @@ BATCH_CHARS = 1_000_000
 ENCODED_CHARS, CUT_WORDS = 8_000_000, 100_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
 REMEMBERED_WORDS, REMEMBERED_PIECES = 250_000, 600_000
+#: Hot keys that make up a task's share of rows at least, rows of a hot key at least, and parts that rows of a hot key are dealt into.
+HOT_PER_TASK, HOT_LEAST, SALTS = 20, 50, 16
 #: Stands between words that are cut into pieces together.
 MARK = " \0 "
 
@@ -393,6 +395,17 @@ def _vocabulary(spark: SparkSession, path: str) -> int:
     return spark.range(1, numPartitions=1).mapInArrow(run, "n long").first()["n"]
 
 
+def hot_and_cold(total: int, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counted`` (``n`` rows of ``total`` each) in two: keys that would fill a good part of a task, and the others.
+
+    A key is hot with over ``1 / HOT_PER_TASK`` of a task's share of the rows, so there are
+    at most ``HOT_PER_TASK`` times as many hot keys as tasks.
+    """
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(HOT_LEAST, total // (HOT_PER_TASK * tasks))
+    return counted.where(F.col("n") > most), counted.where(F.col("n") <= most)
+
+
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``docs`` (doc_id, text) and write the store under ``path``."""
     spark = docs.sparkSession
@@ -404,17 +417,19 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_t
     given = F.transform("payloads", lambda p: p.isNotNull())
     refs = staged.select("doc_id", "doc_digest", "row_id", F.posexplode(F.arrays_zip(F.col("digests").alias("digest"), given.alias("given"))).alias("pos", "c")).select("doc_id", "doc_digest", "row_id", "pos", "c.digest", "c.given")
     place = F.struct("doc_id", "doc_digest", "row_id", "pos")
-    several = refs.groupBy("digest").agg(F.min(F.when(F.col("given"), place)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    repeats = (
-        refs.join(several, "digest")
-        .groupBy("doc_id", "doc_digest", "row_id")
-        .agg(F.collect_list(F.struct("pos", (F.col("first.row_id").eqNullSafe(F.col("row_id")) & (F.col("first.pos") == F.col("pos"))).alias("first"))).alias("repeats"))
-    )
+    several = refs.groupBy("digest").agg(F.min(F.when(F.col("given"), place)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several, counted = cut_at(several, "token-several")
+    hot, cold = hot_and_cold(refs.count(), several)
+    wanted = refs.select("doc_id", "doc_digest", "row_id", "pos", "digest")
+    marked = wanted.join(F.broadcast(hot.select("digest", "first")), "digest", "left")  # at most HOT_PER_TASK digests a task
+    known = marked.where("first IS NOT NULL").unionByName(marked.where("first IS NULL").drop("first").join(cold.select("digest", "first"), "digest"))
+    repeats = known.groupBy("doc_id", "doc_digest", "row_id").agg(F.collect_list(F.struct("pos", (F.col("first.row_id").eqNullSafe(F.col("row_id")) & (F.col("first.pos") == F.col("pos"))).alias("first"))).alias("repeats"))
     both = staged.unionByName(repeats, allowMissingColumns=True)
     order = ["doc_id", "doc_digest", "row_id"]
     ordered = both.repartitionByRange(shards, *order).sortWithinPartitions(*order, F.col("repeats").isNull())
     ordered.mapInArrow(_record(width), RECORD).write.parquet(f"{path}/records")
     drop(spark, staging)
+    drop(spark, counted)
     _manifest(spark.read.schema(RECORD).parquet(f"{path}/records")).write.parquet(f"{path}/manifest")
 
 
@@ -474,7 +489,14 @@ def read_store(spark: SparkSession, path: str, summed: bool = False) -> DataFram
     partial = records.where(~complete)
     wanted = partial.select("shard", "ordinal", "own", F.posexplode("digests").alias("pos", "digest")).where(~F.array_contains("own", F.col("pos"))).drop("own")
     chunks = records.where(F.exists("own_shared", lambda s: s)).select(F.explode(F.arrays_zip("own", "own_shared", "payloads")).alias("c"), "digests").where("c.own_shared").select(F.element_at("digests", F.col("c.own") + 1).alias("digest"), F.col("c.payloads").alias("payload"))
-    fetched = wanted.join(chunks, "digest").groupBy("shard", "ordinal").agg(F.collect_list(F.struct("pos", "payload")).alias("fetched"))
+    counted = wanted.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    hot, _ = hot_and_cold(wanted.count(), counted)
+    hot = hot.select("digest", F.lit(True).alias("hot"))
+    # the rows of a hot digest are dealt into parts, and its chunk goes to each of them
+    parts = F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))
+    dealt = wanted.join(F.broadcast(hot), "digest", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.col("ordinal"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    copies = chunks.join(F.broadcast(hot), "digest", "left").withColumn("part", F.explode(parts)).drop("hot")
+    fetched = dealt.join(copies, ["digest", "part"]).groupBy("shard", "ordinal").agg(F.collect_list(F.struct("pos", "payload")).alias("fetched"))
     gathered = partial.join(fetched, ["shard", "ordinal"], "left").select(*alone.columns)
     schema = RESTORED + ("ids_crc32 long" if summed else "ids binary")
     return alone.mapInArrow(_restored(summed), schema).unionByName(gathered.mapInArrow(_restored(summed), schema))
