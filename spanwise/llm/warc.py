@@ -133,7 +133,9 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     both = rows.unionByName(revisits(pages, least_bytes), allowMissingColumns=True)
     files = max(-(-pages.count() // ROWS_PER_FILE), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    written = both.repartitionByRange(files, "page_id").sortWithinPartitions("page_id", F.col("digest").isNull()).mapInArrow(_writer(f"{folder}/archives", date), "file string, bytes long, records long")
+    # rows without a page_id refer to nothing: they are spread by their payload
+    spread = F.when(F.col("page_id").isNull(), F.xxhash64("payload", "url")).otherwise(0)
+    written = both.withColumn("spread", spread).repartitionByRange(files, "page_id", "spread").drop("spread").sortWithinPartitions("page_id", F.col("digest").isNull()).mapInArrow(_writer(f"{folder}/archives", date), "file string, bytes long, records long")
     written.write.parquet(f"{folder}/manifest")
     return spark.read.schema("file string, bytes long, records long").parquet(f"{folder}/manifest")
 
@@ -279,7 +281,8 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def round_trip(pages: DataFrame, least_bytes: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back, one row a record.
 
-    Fails if the reader does not find as many records as the manifest counts.
+    Fails if the reader does not find as many records as the manifest counts. The
+    archives stay in the shared folder.
     """
     folder = shared_dir(pages.sparkSession, "warc")
     manifest = write_warc(pages, folder, least_bytes)
