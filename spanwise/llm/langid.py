@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import cut
+from .shared import cut, scratch
 from .token_store import slices
 
 #: Documents of each language that the model is fitted on, by order of a hash of doc_id.
@@ -164,5 +164,6 @@ def fold(n: int) -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: learnt from fold 0, 1 and 3 of four."""
-    model = fit(docs, fold(4) != 2)
+    with scratch(docs.sparkSession):
+        model = fit(docs, fold(4) != 2)
     return predict(docs, model).withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, scratch
 
 #: Parts that a source's hashes are dealt into; only the part with the cut is ordered row by row.
 BUCKETS = 4096
@@ -139,7 +139,7 @@ def sources_of(rows: DataFrame, entropy: float | None, most_repeats: float | Non
     inside = placed.join(edge, placed["of"].eqNullSafe(edge["cut_of"]) & (F.col("bucket") == F.col("cut_bucket"))).groupBy("of", "h").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first("cut_before").alias("cut_before"))
     so_far = inside.withColumn("so_far", F.col("cut_before") + F.sum("t").over(W.partitionBy("of").orderBy("h")) - F.col("t"))
     last = so_far.where(F.col("so_far") < F.col("rest")).groupBy("of").agg(F.max("h").alias("last")).select(F.col("of").alias("last_of"), "last")
-    return cut(sources.join(last, sources["of"].eqNullSafe(last["last_of"]), "left").select("of", "weight", "whole", F.coalesce("last", F.lit(-1).cast("long")).alias("last")), "mix-last"), mix
+    return cut(sources.join(last, sources["of"].eqNullSafe(last["last_of"]), "left").select("of", "weight", "whole", F.coalesce("last", F.lit(-1).cast("long")).alias("last")), "mix-last", keep=True), mix
 
 
 def _blocks(key: Column) -> Column:
@@ -174,8 +174,9 @@ def mixed(docs: DataFrame, entropy: float | None = None, most_repeats: float | N
 
     A row's blocks follow from its source's row and its own hash: the texts are not shuffled.
     """
-    rows = cut(docs.select("source", words(F.col("text").cast("string")).alias("tokens"), _keyed().alias("row_key")), "mix-rows")
-    sources, _ = sources_of(rows, entropy, most_repeats, budget)
+    with scratch(docs.sparkSession):
+        rows = cut(docs.select("source", words(F.col("text").cast("string")).alias("tokens"), _keyed().alias("row_key")), "mix-rows")
+        sources, _ = sources_of(rows, entropy, most_repeats, budget)
     names = [f"__{k}" for k in range(len(docs.columns))]
     keyed = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("source").alias("__source"), _keyed().alias("__key"))
     told = keyed.join(sources, keyed["__source"].eqNullSafe(sources["of"])).withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), _blocks(F.col("__key")))))

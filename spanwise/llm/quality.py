@@ -10,7 +10,8 @@ hidden layer scores the pooled vector, and a temperature fitted on rows that the
 network has not seen makes its output a probability.
 
 Defined cases: null text is empty; an empty text has a pooled vector of zeros and
-gets the network's score for that; labels that are null or belong to no document
+gets the network's score for that; words whose hashes fall into one of ``BUCKETS``
+share a context vector; labels that are null or belong to no document
 teach nothing; of several texts with one labelled ``doc_id`` the least teaches; where
 one class has no rows every score is that of the other; rows that repeat are each
 answered; a score of exactly 0.7 is predicted 1; other columns are ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import cut, sent, tidy
+from .shared import cut, scratch, sent, tidy
 from .token_store import slices
 
 #: Labelled documents that the model is fitted on, by order of a hash of doc_id, half of each class.
@@ -282,13 +283,17 @@ KEEP = 0.7
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``: learnt from folds 0, 1 and 3 of four."""
-    scored = score(docs, fit(docs, labels, fold(4) != 2))
+    with scratch(docs.sparkSession):
+        model = fit(docs, labels, fold(4) != 2)
+    scored = score(docs, model)
     return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` predicts to be of quality 1, all columns kept, without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold(4) != 2))
+    with scratch(docs.sparkSession):
+        fitted = fit(docs, labels, fold(4) != 2)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

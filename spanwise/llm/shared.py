@@ -33,15 +33,29 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that :func:`cut` writes inside are deleted at the end, but those marked ``keep``: nothing after it may read them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop(spark, path)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     A lost executor then costs a re-read, never the work before the cut.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out, path = cut_at(df, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return out
 
 
 def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:

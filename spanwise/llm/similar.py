@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import Forest, connected
-from .shared import cut, row_key, tidy
+from .shared import cut, row_key, scratch, tidy
 from .token_store import slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -373,10 +373,11 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     Of rows equal in ``doc_id`` and text the one with the smallest hash of all columns stays.
     """
-    ids, label = groups(docs, threshold)
-    rows = ids.join(label, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
-    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
-    kept = cut(ids.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(best.hint("merge"), "key"), "similar-kept")
+    with scratch(docs.sparkSession):
+        ids, label = groups(docs, threshold)
+        rows = ids.join(label, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
+        best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
+        kept = cut(ids.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(best.hint("merge"), "key"), "similar-kept", keep=True)
     keyed = docs.withColumn("__key", row_key())
     # both grow with the documents: never broadcast
     single = keyed.join(kept.where("n = 1").select(F.col("key").alias("__key")).hint("merge"), "__key", "left_semi").select(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import cut, sent, tidy
+from .shared import cut, scratch, sent, tidy
 from .token_store import slices
 
 #: Labelled documents that the model is fitted on, by order of a hash of doc_id, half of each class.
@@ -456,5 +456,7 @@ def fold(n: int) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, spans``: learnt from folds 1 to 4 of five."""
-    tagged = tag(docs, fit(docs, labels, fold(5) != 0))
+    with scratch(docs.sparkSession):
+        model = fit(docs, labels, fold(5) != 0)
+    tagged = tag(docs, model)
     return tagged.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

@@ -77,6 +77,36 @@ def test_each_stage_does_its_work(spark):
         start += len(ids)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, empty texts, clashing columns, an empty benchmark and an empty table."""
+    pytest.importorskip("public_tokenizers")
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from spanwise.llm.shared import cut
+
+    raw = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "a b c d e f", "en", None, 11), (None, "a b c d e f", "en", None, 11), (None, None, None, "s", 0), (7, "", "en", "s", 0), (7, "g h i j k l", "en", "s", 11), (7, "g h i j k l", "de", "t", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = raw.unionByName(odd.select(*[F.col(c).cast(t).alias(c) for c, t in raw.dtypes])).withColumns({c: F.lit(1) for c in ("key", "label", "blocks", "score", "code", "text_key")})
+    labels, benchmark = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    unique = cut(stages["SimHash near-dedup"](spark, docs, str(tmp_path)), "odd-1")
+    rows = [(r.doc_id, r.text) for r in unique.collect()]
+    assert rows.count((None, "a b c d e f")) == rows.count((7, "g h i j k l")) == 1 and ((None, None) in rows) != ((7, "") in rows)
+    clean = stages["benchmark decontamination"](spark, unique, str(tmp_path))
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    mixed = cut(stages["mixing sources to target weights"](spark, clean, str(tmp_path)), "odd-2")
+    assert mixed.columns == docs.columns and {(r.doc_id, r.text) for r in mixed.collect()} == set(rows)
+    stored = stages["token-ID / binary output"](spark, mixed, str(tmp_path)).collect()
+    assert len(stored) == mixed.count() and all(r.verified for r in stored)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = cut(stage(spark, empty, str(tmp_path)), "odd-3")
+        assert empty.count() == 0, name
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """The registry imports and has its other queries where the subpackage and the pipeline are gone."""
     import shutil
@@ -87,5 +117,5 @@ def test_entry_works_without_the_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[2]
     shutil.copytree(root / "spanwise", tmp_path / "spanwise", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql(); from spanwise.session import local_session; s = local_session(2); assert q['v01_local_maxima'](s, '/root/testdata/sf0.001').count() > 0; s.stop()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

@@ -251,7 +251,7 @@ def test_common_subsequence_matches_plain():
         assert decontaminate.common_subsequence(a, b) == plain_subsequence(a.tolist(), b.tolist())
 
 
-def test_decontamination_finds_planted_and_paraphrased(spark):
+def test_decontamination_finds_planted_and_paraphrased(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(4000)]
     items = [[rng.choice(vocabulary) for _ in range(rng.randrange(15, 60))] for _ in range(30)]
@@ -270,6 +270,10 @@ def test_decontamination_finds_planted_and_paraphrased(spark):
     docs = spark.createDataFrame(rows, DOCS).unionByName(odd_rows(spark))
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(98, None), (99, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)  # many parts, several a pass
+    in_parts = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(got ^ in_parts) <= 1
+    monkeypatch.undo()
     assert len(planted & got) / len(planted) >= 0.95
     assert got <= planted
     kept = decontaminate.clean(docs, bench)
