@@ -14,7 +14,7 @@ def local_maxima(curve: DataFrame, keys: list[str], order: list[str], score: str
     return curve.withColumn("__up", before.isNull() | (F.col(score) >= before)).withColumn("__down", after.isNull() | (F.col(score) >= after)).where("__up and __down").drop("__up", "__down")
 
 
-def _kept(peaks: Column, gap: float, k: Column | None = None) -> Column:
+def kept(peaks: Column, gap: float, k: Column | None = None) -> Column:
     """Fold over peaks in order of score: one stays if it is ``gap`` from all that stay, until there are ``k``."""
 
     def step(kept, p):
@@ -25,18 +25,30 @@ def _kept(peaks: Column, gap: float, k: Column | None = None) -> Column:
     return F.aggregate(peaks, F.filter(peaks, lambda _: F.lit(False)), step)
 
 
+def pieces(peaks: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:
+    """``peaks`` with ``__piece``: a group's peaks cut where none is within ``gap``; no peak suppresses one of another piece."""
+    w = W.partitionBy(*keys).orderBy(t)
+    apart = F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(True))
+    return peaks.withColumn("__apart", apart.cast("long")).withColumn("__piece", F.sum("__apart").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__apart")
+
+
 def suppress(peaks: DataFrame, keys: list[str], t: str, i: str, score: str, gap: float, k: Column | None = None) -> DataFrame:
-    """Greedy non-maximum suppression per group, by falling score and rising index; ``k``: at most so many, an aggregate's column."""
+    """Greedy non-maximum suppression per group, by falling score and rising index; ``k``: at most so many, an aggregate's column.
+
+    Without ``k`` the fold runs over pieces of a group that cannot reach each other.
+    """
+    by = [*keys, "__piece"] if k is None else keys
+    peaks = pieces(peaks, keys, t, gap) if k is None else peaks
     ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(i).cast("long").alias("i"), F.col(t).cast("double").alias("t"))))
-    grouped = peaks.groupBy(*keys).agg(ordered.alias("__p"), *([k.alias("__k")] if k is not None else []))
-    kept = grouped.withColumn("__kept", _kept(F.col("__p"), gap, F.col("__k") if k is not None else None))
-    return kept.select(*keys, F.explode("__kept").alias("p")).select(*keys, F.col("p.i").alias("i"), F.col("p.t").alias("t"), (-F.col("p.s")).alias("score"))
+    grouped = peaks.groupBy(*by).agg(ordered.alias("__p"), *([k.alias("__k")] if k is not None else []))
+    done = grouped.withColumn("__kept", kept(F.col("__p"), gap, F.col("__k") if k is not None else None))
+    return done.select(*keys, F.explode("__kept").alias("p")).select(*keys, F.col("p.i").alias("i"), F.col("p.t").alias("t"), (-F.col("p.s")).alias("score"))
 
 
 def suppressors(peaks: DataFrame, keys: list[str], t: str, i: str, score: str, gap: float) -> DataFrame:
     """Every peak with whether it stays, and the first kept peak, in the order of keeping, that blocks it."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(i).cast("long").alias("i"), F.col(t).cast("double").alias("t"))))
-    grouped = peaks.groupBy(*keys).agg(ordered.alias("__p")).withColumn("__kept", _kept(F.col("__p"), gap))
+    grouped = pieces(peaks, keys, t, gap).groupBy(*keys, "__piece").agg(ordered.alias("__p")).withColumn("__kept", kept(F.col("__p"), gap))
     each = grouped.select(*keys, "__kept", F.explode("__p").alias("p"))
     blocker = F.element_at(F.filter("__kept", lambda q: F.abs(q["t"] - F.col("p.t")) < gap), 1)
     own = F.exists("__kept", lambda q: q["i"] == F.col("p.i"))

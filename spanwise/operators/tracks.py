@@ -18,33 +18,64 @@ def _iou(a, b) -> float:
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
 
 
+Live = dict[int, tuple[tuple[float, float, float, float], str, float]]
+
+
+def associate(live: Live, fresh: int, when: float, boxes: list[tuple], most_gap: float, least: float, bonus: float) -> tuple[Live, int, list[int]]:
+    """Tracks still live after a frame, the next number, and the track of each of its ``boxes`` (id, label, corners).
+
+    A track unseen for over ``most_gap`` has ended. Pairs over ``least`` IoU are taken
+    by falling IoU plus ``bonus`` for an equal label; a box without one starts a track.
+    """
+    live = {k: v for k, v in live.items() if when - v[2] <= most_gap}
+    pairs = []
+    for k, (corners, label, _) in live.items():
+        for i, (_, own, mine) in enumerate(boxes):
+            overlap = _iou(corners, mine)
+            if overlap > least:
+                pairs.append((-(overlap + bonus * (label == own)), k, i))
+    used, taken = set(), {}
+    for _, k, i in sorted(pairs):
+        if k not in used and i not in taken:
+            used.add(k)
+            taken[i] = k
+    for i, (_, label, corners) in enumerate(boxes):
+        if i not in taken:
+            taken[i], fresh = fresh, fresh + 1
+        live[taken[i]] = (corners, label, when)
+    return live, fresh, [taken[i] for i in range(len(boxes))]
+
+
+def frames_of(pdf: pd.DataFrame, t: str):
+    """Time and boxes (id, label, corners) of each frame in order."""
+    for when, frame in pdf.sort_values([t, "box_id"]).groupby(t):
+        yield when, [(r.box_id, r.label, (r.x0, r.y0, r.x1, r.y1)) for r in frame.itertuples()]
+
+
 def track(rows: DataFrame, key: str, t: str, most_gap: float, least: float = 0.1, bonus: float = 0.2) -> DataFrame:
     """Boxes (key, t, box_id, label, x0..y1) with ``track``: best IoU plus a bonus for an equal label, greedily, frame by frame.
 
     A track that was not seen for ``most_gap`` ends; a box without a match starts one.
+    A recording is cut where no frame follows for so long: no track goes across, and
+    each piece is a task's. Numbers count the tracks of a recording in order of time.
     """
+    kinds = dict(rows.dtypes)
+    frames = rows.select(key, t).distinct()
+    w = W.partitionBy(key).orderBy(t)
+    apart = F.coalesce((F.col(t) - F.lag(t).over(w) > most_gap).cast("int"), F.lit(1))
+    cut = frames.withColumn("__apart", apart).withColumn("__piece", F.sum("__apart").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__apart")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, out, fresh = {}, [], 0
-        for when, frame in pdf.sort_values([t, "box_id"]).groupby(t):
-            live = {k: v for k, v in live.items() if when - v[2] <= most_gap}
-            boxes = [(r.box_id, r.label, (r.x0, r.y0, r.x1, r.y1)) for r in frame.itertuples()]
-            pairs = sorted(((-(_iou(v[0], b[2]) + bonus * (v[1] == b[1])), k, i) for k, v in live.items() for i, b in enumerate(boxes) if _iou(v[0], b[2]) > least))
-            used, mine = set(), {}
-            for _, k, i in pairs:
-                if k not in used and i not in mine:
-                    used.add(k)
-                    mine[i] = k
-            for i, b in enumerate(boxes):
-                if i not in mine:
-                    mine[i] = fresh
-                    fresh += 1
-                live[mine[i]] = (b[2], b[1], when)
-                out.append((pdf[key].iloc[0], when, b[0], mine[i]))
-        return pd.DataFrame(out, columns=[key, t, "box_id", "track"])
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {t} {kinds[t]}, box_id long, track int")
+        live, fresh, out = {}, 0, []
+        for when, boxes in frames_of(pdf, t):
+            live, fresh, told = associate(live, fresh, when, boxes, most_gap, least, bonus)
+            out += [(pdf[key].iloc[0], pdf["__piece"].iloc[0], when, b[0], k) for b, k in zip(boxes, told)]
+        return pd.DataFrame(out, columns=[key, "__piece", t, "box_id", "track"])
+
+    each = rows.join(cut, [key, t]).groupBy(key, "__piece").applyInPandas(run, f"{key} {kinds[key]}, __piece long, {t} {kinds[t]}, box_id long, track int")
+    sizes = each.groupBy(key, "__piece").agg((F.max("track") + 1).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return each.join(before, [key, "__piece"]).select(key, t, "box_id", (F.col("track") + F.col("__before")).cast("int").alias("track"))
 
 
 def savgol(x: np.ndarray, window: int = 5, degree: int = 2) -> np.ndarray:

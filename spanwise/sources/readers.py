@@ -150,3 +150,59 @@ def polymorphic_segments(raw: str) -> Column:
     objects = F.transform(as_objects, lambda x: F.struct(F.coalesce(x["label"], x["name"]).alias("label"), F.coalesce(x["start"], x["s"]).alias("start"), F.coalesce(x["end"], x["e"]).alias("end")))
     return F.when(F.col(raw).rlike(r"^\s*\[\s*\["), lists).otherwise(objects)
 
+
+
+def resolved(spark: SparkSession, patterns: list[str], left_out: str = ".manifest.json") -> tuple[list[str], list[str]]:
+    """Files that paths, folders (their ``*.json``) and globs name, each once and in order, and the patterns that match nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found, missing = [], []
+    for pattern in patterns:
+        at = path(pattern)
+        system = at.getFileSystem(conf)
+        hits = list(system.globStatus(at) or [])
+        if len(hits) == 1 and hits[0].isDirectory():
+            hits = list(system.globStatus(path(at, "*.json")) or [])
+        names = sorted(h.getPath().toString() for h in hits if not h.isDirectory())
+        if not names:
+            missing.append(pattern)
+        found += [n for n in names if not n.endswith(left_out) and n not in found]
+    return found, missing
+
+
+def feature_caches(spark: SparkSession, paths: list[str], key: str = "recording_id") -> DataFrame:
+    """Rows of several Parquet caches (vectors as array columns); of a recording in several the later path wins, whole."""
+    out = None
+    for k, path in enumerate(paths):
+        one = spark.read.parquet(path).withColumn("__at", F.lit(k))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    last = F.max("__at").over(W.partitionBy(key))
+    return out.withColumn("__last", last).where("__at = __last").drop("__at", "__last")
+
+
+REFERENCE = "recording_id string, segments array<struct<task_label:string,recording_relative_start_s:double,recording_relative_end_s:double,brief_description:string,boundary_reason:struct<start:string,`end`:string>>>"
+RECORDING = "recording_id string, segments array<struct<label_en:string,start_s:double,end_s:double>>"
+
+
+def reference_segments(spark: SparkSession, folder: str, durations: DataFrame | None = None) -> DataFrame:
+    """``recording_id, video, duration, segments, reasons`` of ``segmentation_reference/*.segments.json``; those without segments are left out.
+
+    A reason joins those of a segment's two ends, else it is the brief description.
+    The duration is that of ``durations`` (recording_id, duration), else the last end.
+    """
+    rows = spark.read.schema(REFERENCE).json(f"{folder}/segmentation_reference/*.segments.json", multiLine=True).where("size(segments) > 0")
+    segs = F.transform("segments", lambda s: F.struct(s["task_label"].alias("label"), s["recording_relative_start_s"].alias("start"), s["recording_relative_end_s"].alias("end")))
+    reason = F.transform("segments", lambda s: F.coalesce(F.nullif(F.concat_ws(" ", F.nullif(s["boundary_reason"]["start"], F.lit("")), F.nullif(s["boundary_reason"]["end"], F.lit(""))), F.lit("")), s["brief_description"], F.lit("")))
+    out = rows.select("recording_id", F.concat(F.lit(f"{folder}/raw_videos/"), "recording_id", F.lit(".mp4")).alias("video"), F.array_max(F.transform("segments", lambda s: s["recording_relative_end_s"])).alias("duration"), segs.alias("segments"), reason.alias("reasons"))
+    if durations is not None:
+        known = durations.select("recording_id", F.col("duration").alias("__d"))
+        out = out.join(known, "recording_id", "left").withColumn("duration", F.coalesce("__d", "duration")).drop("__d")
+    return out.withColumn("duration", F.round("duration", 3))
+
+
+def recording_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``recording_id, video, duration, segments`` of ``recordings/*/segments.json``; a missing id is the folder's name."""
+    rows = spark.read.schema(RECORDING).json(f"{root}/recordings/*/segments.json", multiLine=True).withColumn("__file", F.input_file_name()).where("size(segments) > 0")
+    folder = F.regexp_replace("__file", "/[^/]*$", "")
+    segs = F.transform("segments", lambda s: F.struct(s["label_en"].alias("label"), s["start_s"].alias("start"), s["end_s"].alias("end")))
+    return rows.select(F.coalesce("recording_id", F.element_at(F.split(folder, "/"), -1)).alias("recording_id"), F.concat(folder, F.lit("/mid.mp4")).alias("video"), F.array_max(F.transform("segments", lambda s: s["end_s"])).alias("duration"), segs.alias("segments"))

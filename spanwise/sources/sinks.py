@@ -32,6 +32,53 @@ def append_pending(rows: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def write_rows(rows: DataFrame, path: str, kind: str, mode: str = "errorifexists") -> None:
+    """Rows as ``jsonl`` (a line each), ``json`` (an array a file, if there is any partition), ``csv`` (header, nested columns as JSON) or ``parquet``, a file a partition."""
+    if kind == "csv":
+        nested = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+        rows.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).csv(path, header=True, escape='"')
+    elif kind == "json":
+        # one array a partition; JSON text has no line feeds of its own
+        parts = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(_as_arrays, "value string")
+        parts.write.mode(mode).text(path)
+    elif kind == "jsonl":
+        rows.write.mode(mode).json(path, ignoreNullFields=False)
+    elif kind == "parquet":
+        rows.write.mode(mode).parquet(path)
+    else:
+        raise ValueError(f"unknown kind of sink: {kind}")
+
+
+def _as_arrays(batches):
+    """The partition's lines as one JSON array over as many lines."""
+    import pandas as pd
+
+    first = True
+    for pdf in batches:
+        lines = [("[" if first and i == 0 else ",") + v for i, v in enumerate(pdf["value"])]
+        first = first and not lines
+        yield pd.DataFrame({"value": lines})
+    yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+
+def append_in_steps(rows: DataFrame, path: str, key: str, step: int) -> int:
+    """Append what ``path`` lacks, ``step`` recordings (keys) at a time; how many appends there were. What is written stays if a later one fails."""
+    spark = rows.sparkSession
+    try:
+        rows = pending(rows, spark.read.parquet(path), key)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    placed = numbered(rows.select(key).distinct(), key).withColumn("__step", F.floor(F.col("place") / step)).drop("place")
+    todo = settled(rows.join(placed, key))
+    steps = todo.agg(F.max("__step")).first()[0]
+    if steps is None:
+        return 0
+    for k in range(steps + 1):
+        todo.where(F.col("__step") == k).drop("__step").write.mode("append").parquet(path)
+    return steps + 1
+
+
 def numbered(keys: DataFrame, key: str) -> DataFrame:
     """``key, place``: the number of each row in order of the key, from 0, by ranges and not in one task."""
     # ids grow along the sorted partitions, which are written once; sums of their sizes make them dense

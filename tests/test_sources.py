@@ -105,3 +105,61 @@ def test_manifests(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         sinks.assert_not_fitted(spark.range(3), spark.range(1), "id")
     assert sinks.assert_not_fitted(spark.range(3), spark.range(5, 6), "id").select(F.count("id")).first()[0] == 3
+
+
+def test_paths_are_resolved_and_misses_told(spark, tmp_path):
+    for name in ("a.json", "b.json", "b.manifest.json", "sub/c.json", "sub/c.manifest.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    found, missing = readers.resolved(spark, [f"{tmp_path}/a.json", f"{tmp_path}/*.json", f"{tmp_path}/sub", f"{tmp_path}/none*.json"])
+    assert [f.split("/")[-1] for f in found] == ["a.json", "b.json", "c.json"] and missing == [f"{tmp_path}/none*.json"]
+
+
+def test_later_caches_win_whole(spark, tmp_path):
+    schema = "recording_id string, t double, feats array<double>"
+    spark.createDataFrame([("r1", 0.0, [1.0]), ("r1", 1.0, [1.0]), ("r2", 0.0, [2.0])], schema).write.parquet(f"{tmp_path}/train")
+    spark.createDataFrame([("r1", 0.0, [9.0])], schema).write.parquet(f"{tmp_path}/val")
+    got = readers.feature_caches(spark, [f"{tmp_path}/train", f"{tmp_path}/val"]).collect()
+    assert sorted((r.recording_id, r.t, r.feats[0]) for r in got) == [("r1", 0.0, 9.0), ("r2", 0.0, 2.0)]
+
+
+def test_annotation_folders(spark, tmp_path):
+    ref = tmp_path / "segmentation_reference"
+    ref.mkdir()
+    segs = [{"task_label": "cut", "recording_relative_start_s": 1, "recording_relative_end_s": 2.5, "boundary_reason": {"start": "hand in", "end": "hand out"}}, {"task_label": "peel", "recording_relative_start_s": 2.5, "recording_relative_end_s": 7.12345, "brief_description": "peeling", "boundary_reason": None}]
+    (ref / "r1.segments.json").write_text(json.dumps({"recording_id": "r1", "segments": segs}, indent=1))
+    (ref / "r2.segments.json").write_text(json.dumps({"recording_id": "r2", "segments": []}))
+    (r,) = readers.reference_segments(spark, str(tmp_path)).collect()
+    assert (r.recording_id, r.duration, r.reasons) == ("r1", 7.123, ["hand in hand out", "peeling"]) and [tuple(s) for s in r.segments] == [("cut", 1.0, 2.5), ("peel", 2.5, 7.12345)]
+    known = spark.createDataFrame([("r1", 9.0)], "recording_id string, duration double")
+    assert readers.reference_segments(spark, str(tmp_path), known).first().duration == 9.0
+    for name, body in (("x1", {"recording_id": "named", "segments": [{"label_en": "a", "start_s": 0, "end_s": 4}]}), ("x2", {"segments": [{"label_en": "b", "start_s": 1, "end_s": 3}]}), ("x3", {"segments": []})):
+        (tmp_path / "recordings" / name).mkdir(parents=True)
+        (tmp_path / "recordings" / name / "segments.json").write_text(json.dumps(body))
+    got = {r.recording_id: (r.duration, r.video.split("/")[-2:]) for r in readers.recording_folders(spark, str(tmp_path)).collect()}
+    assert got == {"named": (4.0, ["x1", "mid.mp4"]), "x2": (3.0, ["x2", "mid.mp4"])}
+
+
+def test_sinks_of_every_kind(spark, tmp_path):
+    rows = [(1, 'a "b", c', [1.5, 2.0]), (2, None, []), (3, "é", None)]
+    df = spark.createDataFrame(rows, "id int, x string, v array<double>").repartition(2)
+    for kind in ("jsonl", "json", "csv", "parquet"):
+        sinks.write_rows(df, f"{tmp_path}/{kind}", kind)
+    assert sorted(tuple(r) for r in spark.read.schema(df.schema).json(f"{tmp_path}/jsonl").collect()) == rows
+    held = [x for f in (tmp_path / "json").glob("part-*") for x in json.loads(f.read_text())]
+    assert sorted((x["id"], x["x"], x["v"]) for x in held) == rows
+    back = readers.csv_rows(spark, f"{tmp_path}/csv").collect()
+    assert sorted((int(r.id), r.x, json.loads(r.v) if r.v else None) for r in back) == rows
+    sinks.write_rows(df.limit(0), f"{tmp_path}/none", "json")
+    assert all(f.read_text().strip() in ("", "[]") for f in (tmp_path / "none").glob("part-*"))
+    with pytest.raises(ValueError):
+        sinks.write_rows(df, f"{tmp_path}/odd", "odd")
+
+
+def test_appends_in_steps_go_on_where_they_stopped(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i // 3:02d}", i) for i in range(30)], "rec string, i int")
+    assert sinks.append_in_steps(rows.where("rec < 'r04'"), f"{tmp_path}/out", "rec", 3) == 2
+    assert sinks.append_in_steps(rows, f"{tmp_path}/out", "rec", 3) == 2
+    assert sinks.append_in_steps(rows, f"{tmp_path}/out", "rec", 3) == 0
+    assert sorted(r.i for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(30))
+    assert [r.rec for r in sinks.shard(rows, "rec", 1, 4).select("rec").distinct().orderBy("rec").collect()] == ["r01", "r05", "r09"]
