@@ -45,9 +45,9 @@ SHORTEST, LONGEST = 512, 8192
 SHARD_TOKENS = 8_000_000
 BATCH_CHARS = 1_000_000
 #: Bytes of text whose words are numbered at once, and words that are cut into chunks at once.
-ENCODED_CHARS, CUT_WORDS = 8_000_000, 100_000
+ENCODED_CHARS, CUT_WORDS = 6_000_000, 100_000
 #: Entries that a Python worker remembers of words and of word pieces before it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 250_000, 600_000
+REMEMBERED_WORDS, REMEMBERED_PIECES = 200_000, 450_000
 #: Hot keys that make up a task's share of rows at least, rows of a hot key at least, and parts that rows of a hot key are dealt into.
 HOT_PER_TASK, HOT_LEAST, SALTS = 20, 50, 16
 #: Stands between words that are cut into pieces together.
@@ -391,6 +391,7 @@ def _vocabulary(spark: SparkSession, path: str) -> int:
 
         for _ in batches:
             yield pa.RecordBatch.from_pydict({"n": [Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)]})
+        tidy()
 
     return spark.range(1, numPartitions=1).mapInArrow(run, "n long").first()["n"]
 
