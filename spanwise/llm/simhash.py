@@ -19,11 +19,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .shared import cut, row_key, tidy
+from .shared import cut, tidy
 from .token_store import slices
 
 SEED = 42
@@ -32,6 +31,8 @@ ERRORS = 3
 FRONTIER, OUTRIGHT = 1 << 16, 16
 #: Fingerprints (times sixteen deals) that one task joins.
 DEALT_PER_TASK = 2_000_000
+#: Fingerprints with one prefix of a deal that one task joins.
+MOST_ROWS = 500_000
 
 
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -66,12 +67,12 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def _fingerprint(shingle: int, *more: str):
+def _fingerprint(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprints(part.column(1).to_pylist(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *(part.column(c) for c in more)], names=["doc_id", "fp", *more])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return run
 
@@ -195,10 +196,21 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links ``a, b`` among distinct fingerprints (column ``fp``) with the components of all pairs at most three bits apart."""
+    """Links ``a, b`` among distinct fingerprints (column ``fp``) with the components of all pairs at most three bits apart.
+
+    A prefix that more than ``MOST_ROWS`` fingerprints share is dealt into blocks, of
+    which every two meet in a task.
+    """
     n = fps.count()
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * 16 // DEALT_PER_TASK))
-    return fps.select("fp").mapInArrow(_dealt, "k int, bits long").repartition(tasks, "k", F.shiftrightunsigned("bits", 36)).mapInArrow(_joined, "a long, b long")
+    prefix, zero = F.shiftrightunsigned("bits", 36).alias("prefix"), F.lit(0).cast("long")
+    dealt = fps.select("fp").mapInArrow(_dealt, "k int, bits long").select("k", "bits", prefix, zero.alias("cell"))
+    if n > MOST_ROWS:  # else no prefix can have more
+        crowded = cut(dealt.groupBy("k", "prefix").count().where(F.col("count") > MOST_ROWS).select("k", "prefix", F.ceil(F.col("count") / (MOST_ROWS / 2)).alias("blocks")), "simhash-crowded")
+        mine = F.pmod(F.xxhash64("bits"), F.col("blocks"))
+        met = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
+        dealt = dealt.drop("cell").join(crowded, ["k", "prefix"], "left").select("k", "bits", "prefix", F.explode(F.coalesce(met, F.array(zero))).alias("cell"))
+    return dealt.repartition(tasks, "k", "prefix", "cell").select("k", "bits").mapInArrow(_joined, "a long, b long")
 
 
 def _named(fps: DataFrame) -> DataFrame:
@@ -220,22 +232,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     fps = cut(fingerprint(docs, shingle), "simhash")
     return fps.join(_named(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The row with the smallest ``doc_id``, then text, of each group of near duplicates, all columns kept.
-
-    Null ids come last. Every group keeps a row, whatever ids its rows share with
-    other groups.
-    """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
-    fps = cut(keyed.mapInArrow(_fingerprint(shingle, "key"), "doc_id long, fp long, key long"), "simhash")
-    least = fps.join(_named(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
-    least = cut(least, "simhash-kept")
-    tied = least.groupBy("label").agg(F.sum("n").alias("n"), F.min("key").alias("__key"))
-    rows = docs.withColumn("__key", row_key())
-    # both grow with the documents: never broadcast
-    single = rows.join(tied.where("n = 1").select("__key").hint("merge"), "__key", "left_semi").select(*docs.columns)
-    several = least.join(tied.where("n > 1").select("label"), "label").select(F.col("label").alias("__label"), F.col("key").alias("__key"))
-    ranked = rows.join(several.hint("merge"), "__key").withColumn("__rank", F.row_number().over(W.partitionBy("__label").orderBy(F.col("text").asc_nulls_first()))).where("__rank = 1")
-    return single.unionByName(ranked.select(*docs.columns))
