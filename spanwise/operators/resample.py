@@ -1,8 +1,9 @@
 """Resampling by recording: bootstraps, shift and permutation nulls.
 
 Draws come from integer arithmetic on replicate and slot numbers, so that they are
-the same in any engine. Rows are never replicated: each recording's sufficient
-sums are, of which there is one row a recording.
+the same in any engine. Bootstraps repeat each recording's sufficient sums, of which
+there is one row a recording. Shift and permutation nulls repeat rows in the stream of
+a task and sum them before any shuffle.
 """
 
 from __future__ import annotations
@@ -96,9 +97,38 @@ def derangement(rows: DataFrame, key: str, row: str) -> DataFrame:
     return numbered.select(key, row, "k").join(other, "k").drop("k")
 
 
+#: Parts that a replicate's order is dealt into; only the part with the cut is ordered row by row.
+PARTS = 1024
+#: The modulus of the order's numbers.
+PRIME = 1_000_003
+
+
+def shuffled(b: str, row: str) -> Column:
+    """A number below ``PRIME`` for a row in a replicate, the same in any engine."""
+    r = F.pmod(F.col(row).cast("long"), F.lit(PRIME))
+    q = F.pmod(F.col(row).cast("long"), F.lit(10_007))
+    return (r * ((F.col(b) * 7919 + 104_729) % PRIME) + q * q * (F.col(b) + 17)) % PRIME
+
+
+def first_rows(rows: DataFrame, row: str, replicates: int, n: Column) -> DataFrame:
+    """``rows`` for each replicate ``b``, with ``first``: whether a row is among the ``n`` first in the replicate's order.
+
+    ``n`` is an aggregate over all rows. Where a replicate's order is cut is found among
+    sums of its parts; a window then orders the rows of one part. Rows are repeated in
+    the stream of a task, not shuffled.
+    """
+    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("__h", shuffled("b", row)).withColumn("__part", F.floor(F.col("__h") * PARTS / PRIME))
+    wanted = rows.agg(n.cast("long").alias("__n"))  # one row
+    sums = each.groupBy("b", "__part").agg(F.count(F.lit(1)).alias("__c"))  # PARTS rows a replicate
+    before = sums.withColumn("__before", F.sum("__c").over(W.partitionBy("b").orderBy("__part")) - F.col("__c")).join(F.broadcast(wanted))
+    cut = before.where((F.col("__before") < F.col("__n")) & (F.col("__before") + F.col("__c") >= F.col("__n"))).select("b", F.col("__part").alias("__cut"), (F.col("__n") - F.col("__before")).alias("__left"))
+    told = each.join(F.broadcast(cut), "b", "left")  # a row a replicate
+    here = F.coalesce(F.col("__part") == F.col("__cut"), F.lit(False))
+    edge = told.where(here).withColumn("first", F.row_number().over(W.partitionBy("b").orderBy("__h", row)) <= F.col("__left"))
+    rest = told.where(~here).withColumn("first", F.coalesce(F.col("__part") < F.col("__cut"), F.lit(False)))
+    return edge.unionByName(rest).drop("__h", "__part", "__cut", "__left")
+
+
 def permuted(rows: DataFrame, row: str, y: str, replicates: int) -> DataFrame:
-    """Labels dealt anew in each replicate: the same number of ones, by a hash order of (b, row)."""
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    place = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("b", row), row))
-    ones = F.sum(y).over(W.partitionBy("b"))
-    return each.withColumn("y_permuted", (place <= ones).cast("int"))
+    """Labels dealt anew in each replicate: the same number of ones, to the first rows of its order."""
+    return first_rows(rows, row, replicates, F.coalesce(F.sum(y), F.lit(0))).withColumn("y_permuted", F.col("first").cast("int")).drop("first")

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import graph, intervals, metrics, models, reconcile, resample, rules, sampling, signal
 from ..session import table
 from .base import CURVE, GAP, HOUR, SCORED, SEGMENTS, TOL, TRUTH, Book, curve, r6, scored, segments, truth
+from .modelling import ORDER, auroc_sql
 from .temporal import PEAKS, decoded, iou_candidates, peaks
 
 book = Book()
@@ -175,7 +176,7 @@ def l14(spark, d):
     return w.groupBy("user_id").agg(best.alias("margin")).withColumn("accept", F.col("margin") > 0)
 
 
-@book.add("l16_equal_cells_refill")
+@book.add("l16_equal_cells_refill", f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, y ORDER BY doc_id * 7919 % 1009, doc_id) AS k FROM scored), o AS (SELECT *, row_number() OVER (ORDER BY doc_id * 7919 % 1009, doc_id) AS q FROM r WHERE k > 5) SELECT doc_id, lang, y, 'cell' AS arm FROM r WHERE k <= 5 UNION ALL SELECT doc_id, lang, y, 'refill' FROM o WHERE q <= 10")
 def l16(spark, d):
     rows = scored(spark, d)
     first = sampling.per_group(rows, ["lang", "y"], [sampling.draw("doc_id"), "doc_id"], 5)
@@ -253,11 +254,11 @@ def b08(spark, d):
     return hit.groupBy("b").agg(F.sum("h").alias("hits"))
 
 
-@book.add("b12_detectable_auroc")
+@book.add("b12_detectable_auroc", f"{WITH}, n AS (SELECT b, y, {ORDER} AS r FROM scored, (SELECT unnest(generate_series(0, 49)) AS b) q), a AS ({auroc_sql('r', 'n')}) SELECT round(quantile_cont(a, 0.95), 6) AS p95 FROM a")
 def b12(spark, d):
     """The 95th percentile of the AUROC of scores that know nothing, for the classes' sizes."""
     each = scored(spark, d).select("doc_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("b"))
-    noise = each.withColumn("r", F.pmod(F.xxhash64("b", "doc_id"), F.lit(1_000_003)).cast("double"))
+    noise = each.withColumn("r", resample.shuffled("b", "doc_id").cast("double"))
     return metrics.auroc(noise, ["b"], "r", "y").agg(r6(F.percentile("auroc", 0.95)).alias("p95"))
 
 
@@ -279,17 +280,14 @@ def b14(spark, d):
     return hit.agg(rows_count().alias("n"), F.count_if("h").alias("hits"))
 
 
-@book.add("b15_label_flip_null")
+@book.add("b15_label_flip_null", f"{WITH}, f AS (SELECT b, s2, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {ORDER}, doc_id) <= 20 THEN 1 - y ELSE y END AS y FROM scored, (SELECT unnest(generate_series(0, 19)) AS b) q), a AS ({auroc_sql('s2', 'f')}) SELECT b, round(a, 6) AS auroc FROM a")
 def b15(spark, d):
     """AUROC after as many random flips as were corrected, by replicate."""
-    rows = scored(spark, d).select("doc_id", "y", "s2")
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
-    rank = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("b", "doc_id"), "doc_id"))
-    flipped = each.withColumn("y2", F.when(rank <= 20, 1 - F.col("y")).otherwise(F.col("y")))
+    flipped = resample.first_rows(scored(spark, d).select("doc_id", "y", "s2"), "doc_id", 20, F.lit(20)).withColumn("y2", F.when(F.col("first"), 1 - F.col("y")).otherwise(F.col("y")))
     return metrics.auroc(flipped, ["b"], "s2", "y2").select("b", r6("auroc").alias("auroc"))
 
 
-@book.add("b05_paired_suite")
+@book.add("b05_paired_suite", f"{WITH}, u AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE (s >= 0.5) = (y = 1)) AS a, count(*) FILTER (WHERE (s2 >= 0.5) = (y = 1)) AS c, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM scored GROUP BY source), d AS (SELECT b, (b * 7919 + j.k * 104729 + b * j.k) % (SELECT count(*) FROM u) AS k FROM u j, (SELECT unnest(generate_series(0, 99)) AS b) q) SELECT b, round((sum(c) - sum(a)) / CAST(sum(n) AS DOUBLE), 6) AS delta FROM d JOIN u USING (k) GROUP BY b")
 def b05(spark, d):
     rows = scored(spark, d)
     hit = lambda c: ((F.col(c) >= 0.5) == (F.col("y") == 1)).cast("double")
@@ -306,7 +304,7 @@ def m02(spark, d):
     return x.where("fold = 0").join(F.broadcast(m)).join(F.broadcast(sd)).select("doc_id", r6((F.coalesce("v", "m") - F.col("m")) / (F.col("sd") + 1e-8)).alias("z"))
 
 
-@book.add("m07_fold_thresholds")
+@book.add("m07_fold_thresholds", f"{WITH}, e AS (SELECT f AS fold, doc_id % 5 = f AS held, s, y FROM scored, (SELECT unnest([0, 1, 2, 3, 4]) AS f) q), c AS (SELECT fold, s, sum(count(*)) OVER w AS n, sum(count(*) FILTER (WHERE y = 1)) OVER w AS tp FROM e WHERE NOT held AND s IS NOT NULL GROUP BY fold, s WINDOW w AS (PARTITION BY fold ORDER BY s DESC)), t AS (SELECT fold, min(s) AS tau FROM c WHERE n >= 10 AND tp / (n + 1) >= 0.78 GROUP BY fold) SELECT fold, count(*) FILTER (WHERE s >= tau) AS kept, count(*) FILTER (WHERE s >= tau AND y = 1) AS \"right\" FROM e LEFT JOIN t USING (fold) WHERE held GROUP BY fold")
 def m07(spark, d):
     """Per fold the loosest threshold of the other folds that keeps a precision, and what it gives in the fold."""
     rows = scored(spark, d).withColumn("own", (F.col("doc_id") % 5).cast("int"))

@@ -10,7 +10,7 @@ from ..functions import vectors as vx
 from ..operators import metrics as m
 from ..operators import models, resample, sampling, tracks
 from ..session import table
-from .base import CURVE, SCORED, TOL, Book, curve, r6, scored, truth
+from .base import CURVE, SCORED, TOL, TRUTH, Book, curve, r6, scored, truth
 
 book = Book()
 WITH = f"WITH {SCORED}"
@@ -129,7 +129,7 @@ def b06(spark, d):
     return g.agg(r6(F.sum("w") / F.sum("n")).alias("observed"), r6(F.sum("w0") / F.sum("n")).alias("chance"), r6((F.sum("w") - F.sum("w0")) / F.sum("n")).alias("excess"))
 
 
-@book.add("b07_circular_shift_null")
+@book.add("b07_circular_shift_null", f"WITH {CURVE}, {TRUTH}, c AS (SELECT user_id, t FROM curve WHERE label = 'click'), sp AS (SELECT user_id, min(x) AS lo, max(x) - min(x) AS span FROM (SELECT user_id, t AS x FROM c UNION ALL SELECT user_id, u FROM truth) q GROUP BY user_id HAVING max(x) > min(x)), sh AS (SELECT user_id, lo, span, b, CASE WHEN b < 0 THEN 0 ELSE ((b * 104729 + user_id * 7919 + 1) % 100003) / 100003.0::DOUBLE * span END AS shift FROM sp, (SELECT unnest(generate_series(-1, 49)) AS b) bs), mv AS (SELECT c.user_id, b, lo + fmod(t - lo + shift, span) AS t FROM c JOIN sh USING (user_id)), h AS (SELECT g.user_id, s.b, g.u, count(m.t) > 0 AS hit FROM (SELECT DISTINCT user_id, u FROM truth) g JOIN sh s ON s.user_id = g.user_id LEFT JOIN mv m ON m.user_id = g.user_id AND m.b = s.b AND abs(m.t - g.u) <= {TOL / 6} GROUP BY 1, 2, 3), n AS (SELECT b, count(*) FILTER (WHERE hit) AS hits FROM h GROUP BY b) SELECT (SELECT hits FROM n WHERE b = -1) AS observed, round(avg(hits), 6) AS null_mean, round((1 + count(*) FILTER (WHERE hits >= (SELECT hits FROM n WHERE b = -1))) / (1.0 + count(*)), 6)::DOUBLE AS p FROM n WHERE b >= 0")
 def b07(spark, d):
     clicks = curve(spark, d).where("label = 'click'").select("user_id", "t")
     null = resample.shift_null(clicks, truth(spark, d).select("user_id", "u"), "user_id", "t", "u", TOL / 6, 50)
@@ -143,14 +143,23 @@ def b09(spark, d):
     return resample.derangement(rows, "source", "doc_id")
 
 
-@book.add("b10_label_permutation")
+#: The order of rows in a replicate, and the AUROC of a score against dealt labels, in SQL.
+ORDER = "((doc_id % 1000003) * ((b * 7919 + 104729) % 1000003) + (doc_id % 10007) * (doc_id % 10007) * (b + 17)) % 1000003"
+DEALT = f"b AS (SELECT unnest(generate_series(0, 39)) AS b), p AS (SELECT b, doc_id, s, s2, CAST(row_number() OVER (PARTITION BY b ORDER BY {ORDER}, doc_id) <= (SELECT sum(y) FROM scored) AS INT) AS y FROM scored, b)"
+
+
+def auroc_sql(score, table="p"):
+    return f"SELECT b, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS a FROM (SELECT b, y, rank() OVER (PARTITION BY b ORDER BY {score}) + (count(*) OVER (PARTITION BY b, {score}) - 1) / 2.0 AS r FROM {table}) q GROUP BY b"
+
+
+@book.add("b10_label_permutation", f"{WITH}, {DEALT}, a AS ({auroc_sql('s2')}) SELECT round(quantile_cont(greatest(a, 1 - a), 0.95), 6) AS p95 FROM a")
 def b10(spark, d):
     p = resample.permuted(scored(spark, d), "doc_id", "y", 40)
     a = m.auroc(p, ["b"], "s2", "y_permuted").withColumn("folded", F.greatest("auroc", 1 - F.col("auroc")))
     return a.agg(r6(F.percentile("folded", 0.95)).alias("p95"))
 
 
-@book.add("b11_family_wise")
+@book.add("b11_family_wise", f"{WITH}, {DEALT}, a AS ({auroc_sql('s')}), c AS ({auroc_sql('s2')}) SELECT round(quantile_cont(greatest(a.a, 1 - a.a, c.a, 1 - c.a), 0.95), 6) AS p95 FROM a JOIN c USING (b)")
 def b11(spark, d):
     p = resample.permuted(scored(spark, d), "doc_id", "y", 40)
     fold = lambda s: m.auroc(p, ["b"], s, "y_permuted").select("b", F.greatest("auroc", 1 - F.col("auroc")).alias(s))
@@ -185,7 +194,7 @@ def m10(spark, d):
     return scored(spark, d).agg(F.count_if(keep | drop).alias("decided"), F.count_if(~keep & ~drop).alias("review"), r6((F.count_if(keep & good) / F.count_if((keep | drop) & good) + F.count_if(drop & ~good) / F.count_if((keep | drop) & ~good)) / 2).alias("balanced"))
 
 
-@book.add("m06_grouped_threshold")
+@book.add("m06_grouped_threshold", f"{WITH}, e AS (SELECT f AS fold, s, y FROM scored, (SELECT unnest([0, 1, 2, 3, 4]) AS f) q WHERE doc_id % 5 <> f AND s IS NOT NULL), c AS (SELECT fold, s AS tau, count(*) AS all_n FROM e GROUP BY 1, 2), g AS (SELECT c.fold, c.tau, (SELECT count(*) FROM e WHERE e.fold = c.fold AND e.s > c.tau) AS n, (SELECT count(*) FROM e WHERE e.fold = c.fold AND e.s > c.tau AND y = 1) AS tp, (SELECT count(*) FROM e WHERE e.fold = c.fold AND y = 1) AS pos FROM c), f AS (SELECT fold, tau, CASE WHEN n + pos > 0 THEN 2 * tp / CAST(n + pos AS DOUBLE) ELSE 0 END AS f1 FROM g) SELECT fold, round(max(f1), 6) AS best_f1, arg_max(tau, {{'f': round(f1, 9), 't': -tau}}) AS tau FROM f GROUP BY fold")
 def m06(spark, d):
     # every fold's threshold from the counts of the other folds
     rows = scored(spark, d).withColumn("own", (F.col("doc_id") % 5).cast("int"))
