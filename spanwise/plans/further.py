@@ -242,7 +242,7 @@ def r23(spark, d):
     return c.select("user_id", F.size(F.array_except("stated", "derived")).cast("long").alias("mismatches"))
 
 
-@book.add("b08_per_peak_shift")
+@book.add("b08_per_peak_shift", f"WITH {CURVE}, {TRUTH}, sp AS (SELECT user_id, min(t) AS lo, max(t) - min(t) AS span FROM curve GROUP BY 1), b AS (SELECT unnest(generate_series(0, 19)) AS b), mv AS (SELECT c.user_id, b, lo + fmod(t - lo + ((b * 104729 + i * 7919) % 100003) / 100003::DOUBLE * span, span) AS t FROM curve c JOIN sp USING (user_id), b WHERE label = 'click'), h AS (SELECT b.b, g.user_id, g.g, count(m.t) > 0 AS h FROM truth g CROSS JOIN b LEFT JOIN mv m ON m.user_id = g.user_id AND m.b = b.b AND abs(m.t - g.u) <= {TOL / 6} GROUP BY 1, 2, 3) SELECT b, count(*) FILTER (WHERE h) AS hits FROM h GROUP BY b")
 def b08(spark, d):
     """A shift of its own for every peak, which is another null than one shift a recording."""
     clicks = curve(spark, d).where("label = 'click'").select("user_id", "t", "i")

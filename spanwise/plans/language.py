@@ -75,7 +75,7 @@ def f08(spark, d):
     return bench(spark, d).select("item_id", F.when(a.isNull() | b.isNull(), "unknown").when(inverse, "inverse").when(a == b, "same").otherwise("other").alias("relation"))
 
 
-@book.add("f09_atomicity")
+@book.add("f09_atomicity", r"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'repeat|again|back and forth') THEN 'cycle' WHEN len(list_filter(regexp_split_to_array(trim(text), '\s*(?:,|;|\band then\b|\bthen\b|\band\b)\s*'), lambda x: trim(x) <> '')) > 1 THEN 'compound' WHEN len(regexp_extract_all(lower(text), '[a-z]+')) <= 2 THEN 'terse' ELSE 'atomic' END AS tag FROM conversations")
 def f09(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.atomicity(F.col("text")).alias("tag"))
 
@@ -105,7 +105,7 @@ def f12(spark, d):
     return b.select("item_id", F.explode(made).alias("x")).select("item_id", "x.kind", "x.text", tx.well_formed(F.col("x.text")).alias("well_formed"))
 
 
-@book.add("f13_compound_supervision")
+@book.add("f13_compound_supervision", "WITH n AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), m AS (SELECT conv_id, turn, unnest([{'kind': 'original', 'text': a || ', then ' || b}, {'kind': 'reorder', 'text': b || ', then ' || a}, {'kind': 'drop_claim', 'text': a}, {'kind': 'paraphrase', 'text': a || ' and afterwards ' || b}]) AS x FROM n WHERE b IS NOT NULL) SELECT conv_id, turn, x.kind AS kind, x.text AS text FROM m")
 def f13(spark, d):
     c = table(spark, d, "conversations").withColumn("label", F.col("text"))
     nxt = c.withColumn("next_label", F.lead("label").over(W.partitionBy("conv_id").orderBy("turn"))).where("next_label IS NOT NULL")
