@@ -270,7 +270,8 @@ def test_decontamination_finds_planted_and_paraphrased(spark, monkeypatch):
     docs = spark.createDataFrame(rows, DOCS).unionByName(odd_rows(spark))
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(98, None), (99, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)  # many parts, several a pass
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 8)  # four parts, two a pass
+    monkeypatch.setattr(decontaminate, "PARTS_AT_ONCE", 2)
     in_parts = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert len(got ^ in_parts) <= 1
     monkeypatch.undo()
