@@ -179,5 +179,7 @@ def mixed(docs: DataFrame, entropy: float | None = None, most_repeats: float | N
         sources, _ = sources_of(rows, entropy, most_repeats, budget)
     names = [f"__{k}" for k in range(len(docs.columns))]
     keyed = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("source").alias("__source"), _keyed().alias("__key"))
-    told = keyed.join(sources, keyed["__source"].eqNullSafe(sources["of"])).withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), _blocks(F.col("__key")))))
+    told = keyed.join(sources, keyed["__source"].eqNullSafe(sources["of"])).withColumn("__blocks", _blocks(F.col("__key")))
+    # a sequence from 1 to 0 would count down
+    told = told.where("__blocks > 0").withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__blocks"))))
     return told.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
