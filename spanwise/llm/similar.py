@@ -11,9 +11,13 @@ error grows by one where its sides take different branches, and pairs over
 the leaves is compared in all bits. The join runs with a budget that grows, so that
 the links kept are those of a spanning forest of the nearest pairs.
 
-These links are then checked by the exact similarity of the shingle sets; only
-those of 0.8 or more connect. The number of bits of a prefix grows with the logarithm
-of the number of distinct texts, and that of deals by as much as keeps the recall.
+The forests of all prefixes together tell which texts might belong together: every
+near pair lies within one of these groups, whichever of its pairs stand in a
+forest. Within a group the exact similarity of shingle sets decides alone
+(:mod:`.resolve`): links of 0.8 or more connect, and only these save comparisons. So the
+result is that of all pairs within the groups, however prefixes or groups are dealt into blocks.
+The number of bits of a prefix grows with the logarithm of the number of
+distinct texts, and that of deals by as much as keeps the recall.
 
 Words are what ASCII white space separates, A-Z lower-cased; the only shingle of a
 text of fewer than five words is all its words. Texts that are equal in their words
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import Forest, connected
+from .resolve import resolved
 from .shared import cut, row_key, scratch, tidy
 from .token_store import slices
 
@@ -323,37 +328,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             key, bounds, _ = shingles([t or "" for t in part.column(1).to_pylist()])
             raw = key.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["text_key", "held"])
+            held = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), held], names=["component", "text_key", "held"])
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of hashes; that of two empty ones is 1."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _checked(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similarity(x.as_py(), y.as_py()) >= threshold for x, y in zip(batch.column("held_a"), batch.column("held_b"))]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def confirmed(edges: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Of ``edges`` (a, b: text keys) those whose texts are similar enough.
+def held_sets(near: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``component, text_key, held``: the shingle sets of the text keys in ``near`` (``node, component``).
 
     ``classes`` names one row (``key``) of each text key, ``texts`` has the rows' texts by ``key``.
     """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    wanted = classes.select("text_key", "key").join(ends, "text_key").hint("merge")
+    wanted = classes.select("text_key", "key").join(near.select(F.col("node").alias("text_key"), "component"), "text_key").hint("merge")
     # one row a key: copies of a row have one key
-    held = cut(texts.join(wanted, "key").groupBy("text_key").agg(F.first("text").alias("text")).mapInArrow(_sets, "text_key long, held binary"), "similar-sets")
-    first = edges.select("a", "b").join(held.select(F.col("text_key").alias("a"), F.col("held").alias("held_a")).hint("merge"), "a")
-    both = first.join(held.select(F.col("text_key").alias("b"), F.col("held").alias("held_b")).hint("merge"), "b")
-    return both.mapInArrow(_checked(threshold), "a long, b long")
+    one = texts.join(wanted, "key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("component").alias("component"))
+    return one.select("text_key", "text", "component").mapInArrow(_sets, "component long, text_key long, held binary")
 
 
 def groups(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -362,9 +349,9 @@ def groups(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, D
     prints = cut(rows.select("key", "doc_id", "text").mapInArrow(_prints, PRINTS), "similar-prints")
     ids = prints.select("key", "doc_id", "text_key")
     classes = cut(prints.groupBy("text_key").agg(F.min("key").alias("key"), *(F.min(c).alias(c) for c in PARTS)), "similar-classes")
-    edges = cut(candidates(classes).groupBy("a", "b").agg(F.min("d").alias("d")), "similar-edges")
-    links = confirmed(edges, rows.select("key", "text"), classes, threshold)
-    label = connected(links).select(F.col("node").alias("text_key"), F.col("component").alias("label"))
+    near = connected(candidates(classes))
+    members = cut(held_sets(near, rows.select("key", "text"), classes), "similar-sets")
+    label = resolved(members, threshold).select(F.col("node").alias("text_key"), F.col("component").alias("label"))
     return ids, label
 
 
