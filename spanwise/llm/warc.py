@@ -8,8 +8,9 @@ owns the records whose member starts inside its range and reads the last of them
 past the range's end. Each record is thus read once however the ranges lie.
 
 Defined cases: null or empty HTML is an empty payload; rows that repeat a
-``page_id`` give a record each; a null ``page_id`` is kept as null; an empty table
-gives no archive and no rows; other columns are ignored.
+``page_id`` give a record each; a null ``page_id`` is kept as null and is smaller than
+any other, so that such a page is a revisit where a page with an id has its payload,
+and a response where none has; an empty table gives no archive and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ READ_BYTES = 1 << 20
 #: Bytes inflated at once while a header block's end is sought.
 HEADER_BYTES = 1 << 16
 ROWS_PER_FILE = 20_000
+#: Parts that rows without ``page_id`` and of one payload are dealt into.
+SPREAD = 32
 #: The identifier of a page without ``page_id``.
 NO_ID = "urn:uuid:ffffffff-ffff-ffff-ffff-ffffffffffff"
 
@@ -81,11 +84,11 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, digest, refers_to`` (hex SHA-1 of the payload) of each page whose payload a page with a larger ``page_id`` has too."""
+    """``page_id, digest, refers_to`` (hex SHA-1 of the payload) of each page whose payload a page with a larger ``page_id`` has too; null is the smallest."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     seen = cut(pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= least_bytes), "warc-digests")
     shared = seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    return seen.join(shared, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    return seen.join(shared, "digest").where("page_id < refers_to OR page_id IS NULL AND refers_to IS NOT NULL").select("page_id", "digest", "refers_to").distinct()
 
 
 def _writer(folder: str, date: str):
@@ -96,12 +99,12 @@ def _writer(folder: str, date: str):
         system, base = _open(folder)
         # a second attempt of this task writes another file; only files in the manifest are read
         path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        n, out, page, known = 0, None, None, {}
+        n, out, at_page, page, known = 0, None, None, None, {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for x in batch.slice(at, 256).to_pylist():
-                    if x["page_id"] != page:
-                        page, known = x["page_id"], {}
+                    if (x["page_id"], x["spread"]) != at_page:
+                        at_page, page, known = (x["page_id"], x["spread"]), x["page_id"], {}
                     if x["digest"] is not None:  # what a page refers to stands before the page
                         known[x["digest"]] = x["refers_to"]
                         continue
@@ -131,11 +134,13 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    both = rows.unionByName(revisits(pages, least_bytes), allowMissingColumns=True)
+    # rows without a page_id are spread by their payload, and what they refer to is sent to each part
+    none = F.col("page_id").isNull()
+    spread = F.when(none, F.xxhash64(F.sha1("payload"), F.pmod(F.xxhash64("url"), F.lit(SPREAD)))).otherwise(0)
+    parts = F.when(none, F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.xxhash64("digest", k.cast("long")))).otherwise(F.array(F.lit(0).cast("long")))
+    both = rows.withColumn("spread", spread).unionByName(revisits(pages, least_bytes).withColumn("spread", F.explode(parts)), allowMissingColumns=True)
     files = max(-(-pages.count() // ROWS_PER_FILE), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # rows without a page_id refer to nothing: they are spread by their payload
-    spread = F.when(F.col("page_id").isNull(), F.xxhash64("payload", "url")).otherwise(0)
-    written = both.withColumn("spread", spread).repartitionByRange(files, "page_id", "spread").drop("spread").sortWithinPartitions("page_id", F.col("digest").isNull()).mapInArrow(_writer(f"{folder}/archives", date), "file string, bytes long, records long")
+    written = both.repartitionByRange(files, "page_id", "spread").sortWithinPartitions("page_id", "spread", F.col("digest").isNull()).mapInArrow(_writer(f"{folder}/archives", date), "file string, bytes long, records long")
     written.write.parquet(f"{folder}/manifest")
     return spark.read.schema("file string, bytes long, records long").parquet(f"{folder}/manifest")
 

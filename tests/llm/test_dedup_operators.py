@@ -351,6 +351,7 @@ def test_warc_round_trip(spark, split):
     rng = random.Random(4)
     pages = [(i, f"http://x/{i}", "".join(rng.choice("<p>é \x1f\x8b\x08") for _ in range(rng.randrange(0, 3000)))) for i in range(80)]
     pages += [(100 + i, "http://copy", pages[3][2]) for i in range(5)] + [(200, "u", None), (201, "u", ""), (202, None, "x"), (202, "u", "x"), (None, "u", "x"), (-7, "u", "x")]
+    pages += [(None, f"u{i}", t) for i in range(40) for t in ("x", "only without an id", None)]
     rows = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"), split_bytes=split).collect()
     last = {}
     for i, _, h in pages:
@@ -359,13 +360,21 @@ def test_warc_round_trip(spark, split):
     want = []
     for i, _, h in pages:
         payload = (h or "").encode()
-        revisit = i is not None and i < last[h or ""]
+        revisit = (h or "") in last and (i is None or i < last[h or ""])
         want.append((i, len(payload), warc.sha1_base32(payload), "revisit" if revisit else "response", last[h or ""] if revisit else None))
     key = lambda r: tuple(str(v) for v in r)
     assert sorted((tuple(r)[:5] for r in rows), key=key) == sorted(want, key=key)
     assert all(r.digest_ok for r in rows)
 
 
+def test_warc_of_no_pages_and_of_other_columns(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none).count() == 0
+    names = "page_id long, url string, html string, digest int, payload string, spread string, refers_to string, n int, copies int, file int"
+    odd = spark.createDataFrame([(1, "u", "a", 1, "p", "s", "r", 2, 3, 4), (2, "u", "a", 1, "p", "s", "r", 2, 3, 4)], names)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(odd).collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_warc_keeps_pages_with_long_urls(spark, monkeypatch):
     rng = random.Random(6)
     pages = [(i, "http://x/?" + "".join(rng.choice("abcdefghij0123456789") for _ in range(n)), "<p>") for i, n in enumerate((10, 65_000, 65_536, 300_000))]
