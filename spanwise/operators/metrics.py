@@ -1,4 +1,4 @@
-"""Evaluation statistics as window and aggregate expressions; no row is compared with every other."""
+"""Evaluation statistics as window and aggregate expressions; no row is compared with every other, and no task orders a whole group."""
 
 from __future__ import annotations
 
@@ -17,57 +17,71 @@ def by_value(rows: DataFrame, keys: list[str], score: str, **sums: Column) -> Da
 def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     """Area under the ROC curve by group, a tie counting one half; null without both classes."""
     counts = by_value(rows, keys, score, pos=(F.col(y) == 1).cast("long"), neg=(F.col(y) == 0).cast("long"))
-    w = W.partitionBy(*keys).orderBy(score)
-    below = F.sum("neg").over(w) - F.col("neg")
-    wins = counts.withColumn("__w", F.col("pos") * (below + F.col("neg") / 2))
+    below = F.sum("neg").over(W.partitionBy(*keys, "__range").orderBy(score)) + F.col("neg_below") - F.col("neg")
+    wins = in_ranges(counts, score, keys, neg="neg").withColumn("__w", F.col("pos") * (below + F.col("neg") / 2))
     return wins.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), (F.sum("__w") / F.when(F.sum("pos") * F.sum("neg") > 0, F.sum("pos") * F.sum("neg"))).alias("auroc"))
 
 
-#: Ranges that a score's values are dealt into where one order runs over all of them.
+#: Ranges that a group's values are dealt into.
 RANGES = 64
 
 
-def in_ranges(rows: DataFrame, x: str, **sums: str) -> DataFrame:
-    """``rows`` with ``__range``, one of about ``RANGES`` ranges of ``x`` with like numbers of rows, and the sums over all lower (``*_below``) and higher (``*_above``) ranges.
+def in_ranges(rows: DataFrame, x: str, keys: list[str], **sums: str) -> DataFrame:
+    """``rows`` with ``__range``, one of about ``RANGES`` ranges of their group's values of ``x`` with like numbers of rows, and of each of ``sums`` the sum over the group's lower (``*_below``), higher (``*_above``) and all (``*_total``) ranges.
 
-    A window then orders a range only. Bounds and range sums are one row each.
+    A window over ``keys`` and ``__range`` then orders a range only: no task orders a
+    whole group. A group's bounds, and its ranges' sums, are one row. Groups may be null.
     """
-    bounds = rows.agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))
-    placed = rows.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda b: b < F.col(x)))).drop("__bounds")
-    totals = placed.groupBy("__range").agg(*[F.sum(c).alias(c) for c in sums.values()]).agg(F.collect_list(F.struct("__range", *sums.values())).alias("__totals"))
-    out = placed.join(F.broadcast(totals))
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))
+    placed = _beside(rows, bounds, keys).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda b: b < F.col(x)))).drop("__bounds")
+    ranges = placed.groupBy(*keys, "__range").agg(*[F.sum(c).alias(c) for c in sums.values()])
+    totals = ranges.groupBy(*keys).agg(F.collect_list(F.struct("__range", *sums.values())).alias("__totals"))
+    out = _beside(placed, totals, keys)
 
-    def other(c: str, lower: bool) -> Column:
-        mine = F.filter("__totals", lambda t: (t["__range"] < F.col("__range")) if lower else (t["__range"] > F.col("__range")))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc + t[c].cast("long"))
+    def over(c: str, side: str) -> Column:
+        mine = {"below": lambda t: t["__range"] < F.col("__range"), "above": lambda t: t["__range"] > F.col("__range"), "total": lambda t: F.lit(True)}[side]
+        return F.aggregate(F.filter("__totals", mine), F.lit(0).cast("long"), lambda acc, t: acc + t[c].cast("long"))
 
-    return out.withColumns({f"{name}_{side}": other(c, side == "below") for name, c in sums.items() for side in ("below", "above")}).drop("__totals")
+    return out.withColumns({f"{name}_{side}": over(c, side) for name, c in sums.items() for side in ("below", "above", "total")}).drop("__totals")
+
+
+def _beside(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group's row in ``one``."""
+    if not keys:
+        return rows.join(F.broadcast(one))  # one row
+    names = {k: f"__of_{i}" for i, k in enumerate(keys)}
+    same = None
+    for k, n in names.items():
+        each = rows[k].eqNullSafe(F.col(n))
+        same = each if same is None else same & each
+    return rows.join(one.withColumnsRenamed(names), same).drop(*names.values())
 
 
 def _curve(rows: DataFrame, keys: list[str], score: str, y: str, descending: bool = True) -> DataFrame:
-    """Per distinct score its own sums ``pos, all`` and those at it or beyond, ``tp, n``."""
+    """Per distinct score its own sums ``pos, all``, those at it or beyond, ``tp, n``, and the group's positives ``all_tp``."""
     counts = by_value(rows, keys, score, pos=(F.col(y) == 1).cast("long"), all=F.lit(1).cast("long"))
-    order = F.col(score).desc() if descending else F.col(score)
-    if keys:
-        w = W.partitionBy(*keys).orderBy(order)
-        return counts.withColumns({"tp": F.sum("pos").over(w), "n": F.sum("all").over(w)})
-    w, side = W.partitionBy("__range").orderBy(order), "above" if descending else "below"
-    return in_ranges(counts, score, pos="pos", all="all").select(score, "pos", "all", (F.sum("pos").over(w) + F.col(f"pos_{side}")).alias("tp"), (F.sum("all").over(w) + F.col(f"all_{side}")).alias("n"))
+    w = W.partitionBy(*keys, "__range").orderBy(F.col(score).desc() if descending else F.col(score))
+    side = "above" if descending else "below"
+    upto = {"tp": F.sum("pos").over(w) + F.col(f"pos_{side}"), "n": F.sum("all").over(w) + F.col(f"all_{side}")}
+    return in_ranges(counts, score, keys, pos="pos", all="all").select(*keys, score, "pos", "all", *[c.alias(k) for k, c in upto.items()], F.col("pos_total").alias("all_tp"))
 
 
 def cumulative(rows: DataFrame, keys: list[str], score: str, y: str, descending: bool = True) -> DataFrame:
     """Per distinct score how many rows, and of them positives, are at it or beyond: ``n, tp, fp``."""
-    return _curve(rows, keys, score, y, descending).drop("pos", "all").withColumn("fp", F.col("n") - F.col("tp"))
+    return _curve(rows, keys, score, y, descending).drop("pos", "all", "all_tp").withColumn("fp", F.col("n") - F.col("tp"))
 
 
 def _with_before(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     """The curve with the sums before each score (``tp_before, n_before``) and all positives (``all_tp``)."""
-    curve = _curve(rows, keys, score, y)
-    if keys:
-        curve = curve.withColumn("all_tp", F.max("tp").over(W.partitionBy(*keys)))
-    else:
-        curve = curve.join(F.broadcast(curve.agg(F.max("tp").alias("all_tp"))))  # one row
-    return curve.withColumns({"tp_before": F.col("tp") - F.col("pos"), "n_before": F.col("n") - F.col("all")})
+    return _curve(rows, keys, score, y).withColumns({"tp_before": F.col("tp") - F.col("pos"), "n_before": F.col("n") - F.col("all")})
+
+
+def kth_largest(rows: DataFrame, x: str, k: Column) -> DataFrame:
+    """``k, threshold``: the ``k``-th largest value of ``x`` over all rows, where ``k`` is an aggregate over them; null beyond their number."""
+    wanted = rows.agg(k.alias("k"))  # one row
+    counts = by_value(rows, [], x, n=F.lit(1).cast("long"))
+    upto = in_ranges(counts, x, [], n="n").withColumn("__upto", F.sum("n").over(W.partitionBy("__range").orderBy(F.col(x).desc())) + F.col("n_above"))
+    return upto.join(F.broadcast(wanted)).groupBy("k").agg(F.max(F.when(F.col("__upto") >= F.col("k"), F.col(x))).alias("threshold"))
 
 
 def pr_auc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
@@ -97,17 +111,28 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return total.join(chance).select("n", po.alias("observed"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
-def average_rank(score: str, keys: list[str]) -> Column:
-    """Rank from 1 with ties sharing the mean of theirs."""
-    w = W.partitionBy(*keys).orderBy(score)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy(*keys, score)) - 1) / 2
+def average_ranks(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """``rank`` of each distinct value of ``x`` in its group, from 1, ties sharing the mean of theirs; ``n``: how many rows have it."""
+    counts = by_value(rows, keys, x, n=F.lit(1).cast("long"))
+    upto = F.sum("n").over(W.partitionBy(*keys, "__range").orderBy(x)) + F.col("n_below")
+    return in_ranges(counts, x, keys, n="n").select(*keys, x, "n", (upto - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> DataFrame:
-    """Correlation of average ranks by group; null for few rows or no variance."""
-    ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__ra", average_rank(a, keys)).withColumn("__rb", average_rank(b, keys))
-    ok = (F.count(F.lit(1)) >= least) & (F.var_pop("__ra") > 0) & (F.var_pop("__rb") > 0)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(ok, F.corr("__ra", "__rb")).alias("rho"))
+    """Correlation of average ranks by group; null for few rows or no variance.
+
+    Rows are summed by their pair of values first. The mean of average ranks is (n + 1) / 2.
+    """
+    held = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    pairs = held.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("__c"))
+    for x in (a, b):
+        ranks = average_ranks(held, keys, x).drop("n").withColumnRenamed("rank", f"__r_{x}")
+        pairs = _beside(pairs, ranks, [*keys, x])
+    sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    c, da, db = F.col("__c"), F.col(f"__r_{a}") - (F.col("__n") + 1) / 2, F.col(f"__r_{b}") - (F.col("__n") + 1) / 2
+    sums = _beside(pairs, sizes, keys).groupBy(*keys).agg(F.sum("__c").alias("n"), F.sum(c * da * db).alias("__ab"), F.sum(c * da * da).alias("__aa"), F.sum(c * db * db).alias("__bb"))
+    ok = (F.col("n") >= least) & (F.col("__aa") > 0) & (F.col("__bb") > 0)
+    return sums.select(*keys, "n", F.when(ok, F.col("__ab") / F.sqrt(F.col("__aa") * F.col("__bb"))).alias("rho"))
 
 
 def entropies(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -152,6 +177,6 @@ def best_f1(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
 def upper_median(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Per group the element at half the count (``n, upper_median``), of values in order, not interpolated: from counts of distinct values."""
     counts = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*keys).orderBy(x)
-    at = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy(*keys)))
+    upto = F.sum("n").over(W.partitionBy(*keys, "__range").orderBy(x)) + F.col("n_below")
+    at = in_ranges(counts, x, keys, n="n").withColumns({"upto": upto, "all": F.col("n_total")})
     return at.where((F.col("upto") > F.floor(F.col("all") / 2))).groupBy(*keys).agg(F.max("all").alias("n"), F.min(x).alias("upper_median"))

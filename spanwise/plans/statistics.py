@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
+from ..operators import digests
 from ..operators import metrics as m
 from ..session import table
 from .base import SCORED, Book, r6, scored
@@ -245,12 +246,7 @@ def a37(spark, d):
 
 @book.add("a38_matched_call_count", f"{WITH}, n AS (SELECT count(*) FILTER (WHERE s >= 0.6) AS k FROM scored), r AS (SELECT s2, row_number() OVER (ORDER BY s2 DESC, doc_id) AS r FROM scored) SELECT k, s2 AS threshold FROM r JOIN n ON r = k")
 def a38(spark, d):
-    rows = scored(spark, d)
-    # the k-th largest from counts of distinct scores, not from one ordered task over all rows
-    k = rows.agg(F.count_if(F.col("s") >= 0.6).alias("k"))
-    counts = rows.groupBy("s2").agg(rows_count().alias("n"))
-    upto = counts.withColumn("n", F.sum("n").over(W.orderBy(F.col("s2").desc())))
-    return upto.join(F.broadcast(k), F.col("n") >= F.col("k")).groupBy("k").agg(F.max("s2").alias("threshold"))
+    return m.kth_largest(scored(spark, d), "s2", F.count_if(F.col("s") >= 0.6))
 
 
 @book.add("a39_rescues_harms", f"{WITH} SELECT count(*) FILTER (WHERE y = 1 AND s2 >= 0.5 AND s < 0.5) AS rescues, count(*) FILTER (WHERE y = 1 AND s >= 0.5 AND s2 < 0.5) AS losses, count(*) FILTER (WHERE y = 0 AND s2 >= 0.5 AND s < 0.5) AS harms FROM scored")
@@ -298,9 +294,7 @@ def a49(spark, d):
 
 @book.add("a50_fingerprint", f"{WITH} SELECT source, substr(sha256(array_to_string(list_sort(list_distinct(list(CAST(doc_id AS VARCHAR)))), chr(31)) || chr(31)), 1, 16) AS fingerprint FROM scored GROUP BY source")
 def a50(spark, d):
-    mark = F.lit("\x1f")
-    joined = F.concat(F.array_join(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))), "\x1f"), mark)
-    return scored(spark, d).groupBy("source").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
+    return digests.fingerprints(scored(spark, d), "source", "doc_id")
 
 
 CHECKS = {"score": "s < 0.4", "second": "s2 < 0.3", "toxic": "z = 1", "short": "n_chars < 300"}
