@@ -1,4 +1,4 @@
-"""Resampling by recording: bootstraps, shift and permutation nulls.
+"""Resampling by recording: bootstraps and permutation nulls (shift nulls: :mod:`.shifts`).
 
 Draws come from integer arithmetic on replicate and slot numbers, so that they are
 the same in any engine. Bootstraps repeat each recording's sufficient sums, of which
@@ -56,25 +56,6 @@ def bootstrap_auroc(rows: DataFrame, key: str, scores: list[str], y: str, replic
     return out
 
 
-def shifts(groups: DataFrame, key: str, span: str, replicates: int) -> DataFrame:
-    """Per replicate and recording one shift, uniform over its span: ``b, key, shift``."""
-    each = groups.select(key, span, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("b"))
-    return each.select("b", key, span, (F.pmod(F.col("b") * 104729 + F.col(key) * 7919 + 1, F.lit(100003)) / 100003.0 * F.col(span)).alias("shift"))
-
-
-def shift_null(peaks: DataFrame, truth: DataFrame, key: str, t: str, u: str, tol: float, replicates: int) -> DataFrame:
-    """Hits of circularly shifted peaks: replicate -1 is the peaks as they are, all of a recording move together."""
-    from .intervals import tolerance_join
-
-    span = peaks.select(key, F.col(t).alias("x")).unionByName(truth.select(key, F.col(u).alias("x"))).groupBy(key).agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("span")).where("span > 0")
-    real = span.select(F.lit(-1).cast("long").alias("b"), key, "span", F.lit(0.0).alias("shift"))
-    all_shifts = shifts(span, key, "span", replicates).unionByName(real).join(span.select(key, "lo"), key)
-    moved = peaks.select(key, t).join(all_shifts, key).withColumn(t, F.col("lo") + F.pmod(F.col(t) - F.col("lo") + F.col("shift"), F.col("span")))
-    asked = truth.select(key, u).join(all_shifts.select("b", key), key)
-    hit = tolerance_join(asked, moved.select("b", key, t), ["b", key], u, t, tol, "left").groupBy("b", key, u).agg((F.count(t) > 0).cast("long").alias("hit"))
-    return hit.groupBy("b").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
-
-
 def p_value(null: DataFrame, value: str) -> DataFrame:
     """(1 + replicates at least as large) / (1 + replicates), replicate -1 being the observed one."""
     observed = null.where("b = -1").select(F.col(value).alias("observed"))

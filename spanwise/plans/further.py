@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
 from ..functions import text as tx
-from ..operators import graph, intervals, metrics, models, reconcile, resample, rules, sampling, signal
+from ..operators import graph, intervals, metrics, models, reconcile, resample, rules, sampling, shifts, signal
 from ..session import table
 from .base import CURVE, GAP, HOUR, SCORED, SEGMENTS, TOL, TRUTH, Book, curve, r6, scored, segments, truth
 from .modelling import ORDER, auroc_sql
@@ -245,13 +245,8 @@ def r23(spark, d):
 @book.add("b08_per_peak_shift", f"WITH {CURVE}, {TRUTH}, sp AS (SELECT user_id, min(t) AS lo, max(t) - min(t) AS span FROM curve GROUP BY 1), b AS (SELECT unnest(generate_series(0, 19)) AS b), mv AS (SELECT c.user_id, b, lo + fmod(t - lo + ((b * 104729 + i * 7919) % 100003) / 100003::DOUBLE * span, span) AS t FROM curve c JOIN sp USING (user_id), b WHERE label = 'click'), h AS (SELECT b.b, g.user_id, g.g, count(m.t) > 0 AS h FROM truth g CROSS JOIN b LEFT JOIN mv m ON m.user_id = g.user_id AND m.b = b.b AND abs(m.t - g.u) <= {TOL / 6} GROUP BY 1, 2, 3) SELECT b, count(*) FILTER (WHERE h) AS hits FROM h GROUP BY b")
 def b08(spark, d):
     """A shift of its own for every peak, which is another null than one shift a recording."""
-    clicks = curve(spark, d).where("label = 'click'").select("user_id", "t", "i")
-    span = curve(spark, d).groupBy("user_id").agg(F.min("t").alias("lo"), (F.max("t") - F.min("t")).alias("span"))
-    each = clicks.join(span, "user_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    moved = each.withColumn("t", F.col("lo") + F.pmod(F.col("t") - F.col("lo") + F.pmod(F.col("b") * 104729 + F.col("i") * 7919, F.lit(100003)) / 100003 * F.col("span"), F.col("span")))
-    asked = truth(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    hit = intervals.tolerance_join(asked, moved.select("user_id", "b", "t"), ["user_id", "b"], "u", "t", TOL / 6, "left").groupBy("b", "user_id", "g").agg((F.count("t") > 0).cast("long").alias("h"))
-    return hit.groupBy("b").agg(F.sum("h").alias("hits"))
+    clicks, times = curve(spark, d).where("label = 'click'").select("user_id", "t", "i"), curve(spark, d).select("user_id", "t")
+    return shifts.own_shifts(clicks, truth(spark, d), shifts.spans_of(times), "user_id", "t", "i", "u", TOL / 6, 20).where("b >= 0").select("b", "hits")
 
 
 @book.add("b12_detectable_auroc", f"{WITH}, n AS (SELECT b, y, {ORDER} AS r FROM scored, (SELECT unnest(generate_series(0, 49)) AS b) q), a AS ({auroc_sql('r', 'n')}) SELECT round(quantile_cont(a, 0.95), 6) AS p95 FROM a")

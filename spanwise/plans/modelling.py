@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as sc
 from ..functions import vectors as vx
 from ..operators import metrics as m
-from ..operators import models, resample, sampling, tracks
+from ..operators import models, resample, sampling, shifts, tracks
 from ..session import table
 from .base import CURVE, SCORED, TOL, TRUTH, Book, curve, r6, scored, truth
 
@@ -129,13 +129,31 @@ def b06(spark, d):
     return g.agg(r6(F.sum("w") / F.sum("n")).alias("observed"), r6(F.sum("w0") / F.sum("n")).alias("chance"), r6((F.sum("w") - F.sum("w0")) / F.sum("n")).alias("excess"))
 
 
-@book.add("b07_circular_shift_null", f"WITH {CURVE}, {TRUTH}, c AS (SELECT user_id, t FROM curve WHERE label = 'click'), sp AS (SELECT user_id, min(x) AS lo, max(x) - min(x) AS span FROM (SELECT user_id, t AS x FROM c UNION ALL SELECT user_id, u FROM truth) q GROUP BY user_id HAVING max(x) > min(x)), sh AS (SELECT user_id, lo, span, b, CASE WHEN b < 0 THEN 0 ELSE ((b * 104729 + user_id * 7919 + 1) % 100003) / 100003.0::DOUBLE * span END AS shift FROM sp, (SELECT unnest(generate_series(-1, 49)) AS b) bs), mv AS (SELECT c.user_id, b, lo + fmod(t - lo + shift, span) AS t FROM c JOIN sh USING (user_id)), h AS (SELECT g.user_id, s.b, g.u, count(m.t) > 0 AS hit FROM (SELECT DISTINCT user_id, u FROM truth) g JOIN sh s ON s.user_id = g.user_id LEFT JOIN mv m ON m.user_id = g.user_id AND m.b = s.b AND abs(m.t - g.u) <= {TOL / 6} GROUP BY 1, 2, 3), n AS (SELECT b, count(*) FILTER (WHERE hit) AS hits FROM h GROUP BY b) SELECT (SELECT hits FROM n WHERE b = -1) AS observed, round(avg(hits), 6) AS null_mean, round((1 + count(*) FILTER (WHERE hits >= (SELECT hits FROM n WHERE b = -1))) / (1.0 + count(*)), 6)::DOUBLE AS p FROM n WHERE b >= 0")
-def b07(spark, d):
-    clicks = curve(spark, d).where("label = 'click'").select("user_id", "t")
-    null = resample.shift_null(clicks, truth(spark, d).select("user_id", "u"), "user_id", "t", "u", TOL / 6, 50)
+SHIFTS = f"c AS (SELECT DISTINCT user_id, t FROM curve WHERE label = 'click'), sp AS (SELECT user_id, min(x) AS lo, max(x) - min(x) AS span FROM (SELECT user_id, t AS x FROM c UNION ALL SELECT user_id, u FROM truth) q GROUP BY user_id HAVING max(x) > min(x)), sh AS (SELECT user_id, lo, span, b, CASE WHEN b < 0 THEN 0 ELSE ((b * 104729 + user_id * 7919 + 1) % 100003) / 100003.0::DOUBLE * span END AS shift FROM sp, (SELECT unnest(generate_series(-1, 49)) AS b) bs), mv AS (SELECT c.user_id, b, c.t AS peak, CASE WHEN b < 0 THEN t ELSE lo + fmod(t - lo + shift, span) END AS t FROM c JOIN sh USING (user_id)), g AS (SELECT DISTINCT user_id, u FROM truth)"
+P_VALUE = "SELECT (SELECT hits FROM n WHERE b = -1) AS observed, round(avg(hits), 6) AS null_mean, round((1 + count(*) FILTER (WHERE hits >= (SELECT hits FROM n WHERE b = -1))) / (1.0 + count(*)), 6)::DOUBLE AS p FROM n WHERE b >= 0"
+
+
+def shift_nulls(spark, d):
+    clicks, bounds = curve(spark, d).where("label = 'click'").select("user_id", "t"), truth(spark, d).select("user_id", "u")
+    return shifts.circular(clicks, bounds, shifts.spans_of(clicks, bounds), "user_id", "t", "u", TOL / 6, 50)
+
+
+def p_value(null):
     return resample.p_value(null, "hits").select("observed", r6("null_mean").alias("null_mean"), r6("p").alias("p"))
 
 
+@book.add("b07_circular_shift_null", f"WITH {CURVE}, {TRUTH}, {SHIFTS}, h AS (SELECT g.user_id, s.b, g.u, count(m.t) > 0 AS hit FROM g JOIN sh s ON s.user_id = g.user_id LEFT JOIN mv m ON m.user_id = g.user_id AND m.b = s.b AND abs(m.t - g.u) <= {TOL / 6} GROUP BY 1, 2, 3), n AS (SELECT b, count(*) FILTER (WHERE hit) AS hits FROM h GROUP BY b) {P_VALUE}")
+def b07(spark, d):
+    """Boundaries with a peak nearby, against peaks that are turned around their recording."""
+    return p_value(shift_nulls(spark, d)[0])
+
+
+@book.add("b07_peak_centric", f"WITH {CURVE}, {TRUTH}, {SHIFTS}, h AS (SELECT m.user_id, m.b, m.peak, count(g.u) > 0 AS hit FROM mv m LEFT JOIN g ON m.user_id = g.user_id AND abs(m.t - g.u) <= {TOL / 6} GROUP BY 1, 2, 3), n AS (SELECT b, count(*) FILTER (WHERE hit) AS hits FROM h GROUP BY b) {P_VALUE}")
+def b07_peaks(spark, d):
+    """The same null counted by peaks: those with a boundary nearby."""
+    return p_value(shift_nulls(spark, d)[1])
+
+
 @book.add("b09_derangement", f"{WITH}, s AS (SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS k FROM scored), m AS (SELECT max(n) AS most, sum(n) AS n FROM (SELECT count(*) AS n FROM scored GROUP BY source) q) SELECT s.source, s.doc_id, p.source AS source_partner, p.doc_id AS doc_id_partner FROM s, m, s p WHERE p.k = (s.k + most) % m.n")
 def b09(spark, d):
     # the hot source is drawn on by at most half of the rows, else the operator raises

@@ -160,13 +160,6 @@ def test_derangement_moves_every_row(spark):
         resample.derangement(rows.where("rec = 0 OR id = 1"), "rec", "id")
 
 
-def test_shift_null_counts_the_real_peaks(spark):
-    peaks = frame(spark, [(1, t) for t in (1.0, 5.0, 9.0, 20.0)], "rec long, t double")
-    truth = frame(spark, [(1, u) for u in (1.2, 9.1, 15.0)], "rec long, u double")
-    null = {r.b: r.hits for r in resample.shift_null(peaks, truth, "rec", "t", "u", 0.5, 20).collect()}
-    assert null[-1] == 2 and len(null) == 21
-
-
 def test_permutations_keep_the_base_rate(spark):
     rows = frame(spark, [(i, int(i < 7)) for i in range(30)], "id long, y int")
     got = resample.permuted(rows, "id", "y", 5).groupBy("b").agg(F.sum("y_permuted").alias("n")).collect()
