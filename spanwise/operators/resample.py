@@ -1,29 +1,152 @@
 """Resampling by recording: bootstraps and permutation nulls (shift nulls: :mod:`.shifts`).
 
 Draws come from integer arithmetic on replicate and slot numbers, so that they are
-the same in any engine. Bootstraps repeat each recording's sufficient sums, of which
-there is one row a recording. Shift and permutation nulls repeat rows in the stream of
-a task and sum them before any shuffle.
+the same in any engine. Bootstraps of ratios and of all that is made of sums repeat each
+recording's sums, of which there is one row a recording, in the stream of a task;
+bootstraps of curves run along one order of the scores with all replicates at once.
+Permutation nulls repeat rows in the stream of a task and sum them before any shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import settled
+from .metrics import in_ranges
+from .ordering import numbered, sums_before
+
+
+#: The modulus of the numbers that draw and order.
+PRIME = 1_000_003
+
+
+def slot(b: Column, j: Column, n: Column) -> Column:
+    """The number below ``n`` that slot ``j`` of replicate ``b`` draws."""
+    return (scattered(b, j) * PRIME + scattered(b + 101, j + 7)) % n
+
+
+def draws(names: DataFrame, key: str, replicates: int) -> DataFrame:
+    """``key, drawn`` of the recordings ``names``: the replicates that draw each, as often as they do.
+
+    A replicate draws as many recordings as there are, with replacement. Recordings are
+    numbered in order of the key, null first.
+    """
+    placed = numbered(names.select(key).distinct(), F.col(key).asc_nulls_first())
+    n = placed.count()
+    b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
+    slots = names.sparkSession.range(n).select(F.col("id").alias("j"), b.alias("b")).select("b", slot(F.col("b"), F.col("j"), F.lit(n)).alias("place"))
+    times = slots.groupBy("place").agg(F.collect_list(F.col("b").cast("int")).alias("drawn"))
+    return placed.join(times, "place", "left").select(key, F.coalesce("drawn", F.array().cast("array<int>")).alias("drawn"))
+
 
 def drawn(sums: DataFrame, key: str, replicates: int) -> DataFrame:
-    """``b`` and the sums of the recordings drawn with replacement in replicate b.
+    """``b`` and the sums (a row a recording) of the recordings drawn with replacement in replicate b. They are repeated in the stream of a task."""
+    times = draws(sums, key, replicates).withColumnRenamed(key, "__key")
+    return sums.join(times, sums[key].eqNullSafe(F.col("__key"))).withColumn("b", F.explode(F.col("drawn").cast("array<bigint>"))).drop("drawn", "__key")
+
+
+def bootstrap(rows: DataFrame, key: str, sums: dict[str, Column], metrics: dict[str, Column], replicates: int) -> DataFrame:
+    """``b`` and any metrics that are columns over sums: ``sums`` are summed by recording and then over each replicate's draw; -1 is all recordings as they are."""
+    by = rows.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = [F.sum(n).alias(n) for n in sums]
+    every = drawn(by, key, replicates).groupBy("b").agg(*totals).unionByName(by.agg(F.lit(-1).cast("long").alias("b"), *totals))
+    return every.select("b", *[c.alias(n) for n, c in metrics.items()])
+
+
+def _weights(cells: list[list[int]], replicates: int) -> np.ndarray:
+    """How often each replicate draws the recording of each row; the last column is 1, all recordings as they are."""
+    out = np.zeros((len(cells), replicates + 1), np.float64)
+    size = np.fromiter(map(len, cells), np.int64, len(cells))
+    flat = np.concatenate([np.asarray(c, np.int64) for c in cells]) if len(cells) else np.empty(0, np.int64)
+    np.add.at(out, (np.repeat(np.arange(len(cells)), size), flat), 1.0)
+    out[:, replicates] = 1.0
+    return out
+
 
-    Recordings are numbered in key order; slot j of replicate b draws number
-    (7919 b + 104729 j + b j) mod n.
+#: Rows whose weights are held at once.
+ROWS = 256
+
+
+def _range_sums(replicates: int):
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at : at + ROWS]
+                w = _weights(part["drawn"].tolist(), replicates)
+                where = part["__range"].to_numpy()
+                for r in np.unique(where).tolist():
+                    mine = where == r
+                    both = np.stack([part["pos"].to_numpy(float)[mine] @ w[mine], part["neg"].to_numpy(float)[mine] @ w[mine]])
+                    held[r] = held.get(r, 0.0) + both
+        for r, both in held.items():
+            yield pd.DataFrame({"range": r, "b": np.arange(replicates + 1), "pos": both[0], "neg": both[1]})
+
+    return run
+
+
+def _ordered_sums(replicates: int, above: dict[int, np.ndarray], positives: np.ndarray):
+    """Rows in falling order of the score within each range to each replicate's wins and area; ``above``: sums over all higher ranges."""
+
+    def run(batches):
+        wins, area = np.zeros(replicates + 1), np.zeros(replicates + 1)
+        at, score, tp, fp, own = None, None, None, None, None
+
+        def close():
+            # a score's rows count together: ties are one step of the curve and half a win
+            p, q = own
+            before = np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1), 1.0)
+            area[:] += p / np.maximum(positives, 1) * ((tp + p) / np.maximum(tp + p + fp + q, 1) + before) / 2
+            wins[:] += q * (tp + p / 2)
+
+        for pdf in batches:
+            for k in range(0, len(pdf), ROWS):
+                part = pdf.iloc[k : k + ROWS]
+                w = _weights(part["drawn"].tolist(), replicates)
+                for i, (r, s, pos, neg) in enumerate(zip(part["__range"].tolist(), part["__score"].tolist(), part["pos"].tolist(), part["neg"].tolist())):
+                    if (r, s) != (at, score):
+                        if own is not None:
+                            close()
+                            tp, fp = tp + own[0], fp + own[1]
+                        if r != at:
+                            tp, fp = above[r]
+                        at, score, own = r, s, np.zeros((2, replicates + 1))
+                    own[0] += pos * w[i]
+                    own[1] += neg * w[i]
+        if own is not None:
+            close()
+            yield pd.DataFrame({"b": np.arange(replicates + 1), "wins": wins, "area": area})
+
+    return run
+
+
+def bootstrap_curves(rows: DataFrame, key: str, score: str, y: str, replicates: int) -> DataFrame:
+    """``b, auroc, pr_auc`` of each replicate's draw of recordings; -1 is all as they are. Null without both classes, or positives.
+
+    Rows are summed by recording and score and carry the replicates that draw their
+    recording as one column. Scores are ordered once, in ranges; every replicate's sums
+    run along that order together. Of each range and replicate two sums pass the driver.
     """
-    n = sums.agg(F.count(F.lit(1)).cast("long").alias("n_rec"))
-    numbered = sums.withColumn("k", F.row_number().over(W.orderBy(key)).cast("long") - 1)
-    slots = numbered.select(F.col("k").alias("j")).join(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    slots = slots.withColumn("k", (F.col("b") * 7919 + F.col("j") * 104729 + F.col("b") * F.col("j")) % F.col("n_rec")).select("b", "k")
-    return slots.join(numbered, "k")
+    counts = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(key, F.col(score).cast("double").alias("__score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
+    times = draws(rows, key, replicates).withColumnRenamed(key, "__key")
+    placed = in_ranges(counts, "__score", [], pos="pos").select(key, "__score", "__range", "pos", "neg")
+    held = settled(placed.join(times, placed[key].eqNullSafe(F.col("__key"))).select("__range", "__score", "pos", "neg", "drawn"))
+    told = held.mapInPandas(_range_sums(replicates), "range int, b int, pos double, neg double").groupBy("range", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
+    ranges = sorted(told["range"].unique().tolist(), reverse=True)
+    above, so_far = {}, np.zeros((2, replicates + 1))
+    for r in ranges:
+        above[r] = so_far
+        so_far = so_far + told[told["range"] == r].sort_values("b")[["pos", "neg"]].to_numpy().T
+    dealt = held.repartition("__range").sortWithinPartitions("__range", F.desc("__score"))
+    sums = dealt.mapInPandas(_ordered_sums(replicates, above, so_far[0]), "b int, wins double, area double").groupBy("b").agg(F.sum("wins").alias("wins"), F.sum("area").alias("area"))
+    totals = rows.sparkSession.createDataFrame(pd.DataFrame({"b": np.arange(replicates + 1, dtype=np.int32), "p": so_far[0], "q": so_far[1]}))
+    p, q = F.col("p"), F.col("q")
+    b = F.when(F.col("b") == replicates, -1).otherwise(F.col("b")).cast("long")
+    return totals.join(sums, "b", "left").select(b.alias("b"), (F.col("wins") / F.when(p * q > 0, p * q)).alias("auroc"), F.when(p > 0, F.col("area")).alias("pr_auc"))
 
 
 def interval(replicates: DataFrame, value: str, n: int) -> DataFrame:
@@ -40,18 +163,10 @@ def bootstrap_ratio(rows: DataFrame, key: str, k: Column, n: Column, replicates:
 
 
 def bootstrap_auroc(rows: DataFrame, key: str, scores: list[str], y: str, replicates: int) -> DataFrame:
-    """Per replicate the AUROC of each score on the same draw of recordings.
-
-    A recording enters as its counts by score; how often it was drawn multiplies them.
-    """
-    names = rows.select(key).distinct()
-    times = drawn(names, key, replicates).groupBy("b", key).agg(F.count(F.lit(1)).alias("times"))
+    """Per replicate (b >= 0) the AUROC of each score on the same draw of recordings."""
     out = None
     for s in scores:
-        counts = rows.groupBy(key, s).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("q"))
-        by = counts.join(times, key).groupBy("b", s).agg(F.sum(F.col("p") * F.col("times")).alias("p"), F.sum(F.col("q") * F.col("times")).alias("q"))
-        below = F.sum("q").over(W.partitionBy("b").orderBy(s)) - F.col("q")
-        a = by.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy("b").agg((F.sum("w") / F.when(F.sum("p") * F.sum("q") > 0, F.sum("p") * F.sum("q"))).alias(f"auroc_{s}"))
+        a = bootstrap_curves(rows, key, s, y, replicates).where("b >= 0").select("b", F.col("auroc").alias(f"auroc_{s}"))
         out = a if out is None else out.join(a, "b")
     return out
 
@@ -72,7 +187,7 @@ def derangement(rows: DataFrame, key: str, row: str) -> DataFrame:
         raise ValueError("no derangement: a recording holds more than half of the rows")
     # numbers in order of the key without one task for all rows: counts before each key, then ranks within
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(key, (F.sum("n").over(W.orderBy(key)) - F.col("n")).alias("before"))
+    before = sums_before(counts, key, "n").select(key, "before")
     numbered = rows.select(key, row).join(before, key).withColumn("k", F.col("before") + F.row_number().over(W.partitionBy(key).orderBy(row)) - 1)
     other = numbered.select(F.pmod(F.col("k") - F.lit(sizes["most"]), F.lit(sizes["n"])).alias("k"), F.col(key).alias(f"{key}_partner"), F.col(row).alias(f"{row}_partner"))
     return numbered.select(key, row, "k").join(other, "k").drop("k")
@@ -80,15 +195,18 @@ def derangement(rows: DataFrame, key: str, row: str) -> DataFrame:
 
 #: Parts that a replicate's order is dealt into; only the part with the cut is ordered row by row.
 PARTS = 1024
-#: The modulus of the order's numbers.
-PRIME = 1_000_003
 
 
-def shuffled(b: str, row: str) -> Column:
+def scattered(b: Column, row: Column) -> Column:
     """A number below ``PRIME`` for a row in a replicate, the same in any engine."""
-    r = F.pmod(F.col(row).cast("long"), F.lit(PRIME))
-    q = F.pmod(F.col(row).cast("long"), F.lit(10_007))
-    return (r * ((F.col(b) * 7919 + 104_729) % PRIME) + q * q * (F.col(b) + 17)) % PRIME
+    r = F.pmod(row.cast("long"), F.lit(PRIME))
+    q = F.pmod(row.cast("long"), F.lit(10_007))
+    return (r * ((b * 7919 + 104_729) % PRIME) + q * q * (b + 17)) % PRIME
+
+
+def shuffled(b: str, row: str) -> Column:
+    """:func:`scattered` of two columns by name."""
+    return scattered(F.col(b), F.col(row))
 
 
 def first_rows(rows: DataFrame, row: str, replicates: int, n: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def draw(key: str, a: int = 7919, b: int = 1009) -> Column:
     """A portable pseudo-random number of an integer key: the same in any SQL engine."""
@@ -25,15 +27,14 @@ def per_group(rows: DataFrame, groups: list[str], order: list, cap: int) -> Data
 
 def grouped_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     """A fold for each group, groups dealt out one by one in the order of their draws."""
-    g = rows.select(group).distinct()
-    order = F.row_number().over(W.orderBy(F.crc32(F.col(group).cast("string")), group))
-    return g.withColumn("fold", ((order - 1) % k).cast("int"))
+    g = numbered(rows.select(group).distinct(), F.crc32(F.col(group).cast("string")), group)
+    return g.select(group, (F.col("place") % k).cast("int").alias("fold"))
 
 
 def serpentine_folds(rows: DataFrame, group: str, y: str, k: int) -> DataFrame:
     """Folds that balance the positive rate: groups by rate, dealt there and back."""
-    g = rows.groupBy(group).agg(F.round(F.avg(y), 9).alias("rate"))
-    i = F.row_number().over(W.orderBy(F.col("rate").desc(), group)) - 1
+    g = numbered(rows.groupBy(group).agg(F.round(F.avg(y), 9).alias("rate")), F.col("rate").desc(), group)
+    i = F.col("place")
     lap = F.floor(i / k)
     return g.withColumn("fold", F.when(lap % 2 == 0, i % k).otherwise(k - 1 - i % k).cast("int")).select(group, "rate", "fold")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import intervals, matching, models, rules, sampling, tracks
+from ..operators.ordering import numbered
 from .base import CURVE, HOUR, SCORED, SEGMENTS, TOL, TRUTH, Book, curve, r6, scored, segments, truth
 from .modelling import boxes
 from .temporal import PEAKS, U, decoded, peaks
@@ -134,7 +135,7 @@ def p17(spark, d):
 def m03(spark, d):
     """Each source scored by a model fitted on all others; with sources that are skipped counted as null."""
     rows = scored(spark, d)
-    number = rows.select("source").distinct().withColumn("fold", F.row_number().over(W.orderBy(F.col("source").asc_nulls_first())).cast("int") - 1)  # one row a recording
+    number = numbered(rows.select("source").distinct(), F.col("source").asc_nulls_first()).select("source", F.col("place").cast("int").alias("fold"))  # one row a recording
     n = number.count()
     f = rows.join(number, rows["source"].eqNullSafe(number["source"])).select("doc_id", "fold", "y", "s", "s2", F.col("z").cast("double").alias("zz"))
     oof = models.out_of_fold(f, "fold", "doc_id", ["s", "s2", "zz"], "y", n, least=6)

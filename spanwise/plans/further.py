@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as sc
 from ..functions import text as tx
 from ..operators import graph, intervals, metrics, models, reconcile, resample, rules, sampling, shifts, signal
+from ..operators.ordering import numbered
 from ..session import table
 from .base import CURVE, GAP, HOUR, SCORED, SEGMENTS, TOL, TRUTH, Book, curve, r6, scored, segments, truth
 from .modelling import ORDER, auroc_sql
@@ -159,7 +160,7 @@ def l08(spark, d):
 @book.add("l11_recording_split", f"{WITH}, g AS (SELECT source, row_number() OVER (ORDER BY source) AS k FROM (SELECT DISTINCT source FROM scored) q) SELECT doc_id, CASE WHEN k % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM scored JOIN g USING (source)")
 def l11(spark, d):
     rows = scored(spark, d)
-    g = rows.select("source").distinct().withColumn("k", F.row_number().over(W.orderBy("source")))
+    g = numbered(rows.select("source").distinct(), "source").withColumn("k", F.col("place") + 1)
     return rows.join(g, "source").select("doc_id", F.when(F.col("k") % 5 == 0, "val").otherwise("train").alias("split"))
 
 
@@ -282,14 +283,6 @@ def b15(spark, d):
     return metrics.auroc(flipped, ["b"], "s2", "y2").select("b", r6("auroc").alias("auroc"))
 
 
-@book.add("b05_paired_suite", f"{WITH}, u AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE (s >= 0.5) = (y = 1)) AS a, count(*) FILTER (WHERE (s2 >= 0.5) = (y = 1)) AS c, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM scored GROUP BY source), d AS (SELECT b, (b * 7919 + j.k * 104729 + b * j.k) % (SELECT count(*) FROM u) AS k FROM u j, (SELECT unnest(generate_series(0, 99)) AS b) q) SELECT b, round((sum(c) - sum(a)) / CAST(sum(n) AS DOUBLE), 6) AS delta FROM d JOIN u USING (k) GROUP BY b")
-def b05(spark, d):
-    rows = scored(spark, d)
-    hit = lambda c: ((F.col(c) >= 0.5) == (F.col("y") == 1)).cast("double")
-    sums = rows.groupBy("source").agg(F.sum(hit("s")).alias("a"), F.sum(hit("s2")).alias("c"), rows_count().alias("n"))
-    return resample.drawn(sums, "source", 100).groupBy("b").agg(r6((F.sum("c") - F.sum("a")) / F.sum("n")).alias("delta"))
-
-
 @book.add("m02_impute_scale", f"{WITH}, x AS (SELECT doc_id, doc_id % 5 AS fold, CASE WHEN doc_id % 17 <> 0 THEN s END AS v FROM scored), f AS (SELECT avg(v) AS m FROM x WHERE fold <> 0), g AS (SELECT stddev_pop(coalesce(v, m)) AS sd FROM x, f WHERE fold <> 0) SELECT doc_id, round((coalesce(v, m) - m) / (sd + 1e-8), 6) AS z FROM x, f, g WHERE fold = 0")
 def m02(spark, d):
     x = scored(spark, d).select("doc_id", (F.col("doc_id") % 5).alias("fold"), F.when(F.col("doc_id") % 17 != 0, F.col("s")).alias("v"))
@@ -341,14 +334,6 @@ def f14(spark, d):
     return a.select("user_id", "seg", F.concat("label", F.lit(" then "), "n").alias("original"), F.concat("n", F.lit(" then "), "label").alias("reordered"))
 
 
-@book.add("a31_candidate_suite", f"{WITH}, p AS (SELECT source, y, s2 >= 0.5 AS h FROM scored), g AS (SELECT source, sum(CASE WHEN h AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN h THEN 1 ELSE 0 END) AS np, sum(y) AS ng FROM p GROUP BY source) SELECT count(*) AS n, round(avg(CASE WHEN np = ng AND tp = ng THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(abs(np - ng)), 6) AS cardinality_mae, round(CAST(2 * sum(tp) / CAST(sum(np) + sum(ng) AS DOUBLE) AS DOUBLE), 6) AS micro_f1 FROM g")
-def a31(spark, d):
-    h = (F.col("s2") >= 0.5).cast("long")
-    g = scored(spark, d).groupBy("source").agg(F.sum(h * F.col("y")).alias("tp"), F.sum(h).alias("np"), F.sum("y").alias("ng"))
-    exact = ((F.col("np") == F.col("ng")) & (F.col("tp") == F.col("ng"))).cast("double")
-    return g.agg(rows_count().alias("n"), r6(F.avg(exact)).alias("exact"), r6(F.avg(F.abs(F.col("np") - F.col("ng")))).alias("cardinality_mae"), r6(2 * F.sum("tp") / (F.sum("np") + F.sum("ng"))).alias("micro_f1"))
-
-
 @book.add("v02_peak_counts", f"WITH {PEAKS} SELECT user_id, count(*) AS n FROM peaks GROUP BY user_id")
 def v02_counts(spark, d):
     return peaks(spark, d).groupBy("user_id").agg(rows_count().alias("n"))

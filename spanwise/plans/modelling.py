@@ -95,33 +95,6 @@ def a46(spark, d):
     return models.effective_rank(table(spark, d, "embeddings"), "label", "embedding").select("label", "n", F.round("effective_rank", 4).alias("effective_rank"))
 
 
-BOOT = f"{WITH}, g AS (SELECT source, CAST(sum(y) AS DOUBLE) AS k, count(*) AS n, row_number() OVER (ORDER BY source) - 1 AS id FROM scored GROUP BY source), c AS (SELECT count(*) AS r FROM g), sl AS (SELECT b, g.id AS j FROM g, (SELECT unnest(generate_series(0, 199)) AS b) q), dr AS (SELECT b, (b * 7919 + j * 104729 + b * j) % r AS id FROM sl, c), bs AS (SELECT b, sum(k) / sum(n) AS ratio FROM dr JOIN g USING (id) GROUP BY b)"
-
-
-@book.add("b01_b02_bootstrap_ratio", f"{BOOT} SELECT b, round(ratio, 6) AS ratio FROM bs")
-def b02(spark, d):
-    return resample.bootstrap_ratio(scored(spark, d), "source", F.col("y"), F.lit(1), 200).select("b", r6("ratio").alias("ratio"))
-
-
-@book.add("b02_bootstrap_interval", f"{BOOT}, l AS (SELECT list_sort(list(ratio)) AS v FROM bs) SELECT round(v[6], 6) AS low, round(v[196], 6) AS high FROM l")
-def b02_interval(spark, d):
-    return resample.interval(resample.bootstrap_ratio(scored(spark, d), "source", F.col("y"), F.lit(1), 200), "ratio", 200).select(r6("low").alias("low"), r6("high").alias("high"))
-
-
-@book.add("b03_paired_auroc_delta")
-def b03(spark, d):
-    r = resample.bootstrap_auroc(scored(spark, d), "source", ["s", "s2"], "y", 100)
-    return r.select("b", r6(F.col("auroc_s2") - F.col("auroc_s")).alias("delta"))
-
-
-@book.add("b04_two_sample")
-def b04(spark, d):
-    rows = scored(spark, d)
-    a = resample.bootstrap_ratio(rows.where("lang = 'en'"), "source", F.col("y"), F.lit(1), 100).withColumnRenamed("ratio", "a")
-    b = resample.bootstrap_ratio(rows.where("lang <> 'en'"), "source", F.col("y"), F.lit(1), 100).withColumnRenamed("ratio", "c")
-    return a.join(b, "b").select("b", r6(F.col("a") - F.col("c")).alias("difference"))
-
-
 @book.add("b06_excess_over_null", f"{WITH}, g AS (SELECT source, sum(CASE WHEN s > s2 THEN 1.0 WHEN s = s2 THEN 0.5 ELSE 0 END) AS w, sum(CASE WHEN s > 0.5 THEN 1.0 ELSE 0 END) AS w0, count(*) AS n FROM scored GROUP BY source) SELECT round(CAST(sum(w) / sum(n) AS DOUBLE), 6) AS observed, round(CAST(sum(w0) / sum(n) AS DOUBLE), 6) AS chance, round(CAST((sum(w) - sum(w0)) / sum(n) AS DOUBLE), 6) AS excess FROM g")
 def b06(spark, d):
     win = F.when(F.col("s") > F.col("s2"), 1.0).when(F.col("s") == F.col("s2"), 0.5).otherwise(0.0)

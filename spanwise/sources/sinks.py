@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import settled
+from ..operators.ordering import numbered
 
 
 def pending(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
@@ -79,16 +80,6 @@ def append_in_steps(rows: DataFrame, path: str, key: str, step: int) -> int:
     return steps + 1
 
 
-def numbered(keys: DataFrame, key: str) -> DataFrame:
-    """``key, place``: the number of each row in order of the key, from 0, by ranges and not in one task."""
-    # ids grow along the sorted partitions, which are written once; sums of their sizes make them dense
-    ordered = settled(keys.select(key).sort(key).withColumn("__id", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("part", "n")).alias("__sizes"))  # a number a partition
-    before = F.aggregate(F.filter("__sizes", lambda s: s["part"] < part), F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
-    return ordered.join(F.broadcast(sizes)).select(key, (before + inside).alias("place"))
-
-
 def shard(rows: DataFrame, key: str, i: int, n: int) -> DataFrame:
     """Every n-th key in order, from the i-th."""
     keys = numbered(rows.select(key).distinct(), key).where(F.col("place") % n == i).select(key)

@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from spanwise.operators import resample
 from spanwise.plans import registry
 from spanwise.plans.base import GAP, TOL, scored, truth
 from spanwise.plans.temporal import peaks
@@ -60,13 +62,77 @@ def auroc(s, y):
     return ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
 
 
+def slot(b, j, n):
+    def scattered(b, j):
+        return (j % 1_000_003 * ((b * 7919 + 104_729) % 1_000_003) + (j % 10_007) ** 2 * (b + 17)) % 1_000_003
+
+    return (scattered(b, j) * 1_000_003 + scattered(b + 101, j + 7)) % n
+
+
+@pytest.mark.parametrize("n", [1, 7, 20, 500])
+def test_draws_are_with_replacement(spark, n):
+    """As many as there are, of which a share of about 1 - 1/e is distinct, and not the same in every replicate."""
+    drawn = {r.rec: r.drawn for r in resample.draws(spark.range(n).withColumnRenamed("id", "rec"), "rec", 60).collect()}
+    assert {k: sorted(v) for k, v in drawn.items()} == {k: sorted(b for b in range(60) for j in range(n) if slot(b, j, n) == k) for k in range(n)}
+    share = np.mean([sum(b in v for v in drawn.values()) / n for b in range(60)])
+    assert abs(share - (1 - (1 - 1 / n) ** n)) < 0.06
+    assert len({tuple(sorted(k for k, v in drawn.items() for x in v if x == b)) for b in range(60)}) > (50 if n > 7 else 0)
+
+
+def plain_pr_auc(s, y):
+    points, tp, n = [(0.0, 1.0)], 0, 0
+    for v in sorted(set(s), reverse=True):
+        tp, n = tp + int(y[s == v].sum()), n + int((s == v).sum())
+        points.append((tp / max(1, y.sum()), tp / n))
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
+
+def test_bootstrapped_curves_and_own_metrics(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rec = rng.choice(12, 300, p=[0.4] + [0.6 / 11] * 11)
+    y = rng.integers(0, 2, 300)
+    score = np.round(rng.normal(size=300) + y * 0.7, 1)
+    data = [(int(r) if r != 3 else None, float(v), int(t)) for r, v, t in zip(rec, score, y)] + [(1, None, 1), (1, float("nan"), 0)]
+    frame = spark.createDataFrame(data, "rec long, s double, y int").repartition(6)
+    monkeypatch.setattr(resample, "ROWS", 16)
+    got = {r.b: r for r in resample.bootstrap_curves(frame, "rec", "s", "y", 25).collect()}
+    own = {r.b: r for r in resample.bootstrap(frame, "rec", {"k": F.col("y"), "n": F.lit(1).cast("long")}, {"rate": F.col("k") / F.col("n"), "n": F.col("n")}, 25).collect()}
+    names = [3, *[k for k in range(12) if k != 3]]  # null is first
+    assert sorted(got) == sorted(own) == list(range(-1, 25))
+    for b in got:
+        drawn = [names[slot(b, j, 12)] for j in range(12)] if b >= 0 else names
+        part = np.concatenate([np.flatnonzero(rec == k) for k in drawn])
+        assert got[b].auroc == pytest.approx(auroc(score[part], y[part])) and got[b].pr_auc == pytest.approx(plain_pr_auc(score[part], y[part]))
+        ones = drawn.count(1)
+        assert own[b].n == len(part) + 2 * ones and own[b].rate == pytest.approx((y[part].sum() + ones) / own[b].n)
+    one_class = {r.b: (r.auroc, r.pr_auc) for r in resample.bootstrap_curves(frame.where("y = 0"), "rec", "s", "y", 3).collect()}
+    assert one_class == {b: (None, None) for b in range(-1, 3)}
+
+
+def test_candidate_suite_of_a_few_items(spark):
+    from spanwise.operators import candidates as cs
+
+    rows = [
+        (1, 1, "a", 0.9, 1), (1, 1, "b", 0.8, 0), (1, 1, "c", 0.1, 1),  # one hit, one false, one missed
+        (1, 2, "a", 0.2, 0), (1, 2, "b", 0.1, 0),  # atomic and empty
+        (2, 3, "a", 0.7, 0), (2, 3, "b", None, 0),  # atomic, one false
+        (2, 4, "a", 0.6, 0), (2, 4, "b", 0.9, 1),  # exact but for a false one at 0.6
+        (2, 5, "a", 0.5, 0), (2, 5, "b", 0.5, 1),  # a tie at the threshold: nothing is taken
+    ]
+    frame = spark.createDataFrame(rows, "rec long, item long, label string, s double, y int")
+    items = cs.by_item(frame, ["rec", "item"], "s", "y", "label", F.lit(0.5))
+    got = items.agg(*[F.sum(c).alias(c) for c in cs.SUMS]).select(*[c.alias(n) for n, c in cs.suite().items()]).first().asDict()
+    want = {"precision": 2 / 5, "recall": 2 / 4, "f1": 4 / 9, "empty_accuracy": 1 / 2, "fp_per_atomic": 1 / 2, "exact": 1 / 5, "compound_exact": 0.0, "cardinality_mae": 3 / 5, "recall_at_1": 2 / 3, "recall_at_2": 1.0, "recall_at_3": 1.0}
+    assert got == pytest.approx(want)
+
+
 def test_paired_bootstrap_of_auroc(spark):
     data = scored(spark, SF).toPandas()
     names = sorted(data["source"].unique(), key=lambda x: (x is not None, x))
     got = {r.b: r.delta for r in rows(spark, "b03_paired_auroc_delta")}
     n = len(names)
     for b in list(got)[:12]:
-        drawn = [names[(b * 7919 + j * 104729 + b * j) % n] for j in range(n)]
+        drawn = [names[slot(b, j, n)] for j in range(n)]
         part = np.concatenate([np.flatnonzero((data["source"] == d).to_numpy()) for d in drawn])
         y = data["y"].to_numpy()[part]
         if len(set(y)) < 2:
