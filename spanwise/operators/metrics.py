@@ -16,7 +16,13 @@ def by_value(rows: DataFrame, keys: list[str], score: str, **sums: Column) -> Da
 
 def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     """Area under the ROC curve by group, a tie counting one half; null without both classes."""
-    counts = by_value(rows, keys, score, pos=(F.col(y) == 1).cast("long"), neg=(F.col(y) == 0).cast("long"))
+    return weighted_auroc(rows, keys, score, y, None)
+
+
+def weighted_auroc(rows: DataFrame, keys: list[str], score: str, y: str, n: str | None) -> DataFrame:
+    """:func:`auroc` of rows that stand for ``n`` each (None: one)."""
+    one = F.lit(1).cast("long") if n is None else F.col(n)
+    counts = by_value(rows, keys, score, pos=F.when(F.col(y) == 1, one).otherwise(0), neg=F.when(F.col(y) == 0, one).otherwise(0))
     below = F.sum("neg").over(W.partitionBy(*keys, "__range").orderBy(score)) + F.col("neg_below") - F.col("neg")
     wins = in_ranges(counts, score, keys, neg="neg").withColumn("__w", F.col("pos") * (below + F.col("neg") / 2))
     return wins.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), (F.sum("__w") / F.when(F.sum("pos") * F.sum("neg") > 0, F.sum("pos") * F.sum("neg"))).alias("auroc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import candidates as cs
-from ..operators import metrics, resample
+from ..operators import metrics, relabel, resample, sampling
 from ..session import table
 from .base import SCORED, Book, r6, scored
 
@@ -132,3 +132,18 @@ def b04(spark, d):
     a = resample.bootstrap_ratio(rows.where("lang = 'en'"), "source", F.col("y"), F.lit(1), REPLICATES).withColumnRenamed("ratio", "a")
     b = resample.bootstrap_ratio(rows.where("lang <> 'en'"), "source", F.col("y"), F.lit(1), REPLICATES).withColumnRenamed("ratio", "c")
     return a.join(b, "b").select("b", r6(F.col("a") - F.col("c")).alias("difference"))
+
+
+@book.add("b15_relabel_impact")
+def b15(spark, d):
+    """What corrected labels change, refitted with every label set: matched rows, unchanged rows, random flips, and each label set on its own rows."""
+    rows = scored(spark, d)
+    n = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("size"))
+    # reviewers call toxic documents bad, and left those of one language undecided
+    decided = F.when(F.col("lang") != "es", F.when(F.col("z") == 1, 0).otherwise(F.col("y")))
+    told = rows.join(sampling.grouped_folds(rows, "source", 5), "source").join(n, "doc_id").withColumn("y2", decided)
+    features = ["s", "s2", "size"]
+    matched = relabel.verdict(relabel.impact(told, "doc_id", "fold", features, "y", "y2", 5, 40))
+    full = [relabel.full_population(told, "doc_id", "fold", features, y, 5).select(F.col("n").alias(f"full_n_{y}"), F.col("auroc").alias(f"full_auroc_{y}")) for y in ("y", "y2")]
+    one = matched.join(F.broadcast(full[0])).join(F.broadcast(full[1]))  # a row each
+    return one.select(*[c if c.startswith("full_n") or c in ("n", "draws") else F.round(c, 4).alias(c) for c in one.columns])
