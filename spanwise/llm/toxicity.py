@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textnum as tn
@@ -46,6 +47,8 @@ LEAST_DOCS, LEAST_SHARE = 3, 0.995
 LEAST_GAIN, FURTHER_GAIN, EXPLANATIONS = 0.002, 0.02, 3
 #: Pieces of chains that the field is fitted on: half of them with a marked token, half without, each by order of a hash.
 FIT_CHAINS = 30_000
+#: Tokens of these pieces at most, half of them in either kind: what the driver holds while the field is fitted, about 250 bytes a token.
+FIT_TOKENS = 1_600_000
 #: Tokens of a piece that teaches, and of one whose messages are passed on in one go.
 PIECE, RUN = 200, 512
 SPACE = 1 << 17
@@ -215,14 +218,14 @@ def train(slots: np.ndarray, y: np.ndarray, chain: np.ndarray) -> Field:
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[pair - 1], y[pair]), 1)
     squares, bias_square, move_square = np.full(SPACE + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    flat = slots.ravel()
-    wide = slots.shape[1]
     n = max(1, len(chain))
     for _ in range(ROUNDS):
         s = field.own(slots)
         forward, backward, both = marginals(s, chain, field.move)
         err = sigmoid(both) - y
-        grad = np.bincount(flat, np.repeat(err, wide), SPACE + 1) / n + PENALTY * field.weight
+        grad = PENALTY * field.weight
+        for column in slots.T:
+            grad += np.bincount(column, err, SPACE + 1) / n
         a, b = forward[pair - 1], s[pair] + backward[pair]
         joint = np.stack([np.full(len(pair), field.move[0, 0]), field.move[0, 1] + b, field.move[1, 0] + a, field.move[1, 1] + a + b])
         joint = np.exp(joint - joint.max(axis=0))
@@ -363,6 +366,13 @@ def _measured(field):
     return run
 
 
+def _first_tokens(chains: DataFrame) -> DataFrame:
+    """The first pieces in order, ``FIT_CHAINS / 2`` and ``FIT_TOKENS / 2`` tokens at most."""
+    order = W.orderBy("order", "slots")  # over FIT_CHAINS / 2 rows
+    first = chains.orderBy("order", "slots").limit(FIT_CHAINS // 2).withColumn("upto", F.sum(F.length("y")).over(order))
+    return first.where(F.col("upto") <= FIT_TOKENS // 2).drop("upto")
+
+
 def fit(docs: DataFrame, labels: DataFrame, teaches: Column, fit_docs: int = FIT_DOCS) -> Field | float:
     """A field from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) where ``teaches`` holds of doc_id.
 
@@ -394,13 +404,15 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, fit_docs: int = FIT
         return prior
     rate = min(1.0, FIT_CHAINS / 2 / max(1, sample.count() * 20))
     chains = cut(sample.select("text", "y").mapInArrow(_chains(listed, rate), "some boolean, order double, slots binary, y binary"), "toxicity-chains")
-    rows = [r for some in (True, False) for r in chains.where(F.col("some") == some).orderBy("order", "slots").limit(FIT_CHAINS // 2).collect()]
+    rows = [r for some in (True, False) for r in _first_tokens(chains.where(F.col("some") == some)).collect()]
     if not rows:
         return prior
     slots = [np.frombuffer(r["slots"], "<i4").reshape(-1, 3 + len(BEGINNINGS) + 1) for r in rows]
     y = np.concatenate([np.frombuffer(r["y"], bool) for r in rows]).astype(np.int64)
     del rows
-    field = train(np.concatenate(slots), y, np.cumsum([0, *map(len, slots)])[:-1])
+    begins = np.cumsum([0, *map(len, slots)])[:-1]
+    slots = np.concatenate(slots)  # frees the pieces
+    field = train(slots, y, begins)
     with sent(spark, field) as known_field:
         seen = sample.select("text", "y").mapInArrow(_measured(known_field), "largest double, summed double, y int").collect()
     x = np.array([(1.0, r["largest"], r["summed"]) for r in seen])
