@@ -92,7 +92,7 @@ def set_error(gold: Column, pred: Column) -> Column:
 def parsed_segments(s: Column) -> Column:
     """Segments written in free text, as ``array<struct<label, start, end>>``."""
     parts = [F.regexp_extract_all(s, F.lit(SEGMENT), F.lit(g)) for g in (1, 2, 3)]
-    names = F.zip_with(parts[0], F.zip_with(parts[1], parts[2], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda n, t: F.struct(F.trim(n).alias("label"), t["a"].try_cast("double").alias("start"), t["b"].try_cast("double").alias("end")))
+    names = F.zip_with(parts[0], F.zip_with(parts[1], parts[2], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda n, t: F.struct(F.regexp_replace(n, r"(?U)^\s+|\s+$", "").alias("label"), t["a"].try_cast("double").alias("start"), t["b"].try_cast("double").alias("end")))
     return names
 
 
