@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from . import intervals, matching
+from . import intervals, matching, scorers
 
 #: IoU that a pair must exceed to be matched, and the levels of the F1s.
 MATCHED, LEVELS = 0.1, (0.3, 0.5, 0.7)
@@ -79,9 +79,22 @@ def name_reward(pred: DataFrame, truth: DataFrame, keys: list[str], similarity:
 
     ``pred`` and ``truth`` have a ``label``; ``similarity`` builds the column for two labels.
     """
+    return _named(_labelled(pred, truth, keys).withColumn("sim", similarity(F.col("said"), F.col("name"))), pred, truth, keys, generic)
+
+
+def name_reward_by(pred: DataFrame, truth: DataFrame, keys: list[str], scorer: str | Callable[[], scorers.Scorer], generic: float = 0.5) -> DataFrame:
+    """:func:`name_reward` with a scorer that runs in Python (see :mod:`.scorers`); a pair that it fails on counts as unlike."""
+    each = scorers.score_pairs(_labelled(pred, truth, keys), "said", "name", scorer)
+    return _named(each.withColumn("sim", F.coalesce("score", F.lit(0.0))), pred, truth, keys, generic)
+
+
+def _labelled(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Each matched prediction's label beside every true label of its recording."""
     pairs = matched(pred, truth, keys).join(pred.select(*keys, "p", F.col("label").alias("said")), [*keys, "p"])
-    names = truth.select(*keys, F.col("g").alias("other"), F.col("label").alias("name"))
-    each = pairs.join(names, keys).withColumn("sim", similarity(F.col("said"), F.col("name")))
+    return pairs.join(truth.select(*keys, F.col("g").alias("other"), F.col("label").alias("name")), keys)
+
+
+def _named(each: DataFrame, pred: DataFrame, truth: DataFrame, keys: list[str], generic: float) -> DataFrame:
     own = F.col("other") == F.col("g")
     best = each.groupBy(*keys, "g").agg(F.max(F.when(own, F.col("sim"))).alias("own"), F.max(F.when(~own, F.col("sim"))).alias("else"))
     gained = best.groupBy(*keys).agg(F.sum(F.greatest(F.col("own") - generic * F.coalesce("else", F.lit(0.0)), F.lit(0.0))).alias("gained"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import settled
+from ..operators.digests import content_digest
 from ..operators.ordering import numbered
 
 
@@ -136,6 +137,39 @@ def load_model(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.parquet(path).first()["model"])
 
 
+def freeze(spark: SparkSession, path: str, scorers: dict[str, dict], inputs: dict[str, DataFrame], fitted: DataFrame, key: str) -> None:
+    """Scorers by name, the content digests of the tables they were fitted from, and the keys of the fit set.
+
+    The keys are a table of their own beside the model: they grow with the fit.
+    """
+    fitted.select(key).distinct().write.mode("overwrite").parquet(f"{path}/fitted")
+    save_model(spark, {"scorers": scorers, "key": key, "inputs": {n: content_digest(t) for n, t in inputs.items()}}, f"{path}/model")
+
+
+def thaw(spark: SparkSession, path: str, wanted: list[str], inputs: dict[str, DataFrame], rows: DataFrame, allow_in_sample: bool = False) -> tuple[dict[str, dict], DataFrame]:
+    """The wanted scorers of a frozen model, and ``rows`` with ``in_sample``: whether a row's key was in the fit set.
+
+    Raises where a table differs in content from that of the fit or is not given, where
+    the model has no such scorer, and where rows are in the fit set without
+    ``allow_in_sample``. The order and the partitioning of tables do not matter.
+    """
+    model = load_model(spark, f"{path}/model")
+    for name, digest in model["inputs"].items():
+        if name not in inputs:
+            raise ValueError(f"the table {name} was used in the fit and is not given")
+        if content_digest(inputs[name]) != digest:
+            raise ValueError(f"the table {name} has changed since the fit")
+    missing = [n for n in wanted if n not in model["scorers"]]
+    if missing:
+        raise ValueError(f"the model has no scorer for {missing}")
+    key = model["key"]
+    seen = spark.read.parquet(f"{path}/fitted").select(F.col(key).alias("__key"), F.lit(True).alias("__seen"))
+    marked = rows.join(seen, rows[key].eqNullSafe(F.col("__key")), "left").withColumn("in_sample", F.coalesce("__seen", F.lit(False))).drop("__key", "__seen")
+    if not allow_in_sample and not marked.where("in_sample").isEmpty():
+        raise ValueError("some rows were in the set the model is fitted on")
+    return {n: model["scorers"][n] for n in wanted}, marked
+
+
 def assert_not_fitted(rows: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     """Rows to be scored, unless one of them was in the fit."""
     if not rows.join(fitted.select(key), key, "left_semi").isEmpty():
