@@ -102,20 +102,27 @@ def structural_veto(mode: Column, top: Column, never: list[str], full: Rules) ->
     return F.when(mode == "morphology_only", by_class).when(mode == "full", F.coalesce(by_class, first_reason(full)))
 
 
-def ontology_action(orders: dict[str, list[str]], never: list[str], required: dict[str, list[str]], actions: dict[str, dict]) -> dict[str, Column]:
+def ontology_action(orders: dict[str, list[str]], never: list[str], required: dict[str, list[str]], actions: dict[str, dict], never_subtypes: list[str] | None = None, nuisance: dict[str, float] | None = None) -> dict[str, Column]:
     """``action, blocked_action, blocked_by`` from the maps ``morphology`` and ``relation``, ``offset``, ``subtype`` and required fields.
 
-    What blocks comes first: a class that is never automatic, a required field that
-    is missing or has another value than those allowed. Then the first action whose
+    What blocks comes first: a class, then a subtype that is never automatic; a
+    required field that is missing or has another value than those allowed; a
+    ``nuisance`` (a share, such as that of the camera's own motion) that is missing or
+    reaches its limit. Then the first action whose
     classes, confidences, offset and subtype fit is taken; one that is switched off
     goes to review and is recorded as blocked.
     """
     top = {k: argmax(F.col(k), v) for k, v in orders.items()}
     sure = {k: F.element_at(F.col(k), top[k]) for k in orders}
     blocks: Rules = [("never_automatic", top["morphology"].isin(*never))]
+    if never_subtypes:
+        blocks.append(("subtype_never_automatic", F.coalesce(F.col("subtype").isin(*never_subtypes), F.lit(False))))
     for field, allowed in required.items():
         blocks += [(f"{field}_missing", F.col(field).isNull()), (f"{field}_blocks", ~F.col(field).isin(*allowed))]
 
+    for field, limit in (nuisance or {}).items():
+        blocks += [(f"{field}_missing", F.col(field).isNull()), (f"{field}_blocks", F.col(field) >= limit)]
+
     def fits(spec: dict) -> Column:
         ok = top["morphology"].isin(*spec["morphology"]) & top["relation"].isin(*spec["relation"])
         for k in orders:

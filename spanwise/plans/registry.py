@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, decisions, further, language, modelling, statistics, suites, surfaces, temporal
+from . import audits, decisions, fields, further, language, modelling, statistics, suites, surfaces, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (temporal, statistics, decisions, language, modelling, further, audits, suites, surfaces):
+for part in (temporal, statistics, decisions, language, modelling, further, audits, suites, surfaces, fields):
     QUERIES |= part.book.queries
     ORACLES |= part.book.oracles
