@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import fields, rules
+from ..operators import fields, motion, rules
 from ..session import table
 from .audits import ACTIONS, FITS
 from .base import SCORED, Book, scored
@@ -102,3 +102,24 @@ def r13(spark, d):
     orders = {"morphology": ["POINT", "NONE", "GRADUAL"], "relation": ["EXACT", "EARLY", "LATE"]}
     out = rules.ontology_action(orders, ["GRADUAL"], {"view": ["clear"]}, ACTIONS, ["es"], {"camera": 0.7})
     return q.select("doc_id", *[c.alias(n) for n, c in out.items()])
+
+
+@book.add(
+    "v23_stop_start_features",
+    """WITH f AS (SELECT l_suppkey AS rec, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, CASE WHEN l_linenumber <> 7 THEN l_quantity END AS x, l_discount AS a FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey)),
+  b AS (SELECT *, (i - n // 2) * 0.1 AS rel, x + 5 AS cx, x / 2 + 5 + x / 8 AS cy, sqrt(100 + (10 + x / 4) * (10 + x / 4)) AS dg FROM f),
+  c AS (SELECT *, quantile_cont(dg, 0.5) OVER (PARTITION BY rec) AS sc, lag(cx) OVER o AS px, lead(cx) OVER o AS nx, lag(cy) OVER o AS py, lead(cy) OVER o AS ny FROM b WINDOW o AS (PARTITION BY rec ORDER BY i)),
+  v AS (SELECT *, CASE WHEN cx IS NULL THEN NULL WHEN i = 0 THEN sqrt(pow(nx - cx, 2) + pow(ny - cy, 2)) WHEN i = n - 1 THEN sqrt(pow(cx - px, 2) + pow(cy - py, 2)) ELSE sqrt(pow((nx - px) / 2, 2) + pow((ny - py) / 2, 2)) END / 0.1 / sc AS v FROM c),
+  m AS (SELECT rec, quantile_cont(v, 0.5) AS md, count(dg) AS boxes FROM v GROUP BY rec),
+  g AS (SELECT rec, min(md) AS md, min(boxes) AS boxes, min(v) FILTER (WHERE abs(rel) <= 0.5001) AS low, count(*) FILTER (WHERE abs(rel) <= 0.5001 AND v < 0.25 * md) AS still, avg(v) FILTER (WHERE rel < -0.25005) AS pre, avg(v) FILTER (WHERE rel > 0.25005) AS post, quantile_cont(dg, 0.5) FILTER (WHERE rel < -0.25005 AND v IS NOT NULL) AS d0, quantile_cont(dg, 0.5) FILTER (WHERE rel > 0.25005 AND v IS NOT NULL) AS d1, quantile_cont(a, 0.5) FILTER (WHERE i < n // 2) AS a0, quantile_cont(a, 0.5) FILTER (WHERE i >= n // 2) AS a1 FROM v JOIN m USING (rec) GROUP BY rec)
+  SELECT rec, round(low, 6) AS least_speed, round(still * CAST(0.1 AS DOUBLE), 6) AS stopped_for, round((pre + post) / 2 / greatest(low, 1e-6) / greatest(md, 1e-6), 3) AS score, round(abs(d1 - d0) / greatest(d0, 1e-6), 6) AS size_change, round(abs(a1 - a0), 6) AS turn FROM g WHERE boxes >= 6""",
+)
+def v23(spark, d):
+    """Stop-start features around the middle of each supplier's frames; some frames have no box."""
+    w = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    x = F.when(F.col("l_linenumber") != 7, F.col("l_quantity"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("rec"), (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy("l_suppkey")).alias("n"), x.alias("x0"), (x / 2).alias("y0"), (x + 10).alias("x1"), (x / 2 + 10 + x / 4).alias("y1"), F.col("l_discount").alias("angle"))
+    frames = rows.withColumn("rel", (F.col("i") - F.floor(F.col("n") / 2)) * 0.1)
+    out = motion.stop_start(frames, ["rec"], "i", "rel", 0.1, "angle", near=0.5001)
+    places = {"score": 3}
+    return out.where("stopped_for IS NOT NULL OR size_change IS NOT NULL").select("rec", *[F.round(c, places.get(c, 6)).alias(c) for c in ("least_speed", "stopped_for", "score", "size_change", "turn")])
