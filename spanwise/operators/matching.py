@@ -34,6 +34,15 @@ def matched_in_order(pred: Column, truth: Column, tol: float) -> Column:
     The nearest unused one is taken if it is near enough; a nearest that is too far
     is not replaced by another. Ties go to the earlier.
     """
+    return _in_order(pred, truth, tol, lambda acc: acc["hits"])
+
+
+def unmatched_in_order(pred: Column, truth: Column, tol: float) -> Column:
+    """The times of ``truth`` that :func:`matched_in_order` leaves."""
+    return _in_order(pred, truth, tol, lambda acc: acc["left"])
+
+
+def _in_order(pred: Column, truth: Column, tol: float, told) -> Column:
     start = F.struct(truth.alias("left"), F.lit(0).cast("long").alias("hits"))
 
     def step(acc, p):
@@ -43,7 +52,7 @@ def matched_in_order(pred: Column, truth: Column, tol: float) -> Column:
         rest = F.concat(F.slice(acc["left"], F.lit(1), at - 1), F.slice(acc["left"], at + 1, F.size(acc["left"])))
         return F.struct(F.when(hit, rest).otherwise(acc["left"]).alias("left"), (acc["hits"] + hit.cast("long")).alias("hits"))
 
-    return F.aggregate(pred, start, step, lambda acc: acc["hits"])
+    return F.aggregate(pred, start, step, told)
 
 
 def match_at(pred: DataFrame, truth: DataFrame, keys: list[str], t: str, tol: float) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as cl
 from ..functions import generators
-from ..operators import graph, overlap, scorers
+from ..operators import failures, graph, overlap, scorers
 from ..session import table
 from . import further, language
-from .base import Book, r6
+from .base import HOUR, TOL, Book, r6, segments
+from .temporal import decoded
 
 book = Book()
 GRADES = ("tiny", "short", "medium", "long", "huge")
@@ -71,3 +72,10 @@ def f12_sql(spark, d):
     generators.register(spark)
     table(spark, d, "benchmark").createOrReplaceTempView("spanwise_benchmark")
     return spark.sql("SELECT item_id, kind, made AS text FROM counterfactuals(TABLE(spanwise_benchmark), 'text', 'the', 'this', 'of', 'from')")
+
+
+@book.add("a44_failure_audit")
+def a44(spark, d):
+    """Missed boundaries by kind of change, where false peaks lie, recordings that stand out, and examples."""
+    out = failures.audit(decoded(spark, d), segments(spark, d), "user_id", "t", "i", TOL, 24 * HOUR)
+    return out.select("part", "name", "n", "of", r6("value").alias("value"))
