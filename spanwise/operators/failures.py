@@ -24,12 +24,10 @@ def boundaries(segments: DataFrame, key: str) -> DataFrame:
 def missed(peaks: DataFrame, bounds: DataFrame, key: str, t: str, tol: float) -> DataFrame:
     """``bounds`` with ``kind`` (same or diff names) and ``missed``: no peak, in order of time, took it within ``tol``.
 
-    A recording's times are one row, without the labels.
+    A recording's times are cut where nothing could match across.
     """
-    p = peaks.groupBy(key).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("__p"))
-    g = bounds.groupBy(key).agg(F.array_sort(F.collect_list(F.col("u").cast("double"))).alias("__g"))
-    empty = F.array().cast("array<double>")
-    left = g.join(p, key, "left").select(key, F.explode(matching.unmatched_in_order(F.coalesce("__p", empty), F.col("__g"), tol)).alias("u")).groupBy(key, "u").agg(F.count(F.lit(1)).alias("__n"))
+    cut = matching.pieces(peaks, bounds.withColumnRenamed("u", t), [key], t, tol)
+    left = cut.select(key, F.explode(matching.unmatched_in_order(F.col("__p"), F.col("__g"), tol)).alias("u")).groupBy(key, "u").agg(F.count(F.lit(1)).alias("__n"))
     # boundaries at one time: as many are missed as are left, the last ones
     nth = F.row_number().over(W.partitionBy(key, "u").orderBy(F.desc("before"), F.desc("after")))
     told = bounds.withColumn("__k", nth).join(left, [key, "u"], "left")

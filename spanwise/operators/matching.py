@@ -11,12 +11,25 @@ def window_by(keys: list[str], *order: str) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(*order)
 
 
-def greedy_pairs(candidates: DataFrame, keys: list[str], score: str, i: str, j: str) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
+    """``rows`` with ``__island``: those of a group whose spans ``lo`` to ``hi`` hang together have one number."""
+    w = W.partitionBy(*keys).orderBy("__lo", "__hi")
+    held = rows.withColumns({"__lo": lo, "__hi": hi})
+    reach = F.max("__hi").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = held.withColumn("__fresh", F.coalesce((F.col("__lo") > reach).cast("long"), F.lit(0)))
+    return fresh.withColumn("__island", F.sum("__fresh").over(w)).drop("__lo", "__hi", "__fresh")
+
+
+def greedy_pairs(candidates: DataFrame, keys: list[str], score: str, i: str, j: str, span: tuple[Column, Column] | None = None) -> DataFrame:
     """Pairs taken by falling score, then falling i and j, each side used once.
 
-    A group's candidates are folded on one row; its size is bounded by what one
-    recording holds.
+    ``span``: from when to when a candidate's two sides reach. Candidates whose spans
+    do not hang together share no side, so each island is folded on a row of its own;
+    without it a group is.
     """
+    if span is not None:
+        cut = islands(candidates, keys, *span)
+        return greedy_pairs(cut, [*keys, "__island"], score, i, j).drop("__island")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), (-F.col(i).cast("long")).alias("i"), (-F.col(j).cast("long")).alias("j"))))
     grouped = candidates.groupBy(*keys).agg(ordered.alias("__c"))
 
@@ -55,13 +68,18 @@ def _in_order(pred: Column, truth: Column, tol: float, told) -> Column:
     return F.aggregate(pred, start, step, told)
 
 
+def pieces(pred: DataFrame, truth: DataFrame, keys: list[str], t: str, tol: float) -> DataFrame:
+    """``keys``, ``__p`` and ``__g``: the times of both sides in order, cut where nothing follows for more than ``tol``, across which nothing matches."""
+    side = lambda rows, k: rows.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(k).alias("__k")).where(F.col("__t").isNotNull())
+    both = islands(side(pred, 0).unionByName(side(truth, 1)), keys, F.col("__t"), F.col("__t") + tol * (1 + 1e-9))
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("__k") == k, F.col("__t"))))
+    return both.groupBy(*keys, "__island").agg(of(0).alias("__p"), of(1).alias("__g")).drop("__island")
+
+
 def match_at(pred: DataFrame, truth: DataFrame, keys: list[str], t: str, tol: float) -> DataFrame:
     """Per group the numbers of predictions, truths and matches, with precision, recall and F1."""
-    p = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("__p"))
-    g = truth.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("__g"))
-    empty = F.array().cast("array<double>")
-    both = p.join(g, keys, "full").withColumn("__p", F.coalesce("__p", empty)).withColumn("__g", F.coalesce("__g", empty))
-    out = both.select(*keys, F.size("__p").cast("long").alias("n_pred"), F.size("__g").cast("long").alias("n_gt"), matched_in_order(F.col("__p"), F.col("__g"), tol).alias("tp"))
+    each = pieces(pred, truth, keys, t, tol).withColumn("tp", matched_in_order(F.col("__p"), F.col("__g"), tol))
+    out = each.groupBy(*keys).agg(F.sum(F.size("__p")).alias("n_pred"), F.sum(F.size("__g")).alias("n_gt"), F.sum("tp").alias("tp"))
     precision = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     recall = F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")).otherwise(0.0)
     out = out.withColumn("precision", precision).withColumn("recall", recall)

@@ -33,7 +33,7 @@ def candidates(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
 
 def matched(pred: DataFrame, truth: DataFrame, keys: list[str], over: float = MATCHED) -> DataFrame:
     """Greedy one-to-one pairs by falling IoU: keys, ``p, g, iou``."""
-    return matching.greedy_pairs(candidates(pred, truth, keys).where(F.col("iou") > over), keys, "iou", "p", "g")
+    return matching.greedy_pairs(candidates(pred, truth, keys).where(F.col("iou") > over), keys, "iou", "p", "g", (F.least("s", "gs"), F.greatest("e", "ge")))
 
 
 def counts(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

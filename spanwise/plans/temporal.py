@@ -157,7 +157,7 @@ IOU = f"""{WITH}, c AS (SELECT a.user_id, a.seg AS p, b.seg AS g, round(greatest
 
 @book.add("j15_greedy_iou_match", f"{IOU}, l AS (SELECT user_id, list({{'s': -iou, 'i': -p, 'j': -g}} ORDER BY -iou, -p, -g) AS c FROM c WHERE iou > 0.1 GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.i = x[1].i OR k.j = x[1].j)) = 0 THEN list_concat(acc, x) ELSE acc END) AS k FROM l) SELECT user_id, -k.i AS p, -k.j AS g, -k.s AS iou FROM (SELECT user_id, unnest(k) AS k FROM f) q")
 def j15(spark, d):
-    return matching.greedy_pairs(iou_candidates(spark, d).where("iou > 0.1"), U, "iou", "p", "g")
+    return matching.greedy_pairs(iou_candidates(spark, d).where("iou > 0.1"), U, "iou", "p", "g", (F.least("s", "gs"), F.greatest("e", "ge")))
 
 
 @book.add("g01_g02_g07_interval_scores", f"{WITH} SELECT a.user_id, a.seg, round(greatest(least(a.e, b.e + 600) - greatest(a.s, b.s + 300), 0) / (greatest(a.e, b.e + 600) - least(a.s, b.s + 300)), 6) AS iou, round(greatest(0, greatest(least(a.e, b.e + 600) - greatest(a.s, b.s + 300), 0) / (greatest(a.e, b.e + 600) - least(a.s, b.s + 300)) * (1 - abs(a.s - b.s - 300) / (b.e + 300 - b.s)) * (1 - abs(a.e - b.e - 600) / (b.e + 300 - b.s))), 6) AS aligned FROM segments a JOIN segments b ON a.user_id = b.user_id AND a.seg = b.seg WHERE a.e > a.s")
@@ -307,7 +307,7 @@ def a11(spark, d):
 
 @book.add("a07_segment_f1", f"{IOU}, l AS (SELECT user_id, list({{'s': -iou, 'i': -p, 'j': -g}} ORDER BY -iou, -p, -g) AS c FROM c WHERE iou > 0.3 GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.i = x[1].i OR k.j = x[1].j)) = 0 THEN list_concat(acc, x) ELSE acc END) AS k FROM l), n AS (SELECT user_id, count(*) FILTER (WHERE label = 'view') AS np, count(*) FILTER (WHERE label = 'click') AS ng FROM segments GROUP BY user_id) SELECT user_id, np AS n_pred, ng AS n_gt, coalesce(len(k), 0) AS tp, round(CASE WHEN np + ng > 0 THEN 2 * coalesce(len(k), 0) / CAST(np + ng AS DOUBLE) ELSE 0 END, 6) AS f1 FROM n LEFT JOIN f USING (user_id)")
 def a07(spark, d):
-    tp = matching.greedy_pairs(iou_candidates(spark, d).where("iou > 0.3"), U, "iou", "p", "g").groupBy("user_id").agg(F.count(F.lit(1)).alias("tp"))
+    tp = matching.greedy_pairs(iou_candidates(spark, d).where("iou > 0.3"), U, "iou", "p", "g", (F.least("s", "gs"), F.greatest("e", "ge"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("tp"))
     n = segments(spark, d).groupBy("user_id").agg(F.count_if(F.col("label") == "view").alias("n_pred"), F.count_if(F.col("label") == "click").alias("n_gt"))
     hits = F.coalesce("tp", F.lit(0))
     return n.join(tp, "user_id", "left").select("user_id", "n_pred", "n_gt", hits.alias("tp"), r6(sc.safe_ratio(2 * hits, F.col("n_pred") + F.col("n_gt"))).alias("f1"))
