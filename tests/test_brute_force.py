@@ -196,3 +196,64 @@ def test_leave_one_recording_out(spark):
         w, b = w - 0.5 * (z[train].T @ err / n + w / n), b - 0.5 * err.mean()
     for k in np.flatnonzero(~train)[:40]:
         assert got[data["doc_id"][k]][1] == pytest.approx(1 / (1 + np.exp(-(z[k] @ w + b))), abs=2e-4)
+
+
+def test_clause_decomposition(spark):
+    """Clauses in order, each with its first verb and last word, or the object of a clause before it."""
+    from spanwise.plans.language import VERBS
+
+    want = {}
+    for item, text in texts(spark).items():
+        thing, no = None, 0
+        parts = [c for c in re.split(r"\s*(?:,|;|\band then\b|\bthen\b|\band\b)\s*", text.strip(" ")) if c.strip(" ")]
+        for clause in parts:
+            found = re.findall("[a-z]+", clause.lower())
+            thing = found[-1] if found else thing
+            want[item, no] = (clause, next((VERBS[w] for w in found if w in VERBS), None), thing)
+            no += 1
+    got = {(r.item_id, r.clause_no): (r.clause, r.verb, r.object) for r in rows(spark, "f10_clause_decomposition")}
+    assert got == want and len({k for k, _ in want}) < len(want)
+
+
+def test_strata_in_turn(spark):
+    """Each stratum takes by draw what the ones before left, at most five of a source in all."""
+    data = [(r.doc_id, r.source, r.y, r.z) for r in scored(spark, SF).collect()]
+    draw = lambda d: (d * 7919 % 1009, d)
+    taken, used = {}, {}
+    for name, test, n in (("toxic", lambda r: r[3] == 1, 15), ("bad", lambda r: r[2] == 0, 15), ("rest", lambda r: True, 30)):
+        left, depth = [], dict(used)
+        for r in sorted((r for r in data if test(r) and r[0] not in taken), key=lambda r: draw(r[0])):
+            depth[r[1]] = depth.get(r[1], 0) + 1
+            if depth[r[1]] <= 5:
+                left.append(r)
+        for r in left[:n]:
+            taken[r[0]] = name
+            used[r[1]] = used.get(r[1], 0) + 1
+    assert {r.doc_id: r.stratum for r in rows(spark, "l05_sequential_strata")} == taken and set(taken.values()) == {"toxic", "bad", "rest"}
+
+
+def test_grouped_folds_deal_groups_in_order_of_their_hash(spark):
+    import zlib
+
+    names = {r.source for r in scored(spark, SF).collect()}
+    order = sorted(names, key=lambda s: (zlib.crc32(s.encode()), s))
+    assert {r.source: r.fold for r in rows(spark, "l09_grouped_folds")} == {s: k % 5 for k, s in enumerate(order)}
+
+
+def test_trajectory_features_of_known_paths(spark):
+    """A line, a swing of eight turns, a run with two stops, and a path too short."""
+    from spanwise.operators import tracks
+
+    paths = {1: [(float(i), 0.5 * i) for i in range(40)], 2: [(float(np.sin(2 * np.pi * i / 10)), 0.01 * i) for i in range(41)], 4: [(1.0, 1.0)] * 5}
+    x, stops = 0.0, []
+    for i in range(40):
+        x += 0.0 if 10 <= i < 14 or 25 <= i < 28 else 1.0
+        stops.append((x, 0.0))
+    paths[3] = stops
+    frame = spark.createDataFrame([(k, float(i), *p) for k, path in paths.items() for i, p in enumerate(path)], "rec long, t double, x double, y double")
+    got = {r.rec: r for r in tracks.trajectory_features(frame, "rec", "t", "x", "y").collect()}
+    assert (got[1].reversals, got[1].stops) == (0, 0) and got[1].straightness == pytest.approx(1.0)
+    assert got[2].reversals == 8 and got[2].straightness < 0.1 and got[2].periodicity > 0.5 and got[2].band > 0.8
+    assert got[3].stops == 2 and got[3].reversals == 0 and got[3].straightness == pytest.approx(1.0)
+    assert (got[4].n, got[4].reversals, got[4].straightness, got[4].periodicity) == (5, 0, None, None)
+    assert got[2].periodicity > got[3].periodicity
