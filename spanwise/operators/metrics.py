@@ -28,18 +28,19 @@ def weighted_auroc(rows: DataFrame, keys: list[str], score: str, y: str, n: str
     return wins.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), (F.sum("__w") / F.when(F.sum("pos") * F.sum("neg") > 0, F.sum("pos") * F.sum("neg"))).alias("auroc"))
 
 
-#: Ranges that a group's values are dealt into.
+#: Ranges that values are dealt into.
 RANGES = 64
 
 
 def in_ranges(rows: DataFrame, x: str, keys: list[str], **sums: str) -> DataFrame:
-    """``rows`` with ``__range``, one of about ``RANGES`` ranges of their group's values of ``x`` with like numbers of rows, and of each of ``sums`` the sum over the group's lower (``*_below``), higher (``*_above``) and all (``*_total``) ranges.
+    """``rows`` with ``__range``, one of about ``RANGES`` ranges of ``x`` with like numbers of all rows, and of each of ``sums`` the sum over the group's lower (``*_below``), higher (``*_above``) and all (``*_total``) ranges.
 
-    A window over ``keys`` and ``__range`` then orders a range only: no task orders a
-    whole group. A group's bounds, and its ranges' sums, are one row. Groups may be null.
+    A window over ``keys`` and ``__range`` then orders what a group has in a range: a
+    share of ``1 / RANGES`` of all rows at most, beside ties, so that no task orders a large group. The
+    bounds are one row, a group's sums by range another. Groups may be null.
     """
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))
-    placed = _beside(rows, bounds, keys).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda b: b < F.col(x)))).drop("__bounds")
+    bounds = rows.agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))  # one row
+    placed = rows.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda b: b < F.col(x)))).drop("__bounds")
     ranges = placed.groupBy(*keys, "__range").agg(*[F.sum(c).alias(c) for c in sums.values()])
     totals = ranges.groupBy(*keys).agg(F.collect_list(F.struct("__range", *sums.values())).alias("__totals"))
     out = _beside(placed, totals, keys)

@@ -43,17 +43,20 @@ def draws(names: DataFrame, key: str, replicates: int) -> DataFrame:
     return placed.join(times, "place", "left").select(key, F.coalesce("drawn", F.array().cast("array<int>")).alias("drawn"))
 
 
-def drawn(sums: DataFrame, key: str, replicates: int) -> DataFrame:
-    """``b`` and the sums (a row a recording) of the recordings drawn with replacement in replicate b. They are repeated in the stream of a task."""
-    times = draws(sums, key, replicates).withColumnRenamed(key, "__key")
+def drawn(sums: DataFrame, key: str, replicates: int, times: DataFrame | None = None) -> DataFrame:
+    """``b`` and the sums (a row a recording) of the recordings drawn with replacement in replicate b. They are repeated in the stream of a task.
+
+    ``times``: the :func:`draws`, where several metrics share them.
+    """
+    times = (draws(sums, key, replicates) if times is None else times).withColumnRenamed(key, "__key")
     return sums.join(times, sums[key].eqNullSafe(F.col("__key"))).withColumn("b", F.explode(F.col("drawn").cast("array<bigint>"))).drop("drawn", "__key")
 
 
-def bootstrap(rows: DataFrame, key: str, sums: dict[str, Column], metrics: dict[str, Column], replicates: int) -> DataFrame:
+def bootstrap(rows: DataFrame, key: str, sums: dict[str, Column], metrics: dict[str, Column], replicates: int, times: DataFrame | None = None) -> DataFrame:
     """``b`` and any metrics that are columns over sums: ``sums`` are summed by recording and then over each replicate's draw; -1 is all recordings as they are."""
     by = rows.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     totals = [F.sum(n).alias(n) for n in sums]
-    every = drawn(by, key, replicates).groupBy("b").agg(*totals).unionByName(by.agg(F.lit(-1).cast("long").alias("b"), *totals))
+    every = drawn(by, key, replicates, times).groupBy("b").agg(*totals).unionByName(by.agg(F.lit(-1).cast("long").alias("b"), *totals))
     return every.select("b", *[c.alias(n) for n, c in metrics.items()])
 
 
@@ -68,7 +71,7 @@ def _weights(cells: list[list[int]], replicates: int) -> np.ndarray:
 
 
 #: Rows whose weights are held at once.
-ROWS = 256
+ROWS = 1024
 
 
 def _range_sums(replicates: int):
@@ -107,7 +110,10 @@ def _ordered_sums(replicates: int, above: dict[int, np.ndarray], positives: np.n
             for k in range(0, len(pdf), ROWS):
                 part = pdf.iloc[k : k + ROWS]
                 w = _weights(part["drawn"].tolist(), replicates)
-                for i, (r, s, pos, neg) in enumerate(zip(part["__range"].tolist(), part["__score"].tolist(), part["pos"].tolist(), part["neg"].tolist())):
+                where, value = part["__range"].to_numpy(), part["__score"].to_numpy()
+                edge = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (value[1:] != value[:-1])]))
+                pos, neg = (np.add.reduceat(part[c].to_numpy(float)[:, None] * w, edge, axis=0) for c in ("pos", "neg"))
+                for r, s, p, q in zip(where[edge].tolist(), value[edge].tolist(), pos, neg):
                     if (r, s) != (at, score):
                         if own is not None:
                             close()
@@ -115,8 +121,8 @@ def _ordered_sums(replicates: int, above: dict[int, np.ndarray], positives: np.n
                         if r != at:
                             tp, fp = above[r]
                         at, score, own = r, s, np.zeros((2, replicates + 1))
-                    own[0] += pos * w[i]
-                    own[1] += neg * w[i]
+                    own[0] += p
+                    own[1] += q
         if own is not None:
             close()
             yield pd.DataFrame({"b": np.arange(replicates + 1), "wins": wins, "area": area})
@@ -124,7 +130,7 @@ def _ordered_sums(replicates: int, above: dict[int, np.ndarray], positives: np.n
     return run
 
 
-def bootstrap_curves(rows: DataFrame, key: str, score: str, y: str, replicates: int) -> DataFrame:
+def bootstrap_curves(rows: DataFrame, key: str, score: str, y: str, replicates: int, times: DataFrame | None = None) -> DataFrame:
     """``b, auroc, pr_auc`` of each replicate's draw of recordings; -1 is all as they are. Null without both classes, or positives.
 
     Rows are summed by recording and score and carry the replicates that draw their
@@ -132,7 +138,7 @@ def bootstrap_curves(rows: DataFrame, key: str, score: str, y: str, replicates:
     run along that order together. Of each range and replicate two sums pass the driver.
     """
     counts = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(key, F.col(score).cast("double").alias("__score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
-    times = draws(rows, key, replicates).withColumnRenamed(key, "__key")
+    times = (draws(rows, key, replicates) if times is None else times).withColumnRenamed(key, "__key")
     placed = in_ranges(counts, "__score", [], pos="pos").select(key, "__score", "__range", "pos", "neg")
     held = settled(placed.join(times, placed[key].eqNullSafe(F.col("__key"))).select("__range", "__score", "pos", "neg", "drawn"))
     told = held.mapInPandas(_range_sums(replicates), "range int, b int, pos double, neg double").groupBy("range", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
@@ -164,9 +170,9 @@ def bootstrap_ratio(rows: DataFrame, key: str, k: Column, n: Column, replicates:
 
 def bootstrap_auroc(rows: DataFrame, key: str, scores: list[str], y: str, replicates: int) -> DataFrame:
     """Per replicate (b >= 0) the AUROC of each score on the same draw of recordings."""
-    out = None
+    out, times = None, settled(draws(rows, key, replicates))
     for s in scores:
-        a = bootstrap_curves(rows, key, s, y, replicates).where("b >= 0").select("b", F.col("auroc").alias(f"auroc_{s}"))
+        a = bootstrap_curves(rows, key, s, y, replicates, times).where("b >= 0").select("b", F.col("auroc").alias(f"auroc_{s}"))
         out = a if out is None else out.join(a, "b")
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as cs
 from ..operators import metrics, relabel, resample, sampling
+from ..operators.lineage import settled
 from ..session import table
 from .base import SCORED, Book, r6, scored
 
@@ -86,13 +87,13 @@ SHOWN = ("auroc", "pr_auc", *RATIOS)
 )
 def b05(spark, d):
     """The change of every metric of the suite from one score to another on the same draws; thresholds are fixed beforehand."""
-    rows = candidates(spark, d)
-    out = None
+    rows = settled(candidates(spark, d))
+    out, times = None, settled(resample.draws(rows, "rec", REPLICATES))
     for c in ("ind", "con"):
         tau = metrics.best_f1(rows, [], c, "y").select("tau")  # one row
         items = cs.by_item(rows.join(F.broadcast(tau)), ["rec", "item"], c, "y", "label", F.col("tau"))
-        suite = resample.bootstrap(items, "rec", {s: F.col(s) for s in cs.SUMS}, cs.suite(), REPLICATES)
-        both = suite.join(resample.bootstrap_curves(rows, "rec", c, "y", REPLICATES), "b").where("b >= 0").select("b", *[F.col(s).alias(f"{c}_{s}") for s in SHOWN])
+        suite = resample.bootstrap(items, "rec", {s: F.col(s) for s in cs.SUMS}, cs.suite(), REPLICATES, times)
+        both = suite.join(resample.bootstrap_curves(rows, "rec", c, "y", REPLICATES, times), "b").where("b >= 0").select("b", *[F.col(s).alias(f"{c}_{s}") for s in SHOWN])
         out = both if out is None else out.join(both, "b")
     return out.select("b", *[r6(F.col(f"con_{s}") - F.col(f"ind_{s}")).alias(s) for s in SHOWN])
 
