@@ -58,7 +58,7 @@ def tau_sql(name, source, score):
     {name} AS (SELECT g, arg_max(s, {{'f': round(CASE WHEN n + ap > 0 THEN 2 * tp / CAST(n + ap AS DOUBLE) ELSE 0 END, 9), 't': -s}}) AS tau FROM {name}_k GROUP BY g)"""
 
 
-@book.add("a31_candidate_suite", f"WITH {CANDIDATES}, e AS (SELECT f AS g, ind, y FROM cand, (SELECT unnest(generate_series(0, {FOLDS - 1})) AS f) q WHERE rec % {FOLDS} <> f), {tau_sql('t', 'e', 'ind')}, x AS (SELECT cand.*, tau FROM cand JOIN t ON rec % {FOLDS} = g), i AS ({items_sql('ind', 'tau', 'x')}), n AS (SELECT {TOTALS} FROM i), one AS (SELECT 0 AS b, ind AS s, y, 1 AS m FROM cand), {curve_sql('v', 'one')} SELECT items, round(auroc, 6) AS auroc, round(pr_auc, 6) AS pr_auc, {', '.join(f'round({ratio_sql(c)}, 6) AS {c}' for c in RATIOS)} FROM n, v")
+@book.add("a31_candidate_suite", f"WITH {CANDIDATES}, e AS (SELECT f AS g, ind, y FROM cand, (SELECT unnest(generate_series(0, {FOLDS - 1})) AS f) q WHERE rec % {FOLDS} <> f), {tau_sql('t', 'e', 'ind')}, x AS (SELECT cand.*, tau FROM cand JOIN t ON rec % {FOLDS} = g), i AS ({items_sql('ind', 'tau', 'x')}), n AS (SELECT {TOTALS} FROM i), one AS (SELECT 0 AS b, ind AS s, y, 1 AS m FROM cand), {curve_sql('v', 'one')} SELECT CAST(items AS BIGINT) AS items, round(auroc, 6) AS auroc, round(pr_auc, 6) AS pr_auc, {', '.join(f'round({ratio_sql(c)}, 6) AS {c}' for c in RATIOS)} FROM n, v")
 def a31(spark, d):
     """The whole report, each item decided by the threshold of the other folds."""
     rows = candidates(spark, d).withColumn("fold", (F.col("rec") % FOLDS).cast("int"))
