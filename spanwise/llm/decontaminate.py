@@ -3,8 +3,8 @@
 Words are runs of letters or digits, lower-cased. Documents are first rewritten as
 the numbers of those of their words that the benchmark holds; all later passes read
 these. Document frequencies over all passages give TF-IDF; a randomised SVD
-(subspace iteration, sums over passages distributed) over the benchmark's passages
-and a bounded sample of the documents' gives the latent space. Each passage of each
+(subspace iteration, sums over passages distributed) over the passages of the whole
+benchmark and of every document gives the latent space. Each passage of each
 document is compared with every passage of the benchmark by the cosine there, in
 blocks. Candidates are then aligned: the longest common subsequence with the item
 must cover most of it, or somewhat less of it together with its answer, the item's
@@ -45,8 +45,10 @@ from .token_store import slices
 
 PASSAGE, STRIDE = 32, 16
 DIMENSIONS, OVERSAMPLED, ROUNDS, SEED = 64, 16, 3, 5
-#: Documents whose passages the latent space is fitted on, besides the benchmark's.
-FIT_DOCS = 2000
+#: Weight of all documents together in the fit of the latent space, where all items have 1.
+DOCUMENTS = 0.25
+#: Bits of the whole numbers that the fit sums, at most: a sum of ``STRIDE`` blocks' sums fits into 32.
+BITS = 22
 ITEMS_AT_ONCE, PARTS_AT_ONCE = 500, 4
 #: Cosine from which passages are candidates, and the share of the benchmark passage's weight that their common words must hold.
 CANDIDATE, IN_COMMON = 0.7, 0.4
@@ -58,6 +60,8 @@ ANCHORS, COUNTED = 3, 4096
 NONE = 0xFFFFFFFF
 #: Words whose vectors are gathered at once.
 GATHERED = 1 << 13
+#: The same in the fit.
+FITTED = 1 << 14
 
 
 @dataclass
@@ -157,6 +161,26 @@ def _frequencies(size: int):
     return run
 
 
+def segment_sums(rows: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[at]`` over the segments of ``at`` that begin at ``begin``: of ``STRIDE`` rows in their own type, of more in 64 bits."""
+    while True:
+        end = np.append(begin[1:], len(at))
+        pieces = -(-(end - begin) // STRIDE)
+        start = np.repeat(begin, pieces) + tn.within(pieces) * STRIDE
+        length = np.minimum(np.repeat(end, pieces) - start, STRIDE)
+        order = np.argsort((STRIDE - length).astype(np.uint8), kind="stable")
+        start = start[order]
+        longer = len(length) - np.cumsum(np.bincount(length, minlength=STRIDE + 1))
+        sums = rows.take(at[start], axis=0)
+        for j in range(1, STRIDE):
+            sums[: longer[j]] += rows.take(at[start[: longer[j]] + j], axis=0)
+        out = np.empty_like(sums)
+        out[order] = sums
+        if len(pieces) == len(start):
+            return out
+        rows, at, begin = out.astype(out.dtype.kind + "8"), np.arange(len(out)), np.cumsum(pieces) - pieces
+
+
 def passages_of(code: np.ndarray, bounds: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each passage the sum of ``rows`` (a row a word) and the first word; and the first passage of each text.
 
@@ -169,7 +193,7 @@ def passages_of(code: np.ndarray, bounds: np.ndarray, rows: np.ndarray, idf: np.
     for at in range(0, len(held), GATHERED):
         mine = block[at : at + GATHERED]
         edge = np.flatnonzero(np.diff(mine, prepend=-1))
-        sums[mine[edge]] += np.add.reduceat(rows[code[held[at : at + GATHERED]]], edge, axis=0)
+        sums[mine[edge]] += segment_sums(rows, code[held[at : at + GATHERED]], edge)
     n = np.diff(first)
     lone = np.repeat(n == 1, n)
     last = np.zeros(len(starts), bool)
@@ -181,47 +205,62 @@ def passages_of(code: np.ndarray, bounds: np.ndarray, rows: np.ndarray, idf: np.
     return two[keep], starts[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _sketch(space):
-    """Sum over passages of a (a . Q): the matrix by which subspace iteration goes on, its rows by word."""
+def _sketch(rows):
+    """Sum over blocks of a (a . R), a the counts of a block's words: a row of whole numbers for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, own, q = space.value
-        out = np.zeros_like(q, np.float64)
+        r = rows.value
+        out = np.zeros(r.shape, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                code, bounds = _joined(part, "code")
-                code = recoded(code, own)
-                weight = np.repeat(np.array(part.column("weight").to_pylist()), np.diff(bounds))
+                code, bounds = _joined(batch.slice(at, 200), "code")
                 starts, _ = _blocks(bounds)
                 held = np.flatnonzero(code != NONE)
-                if not len(held):
-                    continue
                 block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))[held]
-                edge = np.flatnonzero(np.diff(block, prepend=-1))
-                rows = q[code[held]] * idf[code[held], None]
-                y = np.repeat(np.add.reduceat(rows, edge, axis=0), np.diff(np.append(edge, len(held))), axis=0)
-                y *= (idf[code[held]] * weight[held])[:, None]
-                order = np.argsort(code[held], kind="stable")
-                word, first = np.unique(code[held][order], return_index=True)
-                out[word] += np.add.reduceat(y[order], first, axis=0)
-        some = np.flatnonzero(np.abs(out).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([r.astype("<f8").tobytes() for r in out[some]], pa.binary())], names=["word", "row"])
+                begin = np.flatnonzero(np.diff(block, prepend=-1))
+                # whole blocks, about FITTED words of them at once
+                cuts = np.unique(begin[np.searchsorted(begin, np.arange(0, len(held), FITTED), side="right") - 1])
+                for a, b in zip(cuts, np.append(cuts[1:], len(held))):
+                    word = code[held[a:b]].astype(np.int64)
+                    edge = np.flatnonzero(np.diff(block[a:b], prepend=-1))
+                    y = segment_sums(r, word, edge)
+                    place = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(word))))
+                    order = np.argsort(word)
+                    word = word[order]
+                    first = np.flatnonzero(np.diff(word, prepend=-1))
+                    out[word[first]] += segment_sums(y, place[order], first)
+        some = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, out[some].T)], names=["word", *_columns(r.shape[1])])
 
     return run
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors of the TF-IDF rows of ``passages`` (code, weight) over the words that ``own`` numbers."""
-    spark = passages.sparkSession
+def _columns(n: int) -> list[str]:
+    return [f"c{k}" for k in range(n)]
+
+
+def latent_space(passages: list[tuple[DataFrame, float]], idf: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of the TF-IDF rows of all passages: tables (code), each with the weight of its rows.
+
+    The sums are of whole numbers, so that neither the order of rows nor their tasks change the space.
+    """
+    spark = passages[0][0].sparkSession
     rng = np.random.default_rng(SEED)
-    size = len(idf) - 1
+    size = len(idf)
     q, _ = np.linalg.qr(rng.normal(size=(size, min(DIMENSIONS + OVERSAMPLED, size))))
+    names = _columns(q.shape[1])
+    words = [max(1, (table.agg(F.sum(F.length("code"))).first()[0] or 0) // 4) for table, _ in passages]
     for _ in range(ROUNDS):
         g = np.zeros_like(q)
-        with sent(spark, (idf, own, q)) as held:
-            for r in passages.mapInArrow(_sketch(held), "word long, row binary").collect():  # vocabulary rows a task, four tasks
-                g[r["word"]] += np.frombuffer(r["row"], "<f8")
+        rows = q * idf[:, None]
+        for (table, weight), n in zip(passages, words):
+            # a sum is of at most n blocks' sums of STRIDE rows
+            scale = 2.0 ** min(BITS, 62 - (STRIDE * n).bit_length()) / np.abs(rows).max()
+            with sent(spark, np.rint(rows * scale).astype(np.int32)) as held:
+                # a row a word of the vocabulary
+                sums = table.select("code").mapInArrow(_sketch(held), ", ".join(f"{c} long" for c in ["word", *names])).groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+            g[sums.column("word").to_numpy()] += weight / scale * np.column_stack([sums.column(c).to_numpy() for c in names])
+        g *= idf[:, None]
         q, _ = np.linalg.qr(g)
     b = q.T @ g
     values, turn = np.linalg.eigh((b + b.T) / 2)
@@ -405,15 +444,6 @@ def _searched(parts):
     return run
 
 
-def _fitted(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, sample: DataFrame) -> np.ndarray:
-    """A row of the latent space for each word; ``items`` and ``sample``: all items and some documents, coded."""
-    n = items.count()
-    passages = sample.select("code", F.lit(1.0 * n / FIT_DOCS / 4).alias("weight")).unionByName(items.select("code", F.lit(1.0).alias("weight")))
-    own = np.append(np.arange(len(vocabulary)), NONE).astype(np.uint32)
-    # in a fixed order: sums of doubles depend on it
-    return latent_space(cut(passages.orderBy("weight", F.xxhash64("code"), "code").coalesce(4), "decontaminate-fit"), idf, own)
-
-
 def _index(rows: list, vocabulary: np.ndarray, weights: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, Index] | None:
     """The index of the items ``rows`` (item_id, text), and the numbers that its words have in it; ``weights``: the idf of all words and of others."""
     h, bounds = hashed_words([r["text"] for r in rows])
@@ -456,10 +486,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     word, n = counted.column("word").to_numpy(), counted.column("n").to_numpy()
     df, total = np.zeros(len(vocabulary)), max(1, int(n[word < 0].sum()))
     df[word[word >= 0]] = n[word >= 0]
-    uniform = F.shiftrightunsigned(F.xxhash64("doc_id", "code"), 11) / float(1 << 53)
-    sample = cut(coded.where(uniform < min(1.0, FIT_DOCS / max(1, coded.count()))).select("code"), "decontaminate-sample")
     idf = np.append(np.log((total + 1) / (df + 1)) + 1e-3, np.log(total + 1))
-    space = _fitted(coded_items, vocabulary, idf, sample)
+    space = latent_space([(coded, DOCUMENTS * coded_items.count() / max(1, coded.count())), (coded_items, 1.0)], idf[:-1])
     parts = -(-items.count() // ITEMS_AT_ONCE)
     out, group = none, []
     for k in range(parts):

@@ -332,6 +332,58 @@ def test_decontamination_finds_paraphrases_of_long_items(spark, replaced, answer
     assert len(want) > 60 and len(want & set(got)) >= least * len(want)
 
 
+def test_decontamination_fits_on_every_document(spark):
+    """Cosines in a space fitted on all of 3,000 documents, against dense matrices; the tasks of a table do not change the space."""
+    import numpy as np
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 8))) for _ in range(700)]
+    weights = [1 / (k + 10) for k in range(700)]
+    draw = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [draw(rng.randrange(34, 49)) for _ in range(30)]
+    texts = [draw(rng.randrange(0, 60)) for _ in range(3000)]
+    for k in range(0, 3000, 20):
+        texts[k][len(texts[k]) // 2 : 0] = items[k // 20 % 30]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.cosine for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(got) >= 150
+
+    known = sorted({w for x in items for w in x})
+    known = [known[i] for i in np.argsort(decontaminate.hashed_words(known)[0])]
+    number = {w: i for i, w in enumerate(known)}
+
+    def blocks(text):
+        rows = np.zeros((-(-len(text) // 16), len(known)))
+        for i, w in enumerate(text):
+            if w in number:
+                rows[i // 16, number[w]] += 1
+        return rows
+
+    held, own = [blocks(t) for t in texts], [blocks(t) for t in items]
+    every, mine = np.concatenate(held), np.concatenate(own)
+    idf = np.log((len(every) + 1) / ((every > 0).sum(axis=0) + 1)) + 1e-3
+    gram = (mine * idf).T @ (mine * idf) + 0.25 * len(items) / len(texts) * (every * idf).T @ (every * idf)
+    q, _ = np.linalg.qr(np.random.default_rng(decontaminate.SEED).normal(size=(len(known), 80)))
+    for _ in range(decontaminate.ROUNDS):
+        g = gram @ q
+        q, _ = np.linalg.qr(g)
+    values, turn = np.linalg.eigh((q.T @ g + g.T @ q) / 2)
+    basis = q @ turn[:, np.argsort(-values)[:64]] * idf[:, None]
+
+    def passages(rows):
+        x = (rows[:-1] + rows[1:] if len(rows) > 1 else rows) @ basis
+        return x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+
+    for (k, i), cosine in got.items():
+        assert abs((passages(held[k]) @ passages(own[i]).T).max() - cosine) < 1e-4
+
+    codes = [np.array([number.get(w, decontaminate.NONE) for w in t], "<u4").tobytes() for t in texts]
+    table = spark.createDataFrame([(c,) for c in codes], "code binary")
+    one = decontaminate.latent_space([(table.coalesce(1), 0.5)], idf)
+    assert np.array_equal(one, decontaminate.latent_space([(table.repartition(7), 0.5)], idf))
+
+
 @pytest.mark.parametrize("words", [1, 3, 5, 7, 8, 10, 12, 15, 20, 31])
 def test_decontamination_of_short_items_matches_brute_force(spark, words):
     import numpy as np
