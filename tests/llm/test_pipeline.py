@@ -107,6 +107,37 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert empty.count() == 0, name
 
 
+def test_decontamination_stage_fits_on_every_row(spark, tmp_path, monkeypatch):
+    """The latent space of the stage reads all words of more than 2,000 rows, in sums that equal dense ones."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from spanwise.llm import decontaminate
+
+    vocabulary = [f"w{k}" for k in range(90)]
+    rng = np.random.default_rng(6)
+    items = [" ".join(rng.choice(vocabulary, 40)) for _ in range(5)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 50))) for _ in range(2600)]
+    docs = spark.createDataFrame([(k if k % 3 else None, t, "en", "s", len(t)) for k, t in enumerate(texts + items)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fit, seen = decontaminate.latent_space, []
+
+    def spy(passages, *rest):
+        tables = passages if isinstance(passages, list) else [(passages, None)]
+        seen.append([[np.frombuffer(r.code, "<u4") for r in table.select("code").collect()] for table, _ in tables])
+        return fit(passages, *rest)
+
+    monkeypatch.setattr(decontaminate, "latent_space", spy)
+    stage = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    assert {r.text for r in stage(spark, docs, str(tmp_path)).collect()} == set(texts) - set(items)
+    read = [code for table in seen[0] for code in table]
+    assert len(read) == len(texts) + 2 * len(items) and sum(map(len, read)) == sum(len(t.split()) for t in texts + 2 * items)
+
+    # sums of segments of any length
+    rows, at = rng.integers(-(1 << 22), 1 << 22, (50, 7)).astype(np.int32), rng.integers(0, 50, 3000)
+    begin = np.array([0, 1, 5, 21, 37, 54, 400, 401, 2999])
+    assert np.array_equal(decontaminate.segment_sums(rows, at, begin), np.add.reduceat(rows[at].astype(np.int64), begin, axis=0))
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """The registry imports and has its other queries where the subpackage and the pipeline are gone."""
     import shutil
