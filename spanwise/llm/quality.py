@@ -7,7 +7,9 @@ shape (runs of upper case, letters, digits and signs), which has an index vector
 too, so that words never seen still say what they look like. A document pools the
 means of both, with its length and how much of it repeats. A network with one
 hidden layer scores the pooled vector, and a temperature fitted on rows that the
-network has not seen makes its output a probability.
+network has not seen makes its output a probability. Every labelled text teaches:
+context vectors, network (L-BFGS, a pass over the pooled vectors a step) and
+temperature come from sums over tasks, and no row reaches the driver.
 
 Defined cases: null text is empty; an empty text has a pooled vector of zeros and
 gets the network's score for that; words whose hashes fall into one of ``BUCKETS``
@@ -28,15 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .decontaminate import segment_sums
 from .shared import cut, scratch, sent, tidy
 from .token_store import slices
 
-#: Labelled documents that the model is fitted on, by order of a hash of doc_id, half of each class.
-FIT_DOCS = 6000
 BUCKETS, SHAPES, DIMENSIONS, NONZERO = 1 << 15, 1 << 12, 48, 6
 NEAR = 2
 LEAST_COUNT = 3
-HIDDEN, EPOCHS, SEED = 32, 60, 7
+HIDDEN, SEED = 32, 7
+#: Weight of the squares of the network's slopes, steps at most, steps remembered, and the least part of the loss that a step must gain.
+DECAY, STEPS, REMEMBERED, GAIN = 1e-4, 24, 12, 1e-2
 EXTRAS = 5
 PIECE = 1 << 16
 
@@ -106,37 +109,44 @@ def buckets(h: np.ndarray, n: int) -> np.ndarray:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of neighbours' index vectors by bucket, over all texts of the task."""
-    index = _vectors(BUCKETS, 1)
-    total, count = np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS, np.int64)
+    index = np.append(_vectors(BUCKETS, 1), np.zeros((1, DIMENSIONS)), axis=0).astype(np.int8)
+    total, count = np.zeros((BUCKETS, DIMENSIONS), np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
             w = words_of([x or "" for x in part.column(0).to_pylist()])
             b = buckets(w.hash, BUCKETS)
+            # NEAR places without a word stand between texts, so that neighbours are those of one text
             text = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
-            for at in range(0, len(b), PIECE):
-                i = np.arange(at, min(at + PIECE, len(b)))
-                near = np.zeros((len(i), DIMENSIONS), np.float32)
-                for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
-                    j = np.clip(i + step, 0, len(b) - 1)
-                    near += index[b[j]] * ((text[j] == text[i]) & (j == i + step))[:, None]
-                order = np.argsort(b[i], kind="stable")
-                kinds, first = np.unique(b[i][order], return_index=True)
-                total[kinds] += np.add.reduceat(near[order], first, axis=0)
-                count += np.bincount(b[i], minlength=BUCKETS)
+            place = np.arange(len(b)) + NEAR * (text + 1)
+            spaced = np.full(len(b) + NEAR * len(w.bounds), BUCKETS)
+            spaced[place] = b
+            for at in range(NEAR, len(spaced) - NEAR, PIECE):
+                end = min(at + PIECE, len(spaced) - NEAR)
+                rows = index[spaced[at - NEAR : end + NEAR]]
+                near = sum(rows[NEAR + k : len(rows) - NEAR + k] for k in range(-NEAR, NEAR + 1) if k)
+                mine = spaced[at:end].astype(np.uint16)
+                order = np.argsort(mine, kind="stable")
+                order = order[: np.count_nonzero(mine < BUCKETS)]
+                if len(order):
+                    first = np.flatnonzero(np.diff(mine[order].astype(np.int64), prepend=-1))
+                    total[mine[order][first]] += segment_sums(near, order, first)
+            count += np.bincount(b, minlength=BUCKETS)
     there = np.flatnonzero(count)
-    yield pa.RecordBatch.from_pydict({"at": [there.astype("<i4").tobytes()], "total": [total[there].astype("<f4").tobytes()], "count": [count[there].astype("<i8").tobytes()]})
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(count[there]), *map(pa.array, total[there].T)], names=["bucket", "n", *_columns()])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, count = np.zeros((BUCKETS, DIMENSIONS), np.float64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for x in batch.to_pylist():
-            at = np.frombuffer(x["at"], "<i4")
-            total[at] += np.frombuffer(x["total"], "<f4").reshape(len(at), DIMENSIONS)
-            count[at] += np.frombuffer(x["count"], "<i8")
-    total[count < LEAST_COUNT] = 0
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    yield pa.RecordBatch.from_pydict({"vectors": [total.astype("<f4").tobytes()]})
+def _columns() -> list[str]:
+    return [f"c{k}" for k in range(DIMENSIONS)]
+
+
+def context_vectors(texts: DataFrame) -> np.ndarray:
+    """Unit context vectors, a row a bucket, of all ``texts`` (text); sums are of whole numbers, so their order is free."""
+    sums = texts.select("text").mapInArrow(_contexts, ", ".join(f"{c} long" for c in ["bucket", "n", *_columns()])).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["n", *_columns()]])
+    found = sums.where(F.col("n") >= LEAST_COUNT).toArrow()  # BUCKETS rows at most
+    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    total = np.column_stack([found.column(c).to_numpy() for c in _columns()]).astype(np.float64)
+    out[found.column("bucket").to_numpy()] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def pooled(texts: list[str], contexts: np.ndarray) -> np.ndarray:
@@ -178,32 +188,89 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, contexts: np.ndarray) -> Network:
-    """Adam on weighted log loss; every fifth row is kept back for the temperature."""
+def _summed(rows: DataFrame, of) -> np.ndarray:
+    """The sum over all ``rows`` (x, y) of what ``of`` makes of some of them; an array a task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = np.frombuffer(b"".join(part.column(0).to_pylist()), "<f4").reshape(part.num_rows, -1).astype(np.float64)
+                total = total + of(x, part.column(1).to_numpy(zero_copy_only=False))
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_pydict({"sums": [total.astype("<f8").tobytes()]})
+
+    return sum(np.frombuffer(r["sums"], "<f8") for r in rows.select("x", "y").mapInArrow(run, "sums binary").collect())
+
+
+def minimised(f, p: np.ndarray) -> np.ndarray:
+    """Where L-BFGS from ``p`` leads; ``f`` gives loss and slopes."""
+    loss, g = f(p)
+    known: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        d, shares = -g, []
+        for s, v in reversed(known):
+            shares.append((s @ d) / (s @ v))
+            d = d - shares[-1] * v
+        if known:
+            s, v = known[-1]
+            d = d * ((s @ v) / (v @ v))
+        for (s, v), share in zip(known, reversed(shares)):
+            d = d + (share - (v @ d) / (s @ v)) * s
+        step = 1.0 if known else min(1.0, 1 / max(float(np.linalg.norm(g)), 1e-9))
+        for _ in range(8):
+            new, slopes = f(p + step * d)
+            if new <= loss + 1e-4 * step * (g @ d):
+                break
+            step *= 0.3
+        else:
+            return p
+        s, v = step * d, slopes - g
+        if s @ v > 1e-10 * (v @ v):
+            known = [*known, (s, v)][-REMEMBERED:]
+        gained = loss - new
+        p, loss, g = p + s, new, slopes
+        if gained < GAIN * loss:
+            break
+    return p
+
+
+def train(rows: DataFrame, late: DataFrame | None, contexts: np.ndarray) -> Network:
+    """The network of least log loss on all ``rows`` (x, y); ``late``, not among them, set the temperature."""
+    width = 2 * DIMENSIONS + EXTRAS
+    first = _summed(rows, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0)]))
+    n, mean = first[0], first[1:] / first[0]
+    spread = np.sqrt(_summed(rows, lambda x, y: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-3
+    ends = np.cumsum([width * HIDDEN, HIDDEN, HIDDEN])
+
+    def parts(p):
+        w1, b1, w2, b2 = np.split(p, ends)
+        return w1.reshape(width, HIDDEN), b1, w2, b2[0]
+
+    def loss(p):
+        w1, b1, w2, b2 = parts(p)
+
+        def slopes(x, y):
+            z = (x - mean) / spread
+            h = np.tanh(z @ w1 + b1)
+            logits = h @ w2 + b2
+            err = 1 / (1 + np.exp(-np.clip(logits, -40, 40))) - y
+            back = err[:, None] * w2 * (1 - h * h)
+            return np.concatenate([[np.logaddexp(0, (1 - 2 * y) * logits).sum()], (z.T @ back).ravel(), back.sum(axis=0), h.T @ err, [err.sum()]])
+
+        sums = _summed(rows, slopes) / n
+        decayed = DECAY * np.concatenate([w1.ravel(), 0 * b1, w2, [0]])
+        return sums[0] + decayed @ p / 2, sums[1:] + decayed
+
     rng = np.random.default_rng(SEED)
-    late = np.arange(len(x)) % 5 == 4
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = (x - mean) / spread
-    p = [rng.normal(0, z.shape[1] ** -0.5, (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
-    m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    rows = np.flatnonzero(~late)
-    for epoch in range(EPOCHS):
-        rate = 0.01 * (1 - epoch / EPOCHS) + 1e-4
-        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // 128)):
-            h = np.tanh(z[part] @ p[0] + p[1])
-            err = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -40, 40))) - y[part]) * weight[part] / len(part)
-            back = err[:, None] * p[2] * (1 - h * h)
-            step += 1
-            for k, g in enumerate((z[part].T @ back + 1e-4 * p[0], back.sum(axis=0), h.T @ err + 1e-4 * p[2], err.sum(keepdims=True))):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                p[k] -= rate * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    net = Network(contexts, mean, spread, p[0], p[1], p[2], float(p[3][0]), 1.0)
-    if late.any():
-        logits = net.logits(x[late])
+    start = np.concatenate([rng.normal(0, width**-0.5, width * HIDDEN), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), [0]])
+    net = Network(contexts, mean, spread, *parts(minimised(loss, start)), 1.0)
+    if late is not None:
         grid = np.exp(np.linspace(np.log(0.25), np.log(16), 200))
-        loss = [(np.logaddexp(0, -(2 * y[late] - 1) * logits / t) * weight[late]).sum() for t in grid]
-        net.temperature = float(grid[int(np.argmin(loss))])
+        plain = Network(contexts[:0], *[getattr(net, k) for k in ("mean", "spread", "w1", "b1", "w2", "b2", "temperature")])
+        lost = _summed(late, lambda x, y: np.logaddexp(0, ((1 - 2 * y) * plain.logits(x))[:, None] / grid).sum(axis=0))
+        net.temperature = float(grid[int(np.argmin(lost))])
     return net
 
 
@@ -212,42 +279,38 @@ def _pool(contexts):
         for batch in batches:
             for part in slices(batch, "text"):
                 x = pooled([t or "" for t in part.column(0).to_pylist()], contexts.value)
-                yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f4").tobytes() for r in x]), part.column(1), part.column(2)], names=["x", "y", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()), part.column(1), part.column(2)], names=["x", "y", "late"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, teaches: Column, fit_docs: int = FIT_DOCS) -> Network | float:
-    """A network from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) where ``teaches`` holds of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Network | float:
+    """A network from all of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) where ``teaches`` holds of doc_id.
 
-    At most about ``fit_docs`` documents are read, half of each class; they are
-    weighted so that each class counts as in all of the labels. Without both
-    classes the share of class 1 is returned (0.5 without any label).
+    Every fifth document by a hash of doc_id is kept back for the temperature. Without
+    both classes the share of class 1 is returned (0.5 without any label).
     """
     spark = docs.sparkSession
     known = labels.where(teaches & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    found = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = [r["y"] for r in known.select("y").distinct().collect()]
     if len(found) < 2:
         return float(next(iter(found), 0.5))
-    share = F.when(F.col("y") == 1, min(1.0, fit_docs / 2 / found[1])).otherwise(min(1.0, fit_docs / 2 / found[0]))
-    uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    chosen = cut(known.where(uniform <= share), "quality-chosen")
-    # `chosen` has about fit_docs rows of 12 bytes; of the texts that a doc_id stands for one teaches
-    found_texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = cut(found_texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("double").alias("y")).select("text", "y", F.col("doc_id").alias("id")), "quality-sample")
-    sums = sample.select("text").repartition(4).mapInArrow(_contexts, "at binary, total binary, count binary")
-    vectors = sums.repartition(1).mapInArrow(_summed, "vectors binary").collect()[0]["vectors"]
-    contexts = np.frombuffer(vectors, "<f4").reshape(BUCKETS, DIMENSIONS)
+    # labels grow with the documents, so they are not broadcast; of the texts that a doc_id stands for one teaches
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(teaches).join(known.hint("merge"), "doc_id")
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4
+    one_each = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").cast("double").alias("y")).sortWithinPartitions("doc_id")
+    taught = cut(one_each.select("text", "y", late.alias("late")), "quality-taught")
+    counts = {(r["late"], r["y"]) for r in taught.select("late", "y").distinct().collect()}
+    classes = {y for _, y in counts}
+    if len(classes) < 2:
+        return float(next(iter(classes), 0.5))
+    contexts = context_vectors(taught)
     with sent(spark, contexts) as held:
-        rows = sample.mapInArrow(_pool(held), "x binary, y double, id long").collect()  # about fit_docs rows
-    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    if len({r["y"] for r in rows}) < 2:
-        return float(rows[0]["y"]) if rows else 0.5
-    x, y = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64), np.array([r["y"] for r in rows])
-    total = found[0] + found[1]
-    weight = np.where(y == 1, found[1] / total / (y == 1).mean(), found[0] / total / (y == 0).mean())
-    del rows, vectors
-    net = train(x, y, weight, contexts)
+        rows = cut(taught.mapInArrow(_pool(held), "x binary, y double, late boolean"), "quality-pooled")
+    if {(False, 0.0), (False, 1.0)} <= counts and len(counts) > 2:
+        net = train(rows.where("not late"), rows.where("late"), contexts)
+    else:  # too few rows to keep some back
+        net = train(rows, None, contexts)
     tidy()
     return net
 

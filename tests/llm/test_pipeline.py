@@ -138,6 +138,45 @@ def test_decontamination_stage_fits_on_every_row(spark, tmp_path, monkeypatch):
     assert np.array_equal(decontaminate.segment_sums(rows, at, begin), np.add.reduceat(rows[at].astype(np.int64), begin, axis=0))
 
 
+def test_quality_stage_fits_on_every_labelled_row(spark, tmp_path, monkeypatch):
+    """Context vectors and means of the stage's model are those of all labelled texts, more than 6,000, by plain sums."""
+    pytest.importorskip("public_tokenizers")
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from spanwise.llm import quality
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], rng.integers(1, 16))) + (" BUY!!! NOW!!!" if i % 10 == 0 else "") for i in range(9400)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(9400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    fit, nets = quality.fit, []
+    monkeypatch.setattr(quality, "fit", lambda *a: nets.append(fit(*a)) or nets[-1])
+    kept = dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, str(tmp_path))
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [i for i in range(9400) if i % 10]
+
+    taught = [i for i in range(9400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(taught) > 6000
+    number = {w: int(quality.buckets(quality.words_of([w]).hash, quality.BUCKETS)[0]) for w in {w for t in texts for w in t.split()}}
+    near = Counter((number[w], number[v[j]]) for v in (texts[i].split() for i in taught) for k, w in enumerate(v) for j in range(max(0, k - 2), min(len(v), k + 3)) if j != k)
+    want, index = np.zeros((quality.BUCKETS, quality.DIMENSIONS)), quality.index_vectors(quality.BUCKETS, 1)
+    for (w, v), n in near.items():
+        want[w] += n * index[v]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.abs(want).any() and np.abs(nets[0].contexts - want).max() < 1e-6
+
+    late = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).collect()}
+    x = quality.pooled([texts[i] for i in taught if i not in late], nets[0].contexts)
+    assert np.allclose(nets[0].mean, x.mean(axis=0), atol=1e-5) and np.allclose(nets[0].spread, x.std(axis=0) + 1e-3, atol=1e-5)
+
+    # two rows, too few to keep one back
+    net = quality.fit(docs, labels.where("doc_id in (10, 11)"), F.lit(True))
+    assert np.diff(net.scores(quality.pooled([texts[10], texts[11]], net.contexts)))[0] > 0.5
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """The registry imports and has its other queries where the subpackage and the pipeline are gone."""
     import shutil
