@@ -120,6 +120,6 @@ def v23(spark, d):
     x = F.when(F.col("l_linenumber") != 7, F.col("l_quantity"))
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("rec"), (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy("l_suppkey")).alias("n"), x.alias("x0"), (x / 2).alias("y0"), (x + 10).alias("x1"), (x / 2 + 10 + x / 4).alias("y1"), F.col("l_discount").alias("angle"))
     frames = rows.withColumn("rel", (F.col("i") - F.floor(F.col("n") / 2)) * 0.1)
-    out = motion.stop_start(frames, ["rec"], "i", "rel", 0.1, "angle", near=0.5001)
+    out = motion.stop_start(frames, ["rec"], "i", "rel", 0.1, "angle", near=0.5001, floors=True)
     places = {"score": 3}
-    return out.where("stopped_for IS NOT NULL OR size_change IS NOT NULL").select("rec", *[F.round(c, places.get(c, 6)).alias(c) for c in ("least_speed", "stopped_for", "score", "size_change", "turn")])
+    return out.select("rec", *[F.round(c, places.get(c, 6)).alias(c) for c in ("least_speed", "stopped_for", "score", "size_change", "turn")])
