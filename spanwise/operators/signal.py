@@ -45,6 +45,21 @@ def suppress(peaks: DataFrame, keys: list[str], t: str, i: str, score: str, gap:
     return done.select(*keys, F.explode("__kept").alias("p")).select(*keys, F.col("p.i").alias("i"), F.col("p.t").alias("t"), (-F.col("p.s")).alias("score"))
 
 
+def with_quantile(rows: DataFrame, keys: list[str], x: str, q: float, name: str) -> DataFrame:
+    """``rows`` with ``name``: the ``q``-quantile of ``x``, which is not null, in their group, on the line between two neighbours in order.
+
+    Between ``a`` and ``b`` it is ``a * (1 - d) + b * d`` with one rounding of the first
+    product and the sum, as SQL's ``quantile_cont`` has it: neighbours that differ in the
+    last bit only are on one side of it here as there.
+    """
+    every = W.partitionBy(*keys)
+    placed = rows.withColumns({"__at": F.row_number().over(every.orderBy(x)) - 1, "__pos": (F.count(F.lit(1)).over(every) - 1) * F.lit(float(q))})
+    of = lambda at: F.max(F.when(F.col("__at") == at(F.col("__pos")), F.col(x))).over(every)
+    held = placed.withColumns({"__a": of(F.floor), "__b": of(F.ceil), "__d": F.col("__pos") - F.floor("__pos")})
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("__a"), 1 - F.col("__d"), F.col("__b") * F.col("__d")).cast("double")
+    return held.withColumn(name, F.when(F.col("__d") > 0, fused).otherwise(F.col("__a"))).drop("__at", "__pos", "__a", "__b", "__d")
+
+
 def suppressors(peaks: DataFrame, keys: list[str], t: str, i: str, score: str, gap: float) -> DataFrame:
     """Every peak with whether it stays, and the first kept peak, in the order of keeping, that blocks it."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(i).cast("long").alias("i"), F.col(t).cast("double").alias("t"))))

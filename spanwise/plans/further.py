@@ -95,8 +95,7 @@ def a54(spark, d):
 @book.add("v06_change_peaks", f"WITH {CURVE}, c AS (SELECT user_id, i, t, abs(prob - lag(prob) OVER (PARTITION BY user_id ORDER BY t, i)) AS c FROM curve), q AS (SELECT user_id, quantile_cont(c, 0.9) AS q FROM c GROUP BY user_id), l AS (SELECT user_id, list({{'s': -c, 'i': i, 't': t}} ORDER BY -c, i) AS p FROM c JOIN q USING (user_id) WHERE c >= q GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_transform(p, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k.t - x[1].t) < {GAP})) = 0 THEN list_concat(acc, x) ELSE acc END) AS kept FROM l) SELECT user_id, k.i AS i, k.t AS t FROM (SELECT user_id, unnest(kept) AS k FROM f) z")
 def v06(spark, d):
     c = curve(spark, d).withColumn("c", F.abs(F.col("prob") - F.lag("prob").over(W.partitionBy("user_id").orderBy("t", "i")))).where("c IS NOT NULL")
-    top = c.groupBy("user_id").agg(F.percentile("c", 0.9).alias("q"))
-    return signal.suppress(c.join(top, "user_id").where("c >= q"), U, "t", "i", "c", GAP).select("user_id", "i", "t")
+    return signal.suppress(signal.with_quantile(c, U, "c", 0.9, "q").where("c >= q"), U, "t", "i", "c", GAP).select("user_id", "i", "t")
 
 
 @book.add("v07_segments_from_cuts", f"WITH {PEAKS}, k AS (SELECT user_id, unnest(kept) AS k FROM folded), b AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM curve GROUP BY user_id), p AS (SELECT DISTINCT user_id, x FROM (SELECT user_id, k.t AS x FROM k UNION ALL SELECT user_id, lo FROM b UNION ALL SELECT user_id, hi FROM b) q), s AS (SELECT user_id, x AS s, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS e FROM p) SELECT user_id, s, e FROM s WHERE e IS NOT NULL")

@@ -38,3 +38,14 @@ def test_stop_start_features_where_nothing_moves_in_the_middle(spark, tmp_path):
     beside = [line(5, i, 1 if i % 2 else 7, i) for i in range(41)]  # boxes, none beside another
     found = same_as_sql(spark, tmp_path, "v23_stop_start_features", lineitem=(hidden + still + few + early + beside, LINES))
     assert len(found) == 4 and any(row[0] is None for row in found)
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def test_change_peaks_at_a_quantile_between_values_that_differ_in_the_last_bit(spark, tmp_path):
+    # of each of the first six users the two largest changes are equal but for rounding
+    users = [[104.74, 194.07, 115.12, 204.45], [0.85, 29.02, 4.01, 32.18], [61.63, 100.67, 110.88, 149.92], [8.88, 72.75, 38.86, 102.73], [57.27, 106.75, 71.77, 121.25], [84.71, 162.05, 147.15, 224.49]]
+    users += [[5.0, 5.0], [3.0], [1.0, 2.0, 1.0, 2.0, 1.0], [0.0, 1.1, 2.2, 3.3, 4.4, 5.5, 6.6, 7.7, 8.8, 9.9, 11.0, 12.1]]
+    rows = [(100 * u + k, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), u, "view", v, "{}") for u, values in enumerate(users) for k, v in enumerate(values)]
+    assert len(same_as_sql(spark, tmp_path, "v06_change_peaks", events=(rows, EVENTS))) > 8
