@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import claims as cl
 from ..functions import generators
 from ..operators import failures, graph, overlap, scorers
+from ..operators.lineage import settled
 from ..session import table
 from . import further, language
 from .base import HOUR, TOL, Book, r6, segments
@@ -27,11 +28,15 @@ def named_parts(spark, d):
 @book.add("u08_same_object_groups", f"WITH RECURSIVE i AS (SELECT p_brand, p_partkey AS k, lower(p_type) AS verb, list_distinct(list_filter(string_split(lower(p_name) || ' ' || {GRADE_SQL}, ' '), lambda w: length(w) > 2)) AS w FROM part), l AS (SELECT a.k AS a, b.k AS b FROM i a JOIN i b ON a.p_brand = b.p_brand AND a.verb <> b.verb WHERE len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) >= 0.4), r AS (SELECT k, k AS root FROM i UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.k), g AS (SELECT k, min(root) AS root FROM r GROUP BY k), n AS (SELECT g.root, count(DISTINCT i.verb) AS verbs FROM g JOIN i USING (k) GROUP BY g.root) SELECT i.p_brand, g.k AS p_partkey, g.root, n.verbs FROM g JOIN n USING (root) JOIN i USING (k) WHERE n.verbs >= 3")
 def u08_groups(spark, d):
     """Labels of a brand about the same object with different verbs, linked at a Jaccard of 0.4; groups of three verbs or more."""
-    items = named_parts(spark, d)
-    links = overlap.overlap_links(items, ["p_brand"], "p_partkey", "words", 0.4, apart="verb").select("a", "b")
-    groups = graph.linked_groups(items.select("p_partkey"), links, "p_partkey").join(items.select("p_brand", "p_partkey", "verb"), "p_partkey")
+    items = named_parts(spark, d).withColumn("words", F.array_sort("words"))
+    # labels with one verb and the same words have the same links, so that one of them, the first, stands for all;
+    # one without links is in no group of three verbs, whatever the number of its likes
+    alike = ["p_brand", "verb", "words"]
+    kinds = settled(items.where("verb IS NOT NULL").groupBy(*alike).agg(F.min("p_partkey").alias("first")))
+    links = overlap.overlap_links(kinds, ["p_brand"], "first", "words", 0.4, apart="verb").select("a", "b")
+    groups = settled(graph.linked_groups(kinds.select("first"), links, "first").join(kinds, "first"))
     verbs = groups.groupBy("root").agg(F.countDistinct("verb").alias("verbs")).where("verbs >= 3")
-    return groups.join(verbs, "root").select("p_brand", "p_partkey", "root", "verbs")
+    return items.join(groups.join(verbs, "root"), alike).select("p_brand", "p_partkey", "root", "verbs")
 
 
 @book.add("a09_name_reward_by_scorer", further.book.oracles["a09_name_reward"])

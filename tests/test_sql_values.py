@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from spanwise.operators import overlap
 from spanwise.plans import registry
 from test_queries import rows_of
 
@@ -49,3 +50,13 @@ def test_change_peaks_at_a_quantile_between_values_that_differ_in_the_last_bit(s
     users += [[5.0, 5.0], [3.0], [1.0, 2.0, 1.0, 2.0, 1.0], [0.0, 1.1, 2.2, 3.3, 4.4, 5.5, 6.6, 7.7, 8.8, 9.9, 11.0, 12.1]]
     rows = [(100 * u + k, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), u, "view", v, "{}") for u, values in enumerate(users) for k, v in enumerate(values)]
     assert len(same_as_sql(spark, tmp_path, "v06_change_peaks", events=(rows, EVENTS))) > 8
+
+
+def test_same_object_groups_link_every_kind_of_label_once(spark, tmp_path, monkeypatch):
+    linked, real = [], overlap.overlap_links
+    monkeypatch.setattr(overlap, "overlap_links", lambda items, *a, **k: linked.append(items.count()) or real(items, *a, **k))
+    names = ["hot bolt", "large ring", "hot ring", "cold bolt", "a b", "odd thing here today"]
+    kinds = [(names[k % 6], f"Brand#{k % 2}", ["LARGE", "SMALL", "ECONOMY", "PROMO"][k // 6 % 4], k % 7) for k in range(84)]
+    rows = [(k, *kinds[k % 84]) for k in range(84 * 8)] + [(9000, "lonely words", "Brand#1", "LARGE", 3), (9001, "lonely words", "Brand#1", "LARGE", 3), (9002, "hot bolt", None, "LARGE", 3), (9003, "hot bolt", "Brand#1", None, 3)]
+    found = same_as_sql(spark, tmp_path, "u08_same_object_groups", part=(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"))
+    assert len(found) > 84 and linked[0] <= 85
