@@ -18,6 +18,7 @@ def _iou(a, b) -> float:
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
 
 
+CORNERS = ("x0", "y0", "x1", "y1")
 Live = dict[int, tuple[tuple[float, float, float, float], str, float]]
 
 
@@ -56,26 +57,45 @@ def track(rows: DataFrame, key: str, t: str, most_gap: float, least: float = 0.1
     """Boxes (key, t, box_id, label, x0..y1) with ``track``: best IoU plus a bonus for an equal label, greedily, frame by frame.
 
     A track that was not seen for ``most_gap`` ends; a box without a match starts one.
-    A recording is cut where no frame follows for so long: no track goes across, and
-    each piece is a task's. Numbers count the tracks of a recording in order of time.
+    A recording is cut where no frame follows for so long: no track goes across. The
+    pieces are dealt to tasks, which read them in the stream of their rows and hold the
+    live tracks only. Numbers count the tracks of a recording in order of time.
     """
     kinds = dict(rows.dtypes)
-    frames = rows.select(key, t).distinct()
+    told = F.col(key).isNotNull() & F.col(t).isNotNull()
+    held = rows.where(told & ~F.isnan(t) if kinds[t] in ("double", "float") else told).select(key, t, "box_id", "label", *CORNERS)
     w = W.partitionBy(key).orderBy(t)
     apart = F.coalesce((F.col(t) - F.lag(t).over(w) > most_gap).cast("int"), F.lit(1))
-    cut = frames.withColumn("__apart", apart).withColumn("__piece", F.sum("__apart").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__apart")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, fresh, out = {}, 0, []
-        for when, boxes in frames_of(pdf, t):
-            live, fresh, told = associate(live, fresh, when, boxes, most_gap, least, bonus)
-            out += [(pdf[key].iloc[0], pdf["__piece"].iloc[0], when, b[0], k) for b, k in zip(boxes, told)]
-        return pd.DataFrame(out, columns=[key, "__piece", t, "box_id", "track"])
-
-    each = rows.join(cut, [key, t]).groupBy(key, "__piece").applyInPandas(run, f"{key} {kinds[key]}, __piece long, {t} {kinds[t]}, box_id long, track int")
-    sizes = each.groupBy(key, "__piece").agg((F.max("track") + 1).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return each.join(before, [key, "__piece"]).select(key, t, "box_id", (F.col("track") + F.col("__before")).cast("int").alias("track"))
+    cut = held.withColumn("__apart", apart).withColumn("__piece", F.sum("__apart").over(w)).drop("__apart")
+    dealt = cut.repartition(key, "__piece").sortWithinPartitions(key, "__piece", t, F.col("box_id").asc_nulls_last(), "label", *CORNERS)
+
+    def run(batches):
+        # rows come frame by frame; one is done when the next begins
+        at, when, boxes, live, fresh, out = None, None, [], {}, 0, []
+
+        def done():
+            after, following, numbers = associate(live, fresh, when, boxes, most_gap, least, bonus)
+            out.extend((*at, when, b[0], k, int(k >= fresh)) for b, k in zip(boxes, numbers))
+            return after, following
+
+        for pdf in batches:
+            for k, piece, now, i, label, *corners in zip(*(pdf[c].tolist() for c in (key, "__piece", t, "box_id", "label", *CORNERS))):
+                if boxes and (at != (k, piece) or when != now):
+                    live, fresh = done()
+                    boxes = []
+                if at != (k, piece):
+                    at, live, fresh = (k, piece), {}, 0
+                when = now
+                boxes.append((i, label, tuple(corners)))
+            yield pd.DataFrame(out, columns=[key, "__piece", t, "box_id", "track", "__new"])
+            out.clear()
+        if boxes:
+            done()
+            yield pd.DataFrame(out, columns=[key, "__piece", t, "box_id", "track", "__new"])
+
+    each = dealt.mapInPandas(run, f"{key} {kinds[key]}, __piece long, {t} {kinds[t]}, box_id {kinds['box_id']}, track int, __new int")
+    before = F.coalesce(F.sum("__new").over(W.partitionBy(key).orderBy("__piece").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return each.select(key, t, F.col("box_id").cast("long").alias("box_id"), (F.col("track") + before).cast("int").alias("track"))
 
 
 def savgol(x: np.ndarray, window: int = 5, degree: int = 2) -> np.ndarray:
