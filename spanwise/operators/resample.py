@@ -40,7 +40,8 @@ def draws(names: DataFrame, key: str, replicates: int) -> DataFrame:
     b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
     slots = names.sparkSession.range(n).select(F.col("id").alias("j"), b.alias("b")).select("b", slot(F.col("b"), F.col("j"), F.lit(n)).alias("place"))
     times = slots.groupBy("place").agg(F.collect_list(F.col("b").cast("int")).alias("drawn"))
-    return placed.join(times, "place", "left").select(key, F.coalesce("drawn", F.array().cast("array<int>")).alias("drawn"))
+    # the draws are as many as replicates times recordings; their size, told from the numbers of places, would have them broadcast
+    return placed.join(times.hint("merge"), "place", "left").select(key, F.coalesce("drawn", F.array().cast("array<int>")).alias("drawn"))
 
 
 def drawn(sums: DataFrame, key: str, replicates: int, times: DataFrame | None = None) -> DataFrame:
