@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,3 +103,89 @@ def nearest_without_replacement(left: Column, right: Column) -> Column:
         return F.struct(F.filter(acc["rest"], lambda r: ~r["id"].eqNullSafe(near["id"])).alias("rest"), F.when(near.isNotNull(), F.concat(acc["pairs"], F.array(pair))).otherwise(acc["pairs"]).alias("pairs"))
 
     return F.aggregate(left, start, step, lambda acc: acc["pairs"])
+
+
+class _Free:
+    """Ids by score of which the nearest that is still free is taken; of equal gaps the lowest id."""
+
+    def __init__(self, scores: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((ids, scores))
+        scores, self.ids = scores[order], ids[order].tolist()
+        first = np.flatnonzero(np.concatenate([[True], scores[1:] != scores[:-1]])) if len(scores) else np.empty(0, int)
+        self.scores = scores[first].tolist()
+        # of each score the next free id, one past its last, and where to look on if none is left (one place of margin at both ends)
+        self.head, self.end = first.tolist(), [*first[1:].tolist(), len(scores)]
+        self.ahead, self.back = list(range(len(first) + 2)), list(range(len(first) + 2))
+        self.order = scores[first]
+
+    @staticmethod
+    def _find(to: list[int], at: int) -> int:
+        root = at
+        while to[root] != root:
+            root = to[root]
+        while to[at] != root:
+            to[at], at = root, to[at]
+        return root
+
+    def places(self, x: np.ndarray) -> list[int]:
+        return np.searchsorted(self.order, x).tolist()
+
+    def take(self, x: float, place: int) -> tuple[int, float] | None:
+        """The id and its gap; ``place``: of ``x`` among the scores."""
+        n = len(self.scores)
+        lo, hi = self._find(self.back, place), self._find(self.ahead, place + 1)
+        gaps = [abs(self.scores[k - 1] - x) for k in (lo, hi) if 0 < k <= n]
+        if not gaps:
+            return None
+        gap, best = min(gaps), None
+        while lo > 0 and abs(self.scores[lo - 1] - x) == gap:  # further scores may have the same gap, rounded
+            best = lo if best is None or self.ids[self.head[lo - 1]] < self.ids[self.head[best - 1]] else best
+            lo = self._find(self.back, lo - 1)
+        while hi <= n and abs(self.scores[hi - 1] - x) == gap:
+            best = hi if best is None or self.ids[self.head[hi - 1]] < self.ids[self.head[best - 1]] else best
+            hi = self._find(self.ahead, hi + 1)
+        taken = self.ids[self.head[best - 1]]
+        while self.head[best - 1] < self.end[best - 1] and self.ids[self.head[best - 1]] == taken:  # a repeated id goes whole
+            self.head[best - 1] += 1
+        if self.head[best - 1] == self.end[best - 1]:
+            self.back[best], self.ahead[best] = best - 1, best + 1
+        return taken, gap
+
+
+def nearest_free(rows: DataFrame, key: str, row: str, score: str, chooses: str) -> DataFrame:
+    """``key, left, right, gap``: :func:`nearest_without_replacement` of a table, each row that ``chooses`` in order of its id ``row``.
+
+    The others are those it takes from; an id has one score in a stratum (``key``, which may be null). A task
+    reads a stratum's rows in a stream and holds as numbers those to be taken. A free one is found by
+    its place among the scores, not among all. Rows without a score are left out.
+    """
+    kind = dict(rows.dtypes)[key]
+    held = rows.select(key, F.col(chooses).cast("int").alias("__chooses"), F.col(row).cast("long").alias("__id"), F.col(score).cast("double").alias("__score")).where("__chooses IS NOT NULL AND __id IS NOT NULL AND __score IS NOT NULL AND NOT isnan(__score)")
+    dealt = held.repartition(key).sortWithinPartitions(key, "__chooses", "__id", "__score")
+
+    def run(batches):
+        at, ids, scores, free = None, [], [], None
+        for pdf in batches:
+            out = []
+            # parts of one stratum and side; null keys are one stratum
+            keys, side = pdf[key], pdf["__chooses"]
+            cut = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())) | side.ne(side.shift())
+            for _, part in pdf.groupby(cut.cumsum(), sort=False):
+                k, mine, x = part[key].iloc[0], part["__id"].to_numpy(), part["__score"].to_numpy()
+                k = None if pd.isna(k) else k
+                if at != (k,):
+                    at, ids, scores, free = (k,), [], [], None
+                if part["__chooses"].iloc[0] == 0:
+                    ids.append(mine)
+                    scores.append(x)
+                    continue
+                if free is None:
+                    free = _Free(np.concatenate([np.empty(0), *scores]), np.concatenate([np.empty(0, np.int64), *ids]))
+                    ids, scores = [], []
+                for i, s, place in zip(mine.tolist(), x.tolist(), free.places(x)):
+                    found = free.take(s, place)
+                    if found is not None:
+                        out.append((k, i, *found))
+            yield pd.DataFrame(out, columns=[key, "left", "right", "gap"])
+
+    return dealt.mapInPandas(run, f"{key} {kind}, left long, right long, gap double")

@@ -93,11 +93,8 @@ def j18(spark, d):
 @book.add("j21_nearest_without_replacement")
 def j21(spark, d):
     """False keeps of each source, in order of id, with the true keep of the nearest score that is still free."""
-    rows = scored(spark, d).where("s >= 0.4 AND lang = 'en'")
-    side = lambda y: F.array_sort(F.collect_list(F.when(F.col("y") == y, F.struct(F.col("doc_id").alias("id"), F.col("s2").alias("score")))))
-    sides = rows.groupBy("source").agg(side(0).alias("left"), side(1).alias("right"))
-    flip = lambda a: F.transform(a, lambda x: F.struct(x["score"].alias("score"), x["id"].alias("id")))
-    return sides.select("source", F.explode(matching.nearest_without_replacement(flip(F.col("left")), flip(F.col("right")))).alias("p")).select("source", "p.left", "p.right", r6("p.gap").alias("gap"))
+    rows = scored(spark, d).where("s >= 0.4 AND lang = 'en' AND y IN (0, 1)").withColumn("chooses", F.col("y") == 0)
+    return matching.nearest_free(rows, "source", "doc_id", "s2", "chooses").select("source", "left", "right", r6("gap").alias("gap"))
 
 
 @book.add("j24_segment_recovery", f"WITH {SEGMENTS}, claims AS (SELECT user_id, i, t, label AS said, i % 5 = 0 AS shown FROM curve WHERE i % 2 = 0), spot AS (SELECT c.user_id, c.i, arg_min(s.label, {{'s': -s.s, 'e': s.e}}) AS found FROM claims c LEFT JOIN segments s ON s.user_id = c.user_id AND c.t >= s.s AND c.t <= s.e AND s.label <> 'error' GROUP BY 1, 2) SELECT user_id, i, found, CASE WHEN found IS NULL THEN 'no_segment' WHEN contains(found, left(said, 4)) THEN 'verified' ELSE 'label_mismatch' END AS status, shown AS shown_in_sheet FROM claims JOIN spot USING (user_id, i)")
