@@ -189,3 +189,42 @@ def nearest_free(rows: DataFrame, key: str, row: str, score: str, chooses: str)
             yield pd.DataFrame(out, columns=[key, "left", "right", "gap"])
 
     return dealt.mapInPandas(run, f"{key} {kind}, left long, right long, gap double")
+
+
+def _neighbours(points: DataFrame, values: DataFrame, keys: list[str], x: str, columns: list[str]) -> DataFrame:
+    """``points`` (``keys``, ``x``), each with ``__v``: the rows of ``values`` next to it, at or below and at or above, as structs of ``x`` and ``columns``. Keys may be null, ``x`` not."""
+    held = F.struct(x, *columns)
+    both = points.select(*keys, x, F.lit(1).alias("__left")).withColumn("__at", F.lit(None).cast(values.select(held.alias("v")).schema["v"].dataType)).unionByName(values.select(*keys, x, F.lit(0).alias("__left"), held.alias("__at")))
+    # a frame that ends with the row is one pass, one that begins with it is not: the way up is the way down in falling order
+    seen = [F.last("__at", ignorenulls=True).over(W.partitionBy(*keys).orderBy(order, "__left").rowsBetween(W.unboundedPreceding, 0)) for order in (F.col(x), F.col(x).desc())]
+    told = both.withColumns({"__below": seen[0], "__above": seen[1]}).where("__left = 1")
+    return told.select(*keys, x, F.array_compact(F.array("__below", "__above")).alias("__v"))
+
+
+def nearest_controls(cases: DataFrame, controls: DataFrame, keys: list[str], x: str, y: str, row: str, control: str) -> DataFrame:
+    """``row, control``: of each case the control with equal ``keys`` that is nearest by ``x``, of these by ``y``, of these the least.
+
+    Distinct values of ``x``, and of ``y`` beside each of them, are searched in order; no case
+    meets all controls. Different values are to be further apart than their gaps are rounded.
+    A null ``x`` is as far from all, and further than any; rows with a null key or ``y`` are left out.
+    """
+    held = [*[F.col(k).isNotNull() for k in keys], F.col(y).isNotNull()]
+    for known in held:
+        cases, controls = cases.where(known), controls.where(known)
+    kinds = cases.select(*keys, x, y).distinct()
+    least = controls.groupBy(*keys, x, y).agg(F.min(control).alias("__c"))
+    near = _neighbours(kinds.select(*keys, x).distinct().where(F.col(x).isNotNull()), least.select(*keys, x).distinct().where(F.col(x).isNotNull()), keys, x, [])
+    gap = lambda v: F.abs(F.col(x) - v[x])
+    near = near.withColumn("__least", F.array_min(F.transform("__v", gap)))
+    near = near.select(*keys, x, F.explode(F.array_distinct(F.filter("__v", lambda v: gap(v) == F.col("__least")))).alias("__v")).select(*keys, F.col(x).alias("__of"), F.col(f"__v.{x}").alias("__x"))
+    sought = kinds.withColumnRenamed(x, "__of").join(near, [*keys, "__of"], "left")
+    # where x tells nothing, all controls of the keys are as near: they are those of a null
+    every = least.groupBy(*keys, y).agg(F.min("__c").alias("__c")).withColumn("__x", F.lit(None).cast(dict(least.dtypes)[x]))
+    pool = least.where(F.col(x).isNotNull()).withColumnRenamed(x, "__x").unionByName(every)
+    found = _neighbours(sought.select(*keys, "__x", y).distinct(), pool, [*keys, "__x"], y, ["__c"])
+    told = sought.alias("s").join(found.alias("f"), [F.col(f"s.{k}") == F.col(f"f.{k}") for k in (*keys, y)] + [F.col("s.__x").eqNullSafe(F.col("f.__x"))]).select(*[F.col(f"s.{k}") for k in (*keys, "__of", y, "__x")], F.explode("f.__v").alias("__v"))
+    # a null gap comes last
+    order = F.struct(F.coalesce(F.abs(F.col("__of") - F.col("__x")), F.lit(float("inf"))).alias("a"), F.abs(F.col(y) - F.col(f"__v.{y}")).alias("b"), F.col("__v.__c").alias("c"))
+    best = told.groupBy(*keys, "__of", y).agg(F.min(order).alias("__best"))
+    out = cases.alias("c").join(best.alias("b"), [F.col(f"c.{k}") == F.col(f"b.{k}") for k in (*keys, y)] + [F.col(f"c.{x}").eqNullSafe(F.col("b.__of"))])
+    return out.groupBy(F.col(f"c.{row}").alias(row)).agg(F.min("b.__best").alias("__best")).select(row, F.col("__best.c").alias(control))

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from ..operators import reconcile, rules, sampling
+from ..operators import matching, reconcile, rules, sampling
+from ..operators.lineage import settled
 from ..session import table
 from .base import CURVE, SCORED, Book, curve, r6, scored
 
@@ -354,11 +355,8 @@ def j04(spark, d):
 
 @book.add("j20_matched_controls", f"{WITH}, p AS (SELECT a.doc_id, b.doc_id AS control, row_number() OVER (PARTITION BY a.doc_id ORDER BY abs(a.s - b.s), abs(a.s2 - b.s2), b.doc_id) AS r FROM scored a JOIN scored b ON a.source = b.source AND a.lang = b.lang AND a.y = 0 AND b.y = 1) SELECT doc_id, control FROM p WHERE r = 1")
 def j20(spark, d):
-    rows = scored(spark, d)
-    a = rows.where("y = 0").select("doc_id", "source", "lang", "s", "s2")
-    b = rows.where("y = 1").select(F.col("doc_id").alias("control"), "source", "lang", F.col("s").alias("t"), F.col("s2").alias("t2"))
-    pairs = a.join(b, ["source", "lang"])
-    return pairs.groupBy("doc_id").agg(F.min_by("control", F.struct(F.abs(F.col("s") - F.col("t")), F.abs(F.col("s2") - F.col("t2")), "control")).alias("control"))
+    rows = settled(scored(spark, d).select("doc_id", "source", "lang", "y", "s", "s2"))
+    return matching.nearest_controls(rows.where("y = 0"), rows.where("y = 1").withColumnRenamed("doc_id", "control"), ["source", "lang"], "s", "s2", "doc_id", "control")
 
 
 @book.add("j22_key_matched_pairs", f"{WITH}, r AS (SELECT doc_id, source, lang, y, row_number() OVER (PARTITION BY source, lang, y ORDER BY doc_id * 7919 % 1009, doc_id) AS k FROM scored) SELECT a.doc_id AS atomic, b.doc_id AS compound FROM r a JOIN r b ON a.source = b.source AND a.lang = b.lang AND a.k = b.k AND a.y = 1 AND b.y = 0 WHERE a.k <= 3")

@@ -1,6 +1,7 @@
 """Queries against their SQL where the supplied tables have no such rows: values that differ in the last bit, nothing that moves."""
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -60,3 +61,16 @@ def test_same_object_groups_link_every_kind_of_label_once(spark, tmp_path, monke
     rows = [(k, *kinds[k % 84]) for k in range(84 * 8)] + [(9000, "lonely words", "Brand#1", "LARGE", 3), (9001, "lonely words", "Brand#1", "LARGE", 3), (9002, "hot bolt", None, "LARGE", 3), (9003, "hot bolt", "Brand#1", None, 3)]
     found = same_as_sql(spark, tmp_path, "u08_same_object_groups", part=(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"))
     assert len(found) > 84 and linked[0] <= 85
+
+
+def test_matched_controls_do_not_meet_all_others(spark, tmp_path):
+    rng = random.Random(6)
+    docs = [(k, "", rng.choice(["en", "de", None]), rng.choice(["a", "b", "only bad", "unmeasured", None]), rng.choice([None, rng.randrange(3000), rng.randrange(60) + 400])) for k in range(900)]
+    docs = [(k, text, lang, source, None if source == "unmeasured" and k % 2 else n) for k, text, lang, source, n in docs]
+    labels = [(k, 0 if source == "only bad" or source != "unmeasured" and rng.random() < 0.4 else int(k % 2 == 1 or source != "unmeasured"), 0) for k, _, _, source, _ in docs]
+    found = same_as_sql(spark, tmp_path, "j20_matched_controls", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), labels=(labels, "doc_id long, quality int, toxic int"))
+    assert len(found) > 100
+    plan = registry.QUERIES["j20_matched_controls"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # every join is on a value beside the keys too
+    assert joins and not [line for line in joins if line.count("=") < 3]
