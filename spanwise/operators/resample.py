@@ -139,7 +139,9 @@ def bootstrap_curves(rows: DataFrame, key: str, score: str, y: str, replicates:
     run along that order together. Of each range and replicate two sums pass the driver.
     """
     counts = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(key, F.col(score).cast("double").alias("__score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
-    times = (draws(rows, key, replicates) if times is None else times).withColumnRenamed(key, "__key")
+    # each row carries its recording's draws: in the narrowest numbers that hold a replicate's
+    narrow = "tinyint" if replicates <= 1 << 7 else "smallint" if replicates <= 1 << 15 else "int"
+    times = (draws(rows, key, replicates) if times is None else times).withColumnRenamed(key, "__key").withColumn("drawn", F.col("drawn").cast(f"array<{narrow}>"))
     placed = in_ranges(counts, "__score", [], pos="pos").select(key, "__score", "__range", "pos", "neg")
     held = settled(placed.join(times, placed[key].eqNullSafe(F.col("__key"))).select("__range", "__score", "pos", "neg", "drawn"))
     told = held.mapInPandas(_range_sums(replicates), "range int, b int, pos double, neg double").groupBy("range", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
